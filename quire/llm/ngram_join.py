@@ -70,7 +70,7 @@ def allocation(band: int) -> tuple[int, int, bool]:
     low = min(top, max(4, math.ceil(RATIO**band)))
     most, n = 2 * top // SPREAD, (low + top) // 2
     choices = []
-    for deletions in (False, True):
+    for deletions in (False, True) if band < 20 else (False,):
         for m in range((most + 2) // (2 if deletions else 1), 3 * top + 9):
             if _feasible(m, low, top, deletions):
                 lone = n * (1 - 1 / m) ** (n - 1)
@@ -256,7 +256,7 @@ def kept_entries(shared: DataFrame) -> DataFrame:
     own = Window.partitionBy("node", "band")
     counted = shared.withColumn("has", F.count(F.lit(1)).over(own)).where(F.col("has") >= F.col("quota"))
     ranked = counted.withColumn("rank", F.row_number().over(own.orderBy("g", "sig")))
-    with_deletions = [b for b in range(256) if b < 60 and allocation(b)[2]]
+    with_deletions = [b for b in range(20) if allocation(b)[2]]
     stays = F.col("rank") <= F.col("has") - F.col("quota") + 1
     if with_deletions:
         stays = stays | F.col("band").isin(with_deletions)
@@ -337,9 +337,9 @@ def verified(lists: DataFrame, sets: DataFrame, blocks: int) -> DataFrame:
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     keyed = lists.select((block("a") * blocks + F.col("bb")).alias("key"), "a", "partners")
     named = keyed.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(F.array_append("partners", F.col("a"))))).alias("nodes"))
-    needs = named.select("key", F.explode("nodes").alias("node"))
-    got = needs.join(sets, "node")
-    return keyed.groupBy("key").cogroup(got.groupBy("key")).applyInArrow(_linked, "a long, b long")
+    needs = named.select(F.col("key").alias("at"), F.explode("nodes").alias("node"))
+    got = needs.join(sets, "node").select("at", "node", "members")
+    return keyed.groupBy("key").cogroup(got.groupBy("at")).applyInArrow(_linked, "a long, b long")
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, str]:
@@ -451,7 +451,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = kept.join(comps, "node", "left").select("sig", "node", "n", F.coalesce("comp", "node").alias("comp"))
     mixed_groups = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     open_rows = labelled.join(mixed_groups, "sig", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks))).withColumn("bucket", F.pmod(F.xxhash64("sig"), F.lit(4 * buckets)))
-    pairs = open_rows.groupBy("bucket").applyInArrow(partial(_neighbours, blocks=blocks), "a long, bb long, partners array<long>")
+    pairs = open_rows.groupBy("bucket").applyInArrow(lambda t: _neighbours(t, blocks), "a long, bb long, partners array<long>")
     lists2 = pairs.groupBy("a", "bb").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
     more, more_path = written(verified(lists2, sets, blocks), "more-links")
     direct = direct_links(rows, sets, over)
