@@ -169,7 +169,7 @@ ROWS = "kind int, a long, b long, n long, band int, quota int, g long"
 def _index(batches, buckets: int):
     """Documents and index entries of a batch, packed by bucket: one row for each batch and bucket."""
     for rows in batches:
-        for part in slices(rows, 1, 32 << 20):
+        for part in slices(rows, 1, 5 << 20):
             grams, offsets = distinct_sets(texts_of(part.column(1)))
             node, n = prints_of_sets(grams, offsets), np.diff(offsets)
             doc = part.column(0)
@@ -288,7 +288,7 @@ def _sets(batches, bits):
         hit = (bits[bit >> 6] >> (bit & 63)) & 1 == 1
         if not hit.any():
             continue
-        for part in slices(rows.filter(pa.array(hit)), 1, 8 << 20):
+        for part in slices(rows.filter(pa.array(hit)), 1, 4 << 20):
             grams, offsets = distinct_sets(texts_of(part.column(1)))
             node = prints_of_sets(grams, offsets)
             data = [grams[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
@@ -375,7 +375,7 @@ def _against(batches, asked):
     q = asked.value
     keys = np.unique(q.keys)
     for rows in batches:
-        for part in slices(rows, 1, 8 << 20):
+        for part in slices(rows, 1, 4 << 20):
             grams, offsets = distinct_sets(texts_of(part.column(1)))
             node, left, right = prints_of_sets(grams, offsets).view(np.int64), [], []
             hit = np.flatnonzero(np.isin(grams, keys))

@@ -59,11 +59,13 @@ def word_prints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(start)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    at = np.arange(starts[0], len(flat), dtype=np.int64)
-    at -= np.repeat(starts, np.diff(np.append(starts, len(flat))))
+    at = np.arange(starts[0], len(flat), dtype=np.int32 if len(flat) < 1 << 31 else np.int64)
+    at -= np.repeat(starts.astype(at.dtype), np.diff(np.append(starts, len(flat))))
     at &= len(PLACE) - 1
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(LETTER[flat[starts[0] :]] * PLACE[at], starts - starts[0])
+        terms = LETTER[flat[starts[0] :]]
+        terms *= PLACE[at]
+        sums = np.add.reduceat(terms, starts - starts[0])
     return mixed(sums), np.searchsorted(starts, offsets)
 
 
