@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, id_text, slices, texts_of, written
+from .common import col, drop_scratch, id_text, slices, texts_of, written
 from .words import mixed, shingle_prints, word_prints
 
 #: Jaccard at least NUM / DEN; sets of sizes x and y then differ in at most (DEN-NUM)/(DEN+NUM) * (x+y) = (x+y) / 9.
@@ -463,3 +463,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = grouped.groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = grouped.join(smallest, "comp")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those that are linked to one of a smaller id; columns as they were, rows without id stay."""
+    found = jaccard_components(docs, id_col, text_col)
+    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, col(docs, id_col).cast("long") == gone["__gone"], "left_anti")

@@ -9,7 +9,7 @@ number of a step is a hash of the seed, the row key, and the place of the step i
 on any machine, in any batch and on any retry; rows with one key and one text are segmented alike.
 
 Nulls: a null text is empty, as is an empty one: no pieces. A null key counts as the key 0. An empty table gives an empty
-result. Other columns are ignored by encode_pieces and kept by reencoded.
+result. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -58,10 +58,12 @@ class PieceLattice:
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes_of])])
         self.log_weight = np.log(self.weight)
-        self.single = np.array(sorted(ord(p) for p in self.ids if len(p) == 1), np.uint32)
+        # an ASCII character without a piece has one byte piece, which is an edge like any other
+        edges = self.ids | {chr(b): int(self.byte_ids[b]) for b in range(128) if chr(b) not in self.ids}
+        self.single = np.array(sorted(ord(p) for p in edges if len(p) == 1), np.uint32)
         self.by_length = {}
         for size in range(1, self.longest + 1):
-            own = [(p, i) for p, i in self.ids.items() if len(p) == size]
+            own = [(p, i) for p, i in edges.items() if len(p) == size]
             h = np.zeros(len(own), np.uint64)
             with np.errstate(over="ignore"):
                 for k in range(size):

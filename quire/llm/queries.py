@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, token_counts, token_output
+from . import decontaminate, exact_dedup, html_extract, language_id, line_dedup, ngram_join, pieces, token_counts, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.parse_warc(warc.crawl_of(table(spark, sf_dir, "pages"))))
+    return found.select("record_id", "url", "canonical_url", "date", "response_id", "state", F.to_json("headers").alias("headers"), "digest")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -88,6 +101,9 @@ def queries() -> dict:
         "op3_token_output": op3_token_output,
         "op4_language_id": op4_language_id,
         "op5_token_counts": op5_token_counts,
+        "op6_sampled_pieces": op6_sampled_pieces,
+        "op7_warc_revisits": op7_warc_revisits,
+        "op8_html_text": op8_html_text,
         "op9_ngram_join": op9_ngram_join,
         "op10_line_dedup": op10_line_dedup,
     }
