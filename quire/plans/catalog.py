@@ -1,11 +1,509 @@
-"""All named queries of the reference operators and their SQL."""
+"""All named queries of the reference operators, each beside the SQL that must agree with it."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import text as X
+from ..operators import blocks as B
+from ..operators import cap, flow, ledger, notes, replay, runaway, sweep, translate
+from . import standins as S
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+@query("runaway_documents", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}'']+') AS w FROM documents WHERE length(text) >= 800),
+p AS (SELECT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS p FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS i FROM w WHERE len(w) >= 20)),
+c AS (SELECT doc_id, p, count(*) AS n FROM p GROUP BY ALL)
+SELECT doc_id, max(n) AS top, sum(n)::BIGINT AS total, max(n) / sum(n) >= 0.15 AS flagged FROM c GROUP BY doc_id""")
+def runaway_documents(spark, d):
+    return runaway.phrase_shares(S.table(spark, d, "documents"))
+
+
+@query("emptied_pages", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}'']+') AS w FROM documents WHERE length(text) >= 800),
+p AS (SELECT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS p FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS i FROM w WHERE len(w) >= 20)),
+c AS (SELECT doc_id, p, count(*) AS n FROM p GROUP BY ALL),
+bad AS (SELECT doc_id FROM c GROUP BY doc_id HAVING max(n) / sum(n) >= 0.15)
+SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM bad) THEN 0 ELSE length(text) END::BIGINT AS n FROM documents""")
+def emptied_pages(spark, d):
+    return runaway.emptied(S.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.char_length("text").cast("long").alias("n"))
+
+
+@query("category_counts", f"WITH {S.BLOCKS} SELECT book, category, count(*) AS n FROM blocks GROUP BY ALL")
+def category_counts(spark, d):
+    return B.category_counts(S.blocks(spark, d))
+
+
+@query("page_extents", f"WITH {S.BLOCKS} SELECT book, page, max(x2) AS x2, max(y2) AS y2 FROM blocks GROUP BY ALL")
+def page_extents(spark, d):
+    return B.page_extents(S.blocks(spark, d))
+
+
+@query("merged_boxes", f"WITH {S.BLOCKS} SELECT book, page, arg_min(y1, ord) AS first_y1, sum(y2 - y1) AS flow_height, min(x1) AS x1, max(x2) AS x2, min(y1) AS y1, max(y2) AS y2 FROM blocks GROUP BY book, page")
+def merged_boxes(spark, d):
+    return B.merged_boxes(S.blocks(spark, d))
+
+
+MEDIAN = "list_sort(list({x}))[len(list({x})) // 2 + 1]"
+
+
+@query("body_column", f"""
+WITH {S.BLOCKS}, g AS (SELECT book, list_sort(list(x1) FILTER (category = 'Text' AND x2 - x1 > page_width / 2)) AS a,
+  list_sort(list(x2) FILTER (category = 'Text' AND x2 - x1 > page_width / 2)) AS b, arg_min(page_width, page) AS w FROM blocks GROUP BY book)
+SELECT book, coalesce(a[len(a) // 2 + 1], 0) AS body_x1, coalesce(b[len(b) // 2 + 1], w) AS body_x2 FROM g""")
+def body_column(spark, d):
+    return B.body_column(S.blocks(spark, d))
+
+
+BODY = r"""
+body AS (SELECT book, coalesce(list_sort(list(px) FILTER (m))[len(list(px) FILTER (m)) // 2 + 1], list_sort(list(px))[len(list(px)) // 2 + 1]) AS body_px
+  FROM (SELECT book, px, (x2 - x1) / page_width > 0.5 AND length(text) > 90 AS m FROM sized WHERE category = 'Text' AND px > 0) GROUP BY book)
+"""
+
+
+@query("body_size", f"WITH {S.BLOCKS}, {S.SIZED}, {BODY} SELECT book, body_px FROM body")
+def body_size(spark, d):
+    return B.body_size(S.blocks(spark, d))
+
+
+@query("typography_ratios", f"""
+WITH {S.BLOCKS}, {S.SIZED}, {BODY},
+m AS (SELECT book, category, count(*) AS samples, list_sort(list(px))[count(*) // 2 + 1] AS px FROM sized WHERE category <> 'Picture' GROUP BY ALL HAVING count(*) >= 4)
+SELECT m.book, category, samples, round(greatest(0.5, least(3.0, px / body_px)), 6) AS ratio FROM m JOIN body USING (book)""")
+def typography_ratios(spark, d):
+    return B.typography(S.blocks(spark, d))
+
+
+@query("alignment_classes", f"""
+WITH {S.BLOCKS}, g AS (SELECT book, list_sort(list(x1) FILTER (category = 'Text' AND x2 - x1 > page_width / 2)) AS a,
+  list_sort(list(x2) FILTER (category = 'Text' AND x2 - x1 > page_width / 2)) AS b, arg_min(page_width, page) AS w FROM blocks GROUP BY book),
+c AS (SELECT book, coalesce(a[len(a) // 2 + 1], 0) AS b1, coalesce(b[len(b) // 2 + 1], w) AS b2 FROM g),
+s AS (SELECT book, (x1 - b1) / greatest(1, b2 - b1) AS l, (b2 - x2) / greatest(1, b2 - b1) AS r FROM blocks JOIN c USING (book))
+SELECT book, CASE WHEN l > 0.06 AND r > 0.06 AND abs(l - r) < 0.4 * greatest(l, r) THEN 'center' WHEN l > 0.45 AND r < 0.03 THEN 'right' ELSE '' END AS align, count(*) AS n
+FROM s GROUP BY ALL""")
+def alignment_classes(spark, d):
+    b = S.blocks(spark, d)
+    both = b.join(B.body_column(b), "book")
+    return both.groupBy("book", G.alignment_class(F.col("x1"), F.col("x2"), F.col("body_x1"), F.col("body_x2")).alias("align")).agg(F.count(F.lit(1)).alias("n"))
+
+
+HEADS = rf"""
+{S.BLOCKS}, {S.SIZED}, {BODY},
+keyed AS (SELECT *, CASE WHEN y1 / page_height < 0.15 THEN 'head' WHEN y2 / page_height > 0.85 THEN 'foot' END AS band FROM sized
+  WHERE regexp_matches(key, '[A-Z]') AND length(text) < 80),
+k2 AS (SELECT *, category IN ('Page-header', 'Page-footer') AS tagged, category IN ('Title', 'Section-header', 'Text') AS loose FROM keyed WHERE band IS NOT NULL),
+pb AS (SELECT book, key, band, count(DISTINCT page) AS pages, max(tagged) AS tagged_here FROM k2 WHERE tagged OR loose GROUP BY ALL HAVING count(DISTINCT page) >= 3),
+pk AS (SELECT book, key, max(tagged) AS tagged_any, max(px > 1.25 * body_px) AS large, max(body_px) AS body_px FROM k2 LEFT JOIN body USING (book) GROUP BY ALL),
+heads AS (SELECT book, page, ord, band, CASE WHEN tagged_here THEN 'tagged' WHEN NOT tagged_any AND category IN ('Title', 'Section-header') AND body_px IS NOT NULL AND NOT coalesce(large, false) THEN 'body-sized' END AS evidence
+  FROM k2 JOIN pb USING (book, key, band) JOIN pk USING (book, key) WHERE loose)
+"""
+
+
+@query("running_heads", f"WITH {HEADS} SELECT * FROM heads WHERE evidence IS NOT NULL")
+def running_heads(spark, d):
+    return B.running_heads(S.blocks(spark, d))
+
+
+@query("without_running_heads", f"WITH {HEADS} SELECT book, page, ord, category FROM blocks ANTI JOIN (SELECT * FROM heads WHERE evidence IS NOT NULL) USING (book, page, ord)")
+def without_running_heads(spark, d):
+    return B.without_running_heads(S.blocks(spark, d)).select("book", "page", "ord", "category")
+
+
+@query("lexicon_words", f"WITH {S.BLOCKS} SELECT DISTINCT book, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+(?:-[a-zà-ÿ]+)*')) AS word FROM blocks")
+def lexicon_words(spark, d):
+    return B.lexicon(S.blocks(spark, d))
+
+
+@query("furniture_keys", f"WITH {S.BLOCKS}, {S.SIZED} SELECT book, key, count(DISTINCT page) AS pages FROM sized WHERE length(text) < 80 GROUP BY ALL")
+def furniture_keys(spark, d):
+    return S.blocks(spark, d).where(F.char_length("text") < 80).groupBy("book", X.furniture_key(F.col("text")).alias("key")).agg(F.count_distinct("page").alias("pages"))
+
+
+@query("page_kinds", f"""
+WITH {S.BLOCKS}, b AS (SELECT *, category IN ('Title', 'Section-header') AS disp, category NOT IN ('Title', 'Section-header', 'Picture') AS prose,
+  len(list_filter(regexp_split_to_array(translate(text, '*_', '  '), '[ \\t\\n]+'), lambda w: w <> '')) AS words, abs((x1 + x2) / 2 / page_width - 0.5) < 0.06 AS center, lower(text) AS low FROM blocks),
+f AS (SELECT book, page, count(*) FILTER (disp) AS displays, count(*) AS n, coalesce(sum(words) FILTER (prose), 0)::BIGINT AS words, count(*) FILTER (disp AND NOT center) AS off,
+  count(*) FILTER (disp AND low IN ('contents', 'table of contents')) AS contents, count(*) FILTER (prose AND length(text) <= 100 AND regexp_matches(text, '[0-9]{{1,4}}[ \\t]*$')) AS entries,
+  count(*) FILTER (disp AND regexp_matches(upper(text), '^(PART|BOOK|SECTION|VOLUME) [A-Z0-9]+')) AS parts, max(prose AND words >= 25)::INT AS body,
+  max(regexp_matches(low, '©|copyright'))::INT + max(regexp_matches(low, 'isbn'))::INT + max(regexp_matches(low, 'all rights reserved'))::INT + max(regexp_matches(low, 'library of congress'))::INT + max(regexp_matches(low, 'first published|printed in|printing'))::INT AS marks
+  FROM b GROUP BY book, page)
+SELECT book, page, CASE WHEN contents > 0 AND entries >= 3 THEN 'contents' WHEN page < 6 AND displays = 0 AND marks >= 2 THEN 'copyright'
+  WHEN page < 6 AND displays >= 1 AND n <= 8 AND words <= 12 AND off = 0 THEN 'title-page' WHEN n <= 6 AND words <= 12 AND parts > 0 AND body = 0 THEN 'part' END AS kind, displays, words, body FROM f""")
+def page_kinds(spark, d):
+    return B.page_kinds(S.blocks(spark, d))
+
+
+CHAPTERS = rf"""
+{S.BLOCKS}, first AS (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY book, page ORDER BY ord) = 1),
+chapters AS (SELECT book, page, text AS label, CASE WHEN regexp_matches(lower(text), '^(chapter|kapitel|chapitre|capítulo|prologue|epilogue|introduction|preface|appendix)') THEN 'words'
+  WHEN category = 'Title' THEN 'title' WHEN abs((x1 + x2) / 2 / page_width - 0.5) < 0.06 THEN 'centred' END AS why
+  FROM first WHERE category IN ('Title', 'Section-header') AND length(text) < 80 AND y1 / page_height <= 0.45)
+"""
+
+
+@query("chapter_proposals", f"WITH {CHAPTERS} SELECT * FROM chapters WHERE why IS NOT NULL")
+def chapter_proposals(spark, d):
+    return B.chapter_proposals(S.blocks(spark, d))
+
+
+@query("section_spans", f"""
+WITH {CHAPTERS}, pages AS (SELECT book, page, count(*) AS n FROM blocks GROUP BY ALL),
+s AS (SELECT p.book, p.page, n, sum(CASE WHEN c.page IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.book ORDER BY p.page) AS section
+  FROM pages p LEFT JOIN (SELECT DISTINCT book, page FROM chapters WHERE why IS NOT NULL) c ON p.book = c.book AND p.page = c.page)
+SELECT book, section::BIGINT AS section, min(page) AS first_page, sum(n)::BIGINT AS blocks FROM s GROUP BY book, section""")
+def section_spans(spark, d):
+    b = S.blocks(spark, d)
+    return B.section_spans(b, B.chapter_proposals(b))
+
+
+@query("folded_sections", f"""
+WITH {CHAPTERS}, n AS (SELECT book, page AS section, label AS name, regexp_replace(regexp_replace(upper(label), '[^A-Z0-9]', '', 'g'), '[0-9]+', '#', 'g') AS key, (page % 2)::INT AS body FROM chapters WHERE why IS NOT NULL)
+SELECT book, section, name, body, coalesce(key <> '' AND body = 0 AND key = lag(key) OVER (PARTITION BY book ORDER BY section), false) AS folded FROM n""")
+def folded_sections(spark, d):
+    c = B.chapter_proposals(S.blocks(spark, d)).select("book", F.col("page").alias("section"), F.col("label").alias("name"), (F.col("page") % 2).cast("int").alias("body"))
+    return B.folded_sections(c)
+
+
+@query("body_follows", f"""
+WITH {S.BLOCKS}, p AS (SELECT book, page, max(length(text) > 300)::INT AS body FROM blocks GROUP BY ALL)
+SELECT book, page, coalesce(max(body) OVER (PARTITION BY book ORDER BY page ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) = 1, false) AS follows FROM p""")
+def body_follows(spark, d):
+    pages = S.blocks(spark, d).groupBy("book", "page").agg(F.max((F.char_length("text") > 300).cast("int")).alias("body"))
+    return B.body_follows(pages)
+
+
+@query("section_marks", r"""
+WITH b AS (SELECT source AS book, doc_id AS page, (doc_id * 7 % 30) AS v FROM documents WHERE doc_id % 9 = 0),
+l AS (SELECT book, v <= lag(v) OVER (PARTITION BY book ORDER BY page) AS back FROM b)
+SELECT book, count(*) AS numbers, coalesce(max(back), false)::INT AS restarts FROM l GROUP BY book""")
+def section_marks(spark, d):
+    docs = S.table(spark, d, "documents").where("doc_id % 9 = 0")
+    return B.section_marks(docs.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), F.lit("Title").alias("category"), (F.col("doc_id") * 7 % 30).cast("string").alias("text")))
+
+
+@query("parsed_answers", r"""
+WITH a AS (SELECT source AS book, doc_id AS page, len(string_split(text, chr(10))) AS n, doc_id % 13 = 3 AS bad, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents)
+SELECT book, page, ord::INT AS ord, CASE WHEN bad THEN 'Nonsense' ELSE 'Text' END AS category, length(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))::BIGINT AS n, bad
+FROM a WHERE bad OR trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''""")
+def parsed_answers(spark, d):
+    ls = S.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.split("text", "\n", -1).alias("ls"), (F.col("doc_id") % 13 == 3).alias("odd"))
+    item = lambda s, i: F.struct(F.array(F.lit(1.0), i.cast("double"), F.lit(9.0), i + 1.0).alias("bbox"), F.when(F.col("odd"), "Nonsense").otherwise("Text").alias("category"), s.alias("text"))
+    answers = ls.select("book", "page", F.to_json(F.transform("ls", item)).alias("answer"))
+    return B.parse_answers(answers).select("book", "page", "ord", "category", F.char_length("text").cast("long").alias("n"), "bad")
+
+
+@query("reflow_wrapped", r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents),
+f AS (SELECT doc_id, text, len(ls) > 1 AND len(list_filter(ls, lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '')) = 0 AND len(list_filter(ls[1 : len(ls) - 1], lambda s: length(s) < 45)) = 0
+  AND NOT (len(ls) - 1 >= 3 AND len(list_filter(ls[1 : len(ls) - 1], lambda s: NOT regexp_matches(rtrim(s), '[.!?]["''*”’)]?$'))) = 0) AS wrapped FROM d)
+SELECT doc_id, wrapped, sha256(CASE WHEN wrapped THEN regexp_replace(text, '[ \t]*\n[ \t]*', ' ', 'g') ELSE text END) AS h FROM f""")
+def reflow_wrapped(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", X.wrapped_prose(F.col("text")).alias("wrapped"), F.sha2(X.reflowed(F.col("text")), 256).alias("h"))
+
+
+@query("text_functions", r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)
+SELECT doc_id, length(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;'))::BIGINT AS escaped,
+  len(list_filter(regexp_split_to_array(translate(t, '*_', '  '), '[ \t\n]+'), lambda w: w <> '')) AS words, greatest(128, ceil(length(t) * 4 / 2.5))::BIGINT AS budget,
+  greatest(1, length(trim(regexp_replace(t, '[ \t\n]+', ' ', 'g'))))::BIGINT AS weight, sha256(t || chr(0) || doc_id::VARCHAR) AS key, substring(sha256(t), 1, 16) AS short,
+  regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM l""")
+def text_functions(spark, d):
+    t = S.table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1)[0].alias("t"))
+    c = F.col("t")
+    return t.select("doc_id", F.char_length(X.escape_xml(c)).cast("long").alias("escaped"), X.word_count(c).alias("words"), X.answer_budget(c).alias("budget"), X.text_weight(c).alias("weight"), X.bank_key(c, F.col("doc_id").cast("string")).alias("key"), X.short_sha(c).alias("short"), X.slug(c).alias("slug"))
+
+
+@query("paragraph_starts", f"""
+WITH {S.FLOW}, f AS (SELECT *, category = 'Text' AS ok, lag(page) OVER w AS pp, lag(text) OVER w AS pt, lag(category = 'Text') OVER w AS pok FROM flow WHERE category <> 'Footnote' WINDOW w AS (PARTITION BY book ORDER BY page, ord)),
+j AS (SELECT *, coalesce(ok AND pok AND page - pp IN (0, 1) AND right(rtrim(pt), 1) NOT IN ('.', '!', '?', ':', '"', '”', '`') AND upper(substring(text, 1, 1)) <> substring(text, 1, 1), false) AS joins FROM f)
+SELECT book, ord, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY book ORDER BY page, ord)::BIGINT AS para FROM j""")
+def paragraph_starts(spark, d):
+    return flow.paragraph_starts(S.flow(spark, d)).select("book", "ord", "para")
+
+
+@query("flow_paragraphs")
+def flow_paragraphs(spark, d):
+    return flow.flow_paragraphs(S.flow(spark, d))
+
+
+@query("unjoined_seams", f"""
+WITH {S.FLOW}, f AS (SELECT *, lag(page) OVER w AS pp, lag(text) OVER w AS pt FROM flow WHERE category = 'Text' WINDOW w AS (PARTITION BY book ORDER BY page, ord))
+SELECT book, page::INT AS page FROM f WHERE page - pp = 1 AND NOT (right(rtrim(pt), 1) NOT IN ('.', '!', '?', ':', '"', '”', '`') AND upper(substring(text, 1, 1)) <> substring(text, 1, 1))""")
+def unjoined_seams(spark, d):
+    return flow.seams(S.flow(spark, d))
+
+
+@query("merged_headings")
+def merged_headings(spark, d):
+    return flow.merged_headings(S.blocks(spark, d))
+
+
+def _marks(spark, d):
+    li = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "l_partkey")
+    m = li.select(F.concat(F.lit("b"), (F.col("k") % 100).cast("string")).alias("book"), F.floor(F.col("k") / 100).alias("page"), (F.col("n") * 100 + F.col("k") % 7).cast("long").alias("pos"), (F.col("l_partkey") % 5 + 1).cast("int").alias("printed"))
+    n = li.where("n <= 2").select(F.concat(F.lit("b"), (F.col("k") % 100).cast("string")).alias("book"), F.floor(F.col("k") / 100).alias("page"), F.col("n").cast("long").alias("note"), ((F.col("l_partkey") + F.col("n")) % 5 + 1).cast("int").alias("printed"))
+    return m, n
+
+
+MARKS = r"""
+m AS (SELECT 'b' || (l_orderkey % 100) AS book, l_orderkey // 100 AS page, (l_linenumber * 100 + l_orderkey % 7)::BIGINT AS pos, (l_partkey % 5 + 1)::INT AS printed FROM lineitem),
+n AS (SELECT 'b' || (l_orderkey % 100) AS book, l_orderkey // 100 AS page, l_linenumber::BIGINT AS note, ((l_partkey + l_linenumber) % 5 + 1)::INT AS printed FROM lineitem WHERE l_linenumber <= 2)
+"""
+
+
+@query("note_links_first", f"""
+WITH {MARKS}, f AS (SELECT book, page, printed, min(note) AS note FROM n GROUP BY ALL)
+SELECT m.book, m.page, m.pos, m.printed, CASE WHEN a.note IS NOT NULL THEN m.page WHEN b.note IS NOT NULL THEN m.page + 1 END AS note_page, coalesce(a.note, b.note) AS note
+FROM m LEFT JOIN f a ON m.book = a.book AND m.page = a.page AND m.printed = a.printed LEFT JOIN f b ON m.book = b.book AND m.page + 1 = b.page AND m.printed = b.printed""")
+def note_links_first(spark, d):
+    return notes.links_first(*_marks(spark, d))
+
+
+@query("note_links_exclusive")
+def note_links_exclusive(spark, d):
+    return notes.links_exclusive(*_marks(spark, d))
+
+
+@query("split_notes", r"""
+WITH s AS (SELECT o_orderkey AS k, o_orderkey % 4 + 1 AS n FROM orders)
+SELECT k, i::INT AS note, (i + 1)::INT AS printed, (i + 1) || ' note' || chr(10) || '9 tail' AS text FROM (SELECT k, unnest(range(0, n)) AS i FROM s)""")
+def split_notes(spark, d):
+    o = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("n"))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(i.cast("string"), F.lit(" note\n9 tail"))), "\n")
+    return notes.split_notes(o.select("k", text.alias("text")), ["k"])
+
+
+@query("replay_last_wins", f"""
+WITH {S.OPS}, l AS (SELECT book, id, arg_max(op, seq) FILTER (op IN ('strike', 'restore')) AS s, arg_max(text, seq) FILTER (op = 'text') AS t, arg_max(category, seq) FILTER (op = 'category') AS c,
+  max(seq) FILTER (op = 'restore-furniture') AS f FROM ops GROUP BY ALL)
+SELECT book, id, coalesce(t, text) AS text, coalesce(c, category) AS category, CASE WHEN f IS NULL THEN shelf END AS shelf, coalesce(s, '') = 'strike' AS struck, t IS NOT NULL AS retyped
+FROM op_rows LEFT JOIN l USING (book, id)""")
+def replay_last_wins(spark, d):
+    return replay.replay_fold(S.op_rows(spark, d), S.ops(spark, d))
+
+
+@query("missing_targets", f"WITH {S.OPS} SELECT DISTINCT book, id FROM ops ANTI JOIN op_rows USING (book, id)")
+def missing_targets(spark, d):
+    return replay.missing_targets(S.op_rows(spark, d), S.ops(spark, d))
+
+
+@query("replay_structural")
+def replay_structural(spark, d):
+    o = S.ops(spark, d).withColumn("op", F.when(F.col("seq") % 5 == 0, F.element_at(F.array(F.lit("merge"), F.lit("split"), F.lit("move")), (F.col("seq") % 3 + 1).cast("int"))).otherwise(F.col("op"))).withColumn("into", (F.col("seq") * 3 % 40).cast("string")).withColumn("at", (F.col("seq") % 6).cast("long"))
+    return replay.replay_structural(S.op_rows(spark, d), o)
+
+
+@query("last_answer_per_page", f"WITH {S.ANSWERS} SELECT book, page, arg_max(seq, seq) AS seq, arg_max(tokens, seq) AS tokens FROM answers GROUP BY ALL")
+def last_answer_per_page(spark, d):
+    a = S.answers(spark, d)
+    return replay.last_per_key(a.select("book", "page", "seq", "tokens"), ["book", "page"])
+
+
+@query("overlay_tally", f"""
+WITH {S.ANSWERS}, a AS (SELECT page, seq, CASE WHEN seq % 5 = 0 THEN seq % 2 = 0 END AS strike, CASE WHEN seq % 7 = 0 THEN 'c' END AS category, CASE WHEN seq % 11 = 0 THEN 't' END AS text, CASE WHEN seq % 13 = 0 THEN seq % 3 = 0 END AS jn, book FROM answers),
+l AS (SELECT book, page, coalesce(arg_max(strike, seq) FILTER (strike IS NOT NULL), false) AS s, max(category) AS c, max(text) AS t, coalesce(arg_max(jn, seq) FILTER (jn IS NOT NULL), false) AS j FROM a GROUP BY ALL)
+SELECT count(*) FILTER (s) AS struck, count(*) FILTER (NOT s AND c IS NOT NULL) AS reclassified, count(*) FILTER (NOT s AND t IS NOT NULL) AS corrected, count(*) FILTER (NOT s AND j) AS joined FROM l""")
+def overlay_tally(spark, d):
+    a = S.answers(spark, d)
+    s = F.col("seq")
+    am = a.select("book", "page", "seq", F.when(s % 5 == 0, s % 2 == 0).alias("strike"), F.when(s % 7 == 0, "c").alias("category"), F.when(s % 11 == 0, "t").alias("text"), F.when(s % 13 == 0, s % 3 == 0).alias("join"))
+    return replay.overlay_tally(am, ["book", "page"])
+
+
+CAPS = rf"""
+{S.ANSWERS}, s AS (SELECT *, finish_reason IS DISTINCT FROM 'length' AND text <> '' AS accepted FROM answers),
+c AS (SELECT *, max(CASE WHEN accepted THEN tokens END) OVER (PARTITION BY book ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longest FROM s),
+sent AS (SELECT *, CASE WHEN longest IS NULL THEN 16384 ELSE least(16384, greatest(2000, longest * 4)) END::BIGINT AS cap FROM c)
+"""
+
+
+@query("adaptive_cap", f"WITH {CAPS} SELECT book, seq, cap, accepted FROM sent")
+def adaptive_cap(spark, d):
+    return cap.sent_caps(S.answers(spark, d)).select("book", "seq", "cap", "accepted")
+
+
+@query("pages_to_reread", f"""
+WITH {CAPS}, f AS (SELECT book, least(16384, greatest(2000, max(tokens) FILTER (accepted) * 4))::BIGINT AS final FROM sent GROUP BY book)
+SELECT book, page, cap, final FROM sent JOIN f USING (book) WHERE NOT accepted AND final >= 2 * cap""")
+def pages_to_reread(spark, d):
+    return cap.pages_to_reread(S.answers(spark, d))
+
+
+TREE = rf"""
+RECURSIVE {S.STEPS}, up AS (
+  SELECT project, id, id AS ancestor, 0 AS depth, parent FROM steps
+  UNION ALL SELECT u.project, u.id, s.id, depth + 1, s.parent FROM up u JOIN steps s ON u.project = s.project AND u.parent = s.id)
+"""
+
+
+@query("ledger_ancestry", f"WITH {TREE} SELECT project, id, ancestor, depth FROM up")
+def ledger_ancestry(spark, d):
+    return ledger.ancestry(S.steps(spark, d))
+
+
+@query("ledger_nearest", f"""
+WITH {TREE}, n AS (SELECT u.project, u.id, u.ancestor, u.depth, s.action FROM up u JOIN steps s ON u.project = s.project AND u.ancestor = s.id)
+SELECT project, id, CASE WHEN min(depth) FILTER (action = 'system') IS NULL OR min(depth) FILTER (action = 'user') <= min(depth) FILTER (action = 'system') THEN arg_min(ancestor, depth) FILTER (action = 'user') END AS found FROM n GROUP BY project, id""")
+def ledger_nearest(spark, d):
+    s = S.steps(spark, d)
+    return ledger.nearest_upward(s, ledger.ancestry(s), "user", "system")
+
+
+@query("ledger_standard", f"""
+WITH {TREE}, p AS (SELECT project, max(id) AS at FROM steps GROUP BY project)
+SELECT u.project, s.action, arg_min(u.ancestor, u.depth) AS id FROM up u JOIN p ON u.project = p.project AND u.id = p.at JOIN steps s ON s.project = u.project AND s.id = u.ancestor GROUP BY u.project, s.action""")
+def ledger_standard(spark, d):
+    s = S.steps(spark, d)
+    at = ledger.position(s, spark.createDataFrame([], "project long, pointer long"))
+    return ledger.current_standard(s, ledger.ancestry(s), at)
+
+
+@query("ledger_stale", f"WITH {TREE} SELECT DISTINCT project, id FROM up WHERE depth > 0 AND ancestor % 4 = 1")
+def ledger_stale(spark, d):
+    s = S.steps(spark, d)
+    return ledger.stale_after(ledger.ancestry(s), s.where("id % 4 = 1"))
+
+
+@query("ledger_deleted", f"""
+WITH {TREE}, g AS (SELECT project, id FROM steps WHERE id % 5 = 3 AND parent IS NOT NULL)
+SELECT project, id, parent, action, created FROM steps ANTI JOIN (SELECT u.project, u.id FROM up u JOIN g ON u.project = g.project AND u.ancestor = g.id) x USING (project, id)""")
+def ledger_deleted(spark, d):
+    s = S.steps(spark, d)
+    return ledger.without_subtree(s, ledger.ancestry(s), s.where("id % 5 = 3").select("project", "id"))
+
+
+@query("ledger_chronological", f"""
+WITH {S.STEPS} SELECT project, id, row_number() OVER w::INT AS row, parent IS DISTINCT FROM lag(id) OVER w AS jumps FROM steps WINDOW w AS (PARTITION BY project ORDER BY created, id)""")
+def ledger_chronological(spark, d):
+    return ledger.chronological(S.steps(spark, d)).select("project", "id", "row", "jumps")
+
+
+@query("merged_metadata", r"""
+SELECT user_id, arg_max(event_type, event_id) FILTER (event_id % 3 = 0) AS a, arg_max(event_id::VARCHAR, event_id) FILTER (event_id % 2 = 0) AS b FROM events GROUP BY user_id""")
+def merged_metadata(spark, d):
+    e = S.table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(" ").alias("a"), F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).alias("b"))
+    return ledger.merged_fields(e, ["user_id"], ["a", "b"], "event_id")
+
+
+@query("chunk_plan")
+def chunk_plan(spark, d):
+    li = S.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("weight"))
+    return translate.plan_chunks(li, "l_orderkey", 80)
+
+
+@query("answer_complaints", r"""
+WITH q AS (SELECT doc_id, string_split(text, chr(10))[1] AS q, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '⟦m1⟧' WHEN 2 THEN 'x' WHEN 3 THEN repeat(string_split(text, chr(10))[1] || ' ', 4) ELSE text END AS a FROM documents),
+s AS (SELECT doc_id, a AS raw, trim(regexp_replace(regexp_replace(q, '⟦[^⟧]*⟧', '', 'g'), '[ \t\n]+', ' ', 'g')) AS q, trim(regexp_replace(regexp_replace(a, '⟦[^⟧]*⟧', '', 'g'), '[ \t\n]+', ' ', 'g')) AS a FROM q)
+SELECT doc_id, CASE WHEN trim(raw) = '' THEN 'empty' WHEN a = '' THEN 'only markers' WHEN length(a) / greatest(1, length(q)) < 0.25 THEN 'too short' WHEN length(a) / greatest(1, length(q)) > 3 THEN 'too long' END AS complaint FROM s""")
+def answer_complaints(spark, d):
+    t = S.table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1)[0].alias("q"), "text")
+    a = F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 5 == 1, "⟦m1⟧").when(F.col("doc_id") % 5 == 2, "x").when(F.col("doc_id") % 5 == 3, F.repeat(F.concat("q", F.lit(" ")), 4)).otherwise(F.col("text"))
+    return t.select("doc_id", translate.complaint(F.col("q"), a).alias("complaint"))
+
+
+@query("rendered_answers", r"""
+WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')[1:4] AS ps FROM documents)
+SELECT doc_id, len(ps) AS parts, true AS same FROM p WHERE len(ps) > 0""")
+def rendered_answers(spark, d):
+    p = S.table(spark, d, "documents").select("doc_id", F.slice(F.filter(F.transform(F.split("text", "\n", -1), X.trim_all), lambda s: s != ""), 1, 4).alias("ps")).where(F.size("ps") > 0)
+    return p.select("doc_id", F.size("ps").cast("long").alias("parts"), translate.parsed_answer(translate.rendered(F.col("ps")), F.size("ps")).eqNullSafe(F.col("ps")).alias("same"))
+
+
+@query("distinct_questions", r"SELECT sha256(role || chr(0) || text) AS key, count(*) AS asked FROM conversations GROUP BY ALL")
+def distinct_questions(spark, d):
+    return translate.distinct_questions(S.table(spark, d, "conversations").where("role is not null and text is not null"), ["role", "text"])
+
+
+@query("records_resolution", r"""
+WITH r AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey || ':0' AS src FROM customer), k AS (SELECT 'c' || c_custkey AS key, 'own ' || c_custkey AS text FROM customer WHERE c_custkey % 4 = 0
+  UNION ALL SELECT 'n' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN ':0' ELSE '' END, n_name FROM nation WHERE n_nationkey % 5 <> 0)
+SELECT r.id, r.src, coalesce(a.text, b.text, c.text) AS text, CASE WHEN a.key IS NOT NULL THEN 'id' WHEN b.key IS NOT NULL THEN 'src' WHEN c.key IS NOT NULL THEN 'family' END AS "by"
+FROM r LEFT JOIN k a ON r.id = a.key LEFT JOIN k b ON r.src = b.key LEFT JOIN k c ON regexp_replace(r.src, ':0$', '') = c.key""")
+def records_resolution(spark, d):
+    c, n = S.table(spark, d, "customer"), S.table(spark, d, "nation").where("n_nationkey % 5 <> 0")
+    rows = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(":0")).alias("src"))
+    own = c.where("c_custkey % 4 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), F.concat(F.lit("own "), F.col("c_custkey").cast("string")).alias("text"))
+    fam = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, ":0").otherwise("")).alias("key"), F.col("n_name").alias("text"))
+    return translate.resolved_records(rows, own.unionByName(fam))
+
+
+@query("list_runs", r"""
+WITH i AS (SELECT l_orderkey AS book, l_linenumber * 1000000 + l_partkey AS pos, CASE WHEN l_partkey % 3 > 0 THEN CASE WHEN l_partkey % 3 = 1 THEN 'ol' ELSE 'ul' END END AS kind FROM lineitem),
+m AS (SELECT *, CASE WHEN kind IS NOT DISTINCT FROM lag(kind) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM i WINDOW w AS (PARTITION BY book ORDER BY pos)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY book ORDER BY pos) AS run FROM m)
+SELECT book, run::BIGINT AS run, kind, count(*) AS n FROM r WHERE kind IS NOT NULL GROUP BY book, run, kind""")
+def list_runs(spark, d):
+    li = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("book"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), F.when(F.col("l_partkey") % 3 > 0, "List-item").otherwise("Text").alias("category"), F.when(F.col("l_partkey") % 3 == 1, "1. x").otherwise("- x").alias("text"))
+    return translate.list_runs(li)
+
+
+SWEEP = r"\([^()\n]*\)|\[[^\[\]\n]*\]"
+
+
+@query("sweep_census", r"SELECT doc_id AS id, i::INT AS n, h[i + 1] AS hit FROM (SELECT doc_id, h, unnest(range(0, len(h))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\([^()\n]*\)|\[[^\[\]\n]*\]') AS h FROM documents))")
+def sweep_census(spark, d):
+    return sweep.census(S.table(spark, d, "documents"), SWEEP, "doc_id")
+
+
+@query("sweep_spans")
+def sweep_spans(spark, d):
+    return sweep.spans(S.table(spark, d, "documents"), SWEEP, "doc_id")
+
+
+@query("sweep_cut", r"""
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '\([^()\n]*\)|\[[^\[\]\n]*\]', '', 'g'), '[ ]{2,}', ' ', 'g'))) AS h FROM documents""")
+def sweep_cut(spark, d):
+    return sweep.cut(S.table(spark, d, "documents"), SWEEP).select("doc_id", F.sha2("swept", 256).alias("h"))
+
+
+@query("skip_pages", r"""
+WITH s AS (SELECT unnest([3, 17]) AS page UNION SELECT unnest(range(19, 25))) SELECT doc_id AS page FROM documents WHERE doc_id NOT IN (SELECT page FROM s)""")
+def skip_pages(spark, d):
+    from ..sources.banks import skip_list
+
+    return S.table(spark, d, "documents").select(F.col("doc_id").alias("page")).join(skip_list(spark, "3,17,19-24"), "page", "left_anti")
+
+
+@query("smart_resize", r"""
+WITH p AS (SELECT p_partkey AS k, (p_partkey * 37 % 4000 + 20)::BIGINT AS h, (p_partkey * 91 % 5000 + 20)::BIGINT AS w FROM part),
+g AS (SELECT *, greatest(28, floor(h / 28 + 0.5) * 28) AS gh, greatest(28, floor(w / 28 + 0.5) * 28) AS gw, sqrt(h * w / 2000000.0) AS o, sqrt(3136.0 / (h * w)) AS u FROM p)
+SELECT k, CASE WHEN gh * gw > 2000000 THEN greatest(28, floor(h / o / 28) * 28) WHEN gh * gw < 3136 THEN ceil(h * u / 28) * 28 ELSE gh END::BIGINT AS height,
+  CASE WHEN gh * gw > 2000000 THEN greatest(28, floor(w / o / 28) * 28) WHEN gh * gw < 3136 THEN ceil(w * u / 28) * 28 ELSE gw END::BIGINT AS width FROM g""")
+def smart_resize(spark, d):
+    p = S.table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") * 37 % 4000 + 20).alias("h"), (F.col("p_partkey") * 91 % 5000 + 20).alias("w"))
+    return p.select("k", G.smart_resize(F.col("h"), F.col("w"), 2_000_000).alias("s")).select("k", "s.height", "s.width")
+
+
+@query("quad_sizes", r"""
+WITH q AS (SELECT p_partkey AS k, (p_partkey % 50)::DOUBLE AS a, (p_partkey % 70 + 100)::DOUBLE AS b FROM part)
+SELECT k, abs((a * 0 - b * a) + (b * (b + 7) - (b + 5) * 0) + ((b + 5) * b - 0 * (b + 7)) + (0 * a - a * b)) / 2 AS area,
+ greatest(1, floor(greatest(sqrt((b - a) * (b - a) + a * a), sqrt((b + 5) * (b + 5) + 49.0)) + 0.5))::BIGINT AS width,
+ greatest(1, floor(greatest(sqrt(25.0 + (b + 7) * (b + 7)), sqrt(a * a + (b - a) * (b - a))) + 0.5))::BIGINT AS height FROM q""")
+def quad_sizes(spark, d):
+    q = S.table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 50).cast("double").alias("a"), (F.col("p_partkey") % 70 + 100).cast("double").alias("b"))
+    zero = F.lit(0.0)
+    pts = F.array(F.array(F.col("a"), F.col("a")), F.array(F.col("b"), zero), F.array(F.col("b") + 5, F.col("b") + 7), F.array(zero, F.col("b")))
+    return q.select("k", G.quad_area(pts).alias("area"), G.output_size(pts).alias("s")).select("k", "area", "s.width", "s.height")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
