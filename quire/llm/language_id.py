@@ -75,7 +75,7 @@ class LanguageModel:
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs = langs
         by_order = counts.reshape(len(langs), len(ORDERS), BUCKETS).astype(np.float64) + SMOOTHING
-        logs = np.log(by_order / by_order.sum(2, keepdims=True)).reshape(len(langs), -1)
+        logs = np.log(by_order / by_order.sum(2, keepdims=True)).reshape(len(langs), len(ORDERS) * BUCKETS)
         self.matrix = np.ascontiguousarray(logs.T.astype(np.float32))
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ The join moves no payloads. Records are range-partitioned by (canonical URL, dat
 spreads over partitions; each partition carries its latest response forward, and what a partition inherits from those
 before it is settled by one row for each partition.
 
-Nulls: a null url is canonicalised as empty; a record without a date is never earlier than another and finds nothing.
+Nulls: a null url is canonicalised as an empty one is (/); a record without a date is never earlier than another and finds nothing.
 Ties: of responses with one date the one with the largest record_id is latest. Repeated rows are resolved alike. Empty
 tables give empty results. Other columns are ignored.
 """
