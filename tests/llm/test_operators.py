@@ -336,7 +336,7 @@ def test_warc(spark):
             old, new = by_id[r.response_id]["headers"], by_id[k]["headers"]
             if old and new:
                 assert old["etag"] == new["etag"] and r.headers["cache-control"] == new["cache-control"] and r.headers["content-type"] == "x"
-    assert {c["c"] for c in named} == {"", "hot.example/", "a.example/x", "b.example/?a=1&b=2"}
+    assert {c["c"] for c in named} == {"/", "hot.example/", "a.example/x", "b.example/?a=1&b=2"}
     assert warc.resolve_revisits(table.limit(0)).count() == 0
 
 
