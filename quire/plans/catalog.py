@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import blocks as B
-from ..operators import cap, flow, ledger, notes, replay, runaway, sweep, translate
+from ..operators import cap, flow, ledger, markup, notes, replay, runaway, sweep, translate
 from . import standins as S
 
 QUERIES: dict = {}
@@ -501,6 +501,92 @@ def quad_sizes(spark, d):
     return q.select("k", G.quad_area(pts).alias("area"), G.output_size(pts).alias("s")).select("k", "area", "s.width", "s.height")
 
 
+@query("html_elements")
+def html_elements(spark, d):
+    return markup.elements(S.table(spark, d, "pages"), "page_id", "html").select("doc", "id", "parent", "tag", "start", "end")
+
+
+@query("html_tag_counts", r"""
+WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<script|<style)[^>]*>.*?</(script|style)>', '', 'g') AS h FROM pages),
+t AS (SELECT page_id, lower(unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM p)
+SELECT tag, count(*) AS n, count(DISTINCT page_id) AS docs FROM t GROUP BY tag""")
+def html_tag_counts(spark, d):
+    return markup.tag_counts(markup.elements(S.table(spark, d, "pages"), "page_id", "html"))
+
+
+@query("html_inside_nav", r"""
+SELECT page_id AS doc, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<[a-z]'))::BIGINT AS n FROM pages""")
+def html_inside_nav(spark, d):
+    return markup.inside(markup.elements(S.table(spark, d, "pages"), "page_id", "html"), "nav").groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("html_link_targets", r"""
+WITH a AS (SELECT page_id AS doc, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) SELECT doc, href, count(*) AS refs FROM a GROUP BY ALL""")
+def html_link_targets(spark, d):
+    return markup.link_targets(markup.elements(S.table(spark, d, "pages"), "page_id", "html"))
+
+
+@query("html_page_as_of", r"""
+WITH p AS (SELECT l_orderkey AS doc, l_linenumber AS id, (l_linenumber * 100)::INT AS start FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+m AS (SELECT o_orderkey AS doc, unnest([150, 300, 420]) AS off, unnest([1, 2, 3]) AS page FROM orders WHERE o_orderkey % 3 = 0)
+SELECT p.doc, p.id, max(m.page)::BIGINT AS page FROM p LEFT JOIN m ON p.doc = m.doc AND m.off <= p.start GROUP BY p.doc, p.id""")
+def html_page_as_of(spark, d):
+    p = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("id"), (F.col("l_linenumber") * 100).cast("int").alias("start")).distinct()
+    m = S.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("doc"), F.explode(F.array(*[F.struct(F.lit(o).alias("offset"), F.lit(k).alias("page")) for o, k in ((150, 1), (300, 2), (420, 3))])).alias("m")).select("doc", "m.offset", "m.page")
+    return markup.page_at(p, m)
+
+
+@query("nav_dead_entries", r"""
+WITH e AS (SELECT o_orderkey % 20 AS doc, o_orderkey AS id, o_orderkey // 4 * 40 + CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey % 4 * 10 END AS s,
+  o_orderkey // 4 * 40 + CASE WHEN o_orderkey % 4 = 0 THEN 39 ELSE o_orderkey % 4 * 10 + 5 END AS e, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey % 50 END AS target FROM (SELECT o_orderkey * 20 AS k, o_orderkey FROM orders))
+SELECT a.doc, a.id FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.doc = a.doc AND b.s >= a.s AND b.s <= a.e AND (b.target IS NULL OR b.target % 2 = 0))""")
+def nav_dead_entries(spark, d):
+    k = F.col("o_orderkey")
+    within = F.when(k % 4 == 0, 0).otherwise(k % 4 * 10)
+    e = S.table(spark, d, "orders").select((k % 20).alias("doc"), k.alias("id"), (F.floor(k / 4) * 40 + within).alias("start"), (F.floor(k / 4) * 40 + F.when(k % 4 == 0, 39).otherwise(k % 4 * 10 + 5)).alias("end"), F.when(k % 9 != 0, k % 50).alias("target"))
+    return markup.dead_entries(e, spark.range(0, 50, 2).select(F.col("id").alias("target")))
+
+
+@query("masked_text", r"SELECT doc_id AS id, len(regexp_extract_all(text, '\*\*|\*|[⁰¹²³⁴⁵⁶⁷⁸⁹]+'))::BIGINT AS n, true AS round_trips, NULL::VARCHAR AS complaint FROM documents")
+def masked_text(spark, d):
+    m = markup.masked(S.table(spark, d, "documents"), "doc_id", "text")
+    return m.select("id", F.size("kept").cast("long").alias("n"), "round_trips", markup.marker_complaint(F.col("masked"), F.size("kept")).alias("complaint"))
+
+
+@query("unsafe_markup", r"SELECT page_id, length(regexp_replace(html, '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>', '', 'g'))::BIGINT AS n FROM pages")
+def unsafe_markup(spark, d):
+    return S.table(spark, d, "pages").select("page_id", F.char_length(X.strip_unsafe_markup(F.col("html"))).cast("long").alias("n"))
+
+
+@query("plain_text_of_markup", r"""
+SELECT page_id, sha256(trim(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&apos;', ''''), '&quot;', '"'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS h FROM pages""")
+def plain_text_of_markup(spark, d):
+    return S.table(spark, d, "pages").select("page_id", F.sha2(X.plain_text(F.col("html")), 256).alias("h"))
+
+
+@query("windowed_events", r"SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def windowed_events(spark, d):
+    from ..streaming.intake import windowed_events as windows
+
+    return windows(S.table(spark, d, "events"))
+
+
+@query("plain_text_book", r"""
+WITH l AS (SELECT source AS book, doc_id, string_split(text, chr(10))[1] AS t FROM documents WHERE doc_id % 7 = 0)
+SELECT book, sha256(string_agg(t, chr(10) || chr(10) ORDER BY doc_id)) AS h FROM l GROUP BY book""")
+def plain_text_book(spark, d):
+    from ..sources.books import plain_text
+
+    t = S.table(spark, d, "documents").where("doc_id % 7 = 0").select(F.col("source").alias("book"), F.col("doc_id").alias("pos"), F.split("text", "\n", -1)[0].alias("text"))
+    return plain_text(t).select("book", F.sha2("text", 256).alias("h"))
+
+
+@query("markdown_runs")
+def markdown_runs(spark, d):
+    t = S.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), F.lit("Text").alias("category"), F.regexp_replace("text", r"(?m)^(Th|De|Es)", "# $1").alias("text"))
+    return B.markdown_runs(t)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
