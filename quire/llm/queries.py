@@ -94,6 +94,44 @@ FROM marked GROUP BY doc_id
 )
 
 
+SHINGLES_SQL = r"""
+words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM words))
+"""
+
+#: All items of the benchmark have five words or more.
+OP2_SQL = (
+    "WITH "
+    + SHINGLES_SQL
+    + r""",
+item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+item_grams AS (SELECT DISTINCT item_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS i FROM item_words)),
+sizes AS (SELECT item_id, count(*) AS n FROM item_grams GROUP BY item_id)
+SELECT d.doc_id, i.item_id, count(*) AS n_shared, any_value(s.n) AS n_shingles
+FROM grams d JOIN item_grams i USING (g) JOIN sizes s USING (item_id) GROUP BY d.doc_id, i.item_id HAVING 100 * count(*) >= 80 * any_value(s.n)
+"""
+)
+
+OP9_SQL = (
+    "WITH RECURSIVE "
+    + SHINGLES_SQL
+    + r""",
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.b)) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+)
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -110,4 +148,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op9_ngram_join": OP9_SQL, "op10_line_dedup": OP10_SQL}
