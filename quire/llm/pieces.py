@@ -28,13 +28,15 @@ from .tokens import gather
 from .words import mixed
 
 SHIFT, THETA, SEED = 32.0, 1.0, 20_240_501
+#: Words whose lattices a Python worker keeps, at about 600 bytes a word. It changes memory and speed, never the pieces.
+CACHE_WORDS = 200_000
 SIGN = "▁"
 
 
 class PieceLattice:
     """Vocabulary of a SentencePiece model and the samplers over it. Keeps the lattices of at most cache_size words."""
 
-    def __init__(self, path: str, theta: float = THETA, cache_size: int = 150_000):
+    def __init__(self, path: str, theta: float = THETA, cache_size: int = CACHE_WORDS):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -61,15 +63,17 @@ class PieceLattice:
         # an ASCII character without a piece has one byte piece, which is an edge like any other
         edges = self.ids | {chr(b): int(self.byte_ids[b]) for b in range(128) if chr(b) not in self.ids}
         self.single = np.array(sorted(ord(p) for p in edges if len(p) == 1), np.uint32)
+        # for each length the hashes of all beginnings of pieces, and the piece that is that beginning (-1: none)
         self.by_length = {}
         for size in range(1, self.longest + 1):
-            own = [(p, i) for p, i in edges.items() if len(p) == size]
-            h = np.zeros(len(own), np.uint64)
+            begun = {p[:size]: edges.get(p[:size], -1) for p in edges if len(p) >= size}
+            points = np.array([[ord(c) for c in p] for p in begun], np.uint64).reshape(-1, size)
+            h = np.zeros(len(begun), np.uint64)
             with np.errstate(over="ignore"):
                 for k in range(size):
-                    h = mixed(h + np.array([ord(p[k]) for p, _ in own], np.uint64))
+                    h = mixed(h + points[:, k])
             order = np.argsort(h)
-            self.by_length[size] = h[order], np.array([i for _, i in own], np.int64)[order]
+            self.by_length[size] = h[order], np.array(list(begun.values()), np.int64)[order]
         self.cache_size = cache_size
         self._clear()
 
@@ -77,11 +81,13 @@ class PieceLattice:
         self.known: dict[str, int] = {}
         self.first: list[int] = []  # a word's first node
         self.last: list[int] = []
+        self.ends = np.zeros((2, 0), np.int64)  # both, as far as they were turned into arrays
         self.edge_from: list[int] = []
+        self.edge_to: list[int] = []
         self.edge_id: list[int] = []
-        self.edge_cum: list[float] = []  # node number plus cumulative share of the edges into it
-        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.nodes = 0
+        self.edge_cum: list[float] = []  # cumulative share of the edges into a node
+        self.blocks: list[tuple[np.ndarray, ...]] = []
+        self.nodes = self.placed = 0  # nodes in all, and nodes whose edges are in blocks
 
     def _add(self, word: str) -> None:
         first, last = self._run(word)
@@ -129,24 +135,38 @@ class PieceLattice:
             for i, piece, w in into[j]:
                 run += w / total
                 self.edge_from.append(base + i)
+                self.edge_to.append(base + j)
                 self.edge_id.append(piece)
-                self.edge_cum.append(base + j + min(run, 1.0))
-            self.edge_cum[-1] = base + j + 1.0
+                self.edge_cum.append(min(run, 1.0))
+            self.edge_cum[-1] = 1.0
         for node, at, piece, share in chain:
             self.edge_from.append(base + at)
+            self.edge_to.append(base + node)
             self.edge_id.append(piece)
-            self.edge_cum.append(base + node + share)
+            self.edge_cum.append(share)
         self.nodes = base + n + extra + 1
         return base, base + n
 
     def _lattice(self):
-        """Edges into each node in node order: where from, which piece, node number plus cumulative share."""
+        """First and last node of each word; edges in order of the node they lead to: where from, which piece, cumulative
+        share; and each node's first edge."""
         if self.edge_from:
-            self.blocks.append((np.array(self.edge_from, np.int32), np.array(self.edge_id, np.int32), np.array(self.edge_cum)))
-            self.edge_from, self.edge_id, self.edge_cum = [], [], []
+            starts = np.searchsorted(np.array(self.edge_to), np.arange(self.placed, self.nodes))
+            self._place(np.array(self.edge_from, np.int32), np.array(self.edge_id, np.int32), np.array(self.edge_cum), starts)
+            self.edge_from, self.edge_to, self.edge_id, self.edge_cum = [], [], [], []
         if len(self.blocks) > 1:
             self.blocks = [tuple(np.concatenate(x) for x in zip(*self.blocks))]
-        return np.array(self.first), np.array(self.last), *(self.blocks[0] if self.blocks else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)))
+        known = self.ends.shape[1]
+        if known < len(self.first):
+            self.ends = np.concatenate([self.ends, np.array([self.first[known:], self.last[known:]], np.int64)], 1)
+        none = np.zeros(0, np.int32)
+        return *self.ends, *(self.blocks[0] if self.blocks else (none, none, np.zeros(0), none))
+
+    def _place(self, source: np.ndarray, piece: np.ndarray, share: np.ndarray, starts: np.ndarray) -> None:
+        """One more block of edges; starts are the first edges of all nodes made since the block before."""
+        before = sum(len(b[0]) for b in self.blocks)
+        self.blocks.append((source, piece, share, (starts + before).astype(np.int32)))
+        self.placed = self.nodes
 
     def _learn(self, words: list[str]) -> None:
         """Lattices of many words at a time; those with a character that no piece covers are done one by one."""
@@ -171,22 +191,25 @@ class PieceLattice:
         left = np.repeat(begin + lens, lens) - np.arange(len(points))  # characters to the word's end
         node = np.arange(len(points)) + np.repeat(np.arange(len(lens)), lens)  # a word of n characters has n + 1 nodes
         source, target, piece = [], [], []
-        h = np.zeros(len(points), np.uint64)
+        alive, h = np.arange(len(points)), np.zeros(len(points), np.uint64)
         with np.errstate(over="ignore"):
-            for size in range(1, self.longest + 1):
-                at = np.flatnonzero(left >= size)
-                if not len(at):
+            for size in range(1, self.longest + 1):  # only beginnings of pieces are followed on
+                more = left[alive] >= size
+                alive, h = alive[more], h[more]
+                if not len(alive):
                     break
-                h[at] = mixed(h[at] + points[at + size - 1])
+                h = mixed(h + points[alive + size - 1])
                 keys, ids = self.by_length[size]
-                if len(keys):
-                    found = np.searchsorted(keys, h[at])
-                    found[found == len(keys)] = 0
-                    hit = keys[found] == h[at]
-                    source.append(node[at[hit]])
-                    target.append(node[at[hit]] + size)
-                    piece.append(ids[found[hit]])
-        source, target, piece = np.concatenate(source), np.concatenate(target), np.concatenate(piece)
+                found = np.searchsorted(keys, h)
+                found[found == len(keys)] = 0
+                hit = keys[found] == h
+                alive, h, ids = alive[hit], h[hit], ids[found[hit]]
+                whole = ids >= 0
+                source.append(node[alive[whole]])
+                target.append(source[-1] + size)
+                piece.append(ids[whole])
+        # long pieces first: they are the likelier
+        source, target, piece = np.concatenate(source[::-1]), np.concatenate(target[::-1]), np.concatenate(piece[::-1])
         order = np.argsort(target, kind="stable")
         source, target, piece = source[order], target[order], piece[order]
         # forward filtering by distance from the word's start, all words at a time, in logarithms
@@ -218,7 +241,8 @@ class PieceLattice:
             self.first.append(base + f)
             self.last.append(base + f + n)
         self.nodes = base + len(points) + len(lens)
-        self.blocks.append(((source + base).astype(np.int32), piece.astype(np.int32), target + base + share))
+        into = np.bincount(target, minlength=self.nodes - base)
+        self._place((source + base).astype(np.int32), piece.astype(np.int32), share, np.cumsum(into) - into)
 
     def encode(self, texts: pa.Array, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts end to end, and the number of each text's ids."""
@@ -241,7 +265,7 @@ class PieceLattice:
         text = np.repeat(np.arange(len(texts)), np.diff(offsets))
         live = some[text]
         codes, text = codes[live], text[live]
-        first, last, edge_from, edge_id, edge_cum = self._lattice()
+        first, last, edge_from, edge_id, share, start = self._lattice()
         if not len(codes):
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         place = np.arange(len(codes)) - np.searchsorted(text, text)
@@ -253,7 +277,11 @@ class PieceLattice:
         while len(live):
             with np.errstate(over="ignore"):
                 u = (mixed(stream[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(edge_cum, at[live] + u, side="right")
+            edge = start[at[live]]
+            behind = np.flatnonzero(share[edge] <= u)
+            while len(behind):
+                edge[behind] += 1
+                behind = behind[share[edge[behind]] <= u[behind]]
             steps.append((live, edge_id[edge]))
             at[live] = edge_from[edge]
             live = live[at[live] != goal[live]]
@@ -285,8 +313,9 @@ class PieceLattice:
                 base = self.nodes
                 for k, b in enumerate(SIGN.encode()):
                     self.edge_from.append(base + k)
+                    self.edge_to.append(base + k + 1)
                     self.edge_id.append(int(self.byte_ids[b]))
-                    self.edge_cum.append(base + k + 2.0)
+                    self.edge_cum.append(1.0)
                 first, last, self.nodes = base, base + 3, base + 4
             else:
                 first, last = self._run(part)
@@ -310,17 +339,18 @@ class PieceLattice:
 _LATTICES: dict[tuple[str, float], PieceLattice] = {}
 
 
-def lattice(path: str, theta: float = THETA) -> PieceLattice:
+def lattice(path: str, theta: float = THETA, cache_size: int = CACHE_WORDS) -> PieceLattice:
     """One lattice for each Python worker, kept between tasks."""
     if (path, theta) not in _LATTICES:
         _LATTICES[path, theta] = PieceLattice(path, theta)
+    _LATTICES[path, theta].cache_size = cache_size
     return _LATTICES[path, theta]
 
 
-def _encode(batches, path: str, theta: float, seed: int):
-    model = lattice(path, theta)
+def _encode(batches, path: str, theta: float, seed: int, cache_size: int):
+    model = lattice(path, theta, cache_size)
     for rows in batches:
-        for part in slices(rows, 1, 8 << 20):
+        for part in slices(rows, 1, 2 << 20):
             texts = texts_of(part.column(1))
             keys = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             ids, counts = model.encode(texts, keys, seed)
@@ -328,9 +358,9 @@ def _encode(batches, path: str, theta: float, seed: int):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array([x.decode("utf-8", "surrogatepass") for x in model.decode(ids, counts)], pa.string())], names=["doc_id", "pieces", "decoded"])
 
 
-def encode_pieces(docs: DataFrame, path: str, theta: float = THETA, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, theta: float = THETA, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", cache_size: int = CACHE_WORDS) -> DataFrame:
     """Per row: doc_id, pieces (ids), decoded (the text again). One pass, no shuffle."""
-    return id_text(docs, id_col, text_col).mapInArrow(partial(_encode, path=path, theta=theta, seed=seed), "doc_id long, pieces array<int>, decoded string")
+    return id_text(docs, id_col, text_col).mapInArrow(partial(_encode, path=path, theta=theta, seed=seed, cache_size=cache_size), "doc_id long, pieces array<int>, decoded string")
 
 
 def _digest(batches, path: str, theta: float, seed: int):
@@ -338,7 +368,7 @@ def _digest(batches, path: str, theta: float, seed: int):
 
     model = lattice(path, theta)
     for rows in batches:
-        for part in slices(rows, 1, 8 << 20):
+        for part in slices(rows, 1, 2 << 20):
             texts = texts_of(part.column(1))
             ids, counts = model.encode(texts, part.column(0).fill_null(0).to_numpy(zero_copy_only=False), seed)
             ends = np.cumsum(counts)
