@@ -60,7 +60,7 @@ def _count(batches, langs: tuple[str, ...]):
     counts = np.zeros((len(langs), BUCKETS * len(ORDERS)), np.int64)
     number = {x: i for i, x in enumerate(langs)}
     for rows in batches:
-        for part in slices(rows, 0, 8 << 20):
+        for part in slices(rows, 0, 1 << 20):
             names = np.array([number[x] for x in part.column(1).to_pylist()])
             texts = texts_of(part.column(0))
             for k in np.unique(names):
@@ -115,7 +115,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", t
 def _predict(batches, model):
     langs = model.value.langs
     for rows in batches:
-        for part in slices(rows, 1, 4 << 20):
+        for part in slices(rows, 1, 1 << 20):
             p, some = model.value.scores(texts_of(part.column(1)))
             best = p.argmax(1) if p.size else np.zeros(len(some), np.int64)
             names = pa.array(np.array([*langs, "und"], object)[np.where(some, best, len(langs))], pa.string())
@@ -139,7 +139,7 @@ def _keep(batches, model, text_index: int, langs: frozenset, least: float):
     names = model.value.langs
     wanted = np.array([not langs or x in langs for x in names])
     for rows in batches:
-        for part in slices(rows, text_index, 4 << 20):
+        for part in slices(rows, text_index, 1 << 20):
             p, some = model.value.scores(texts_of(part.column(text_index)))
             if not p.size:
                 continue

@@ -356,6 +356,7 @@ def _encode(batches, path: str, theta: float, seed: int, cache_size: int):
             ids, counts = model.encode(texts, keys, seed)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array([x.decode("utf-8", "surrogatepass") for x in model.decode(ids, counts)], pa.string())], names=["doc_id", "pieces", "decoded"])
+    model._clear()  # a worker that goes on to other work keeps the vocabulary only
 
 
 def encode_pieces(docs: DataFrame, path: str, theta: float = THETA, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", cache_size: int = CACHE_WORDS) -> DataFrame:
