@@ -42,7 +42,9 @@ def batch_keys(docs: DataFrame, batches: int, min_chars: int = MIN_CHARS) -> Dat
     all rows of one doc_id are in one batch and no document is counted twice."""
     keys = docs.select("doc_id", F.explode(F.array_distinct(line_hashes(F.col("text"), min_chars))).alias("k")).where("k is not null")
     deal = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
-    return keys.groupBy(deal, "k.h1", "k.h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+    # repeated rows of one doc_id (null is one value too) hold a key once
+    once = keys.select("doc_id", "k.h1", "k.h2").distinct()
+    return once.groupBy(deal, "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
 def merged(runs: list[DataFrame]) -> DataFrame:

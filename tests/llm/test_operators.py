@@ -245,6 +245,17 @@ def test_line_dedup(spark, odd):
     assert line_dedup.line_report(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    line = "one line of more than forty characters in two documents"
+    rows = [*[(10, f"{line}\nown", None)] * 4, (11, line, None)]
+    nulls = [*[(None, f"{line} null\nown", None)] * 4, (12, f"{line} null", None)]
+    five = [*[(20, f"{line} five", None)] * 3, *[(k, f"{line} five", None) for k in range(21, 25)]]
+    for batches in (1, 3):
+        got = collections.Counter(map(tuple, line_dedup.line_report(docs(spark, [*rows, *nulls, *five]), batches).collect()))
+        assert got == brute_lines([*rows, *nulls, *five])
+        assert {d: n for d, _, n, _ in got} == {10: 0, 11: 0, None: 0, 12: 0, 20: 1, 21: 1, 22: 1, 23: 1, 24: 0}
+
+
 def test_pieces_are_lossless_and_reproducible(spark, odd):
     path = tokenizer_path("piece_bpe_32k.model")
     got = pieces.encode_pieces(docs(spark, odd), path).collect()
