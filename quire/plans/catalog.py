@@ -195,6 +195,16 @@ def section_marks(spark, d):
     return B.section_marks(docs.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), F.lit("Title").alias("category"), (F.col("doc_id") * 7 % 30).cast("string").alias("text")))
 
 
+@query("section_marks_all", r"""
+WITH b AS (SELECT source AS book, doc_id AS page, (doc_id * 7 % 30) AS v FROM documents),
+l AS (SELECT book, v <= lag(v) OVER (PARTITION BY book ORDER BY page) AS back FROM b)
+SELECT book, count(*) AS numbers, coalesce(max(back), false)::INT AS restarts FROM l GROUP BY book""")
+def section_marks_all(spark, d):
+    """section_marks over every document."""
+    docs = S.table(spark, d, "documents")
+    return B.section_marks(docs.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), F.lit("Title").alias("category"), (F.col("doc_id") * 7 % 30).cast("string").alias("text")))
+
+
 @query("parsed_answers", r"""
 WITH a AS (SELECT source AS book, doc_id AS page, len(string_split(text, chr(10))) AS n, doc_id % 13 = 3 AS bad, unnest(string_split(text, chr(10))) AS line,
   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents)
@@ -228,6 +238,19 @@ def text_functions(spark, d):
     return t.select("doc_id", F.char_length(X.escape_xml(c)).cast("long").alias("escaped"), X.word_count(c).alias("words"), X.answer_budget(c).alias("budget"), X.text_weight(c).alias("weight"), X.bank_key(c, F.col("doc_id").cast("string")).alias("key"), X.short_sha(c).alias("short"), X.slug(c).alias("slug"))
 
 
+@query("text_functions_lines", r"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS t FROM documents)
+SELECT doc_id, pos::INT AS pos, length(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;'))::BIGINT AS escaped,
+  len(list_filter(regexp_split_to_array(translate(t, '*_', '  '), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS words, greatest(128, ceil(length(t) * 4 / 2.5))::BIGINT AS budget,
+  greatest(1, length(trim(regexp_replace(t, '[ \t\n]+', ' ', 'g'))))::BIGINT AS weight, sha256(t || chr(0) || doc_id::VARCHAR) AS key, substring(sha256(t), 1, 16) AS short,
+  regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM l""")
+def text_functions_lines(spark, d):
+    """text_functions over every line of a document."""
+    t = S.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "t"))
+    c = F.col("t")
+    return t.select("doc_id", "pos", F.char_length(X.escape_xml(c)).cast("long").alias("escaped"), X.word_count(c).alias("words"), X.answer_budget(c).alias("budget"), X.text_weight(c).alias("weight"), X.bank_key(c, F.col("doc_id").cast("string")).alias("key"), X.short_sha(c).alias("short"), X.slug(c).alias("slug"))
+
+
 @query("paragraph_starts", f"""
 WITH {S.FLOW}, f AS (SELECT *, category = 'Text' AS ok, lag(page) OVER w AS pp, lag(text) OVER w AS pt, lag(category = 'Text') OVER w AS pok FROM flow WHERE category <> 'Footnote' WINDOW w AS (PARTITION BY book ORDER BY page, ord)),
 j AS (SELECT *, coalesce(ok AND pok AND page - pp IN (0, 1) AND right(rtrim(pt), 1) NOT IN ('.', '!', '?', ':', '"', '”', '`') AND upper(substring(text, 1, 1)) <> substring(text, 1, 1), false) AS joins FROM f)
@@ -416,6 +439,19 @@ def answer_complaints(spark, d):
     return t.select("doc_id", translate.complaint(F.col("q"), a).alias("complaint"))
 
 
+@query("answer_complaints_lines", r"""
+WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS q FROM documents),
+q AS (SELECT doc_id, pos, q, CASE (doc_id + pos) % 5 WHEN 0 THEN '' WHEN 1 THEN '⟦m1⟧' WHEN 2 THEN 'x' WHEN 3 THEN repeat(q || ' ', 4) ELSE q END AS a FROM l),
+s AS (SELECT doc_id, pos, a AS raw, trim(regexp_replace(regexp_replace(q, '⟦[^⟧]*⟧', '', 'g'), '[ \t\n]+', ' ', 'g')) AS q, trim(regexp_replace(regexp_replace(a, '⟦[^⟧]*⟧', '', 'g'), '[ \t\n]+', ' ', 'g')) AS a FROM q)
+SELECT doc_id, pos::INT AS pos, CASE WHEN trim(raw) = '' THEN 'empty' WHEN a = '' THEN 'only markers' WHEN length(a) / greatest(1, length(q)) < 0.25 THEN 'too short' WHEN length(a) / greatest(1, length(q)) > 3 THEN 'too long' END AS complaint FROM s""")
+def answer_complaints_lines(spark, d):
+    """answer_complaints with every line of a document as a question."""
+    t = S.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "q"))
+    k = (F.col("doc_id") + F.col("pos")) % 5
+    a = F.when(k == 0, "").when(k == 1, "⟦m1⟧").when(k == 2, "x").when(k == 3, F.repeat(F.concat("q", F.lit(" ")), 4)).otherwise(F.col("q"))
+    return t.select("doc_id", "pos", translate.complaint(F.col("q"), a).alias("complaint"))
+
+
 @query("rendered_answers", r"""
 WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')[1:4] AS ps FROM documents)
 SELECT doc_id, len(ps) AS parts, true AS same FROM p WHERE len(ps) > 0""")
@@ -424,6 +460,15 @@ def rendered_answers(spark, d):
     return p.select("doc_id", F.size("ps").cast("long").alias("parts"), translate.parsed_answer(translate.rendered(F.col("ps")), F.size("ps")).eqNullSafe(F.col("ps")).alias("same"))
 
 
+@query("rendered_answers_all", r"""
+WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS ps FROM documents)
+SELECT doc_id, len(ps) AS parts, true AS same FROM p WHERE len(ps) > 0""")
+def rendered_answers_all(spark, d):
+    """rendered_answers over every paragraph of a text."""
+    p = S.table(spark, d, "documents").select("doc_id", F.filter(F.transform(F.split("text", "\n", -1), X.trim_all), lambda s: s != "").alias("ps")).where(F.size("ps") > 0)
+    return p.select("doc_id", F.size("ps").cast("long").alias("parts"), translate.parsed_answer(translate.rendered(F.col("ps")), F.size("ps")).eqNullSafe(F.col("ps")).alias("same"))
+
+
 @query("distinct_questions", r"SELECT sha256(role || chr(0) || text) AS key, count(*) AS asked FROM conversations GROUP BY ALL")
 def distinct_questions(spark, d):
     return translate.distinct_questions(S.table(spark, d, "conversations").where("role is not null and text is not null"), ["role", "text"])
@@ -581,6 +626,16 @@ def plain_text_book(spark, d):
     return plain_text(t).select("book", F.sha2("text", 256).alias("h"))
 
 
+@query("plain_text_book_rows", r"""
+SELECT source AS book, doc_id AS pos, sha256(text) AS h FROM documents WHERE text IS NOT NULL""")
+def plain_text_book_rows(spark, d):
+    """The whole plain text of every book as ordered rows: no book is one value."""
+    from ..sources.books import plain_text_rows
+
+    t = S.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("pos"), "text")
+    return plain_text_rows(t).select("book", "pos", F.sha2("text", 256).alias("h"))
+
+
 @query("markdown_runs")
 def markdown_runs(spark, d):
     t = S.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), F.lit("Text").alias("category"), F.regexp_replace("text", r"(?m)^(Th|De|Es)", "# $1").alias("text"))

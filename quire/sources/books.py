@@ -12,6 +12,12 @@ def plain_text(rows: DataFrame, between: str = "\n\n") -> DataFrame:
     return rows.groupBy("book").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), between).alias("text"))
 
 
+def plain_text_rows(rows: DataFrame) -> DataFrame:
+    """rows (book, pos, text) -> the same in reading order, sorted by range partition: joined by plain_text's separator,
+    a book's rows are its plain text, and no task needs to hold a whole book."""
+    return rows.where("text is not null").select("book", "pos", "text").orderBy("book", "pos", "text")
+
+
 def blocks_dump(blocks: DataFrame, unreadable: DataFrame) -> DataFrame:
     """book, page, json: a page's blocks in order, and whether its answer could be read."""
     fields = [c for c in blocks.columns if c not in ("book", "page")]

@@ -52,3 +52,24 @@ def test_rows_equal_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs_without_sql(spark, name):
     assert catalog.queries()[name](spark, SF_DIR).count() > 0
+
+
+def test_whole_queries_read_every_document_and_line(spark, duck):
+    docs = duck.sql("SELECT doc_id, source, text FROM documents").fetchall()
+    lines = sum(len(t.split("\n")) for _, _, t in docs)
+    run = lambda name: catalog.queries()[name](spark, SF_DIR)
+    assert sum(r.numbers for r in run("section_marks_all").collect()) == len(docs)
+    assert run("text_functions_lines").count() == lines and run("answer_complaints_lines").count() == lines
+    parts = {r.doc_id: r.parts for r in run("rendered_answers_all").where("same").collect()}
+    whole = {i: sum(s.strip(" \t\n\x0b\x0c\r") != "" for s in t.split("\n")) for i, _, t in docs}
+    assert parts == {i: n for i, n in whole.items() if n} and max(parts.values()) >= 10
+
+
+def test_plain_text_rows_are_the_whole_book(spark):
+    from quire.sources.books import plain_text, plain_text_rows
+
+    rows = spark.createDataFrame([(f"b{k % 2}", k, None if k == 7 else f"first {k}\nsecond {k}") for k in range(30)] + [("b0", 4, "tied")], "book string, pos long, text string")
+    got: dict = {}
+    for r in plain_text_rows(rows.repartition(5)).collect():
+        got.setdefault(r.book, []).append(r.text)
+    assert {b: "\n\n".join(ts) for b, ts in got.items()} == {r.book: r.text for r in plain_text(rows).collect()}
