@@ -9,6 +9,10 @@ outermost article or main element that its pages share, or else the element with
 page. A page is then cut by its host's wrapper: the blocks within the content element, without menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles.
 
+Where neither the wrapper nor the page names a content element, it is the lowest element that covers all of the page's
+text that varies on its host; where that is the body itself, children of the body whose text is the same on at least
+CONSTANT_PAGES different pages of the host are left out as furniture.
+
 Nulls: null or empty html gives an empty text; a null url is a host of its own. Tags that are never closed end with their
 parent. A page whose host's content element it lacks falls back to its own best element. Repeated rows give equal rows. An
 empty table gives an empty result. Other columns are ignored.
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices
+from .common import col, slices, written
 
 #: Elements whose content is no text.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "select", "math")
@@ -46,6 +50,9 @@ MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 SPACE = re.compile(r"\s+")
 #: Streams of one host that are aligned in one part, before the parts are.
 SALTS = 16
+#: Different pages of a host that must have the same text in a place before it counts as constant.
+CONSTANT_PAGES = 3
+HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def host_of(url: Column) -> Column:
@@ -159,25 +166,39 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.table({"host": table.column("host").slice(0, 1), "stream": pa.array([json.dumps(wrapper)]), "n": pa.array([sum(r[0] for r in rows)], pa.int64())})
 
 
-def _masses(batches):
-    """host, path, length and print of the text directly in each element of each page (one row for each element kind)."""
+def place(path: tuple) -> tuple:
+    """The block elements of a path, paragraphs aside."""
+    return tuple(x for x in path if x.split(".")[0] in BLOCK and x.split(".")[0] != "p")
+
+
+def shared_place(blocks: tuple) -> str:
+    """A place as other pages of the host have it: marks with a digit are a page's own."""
+    return ">".join(DIGIT_MARK.sub("#", x) for x in blocks)
+
+
+DIGIT_MARK = re.compile(r"(?<=[.\s])[^\s]*\d[^\s]*")
+
+
+def _places(batches):
+    """host, k1, k2 of the page, place, print of the text directly in it (one row for each place of a page)."""
     for rows in batches:
-        for part in slices(rows, 1, 8 << 20):
-            out: list[tuple[str, str, int, int]] = []
-            for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                mass: dict[str, list[str]] = {}
+        for part in slices(rows, 3, 8 << 20):
+            out: list[tuple[str, int, int, str, int]] = []
+            for host, k1, k2, page in zip(*(part.column(k).to_pylist() for k in range(4))):
+                texts: dict[str, list[str]] = {}
                 for path, text in walk(page or ""):
-                    if text and not text.isspace():
-                        blocks = [x for x in path if x.split(".")[0] in BLOCK and x.split(".")[0] != "p"]
-                        mass.setdefault(">".join(blocks), []).append(text)
-                out += [(host, p, sum(map(len, t)), hash_of("".join(t))) for p, t in mass.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "path", "mass", "print"])
+                    if text and not text.isspace() and not any(map(noisy, path)):
+                        texts.setdefault(shared_place(place(path)), []).append(SPACE.sub(" ", text).strip())
+                out += [(host, k1, k2, p, hash_of("\n".join(t))) for p, t in texts.items()]
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 5, types)], names=["host", "k1", "k2", "place", "print"])
 
 
 def hash_of(text: str) -> int:
     import zlib
 
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    raw = text.encode("utf-8", "surrogatepass")
+    return (len(raw) & 0x7FFFFFFF) << 32 | zlib.crc32(raw)
 
 
 def noisy(element: str) -> bool:
@@ -185,12 +206,13 @@ def noisy(element: str) -> bool:
     return name in NOISE or bool(marks and NOISE_WORDS.search(marks))
 
 
-def content_paths(masses: DataFrame) -> DataFrame:
-    """host, paths: the element paths of a host with text that differs between its pages, heaviest first (at most 8)."""
-    by_path = masses.groupBy("host", "path").agg(F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("pages"), (F.min("print") == F.max("print")).alias("constant"))
-    varies = by_path.where(~F.col("constant") | (F.col("pages") == 1))
-    top = varies.groupBy("host").agg(F.slice(F.sort_array(F.collect_list(F.struct("mass", "path")), False), 1, 8).alias("top"))
-    return top.select("host", F.col("top.path").alias("paths"))
+def constant_places(pages: DataFrame) -> DataFrame:
+    """host, k1, k2, constant: the places of a page that have the same text on all pages of the host that have the place,
+    at least CONSTANT_PAGES different ones. pages: host, k1, k2, html."""
+    places = pages.mapInArrow(_places, "host string, k1 long, k2 long, place string, print long").distinct()
+    by_place = places.groupBy("host", "place").agg(F.count(F.lit(1)).alias("pages"), F.min("print").alias("a"), F.max("print").alias("b"))
+    same = by_place.where((F.col("pages") >= CONSTANT_PAGES) & (F.col("a") == F.col("b"))).select("host", "place")
+    return places.join(same, ["host", "place"]).groupBy("host", "k1", "k2").agg(F.collect_set("place").alias("constant"))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -215,7 +237,33 @@ def _named(batches):
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(3)], names=["host", "wrapper", "marked"])
 
 
-def text_of(page: str, content: str | None, paths: list[str] | None) -> str:
+def own_content(seen: list) -> str | None:
+    """A page's own outermost article or main element."""
+    for p, _ in seen:
+        found = next((x for x in p if x.split(".")[0] in ("article", "main")), None)
+        if found and not noisy(found):
+            return found
+    return None
+
+
+def covering(seen: list, constant: list[str] | None) -> tuple[tuple, set]:
+    """The lowest place that covers all text that varies, and the children of the body that are constant."""
+    clean = {place(p) for p, t in seen if t and not t.isspace() and not any(map(noisy, p))}
+    known = set(constant or ())
+    varies = {k for k in clean if shared_place(k) not in known} or clean
+    if not varies:
+        return (), set()
+    low, high = min(varies), max(varies)
+    n = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    wanted = low[:n]
+    # a page of one constant heading or paragraph in its body keeps it
+    bare = not wanted or wanted[-1].split(".")[0] in ("body", "html")
+    kept = {k[: n + 1] for k in varies}
+    left_out = {k[: n + 1] for k in clean if bare and k[:n] == wanted and len(k) > n and k[n].split(".")[0] not in HEADS} - kept
+    return wanted, left_out
+
+
+def text_of(page: str, content: str | None, constant: list[str] | None) -> str:
     """The text of a page's content element: blocks in page order, white space as one space."""
     blocks: list[str] = []
     now: list[str] = []
@@ -225,19 +273,11 @@ def text_of(page: str, content: str | None, paths: list[str] | None) -> str:
     if content is not None and not any(content in p for p, _ in seen):
         content = None
     if content is None:
-        for p, t in seen:
-            found = next((x for x in p if x.split(".")[0] in ("article", "main")), None)
-            if found and not noisy(found):
-                content = found
-                break
-    wanted = None
+        content = own_content(seen)
+    wanted: tuple = ()
+    left_out: set = set()
     if content is None:
-        mass: dict[str, int] = {}
-        for p, t in seen:
-            if t and not t.isspace() and not any(map(noisy, p)):
-                key = ">".join(x for x in p if x.split(".")[0] in BLOCK and x.split(".")[0] != "p")
-                mass[key] = mass.get(key, 0) + len(t)
-        wanted = next((p for p in paths or () if p in mass), max(mass, key=mass.get) if mass else "")
+        wanted, left_out = covering(seen, constant)
     for p, t in seen:
         if t is None:
             if now:
@@ -249,8 +289,8 @@ def text_of(page: str, content: str | None, paths: list[str] | None) -> str:
             if content is not None:
                 inside = content in p and not any(map(noisy, p[p.index(content) + 1 :]))
             else:
-                key = ">".join(x for x in p if x.split(".")[0] in BLOCK and x.split(".")[0] != "p")
-                inside = (key == wanted or key.startswith(wanted + ">")) and not any(map(noisy, p))
+                key = place(p)
+                inside = key[: len(wanted)] == wanted and key[: len(wanted) + 1] not in left_out and not any(map(noisy, p))
         if inside:
             now.append(entities.unescape(t))
     if now:
@@ -261,19 +301,19 @@ def text_of(page: str, content: str | None, paths: list[str] | None) -> str:
 def _texts(batches):
     for rows in batches:
         for part in slices(rows, 2, 8 << 20):
-            pages, marked, paths = part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist()
-            texts = [text_of(h, m, p) if h else "" for h, m, p in zip(pages, marked, paths)]
+            pages, marked, constant = part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist()
+            texts = [text_of(h, m, p) if h else "" for h, m, p in zip(pages, marked, constant)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
     rows = pages.select(col(pages, id_col).cast("long").alias("page_id"), col(pages, url_col).cast("string").alias("url"), col(pages, html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    found = wrappers(rows.select("host", "html"))
-    # only hosts whose wrapper names no content element need the masses
-    marked = found.select("host", "marked")
-    open_hosts = marked.where("marked is null").select("host")
-    unmarked = rows.select("host", "html").join(open_hosts, "host", "left_semi")
-    heavy = content_paths(unmarked.mapInArrow(_masses, "host string, path string, mass long, print long"))
-    both = rows.join(marked, "host", "left").join(heavy, "host", "left").select("page_id", "url", "html", "marked", "paths")
+    # both tables are written, so that small ones are broadcast and the pages stay where they are
+    marked, _ = written(wrappers(rows.select("host", "html")).select("host", "marked"), "wrappers")
+    # only hosts whose wrapper names no content element need the places
+    keyed = rows.withColumn("k1", F.xxhash64("html")).withColumn("k2", F.xxhash64(F.lit(1), "html"))
+    unmarked = keyed.select("host", "k1", "k2", "html").join(marked.where("marked is null").select("host"), "host", "left_semi")
+    constant, _ = written(constant_places(unmarked), "constant-places")
+    both = keyed.join(marked, "host", "left").join(constant, ["host", "k1", "k2"], "left").select("page_id", "url", "html", "marked", "constant")
     return both.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -308,6 +308,24 @@ def test_html(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def texts_on(spark, pages):
+    rows = spark.createDataFrame([(k, f"http://h.example/{k}", h) for k, h in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(html_extract.main_text(rows).collect())]
+
+
+def test_html_keeps_all_blocks_of_an_unnamed_article(spark):
+    menu = "<body><div class=top><ul><li>Home</li><li>News</li></ul></div>"
+    story = lambda k: f"<div class=story id=post-{k}><h1>Head {k}</h1><p>short {k}<ul><li>a long item of page {k} and more</li></ul><blockquote>quote {k}</blockquote><table><tr><td>cell {k}</table></div>"
+    want = lambda k: f"Head {k} short {k} a long item of page {k} and more quote {k} cell {k}"
+    assert texts_on(spark, [menu + story(k) for k in range(4)]) == [want(k) for k in range(4)]
+    parts = lambda k: "<div class=story>" + "".join(f"<section class=s{c}><p>part {c} of {k}</p></section>" for c in "abcdefghijkl") + "</div>"
+    assert texts_on(spark, [menu + parts(k) for k in range(4)]) == [" ".join(f"part {c} of {k}" for c in "abcdefghijkl") for k in range(4)]
+    # no element holds the article: the body does, without its constant children
+    loose = lambda k: f"<h1>Head {k}</h1><p>text {k}</p><ul><li>item {k}</li></ul><div class=end>all rights</div>"
+    assert texts_on(spark, [menu + loose(k) for k in range(4)]) == [f"Head {k} text {k} item {k}" for k in range(4)]
+    assert texts_on(spark, ["<body><div class=x><p>same</p><ul><li>list</li></ul></div>"] * 4) == ["same list"] * 4
+
+
 def test_wrapper_inference(spark):
     item = lambda n, extra="": "<body><ul>" + "<li>x</li>" * n + f"</ul>{extra}<article><p>t</p></article></body>"
     pages = spark.createDataFrame([("h", item(3)), ("h", item(7)), ("h", item(2, "<div class=ad>a</div>"))], "host string, html string")
