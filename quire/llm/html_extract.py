@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,17 +32,24 @@ from pyspark.sql import functions as F
 from .common import col, slices, written
 
 #: Elements whose content is no text.
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "select", "math")
+RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "canvas", "select", "annotation-xml", "annotation")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 NOISE = frozenset("nav header footer aside form head title menu dialog button label fieldset".split())
-#: Words of a class, id or role that mark what is not the article.
+#: Words of a class, id or role that make an element no candidate for the article.
 NOISE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|nav\w*|menu|sidebar|side|footer|header|masthead|breadcrumbs?|comments?|respond|disqus|share|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|search|pagination|pager|toolbar|widget|complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
+#: Whole class or role tokens that mark furniture; a word between hyphens may be a subject of the text.
+NOISE_TOKEN = re.compile(
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|nav\w*|menu|sidebar|side|footer|header|masthead|breadcrumbs?|comments?|respond|disqus|share|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|search|pagination|pager|toolbar|widget|complementary|contentinfo|navigation)"
+    r"|ads?[_-](?:slot|box|unit|banner|container|wrapper)|(?:site|page|main|global|top)[_-](?:header|footer|nav|navigation|menu)|nav[_-](?:bar|menu|links)|(?:cookies?|consent)[_-](?:banner|notice|bar|popup)"
+    r"|comments?[_-](?:list|area|section|form|thread)|(?:share|social)[_-](?:bar|buttons?|links|icons)|related[_-](?:posts?|articles?|stories|links)|search[_-](?:form|box|bar)|newsletter[_-](?:signup|form|box)|widget[_-]area",
+    re.I,
+)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
     re.S | re.I,
@@ -60,7 +68,8 @@ def host_of(url: Column) -> Column:
 
 
 def events(page: str):
-    """('open', name, marks), ('close', name, '') and ('text', raw, '') in page order; comments and raw elements are left out."""
+    """('open', name, marks), ('close', name, '') and ('text', raw, '') in page order; comments and raw elements are left out.
+    Marks are the classes, roles and ids; an id has a # before it."""
     for m in TOKEN.finditer(page):
         text = m.group(5)
         if text is not None:
@@ -70,7 +79,7 @@ def events(page: str):
             if m.group(2):
                 yield "close", name, ""
             else:
-                marks = " ".join(a or b or c for _, a, b, c in MARK.findall(m.group(4))) if m.group(4) else ""
+                marks = " ".join("#" + (a or b or c) if k.lower() == "id" else a or b or c for k, a, b, c in MARK.findall(m.group(4))) if m.group(4) else ""
                 yield "open", name, marks
 
 
@@ -201,9 +210,20 @@ def hash_of(text: str) -> int:
     return (len(raw) & 0x7FFFFFFF) << 32 | zlib.crc32(raw)
 
 
+@lru_cache(1 << 14)
 def noisy(element: str) -> bool:
+    """Furniture by its name, by a whole class or role, or, for a div or list, by its whole id."""
     name, _, marks = element.partition(".")
-    return name in NOISE or bool(marks and NOISE_WORDS.search(marks))
+    if name in NOISE:
+        return True
+    if not marks or name in HEADS or name in ("html", "body"):
+        return False
+    return any(NOISE_TOKEN.fullmatch(t[1:] if t[0] == "#" else t) for t in marks.split() if t[0] != "#" or name in ("div", "ul"))
+
+
+def unlikely(element: str) -> bool:
+    """No candidate for the content element."""
+    return noisy(element) or bool(NOISE_WORDS.search(element.partition(".")[2].replace("#", " ")))
 
 
 def constant_places(pages: DataFrame) -> DataFrame:
@@ -232,17 +252,18 @@ def _named(batches):
         out = []
         for host, s in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
             wrapper = json.loads(s)
-            marked = next((x[1:-1] for x in wrapper if isinstance(x, str) and re.match(r"<(article|main)[.>]|<\w+\.[^>]*\b(article-body|articleBody|main)\b", x) and not noisy(x[1:-1])), None)
+            marked = next((x[1:-1] for x in wrapper if isinstance(x, str) and re.match(r"<(article|main)[.>]|<\w+\.[^>]*\b(article-body|articleBody|main)\b", x) and not unlikely(x[1:-1])), None)
             out.append((host, expression(wrapper), marked))
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(3)], names=["host", "wrapper", "marked"])
 
 
 def own_content(seen: list) -> str | None:
-    """A page's own outermost article or main element."""
-    for p, _ in seen:
-        found = next((x for x in p if x.split(".")[0] in ("article", "main")), None)
-        if found and not noisy(found):
-            return found
+    """A page's own outermost article or main element, likely ones first."""
+    for refused in (unlikely, noisy):
+        for p, _ in seen:
+            found = next((x for x in p if x.split(".")[0] in ("article", "main")), None)
+            if found and not refused(found):
+                return found
     return None
 
 

@@ -326,6 +326,11 @@ def test_html_keeps_all_blocks_of_an_unnamed_article(spark):
     assert texts_on(spark, ["<body><div class=x><p>same</p><ul><li>list</li></ul></div>"] * 4) == ["same list"] * 4
 
 
+def test_html_drops_furniture_by_whole_marks_only(spark):
+    body = "<article><h2 id=side-effects>Side effects</h2><section id=related-work class=social-history><p>Work</p></section><div id=search-algorithms>Search</div><p><math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> and <object>figure text</object></p><div class='box share'>Share</div><div class=share-buttons>Tweet</div><div role=navigation>Go</div><div id=comments>nice</div></article>"
+    assert texts_on(spark, ["<body><article class=promo-card>Teaser</article>" + body]) == ["Side effects Work Search x = 1 and figure text".replace("x = 1", "x=1")]
+
+
 def test_wrapper_inference(spark):
     item = lambda n, extra="": "<body><ul>" + "<li>x</li>" * n + f"</ul>{extra}<article><p>t</p></article></body>"
     pages = spark.createDataFrame([("h", item(3)), ("h", item(7)), ("h", item(2, "<div class=ad>a</div>"))], "host string, html string")
