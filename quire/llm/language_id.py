@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import col, slices, texts_of
 
 ORDERS, BUCKETS, SMOOTHING = (1, 2, 3, 4), 1 << 15, 0.5
-#: A fitted model sees about so many labelled rows at most; the sample is drawn by a hash of the id.
+#: A fitted model sees about so many labelled rows at most; the sample is drawn by language and a hash of the id.
 FIT_ROWS = 20_000
+#: Rows that length classes are pooled to before a floor of evidence is taken from them.
+POOL_ROWS = 500
 #: Fixed multipliers of the rolling hash.
 TIMES = np.uint32(0x01000193)
 NOTHING, BLANK = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
@@ -80,7 +82,13 @@ class LanguageModel:
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Posterior of each language for each text, and whether the text has a letter."""
+        p, some, _, _ = self.evidence(texts)
+        return p, some
+
+    def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same with the log-likelihood for each byte under the best language, and the number of bytes."""
         flat, starts, some = _letters(texts)
+        size = np.diff(np.append(starts, len(flat)))
         total = np.zeros((len(starts), len(self.langs)))
         if len(flat) and self.langs:
             for bins in _grams(flat):
@@ -90,9 +98,10 @@ class LanguageModel:
                         ends = np.minimum(np.append(starts[1:], len(flat)), len(bins))
                         total[:, a] += sums[ends] - sums[np.minimum(starts, len(bins))]
         total /= len(ORDERS)  # n-grams of the orders overlap; their evidence counts once
+        each = (total.max(1) if total.size else np.zeros(len(starts))) / np.maximum(size, 1)
         total -= total.max(1, keepdims=True) if total.size else 0
         p = np.exp(total)
-        return (p / p.sum(1, keepdims=True) if p.size else p), some & bool(self.langs)
+        return (p / p.sum(1, keepdims=True) if p.size else p), some & bool(self.langs), each, size
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
@@ -102,9 +111,15 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", t
     langs, total = sorted(sizes), sum(sizes.values())
     if not langs:
         return LanguageModel([], np.zeros((0, BUCKETS * len(ORDERS))))
-    share = min(1.0, fit_rows / total)
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+    if fit_rows < total:
+        # the sample is shared out evenly; a language with fewer rows than its part gives them all
+        left, cut = fit_rows, {}
+        for k, x in enumerate(sorted(langs, key=sizes.get)):
+            part = min(sizes[x], left / (len(langs) - k))
+            cut[x] = int(part / sizes[x] * 1_000_000)
+            left -= part
+        cuts = F.create_map(*[F.lit(v) for x in langs for v in (x, cut[x])])
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < cuts[F.col("lang")])
     summed = rows.select("text", "lang").mapInArrow(partial(_count, langs=tuple(langs)), "lang int, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     got = summed.toArrow()
     counts = np.zeros((len(langs), BUCKETS * len(ORDERS)))
@@ -135,18 +150,65 @@ def held_out(doc_id) -> "F.Column":
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def _keep(batches, model, text_index: int, langs: frozenset, least: float):
+def length_class(size: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(size, 1)).astype(np.int32)
+
+
+def _evidence(batches, model):
+    for rows in batches:
+        for part in slices(rows, 0, 1 << 20):
+            _, some, each, size = model.value.evidence(texts_of(part.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(length_class(size)[some]), pa.array(each[some])], names=["class", "each"])
+
+
+def evidence_floors(labelled: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
+    """For each length class (log2 of bytes), the least log-likelihood for each byte of a text in a learned language.
+
+    A model of one half of the labelled rows scores rows of the other half, so no text is judged by its own counts. A
+    floor is as far below the least of a pool of classes as that is below their mean; it never falls with length. Texts
+    shorter than all of these have no floor, longer ones the last."""
+    rows = labelled.where(col(labelled, text_col).isNotNull() & col(labelled, lang_col).isNotNull())
+    half = F.pmod(F.xxhash64(col(labelled, id_col), F.lit(11)), F.lit(2))
+    model = fit(rows.where(half == 0), fit_rows, id_col, text_col, lang_col)
+    others = rows.where(half == 1)
+    total = others.count()
+    if fit_rows < total:
+        others = others.where(F.pmod(F.xxhash64(col(labelled, id_col), F.lit(7)), F.lit(1_000_000)) < int(fit_rows / total * 1_000_000))
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    scored = others.select(col(labelled, text_col).cast("string").alias("text")).mapInArrow(partial(_evidence, model=shared), "class int, each double")
+    found = scored.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("each").alias("low"), F.sum("each").alias("total")).collect()
+    floors = np.full(64, -np.inf)
+    if not found:
+        return floors
+    # from the longest on, classes are pooled until they hold enough rows; the shortest ones are a pool of what is left
+    pools: list[list] = [[]]
+    for r in sorted(found, key=lambda r: -r["class"]):
+        if sum(x["n"] for x in pools[-1]) >= POOL_ROWS:
+            pools.append([])
+        pools[-1].append(r)
+    above = np.inf
+    for pool in pools:
+        low, mean = min(r["low"] for r in pool), sum(r["total"] for r in pool) / sum(r["n"] for r in pool)
+        above = min(above, 2 * low - mean)
+        floors[min(r["class"] for r in pool) :] = np.where(np.isinf(floors), above, floors)[min(r["class"] for r in pool) :]
+    return floors
+
+
+def _keep(batches, model, text_index: int, langs: frozenset, least: float, floors: np.ndarray | None):
     names = model.value.langs
     wanted = np.array([not langs or x in langs for x in names])
     for rows in batches:
         for part in slices(rows, text_index, 1 << 20):
-            p, some = model.value.scores(texts_of(part.column(text_index)))
+            p, some, each, size = model.value.evidence(texts_of(part.column(text_index)))
             if not p.size:
                 continue
+            if floors is not None:
+                some = some & (each >= floors[length_class(size)])
             yield part.filter(pa.array(some & (p.max(1) >= least) & wanted[p.argmax(1)]))
 
 
-def keep_languages(docs: DataFrame, model: LanguageModel, langs: frozenset = frozenset(), least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose text is in one of langs (all learned ones if empty) with at least this score; columns as they were."""
+def keep_languages(docs: DataFrame, model: LanguageModel, langs: frozenset = frozenset(), least: float = 0.5, text_col: str = "text", floors: np.ndarray | None = None) -> DataFrame:
+    """The rows whose text is in one of langs (all learned ones if empty) with at least this score; columns as they were.
+    The score only compares learned languages; floors (evidence_floors) also refuse texts that are in none of them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(partial(_keep, model=shared, text_index=docs.columns.index(text_col), langs=langs, least=least), docs.schema)
+    return docs.mapInArrow(partial(_keep, model=shared, text_index=docs.columns.index(text_col), langs=langs, least=least, floors=floors), docs.schema)

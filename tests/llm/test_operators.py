@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -125,6 +126,30 @@ def test_language_id(spark, odd):
     assert language_id.predict_language(docs(spark, []), model).count() == 0
 
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
+def test_texts_in_no_learned_language_are_refused(spark):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rng = np.random.default_rng(3)
+    junk = ["".join(chr(97 + c) for c in rng.integers(0, 26, 4000)), " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 8)) for _ in range(400)), "съешь же ещё этих мягких французских булок да выпей чаю " * 20, "鳥啼花落水空流 山高月小水落石出 " * 40]
+    odd = spark.createDataFrame([(-1 - k, x) for k, x in enumerate(junk)], "doc_id long, text string")
+    kept = corpus_pipeline.keep_known_languages(spark, table.unionByName(odd, allowMissingColumns=True), SF_DIR)
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    lettered = {r.doc_id for r in table.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert ids == lettered
+
+
+def test_a_rare_language_is_learned_from_all_its_rows(spark):
+    rows = [(k, "the quick brown fox and the dog", "en") for k in range(400)] + [(1000 + k, "der schnelle braune fuchs und das über", "de") for k in range(4)]
+    few = language_id.fit(docs(spark, rows), fit_rows=20)
+    got = {r.doc_id: r for r in language_id.predict_language(docs(spark, [(1, "der fuchs und das über", None), (2, "the fox and the dog", None)]), few).collect()}
+    assert (got[1].lang_pred, got[2].lang_pred) == ("de", "en")
+
+
 def words(t):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if w]
 
