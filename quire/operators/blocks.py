@@ -23,10 +23,9 @@ BAND, LEAST_PAGES, SHORT = 0.15, 3, 80
 OVERSIZED = 1.25
 
 
-def upper_median(c: Column) -> Column:
-    """The upper of the middle two: sorted[n / 2]."""
-    a = F.array_sort(F.collect_list(c))
-    return F.element_at(a, (F.floor(F.size(a) / 2) + 1).cast("int"))
+def upper_median(name: str) -> Column:
+    """The upper of the middle two: sorted[n / 2]. Exact; tasks and groups hold counts of distinct values, not all values."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {name} DESC)")
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:
@@ -64,20 +63,21 @@ def body_size(blocks: DataFrame) -> DataFrame:
     """book, body_px: upper median type size of wide Text that has a break or more than 90 characters; else of all Text."""
     text = blocks.where(F.col("category") == "Text").withColumn("px", G.type_size(F.col("y2") - F.col("y1"), F.col("text"))).where("px > 0")
     measured = ((F.col("x2") - F.col("x1")) / F.col("page_width") > 0.5) & (F.col("text").contains("\n") | (F.char_length("text") > 90))
-    return text.groupBy("book").agg(F.coalesce(upper_median(F.when(measured, F.col("px"))), upper_median(F.col("px"))).alias("body_px"))
+    return text.withColumn("sure_px", F.when(measured, F.col("px"))).groupBy("book").agg(F.coalesce(upper_median("sure_px"), upper_median("px")).alias("body_px"))
 
 
 def body_column(blocks: DataFrame) -> DataFrame:
     """book, body_x1, body_x2: upper medians over Text wider than half its page; the first page's width where there is none."""
     wide = (F.col("category") == "Text") & ((F.col("x2") - F.col("x1")) > F.col("page_width") / 2)
-    out = blocks.groupBy("book").agg(upper_median(F.when(wide, F.col("x1"))).alias("a"), upper_median(F.when(wide, F.col("x2"))).alias("b"), F.min_by("page_width", "page").alias("w"))
+    edges = blocks.withColumn("wide_x1", F.when(wide, F.col("x1"))).withColumn("wide_x2", F.when(wide, F.col("x2")))
+    out = edges.groupBy("book").agg(upper_median("wide_x1").alias("a"), upper_median("wide_x2").alias("b"), F.min_by("page_width", "page").alias("w"))
     return out.select("book", F.coalesce("a", F.lit(0)).alias("body_x1"), F.coalesce("b", "w").alias("body_x2"))
 
 
 def typography(blocks: DataFrame, least: int = 4) -> DataFrame:
     """book, category, samples, ratio (to the body size, within 0.5 and 3) of categories with enough samples."""
     sized = blocks.where(F.col("category") != "Picture").withColumn("px", G.type_size(F.col("y2") - F.col("y1"), F.col("text")))
-    each = sized.groupBy("book", "category").agg(F.count(F.lit(1)).alias("samples"), upper_median(F.col("px")).alias("median_px")).where(F.col("samples") >= least)
+    each = sized.groupBy("book", "category").agg(F.count(F.lit(1)).alias("samples"), upper_median("px").alias("median_px")).where(F.col("samples") >= least)
     ratio = F.greatest(F.lit(0.5), F.least(F.lit(3.0), F.col("median_px") / F.col("body_px")))
     return each.join(body_size(blocks), "book").select("book", "category", "samples", F.round(ratio, 6).alias("ratio"))
 

@@ -73,3 +73,14 @@ def test_plain_text_rows_are_the_whole_book(spark):
     for r in plain_text_rows(rows.repartition(5)).collect():
         got.setdefault(r.book, []).append(r.text)
     assert {b: "\n\n".join(ts) for b, ts in got.items()} == {r.book: r.text for r in plain_text(rows).collect()}
+
+
+def test_upper_medians_hold_no_list_of_a_book(spark):
+    from quire.operators import blocks as B
+
+    values = {"even": [4.0, 1.0, 3.0, 2.0], "odd": [5.0, 5.0, 1.0], "one": [7.0, None], "none": [None, None]}
+    got = spark.createDataFrame([(b, v) for b, vs in values.items() for v in vs], "book string, v double").groupBy("book").agg(B.upper_median("v").alias("m"))
+    assert {r.book: r.m for r in got.collect()} == {"even": 3.0, "odd": 5.0, "one": 7.0, "none": None}
+    for name in ("body_size", "body_column", "typography_ratios"):
+        plan = catalog.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan
