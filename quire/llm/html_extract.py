@@ -1,21 +1,26 @@
 """HTML main text by wrappers: union-free regular-expression inference over the pages of a host.
 
-A page is a stream of tags and text slots. Repeats next to each other are folded into repeated groups; the distinct
-folded streams of a host are aligned one after the other, a mismatch becoming an optional group on either side, which
-gives one union-free expression for the host: tags, text slots (#), optional groups (...)? and repeated groups (...)+.
-Streams are counted before the shuffle, and a host's streams are aligned in salted parts first, then part by part, so a
-host with a third of all pages is one short list of distinct streams. The wrapper names the content element: the
-outermost article or main element that its pages share, or else the element with most text that differs from page to
-page. A page is then cut by its host's wrapper: the blocks within the content element, without menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts and styles.
-
-Where neither the wrapper nor the page names a content element, it is the lowest element that covers all of the page's
-text that varies on its host; where that is the body itself, children of the body whose text is the same on at least
-CONSTANT_PAGES different pages of the host are left out as furniture.
-
-Nulls: null or empty html gives an empty text; a null url is a host of its own. Tags that are never closed end with their
-parent. A page whose host's content element it lacks falls back to its own best element. Repeated rows give equal rows. An
-empty table gives an empty result. Other columns are ignored.
+A page is a stream of block tags and text slots, nested by its balanced tags. Neighbouring repeats, single ones or runs,
+are folded into repeated groups. The distinct streams of a host are aligned one after the other: parts that both have are
+merged, a part that one lacks becomes optional, and parts that then repeat next to each other fold again, so that optional
+and repeated groups meet plain tokens. This gives one union-free expression for the host, its wrapper, with tags, text
+slots (#), optional groups (...)? and repeated groups (...)+. Each slot holds what was seen in it: on how many pages, how
+much text, how much of it in links, and the least and largest print of the text, which tell a constant from a slot.
+
+The wrapper decides. Its content part is the article or main element with most text, or else the lowest part that holds
+MOST of the host's text that varies and is in no link; constants, links and furniture count for nothing. Every page is
+then aligned with its host's wrapper, and its text is what lies in slots of the content part: no furniture (elements and
+whole class or role tokens below, fixed values) and no constant that CONSTANT_PAGES pages or more and nearly all pages of
+the host have in the same place. Headings are no constants. Where constants are most of the content, the pages are copies
+of each other and nothing counts as constant. A page without its host's content part is its own wrapper.
+
+Distinct streams are counted with partial sums before the shuffle; a host's streams are aligned in parts of PART streams,
+then part by part, so a host with a third of all pages is no large group. The order is that of the streams, so results
+do not depend on how pages are dealt out. Elements deeper than DEPTH belong to their ancestor at that depth. Pages stay
+where they are while all wrappers together have at most BROADCAST_BYTES; beyond that they are joined by host.
+
+Nulls: null or empty html gives an empty text; a null url is the host of all null urls. Tags that are never closed end with
+their parent. Repeated rows give equal rows. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,318 +28,555 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from functools import lru_cache
+import zlib
+from difflib import SequenceMatcher
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices, written
+from .common import col, drop_scratch, slices, written
 
-#: Elements whose content is no text.
+#: Elements whose content is no text of the page.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "canvas", "select", "annotation-xml", "annotation")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-NOISE = frozenset("nav header footer aside form head title menu dialog button label fieldset".split())
-#: Words of a class, id or role that make an element no candidate for the article.
-NOISE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|nav\w*|menu|sidebar|side|footer|header|masthead|breadcrumbs?|comments?|respond|disqus|share|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|search|pagination|pager|toolbar|widget|complementary|contentinfo|navigation)(?:$|[\s_-])",
-    re.I,
-)
+HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that may be the content part; a paragraph or list item is a block of it.
+HOLDERS = frozenset("html body div section main article center table tbody tr td".split())
+#: Elements that are furniture wherever they stand.
+NOISE = frozenset("nav header footer aside form head title menu button".split())
 #: Whole class or role tokens that mark furniture; a word between hyphens may be a subject of the text.
 NOISE_TOKEN = re.compile(
     r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|nav\w*|menu|sidebar|side|footer|header|masthead|breadcrumbs?|comments?|respond|disqus|share|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|search|pagination|pager|toolbar|widget|complementary|contentinfo|navigation)"
     r"|ads?[_-](?:slot|box|unit|banner|container|wrapper)|(?:site|page|main|global|top)[_-](?:header|footer|nav|navigation|menu)|nav[_-](?:bar|menu|links)|(?:cookies?|consent)[_-](?:banner|notice|bar|popup)"
-    r"|comments?[_-](?:list|area|section|form|thread)|(?:share|social)[_-](?:bar|buttons?|links|icons)|related[_-](?:posts?|articles?|stories|links)|search[_-](?:form|box|bar)|newsletter[_-](?:signup|form|box)|widget[_-]area",
+    r"|comments?[_-](?:list|area|section|form|thread)|(?:share|social)[_-](?:bar|buttons?|links|icons)|related[_-](?:posts?|articles?|stories|links)|search[_-](?:form|box|bar)|newsletter[_-](?:signup|form|box)|widget[_-]area|promo[_-]card",
     re.I,
 )
+#: Marks that name a page's article.
+NAMED_MARK = re.compile(r"article[-_]?body|main|main[-_]content", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
-MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+MARK = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
-#: Streams of one host that are aligned in one part, before the parts are.
-SALTS = 16
-#: Different pages of a host that must have the same text in a place before it counts as constant.
-CONSTANT_PAGES = 3
-HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Distinct streams of one host that are aligned in one part.
+PART = 64
+#: Pages that must have the same text in a place, and the share of the host's pages, before it counts as constant.
+CONSTANT_PAGES, CONSTANT_SHARE = 3, 0.9
+#: The share of a host's varying text that its content part holds at least.
+MOST = 0.9
+DEPTH = 200
+BROADCAST_BYTES = 64 << 20
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def events(page: str):
-    """('open', name, marks), ('close', name, '') and ('text', raw, '') in page order; comments and raw elements are left out.
-    Marks are the classes, roles and ids; an id has a # before it."""
-    for m in TOKEN.finditer(page):
-        text = m.group(5)
-        if text is not None:
-            yield "text", text, ""
-        elif m.group(3):
-            name = m.group(3).lower()
-            if m.group(2):
-                yield "close", name, ""
-            else:
-                marks = " ".join("#" + (a or b or c) if k.lower() == "id" else a or b or c for k, a, b, c in MARK.findall(m.group(4))) if m.group(4) else ""
-                yield "open", name, marks
-
-
-def walk(page: str):
-    """(path, text or None) of each text and block edge: path is the tuple of open elements, each ``name`` or ``name.mark``."""
-    stack: list[str] = []
-    names: list[str] = []
-    for kind, name, marks in events(page):
-        if kind == "text":
-            yield tuple(stack), name
-        elif kind == "open":
-            if name in BLOCK:
-                yield tuple(stack), None
-                while names and (names[-1] not in BLOCK or names[-1] == "p" or (name in ("li", "td", "tr", "dd", "dt") and names[-1] == name)):
-                    names.pop()
-                    stack.pop()
-            if name not in VOID:
-                names.append(name)
-                stack.append(f"{name}.{marks}" if marks else name)
-        else:
-            if name in names:
-                while names:
-                    stack.pop()
-                    if names.pop() == name:
-                        break
-            if name in BLOCK:
-                yield tuple(stack), None
+@lru_cache(1 << 14)
+def labelled(name: str, attributes: str) -> tuple[str, bool]:
+    """An element as other pages of the host have it (marks with a digit are a page's own), and whether it is furniture."""
+    marks = []
+    noise = name in NOISE
+    for kind, a, b, c in MARK.findall(attributes) if attributes else ():
+        for token in (a or b or c).split():
+            is_id = kind.lower() == "id"
+            # an id is a hint for a div or list only, and nothing is for a heading or the whole page
+            if kind.lower() != "itemprop" and name not in HEADS and name not in ("html", "body") and (not is_id or name in ("div", "ul")):
+                noise = noise or bool(NOISE_TOKEN.fullmatch(token))
+            marks.append("#" if any(x.isdigit() for x in token) else ("#" + token if is_id else token))
+    return (f"{name}.{' '.join(marks)}" if marks else name), noise
 
 
-def stream(page: str) -> list:
-    """The page as tags and slots, with neighbouring repeats folded."""
-    out: list = []
-    for kind, name, marks in events(page):
-        if kind == "text":
-            if not name.isspace() and (not out or out[-1] != "#"):
-                out.append("#")
-        else:
-            out.append(f"</{name}>" if kind == "close" else f"<{name}.{marks}>" if marks else f"<{name}>")
-        _fold(out)
+@lru_cache(1 << 14)
+def is_named(label: str) -> bool:
+    name, _, marks = label.partition(".")
+    return name in ("article", "main") or any(NAMED_MARK.fullmatch(m.lstrip("#")) for m in marks.split())
+
+
+class Part:
+    """A text slot (label #), an element, or a group of parts that repeats (label in brackets).
+
+    A slot has the number of pages, the characters in all and in links, and the least and largest print; on a page it has
+    the numbers of its texts instead of pages."""
+
+    __slots__ = ("label", "kids", "optional", "repeated", "noise", "pages", "mass", "link", "lo", "hi", "texts", "kept", "constant")
+
+    def __init__(self, label: str, noise: bool = False):
+        self.label, self.noise = label, noise
+        self.kids: list[Part] = []
+        self.optional = self.repeated = self.kept = self.constant = False
+        self.pages = self.mass = self.link = 0
+        self.lo = self.hi = None
+        self.texts: list[int] = []
+
+
+def merged(a: Part, b: Part) -> Part:
+    """One part for two of the same label."""
+    out = Part(a.label, a.noise)
+    out.optional, out.repeated = a.optional and b.optional, a.repeated or b.repeated
+    if a.label == "#":
+        out.pages, out.mass, out.link, out.texts = a.pages + b.pages, a.mass + b.mass, a.link + b.link, a.texts + b.texts
+        out.lo, out.hi = (b.lo, b.hi) if a.lo is None else (a.lo, a.hi) if b.lo is None else (min(a.lo, b.lo), max(a.hi, b.hi))
+    elif a.label[0] == "(":
+        out.kids = [merged(x, y) for x, y in zip(a.kids, b.kids)]
+    else:
+        out.kids = aligned(a.kids, b.kids)
     return out
 
 
-def _fold(out: list) -> None:
-    """Turn a group that has just been seen twice in a row into a repeated group (shortest group first)."""
-    for size in range(1, min(24, len(out)) + 1):
-        group = out[-size:]
-        before = out[-size - 1] if len(out) > size else None
-        if isinstance(before, list) and before[0] == "+" and before[1] == group:
-            del out[-size:]
-            return
-        if size > 1 and out[-2 * size : -size] == group:
-            del out[-2 * size :]
-            out.append(["+", group])
-            return
-
-
-def align(a: list, b: list) -> list:
-    """One union-free expression for two: what both have stays, the rest becomes optional groups."""
-    from difflib import SequenceMatcher
-
-    keys = [[json.dumps(x) if isinstance(x, list) else x for x in side] for side in (a, b)]
-    out: list = []
-    for what, i, j, k, l in SequenceMatcher(None, *keys, autojunk=False).get_opcodes():
-        if what == "equal":
-            out += a[i:j]
-            continue
-        for part in (a[i:j], b[k:l]):
-            part = [y for x in part for y in (x[1] if isinstance(x, list) and x[0] == "?" else [x])]
-            if part and not (out and out[-1] == ["?", part]):
-                # a group that also stands repeated beside it is that repeated group
-                out.append(["?", part])
+def grouped(kids: list[Part], unit: list[str], label: str) -> list[Part]:
+    """Runs of parts that are the unit of a group become that group."""
+    out, i = [], 0
+    while i < len(kids):
+        if [k.label for k in kids[i : i + len(unit)]] == unit:
+            group = Part(label)
+            group.kids, group.optional = kids[i : i + len(unit)], all(k.optional for k in kids[i : i + len(unit)])
+            out.append(group)
+            i += len(unit)
+        else:
+            out.append(kids[i])
+            i += 1
     return out
 
 
-def expression(wrapper: list) -> str:
-    return "".join("(" + expression(x[1]) + ")" + x[0] if isinstance(x, list) else x for x in wrapper)
+def steps(a: list[Part], b: list[Part]):
+    """The alignment of two lists: (part of a, part of b) in order, None for one that the other lacks."""
+    for mine, other in ((a, b), (b, a)):
+        for x in mine:
+            if x.label[0] == "(" and not any(y.label == x.label for y in other):
+                other[:] = grouped(other, [k.label for k in x.kids], x.label)
+    la, lb = [x.label for x in a], [x.label for x in b]
+    if la == lb:
+        yield from zip(a, b)
+        return
+    for what, i, j, k, m in SequenceMatcher(None, la, lb, autojunk=False).get_opcodes():
+        if what == "equal":
+            yield from zip(a[i:j], b[k:m])
+        else:
+            yield from ((x, None) for x in a[i:j])
+            yield from ((None, y) for y in b[k:m])
 
 
-def _skeletons(batches):
-    for rows in batches:
-        for part in slices(rows, 1, 8 << 20):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([json.dumps(stream(h or "")) for h in part.column(1).to_pylist()])], names=["host", "stream"])
+def aligned(a: list[Part], b: list[Part]) -> list[Part]:
+    """One list for two: what both have is merged, the rest is optional, and repeats fold."""
+    out = []
+    for x, y in steps(list(a), list(b)):
+        if x is None or y is None:
+            (x or y).optional = True
+            out.append(x or y)
+        else:
+            out.append(merged(x, y))
+    return folded(out)
+
+
+def folded(kids: list[Part]) -> list[Part]:
+    """Neighbouring parts of one label become one repeated part, and neighbouring equal runs one repeated group."""
+    out: list[Part] = []
+    for x in kids:
+        if out and out[-1].label == x.label:
+            optional = out[-1].optional and x.optional
+            out[-1] = merged(out[-1], x)
+            out[-1].repeated, out[-1].optional = True, optional
+            continue
+        if out and out[-1].label[0] == "(" and out[-1].kids[-1].label == x.label:  # one more of the group's last part
+            last = out[-1].kids[-1] = merged(out[-1].kids[-1], x)
+            last.repeated = True
+            continue
+        out.append(x)
+        if len(out) < 3:
+            continue
+        for size in range(2, len(out)):
+            before = out[-1 - size]
+            if before.label[0] == "(":
+                if len(before.kids) != size or any(p.label != q.label for p, q in zip(before.kids, out[-size:])):
+                    continue
+                run = out[-size:]
+                del out[-size - 1 :]
+            elif before.label == x.label and len(out) >= 2 * size and all(out[k - 2 * size].label == out[k - size].label for k in range(size)):
+                run = out[-size:]
+                before = Part("(" + " ".join(k.label for k in run) + ")")
+                before.kids, before.optional = out[-2 * size : -size], all(k.optional for k in run)
+                del out[-2 * size :]
+            else:
+                continue
+            group = Part(before.label)
+            group.kids, group.repeated, group.optional = [merged(p, q) for p, q in zip(before.kids, run)], True, before.optional and all(k.optional for k in run)
+            out.append(group)
+            break
+    return out
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    """All streams of one group, longest count first, into one expression."""
-    rows = sorted(zip(table.column("n").to_pylist(), table.column("stream").to_pylist()), key=lambda r: (-r[0], r[1]))
-    wrapper: list = json.loads(rows[0][1])
-    for _, s in rows[1:]:
-        other = json.loads(s)
-        if other != wrapper:
-            wrapper = align(wrapper, other)
-    return pa.table({"host": table.column("host").slice(0, 1), "stream": pa.array([json.dumps(wrapper)]), "n": pa.array([sum(r[0] for r in rows)], pa.int64())})
+def parsed(page: str) -> tuple[Part, list[str], list[int]]:
+    """The page as a part, its texts, and the block that each is in."""
+    root = Part("html")
+    stack, names = [root], [""]  # open parts, and all open elements (those that are no part of their own as well)
+    owner = [True]  # whether an open element is a part
+    texts: list[str] = []
+    blocks: list[int] = []
+    block, links, deep = 0, 0, 0
 
+    def close() -> None:
+        nonlocal links
+        name = names.pop()
+        links -= name == "a"
+        if owner.pop():
+            part = stack.pop()
+            part.kids = folded(part.kids)
 
-def place(path: tuple) -> tuple:
-    """The block elements of a path, paragraphs aside."""
-    return tuple(x for x in path if x.split(".")[0] in BLOCK and x.split(".")[0] != "p")
+    for m in TOKEN.finditer(page):
+        text = m.group(5)
+        if text is not None:
+            if not text.isspace():
+                kids = stack[-1].kids
+                if not kids or kids[-1].label != "#":
+                    kids.append(Part("#"))
+                slot, size = kids[-1], len(text)
+                slot.mass += size
+                slot.link += size if links else 0
+                slot.texts.append(len(texts))
+                texts.append(text)
+                blocks.append(block)
+            elif texts and blocks[-1] == block:
+                texts.append(text)  # white space between words of a block
+                blocks.append(block)
+                kids = stack[-1].kids
+                if kids and kids[-1].label == "#":
+                    kids[-1].texts.append(len(texts) - 1)
+            continue
+        name = m.group(3)
+        if not name:
+            continue
+        name = name.lower()
+        is_block = name in BLOCK
+        if m.group(2):
+            if name in names:
+                while True:
+                    last = names[-1]
+                    close()
+                    if last == name:
+                        break
+            block += is_block
+            continue
+        if is_block:
+            block += 1
+            while len(names) > 1 and (names[-1] not in BLOCK or names[-1] == "p" or (name in ("li", "td", "tr", "dd", "dt") and names[-1] == name)):
+                close()
+        if name in VOID:
+            continue
+        label, noise = labelled(name, m.group(4))
+        names.append(name)
+        links += name == "a"
+        # inline elements are part of the text, unless they are furniture
+        own = (is_block or noise) and len(stack) < DEPTH and name != "html"
+        owner.append(own)
+        if own:
+            part = Part(label, noise)
+            stack[-1].kids.append(part)
+            stack.append(part)
+    while len(names) > 1:
+        close()
+    root.kids = folded(root.kids)
+    return root, texts, blocks
 
 
-def shared_place(blocks: tuple) -> str:
-    """A place as other pages of the host have it: marks with a digit are a page's own."""
-    return ">".join(DIGIT_MARK.sub("#", x) for x in blocks)
+def slots(part: Part) -> list[Part]:
+    """All slots in page order."""
+    return [part] if part.label == "#" else [s for k in part.kids for s in slots(k)]
 
 
-DIGIT_MARK = re.compile(r"(?<=[.\s])[^\s]*\d[^\s]*")
+def shape(part: Part) -> list | str:
+    """The stream without what its slots hold."""
+    if part.label == "#":
+        return "#"
+    return [part.label, int(part.optional) | int(part.repeated) << 1 | int(part.noise) << 2, *map(shape, part.kids)]
 
 
-def _places(batches):
-    """host, k1, k2 of the page, place, print of the text directly in it (one row for each place of a page)."""
-    for rows in batches:
-        for part in slices(rows, 3, 8 << 20):
-            out: list[tuple[str, int, int, str, int]] = []
-            for host, k1, k2, page in zip(*(part.column(k).to_pylist() for k in range(4))):
-                texts: dict[str, list[str]] = {}
-                for path, text in walk(page or ""):
-                    if text and not text.isspace() and not any(map(noisy, path)):
-                        texts.setdefault(shared_place(place(path)), []).append(SPACE.sub(" ", text).strip())
-                out += [(host, k1, k2, p, hash_of("\n".join(t))) for p, t in texts.items()]
-            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 5, types)], names=["host", "k1", "k2", "place", "print"])
+def dumped(part: Part) -> list:
+    if part.label == "#":
+        return ["#", int(part.optional) | int(part.repeated) << 1, part.pages, part.mass, part.link, part.lo, part.hi]
+    return [part.label, int(part.optional) | int(part.repeated) << 1 | int(part.noise) << 2, *map(dumped, part.kids)]
 
 
-def hash_of(text: str) -> int:
-    import zlib
+def loaded(row: list | str) -> Part:
+    """A part from what dumped() or shape() made of it."""
+    if row == "#":
+        return Part("#")
+    part = Part(row[0], bool(row[1] & 4))
+    part.optional, part.repeated = bool(row[1] & 1), bool(row[1] & 2)
+    if row[0] == "#":
+        part.pages, part.mass, part.link, part.lo, part.hi = row[2:]
+    else:
+        part.kids = [loaded(k) for k in row[2:]]
+    return part
 
-    raw = text.encode("utf-8", "surrogatepass")
-    return (len(raw) & 0x7FFFFFFF) << 32 | zlib.crc32(raw)
 
+def print_of(slot: Part, texts: list[str]) -> int:
+    raw = "".join([texts[k] for k in slot.texts]).strip().encode("utf-8", "surrogatepass")
+    return (len(raw) & 0x3FFFFFFF) << 32 | zlib.crc32(raw)
 
-@lru_cache(1 << 14)
-def noisy(element: str) -> bool:
-    """Furniture by its name, by a whole class or role, or, for a div or list, by its whole id."""
-    name, _, marks = element.partition(".")
-    if name in NOISE:
-        return True
-    if not marks or name in HEADS or name in ("html", "body"):
-        return False
-    return any(NOISE_TOKEN.fullmatch(t[1:] if t[0] == "#" else t) for t in marks.split() if t[0] != "#" or name in ("div", "ul"))
 
+def expression(part: Part) -> str:
+    """The wrapper as a union-free regular expression."""
+    inner = part.label if part.label == "#" else "".join(map(expression, part.kids))
+    if part.label[0] not in "#(":
+        inner = f"<{part.label}>{inner}</{part.label.split('.')[0]}>"
+    sign = ("+" if part.repeated else "") + ("?" if part.optional else "")
+    return "(" + inner + ")" + sign if sign and part.label != "#" else inner + ("?" if sign[-1:] == "?" else "")
 
-def unlikely(element: str) -> bool:
-    """No candidate for the content element."""
-    return noisy(element) or bool(NOISE_WORDS.search(element.partition(".")[2].replace("#", " ")))
 
+STREAM = "host string, h1 long, h2 long, slot int, stream string, pages long, mass long, link long, lo long, hi long"
 
-def constant_places(pages: DataFrame) -> DataFrame:
-    """host, k1, k2, constant: the places of a page that have the same text on all pages of the host that have the place,
-    at least CONSTANT_PAGES different ones. pages: host, k1, k2, html."""
-    places = pages.mapInArrow(_places, "host string, k1 long, k2 long, place string, print long").distinct()
-    by_place = places.groupBy("host", "place").agg(F.count(F.lit(1)).alias("pages"), F.min("print").alias("a"), F.max("print").alias("b"))
-    same = by_place.where((F.col("pages") >= CONSTANT_PAGES) & (F.col("a") == F.col("b"))).select("host", "place")
-    return places.join(same, ["host", "place"]).groupBy("host", "k1", "k2").agg(F.collect_set("place").alias("constant"))
 
+def _streams(batches):
+    """Each distinct stream of a batch, and the sums of each of its slots."""
+    for rows in batches:
+        for part in slices(rows, 1, 16 << 20):
+            known: dict[tuple[str, str], list] = {}
+            for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                root, texts, _ = parsed(page or "")
+                held = slots(root)
+                key = host, json.dumps(shape(root), separators=(",", ":"), ensure_ascii=False)
+                prints = [print_of(s, texts) for s in held]
+                sums = known.get(key)
+                if sums is None:
+                    known[key] = [1, [[s.mass, s.link, p, p] for s, p in zip(held, prints)]]
+                    continue
+                sums[0] += 1
+                for had, s, p in zip(sums[1], held, prints):
+                    had[0] += s.mass
+                    had[1] += s.link
+                    if p < had[2]:
+                        had[2] = p
+                    elif p > had[3]:
+                        had[3] = p
+            out = []
+            for (host, stream), (pages, held) in known.items():
+                raw = stream.encode("utf-8", "surrogatepass")
+                h1, h2 = zlib.crc32(raw) << 31 ^ zlib.adler32(raw), zlib.crc32(raw[::-1]) << 31 ^ len(raw)
+                out.append((host, h1, h2, -1, raw.decode("utf-8", "replace"), pages, 0, 0, 0, 0))
+                out += [(host, h1, h2, k, None, pages, *s) for k, s in enumerate(held)]
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 5)
+            names = ["host", "h1", "h2", "slot", "stream", "pages", "mass", "link", "lo", "hi"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 10, types)], names=names)
+
+
+def _filled(row: list, held: list[dict]) -> Part:
+    """A stream with what its slots hold."""
+    part = loaded(row)
+    for s, x in zip(slots(part), held):
+        s.pages, s.mass, s.link, s.lo, s.hi = x["pages"], x["mass"], x["link"], x["lo"], x["hi"]
+    return part
+
+
+def _parts(batches):
+    """host, its number of pages, and the stream of each row with its slots filled."""
+    for rows in batches:
+        wrappers = [json.dumps(dumped(_filled(json.loads(s), held))) for s, held in zip(rows.column(1).to_pylist(), rows.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(wrappers, pa.string())], names=["host", "stream", "pages", "wrapper"])
+
+
+def _aligned(table: pa.Table) -> pa.Table:
+    """All streams of one part, in the order of the streams, into one expression."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("stream", "pages", "wrapper"))))
+    whole = loaded(json.loads(rows[0][2]))
+    for _, _, other in rows[1:]:
+        whole = merged(whole, loaded(json.loads(other)))
+    return pa.table({"host": table.column("host").slice(0, 1), "stream": pa.array([rows[0][0]]), "pages": pa.array([sum(r[1] for r in rows)], pa.int64()), "wrapper": pa.array([json.dumps(dumped(whole))])})
+
+
+def wrappers(pages: DataFrame) -> tuple[DataFrame, str]:
+    """host, stream, pages, wrapper of each host, and where they are written. pages: host, html."""
+    spark = pages.sparkSession
+    found = pages.mapInArrow(_streams, STREAM)
+    summed = found.groupBy("host", "h1", "h2", "slot").agg(F.max("stream").alias("stream"), *[F.sum(c).alias(c) for c in ("pages", "mass", "link")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    held = F.sort_array(F.collect_list(F.when(F.col("slot") >= 0, F.struct("slot", "pages", "mass", "link", "lo", "hi"))))
+    streams = summed.groupBy("host", "h1", "h2").agg(F.max("stream").alias("stream"), F.max("pages").alias("pages"), held.alias("held")).select("host", "stream", "pages", "held")
+    schema = "host string, stream string, pages long, wrapper string"
+    now, path = written(streams.mapInArrow(_parts, schema), "streams")
+    while True:
+        sizes = now.groupBy("host").agg(F.count(F.lit(1)).alias("streams"))
+        if (sizes.agg(F.max("streams")).first()[0] or 0) <= 1:
+            return now, path
+        dealt = now.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("stream"), F.ceil(F.col("streams") / PART)))
+        after, new_path = written(dealt.groupBy("host", "part").applyInArrow(_aligned, schema), "streams")
+        drop_scratch(spark, path)
+        now, path = after, new_path
+
+
+def choose(root: Part, pages: int) -> list[Part]:
+    """Marks the constants and the slots that are kept; gives the content parts."""
+    held: dict[int, list[int]] = {}
+
+    def measured(part: Part) -> tuple[int, int]:
+        """Text of a part that is in no link: what varies, and all."""
+        if part.label == "#":
+            part.constant = part.pages >= CONSTANT_PAGES and part.pages >= CONSTANT_SHARE * pages and part.lo == part.hi
+            free = part.mass - part.link
+            got = (0 if part.constant else free, free)
+        else:
+            each = [measured(k) for k in part.kids]
+            got = (0, 0) if part.noise else (sum(a for a, _ in each), sum(b for _, b in each))
+        held[id(part)] = got
+        return got
+
+    varying, text = measured(root)
+    which = 0 if 5 * varying >= text and varying else 1  # without text that varies all text counts
+    weight = lambda p: held[id(p)][which]
+
+    named: list[tuple[int, int, Part]] = []
+
+    def search(part: Part, depth: int) -> None:
+        for k in part.kids:
+            if not k.noise and k.label != "#":
+                if is_named(k.label):
+                    named.append((held[id(k)][1], depth, k))
+                search(k, depth + 1)
+
+    search(root, 0)
+    most = max((m for m, _, _ in named), default=0)
+    if most:
+        # the innermost of the elements with nearly all of that text
+        content = [max((d, m, -n, k) for n, (m, d, k) in enumerate(named) if m >= MOST * most)[3]]
+    else:
+        here = root
+        while True:
+            inner = [k for k in here.kids if not k.noise and not k.repeated and k.label.split(".")[0] in HOLDERS and weight(k) >= MOST * weight(here) and weight(k)]
+            if not inner:
+                break
+            here = inner[0]
+        content = [here]
+        if here is not root:
+            content = [*lead_headings(root, here, which, held), here]
+    inside = sum(held[id(c)][1] for c in content)
+    sure = sum(held[id(c)][0] for c in content)
+    for c in content:
+        keep(c, drop_constants=2 * sure >= inside)
+    return content
+
+
+def lead_headings(root: Part, content: Part, which: int, held: dict) -> list[Part]:
+    """First-level headings that stand before the content part and outside of furniture."""
+    out: list[Part] = []
+
+    def look(part: Part) -> bool:
+        for k in part.kids:
+            if k is content:
+                return True
+            if k.noise or k.label == "#":
+                continue
+            if k.label.split(".")[0] == "h1" and held[id(k)][which]:
+                out.append(k)
+            elif look(k):
+                return True
+        return False
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (expression), content (element to cut out) of each host. pages: host, html."""
-    streams = pages.mapInArrow(_skeletons, "host string, stream string").groupBy("host", "stream").agg(F.count(F.lit(1)).alias("n"))
-    salted = streams.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS)))
-    schema = "host string, stream string, n long"
-    parts = salted.groupBy("host", "salt").applyInArrow(_merged, schema)
-    whole = parts.groupBy("host").applyInArrow(_merged, schema)
-    named = whole.mapInArrow(_named, "host string, wrapper string, marked string")
-    return named
+    look(root)
+    return out
 
 
-def _named(batches):
-    """The expression as text, and the outermost article or main element on the part of it that all pages share."""
-    for rows in batches:
-        out = []
-        for host, s in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-            wrapper = json.loads(s)
-            marked = next((x[1:-1] for x in wrapper if isinstance(x, str) and re.match(r"<(article|main)[.>]|<\w+\.[^>]*\b(article-body|articleBody|main)\b", x) and not unlikely(x[1:-1])), None)
-            out.append((host, expression(wrapper), marked))
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(3)], names=["host", "wrapper", "marked"])
-
-
-def own_content(seen: list) -> str | None:
-    """A page's own outermost article or main element, likely ones first."""
-    for refused in (unlikely, noisy):
-        for p, _ in seen:
-            found = next((x for x in p if x.split(".")[0] in ("article", "main")), None)
-            if found and not refused(found):
-                return found
-    return None
-
-
-def covering(seen: list, constant: list[str] | None) -> tuple[tuple, set]:
-    """The lowest place that covers all text that varies, and the children of the body that are constant."""
-    clean = {place(p) for p, t in seen if t and not t.isspace() and not any(map(noisy, p))}
-    known = set(constant or ())
-    varies = {k for k in clean if shared_place(k) not in known} or clean
-    if not varies:
-        return (), set()
-    low, high = min(varies), max(varies)
-    n = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
-    wanted = low[:n]
-    # a page of one constant heading or paragraph in its body keeps it
-    bare = not wanted or wanted[-1].split(".")[0] in ("body", "html")
-    kept = {k[: n + 1] for k in varies}
-    left_out = {k[: n + 1] for k in clean if bare and k[:n] == wanted and len(k) > n and k[n].split(".")[0] not in HEADS} - kept
-    return wanted, left_out
-
-
-def text_of(page: str, content: str | None, constant: list[str] | None) -> str:
-    """The text of a page's content element: blocks in page order, white space as one space."""
-    blocks: list[str] = []
-    now: list[str] = []
-    path: tuple | None = None
-    inside = False
-    seen = list(walk(page))
-    if content is not None and not any(content in p for p, _ in seen):
-        content = None
-    if content is None:
-        content = own_content(seen)
-    wanted: tuple = ()
-    left_out: set = set()
-    if content is None:
-        wanted, left_out = covering(seen, constant)
-    for p, t in seen:
-        if t is None:
-            if now:
-                blocks.append("".join(now))
-                now = []
+def keep(part: Part, drop_constants: bool, heading: bool = False) -> None:
+    if part.label == "#":
+        part.kept = heading or not (drop_constants and part.constant)
+        return
+    heading = heading or part.label.split(".")[0] in HEADS
+    for k in part.kids:
+        if not k.noise:
+            keep(k, drop_constants, heading)
+    part.kept = True
+
+
+def take(page: Part, wrapper: Part, out: list[int], lone: bool) -> None:
+    """The texts of a page's part that the wrapper keeps. lone: what the wrapper lacks is kept as well."""
+    if page.label == "#":
+        page.constant = wrapper.constant
+        if wrapper.kept:
+            out += page.texts
+        return
+    if page.label[0] == "(":
+        pairs = zip(wrapper.kids, page.kids)
+    else:
+        pairs = steps(list(wrapper.kids), list(page.kids))
+    for w, p in pairs:
+        if p is None:
             continue
-        if p is not path:
-            path = p
-            if content is not None:
-                inside = content in p and not any(map(noisy, p[p.index(content) + 1 :]))
-            else:
-                key = place(p)
-                inside = key[: len(wanted)] == wanted and key[: len(wanted) + 1] not in left_out and not any(map(noisy, p))
-        if inside:
-            now.append(entities.unescape(t))
-    if now:
-        blocks.append("".join(now))
-    return " ".join(b for b in (SPACE.sub(" ", x).strip() for x in blocks) if b)
-
-
-def _texts(batches):
+        if w is None:
+            if lone or wrapper.kept:
+                out += [t for s in free_slots(p) for t in s.texts]
+        else:
+            take(p, w, out, wrapper.kept)
+
+
+def free_slots(part: Part) -> list[Part]:
+    """The slots of a part that are in no furniture."""
+    if part.noise:
+        return []
+    return [part] if part.label == "#" else [s for k in part.kids for s in free_slots(k)]
+
+
+def text_of(page: str, wrapper: Part) -> str:
+    """The text of a page in the content slots of its host's wrapper: blocks in page order, white space as one space."""
+    root, texts, blocks = parsed(page)
+    found: list[int] = []
+    take(root, wrapper, found, False)
+    if not found:
+        # the page lacks the host's content part: it is its own wrapper
+        for s in slots(root):
+            s.lo = s.hi = 0
+            s.pages = CONSTANT_PAGES if s.constant else 1
+        for c in choose(root, 1):
+            found += [t for s in slots(c) if s.kept for t in s.texts]
+    out: list[str] = []
+    now, block = [], -1
+    for k in sorted(set(found)):
+        if blocks[k] != block:
+            out.append("".join(now))
+            now, block = [], blocks[k]
+        now.append(texts[k])
+    out.append("".join(now))
+    return " ".join(b for b in (SPACE.sub(" ", entities.unescape(x)).strip() for x in out) if b)
+
+
+def ready(stream: str, pages: int) -> Part:
+    """A host's wrapper with its content chosen."""
+    root = loaded(json.loads(stream))
+    choose(root, pages)
+    return root
+
+
+def _texts(batches, shared=None):
+    """Texts by the wrapper that is shared for the host, or that stands beside the page."""
+    made: dict[str | None, Part] = {}
     for rows in batches:
-        for part in slices(rows, 2, 8 << 20):
-            pages, marked, constant = part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist()
-            texts = [text_of(h, m, p) if h else "" for h, m, p in zip(pages, marked, constant)]
+        for part in slices(rows, 3, 8 << 20):
+            texts = []
+            beside = part.column(4).to_pylist() if shared is None else None
+            for k, (host, page) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                if not page:
+                    texts.append("")
+                    continue
+                if host not in made:
+                    if shared is None and len(made) > 256:
+                        made.clear()
+                    made[host] = ready(*(shared.value[host] if shared is not None else (beside[k]["wrapper"], beside[k]["pages"])))
+                texts.append(text_of(page, made[host]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
-    rows = pages.select(col(pages, id_col).cast("long").alias("page_id"), col(pages, url_col).cast("string").alias("url"), col(pages, html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    # both tables are written, so that small ones are broadcast and the pages stay where they are
-    marked, _ = written(wrappers(rows.select("host", "html")).select("host", "marked"), "wrappers")
-    # only hosts whose wrapper names no content element need the places
-    keyed = rows.withColumn("k1", F.xxhash64("html")).withColumn("k2", F.xxhash64(F.lit(1), "html"))
-    unmarked = keyed.select("host", "k1", "k2", "html").join(marked.where("marked is null").select("host"), "host", "left_semi")
-    constant, _ = written(constant_places(unmarked), "constant-places")
-    both = keyed.join(marked, "host", "left").join(constant, ["host", "k1", "k2"], "left").select("page_id", "url", "html", "marked", "constant")
-    return both.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(col(pages, id_col).cast("long").alias("page_id"), col(pages, url_col).cast("string").alias("url"), host_of(col(pages, url_col).cast("string")).alias("host"), col(pages, html_col).cast("string").alias("html"))
+    found, path = wrappers(rows.select("host", "html"))
+    out = "page_id long, url string, text string, n_chars long"
+    size = found.agg(F.sum(F.length("wrapper") + F.length("host") + 200)).first()[0] or 0
+    if size <= broadcast_bytes:
+        table = {r.host: (r.wrapper, r.pages) for r in found.collect()}
+        drop_scratch(pages.sparkSession, path)
+        return rows.mapInArrow(partial(_texts, shared=pages.sparkSession.sparkContext.broadcast(table)), out)
+    beside = found.select("host", F.struct("wrapper", "pages").alias("beside"))
+    return rows.join(beside, "host", "left").select("page_id", "url", "host", "html", "beside").mapInArrow(_texts, out)
