@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, slices, texts_of
+from .common import col, slices, texts_of, written
 from .tokens import encoder
 
 #: Lengths of one block of the two-level suffix sums; a window holds one block, or the list of blocks.
@@ -71,4 +71,7 @@ def length_quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    return suffix_sums(length_histogram(docs, tokenizer, text_col))
+    """The sums of all lengths; the histogram is written first, so that every text is encoded once."""
+    histogram, _ = written(length_histogram(docs, tokenizer, text_col), "length-histogram")
+    return suffix_sums(histogram)
+

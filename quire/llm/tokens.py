@@ -26,15 +26,17 @@ def byte_letters() -> dict[int, str]:
 
 
 class ByteBpe:
-    """Encodes Arrow string arrays. The cache holds at most cache_size pre-tokens and starts anew beyond that.
+    """Encodes Arrow string arrays as the library does. The cache holds at most cache_size pre-tokens and starts anew beyond that.
 
-    Special-token strings in a text are encoded as ordinary text.
+    A text that holds the string of an added token goes to the library whole, which gives that token its own id.
     """
 
     def __init__(self, path: str, cache_size: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.plain = Tokenizer.from_file(path)  # as it is, for texts with added tokens
+        self.added = "|".join(re.escape(t.content) for t in self.plain.get_added_tokens_decoder().values() if t.content)
         self.model = Tokenizer.from_file(path)
         self.vocab_size = self.model.get_vocab_size()
         self.model.encode_special_tokens = True
@@ -73,7 +75,8 @@ class ByteBpe:
         return np.fromiter(map(known.__getitem__, pre), np.int64, len(pre))
 
     def _chunks(self, chunks: list[str], led: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks end to end, and how many each has. led: each is preceded by one space."""
+        """Ids of all chunks end to end, and how many each has. led: each is preceded by one space and starts with a visible
+        character, so that none of its pre-tokens can reach over its borders."""
         if not chunks:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if led:
@@ -103,21 +106,34 @@ class ByteBpe:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end (uint32) and the number of ids of each text; nulls count as empty."""
-        n = len(texts)
-        if n == 0:
+        if len(texts) == 0:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.known) > self.cache_size:
             self._clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
-        order = None
-        if odd.any():
-            order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
-            plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
-            other = pa.array([self.split_odd.split(t) for t in texts.filter(pa.array(odd)).to_pylist()], plain.type)
-            pieces = pa.concat_arrays([plain, other])
-        else:
-            pieces = pc.split_pattern(texts, " ")
+        whole = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False) & ~whole
+        kinds = [(~(odd | whole), self._plain_chunks), (odd, self._odd_chunks)]
+        done = [(np.flatnonzero(which), *self._encoded(cut(texts.filter(pa.array(which))))) for which, cut in kinds if which.any()]
+        if whole.any():
+            each = [np.array(self.plain.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.filter(pa.array(whole)).to_pylist()]
+            done.append((np.flatnonzero(whole), np.concatenate(each), np.array([len(x) for x in each], np.int64)))
+        if len(done) == 1:
+            return done[0][1], done[0][2]
+        counts = np.concatenate([d[2] for d in done])
+        back = np.argsort(np.concatenate([d[0] for d in done]))
+        return gather(np.concatenate([d[1] for d in done]), np.concatenate([[0], np.cumsum(counts)]), back)
+
+    @staticmethod
+    def _plain_chunks(texts: pa.Array) -> pa.Array:
+        return pc.split_pattern(texts, " ")
+
+    def _odd_chunks(self, texts: pa.Array) -> pa.Array:
+        return pa.array([self.split_odd.split(t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
+
+    def _encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are cut before spaces which a visible character follows. A text's first piece has no space before
+        it and is cut by itself; each distinct piece is encoded once."""
         offsets = pieces.offsets.to_numpy().astype(np.int64)
         values = pieces.flatten()
         offsets = offsets - offsets[0]
@@ -126,19 +142,15 @@ class ByteBpe:
         first = np.zeros(len(codes), bool)
         first[offsets[:-1]] = True
         uniq = coded.dictionary.to_pylist()
-        # a piece that only ever stands first need not be encoded with a space before it, but the empty one must not
-        led_ids, led_counts = self._chunks([u or "\x00" for u in uniq], True)
-        opening, where = np.unique(codes[first], return_inverse=True)
+        later, where_later = np.unique(codes[~first], return_inverse=True)
+        led_ids, led_counts = self._chunks([uniq[c] for c in later], True)
+        opening, where_first = np.unique(codes[first], return_inverse=True)
         open_ids, open_counts = self._chunks([uniq[c] for c in opening], False)
-        codes[first] = len(uniq) + where
+        codes[~first] = where_later
+        codes[first] = len(later) + where_first
         counts = np.concatenate([led_counts, open_counts])
         ids, lens = gather(np.concatenate([led_ids, open_ids]), np.concatenate([[0], np.cumsum(counts)]), codes)
-        per_text = np.diff(np.concatenate([[0], np.cumsum(lens)])[offsets])
-        if order is None:
-            return ids, per_text
-        back = np.empty(n, np.int64)
-        back[order] = np.arange(n)
-        return gather(ids, np.concatenate([[0], np.cumsum(per_text)]), back)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(lens)])[offsets])
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
