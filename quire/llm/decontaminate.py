@@ -4,7 +4,8 @@ Items (short texts) are partitioned by the number of their distinct 5-word shing
 by its MinHash sketch, the k smallest shingle fingerprints, where k = n - ceil(0.8 n) + 1 for n shingles: a document that
 contains at least 0.8 of the item cannot miss all k of them, so nothing is lost however long the document is. Every
 shingle of every document is looked up in the sketches of the partitions whose items fit into the document; what is found
-is verified by counting all of the item's shingles in the document (fingerprints of 64 bits).
+is verified by counting all of the item's shingles in the document, first by fingerprints of 64 bits, which can miss
+nothing, and then by the words themselves.
 
 Items are handled in blocks of a bounded number of bytes; a block is broadcast, and each block takes one pass over the
 documents. Items of fewer than five words are one shingle of all their words. Null or empty texts contain nothing and are
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, id_text, slices, texts_of
-from .words import K, shingle_prints, word_prints
+from .words import K, shingle_prints, word_prints, word_shingles
 
 LEAST = 80
 #: Bytes of item text in a block, and so about 16 times that in the broadcast.
@@ -36,7 +37,8 @@ class ItemIndex:
     def __init__(self, ids: list, texts: pa.Array, least: int = LEAST):
         prints, first = word_prints(texts)
         words = np.diff(first)
-        self.ids, self.parts = ids, []
+        self.least = least
+        self.ids, self.texts, self.parts = ids, texts, []
         sets: dict[tuple[int, int], list] = {}
         for i, n_words in enumerate(words.tolist()):
             if n_words:
@@ -56,6 +58,7 @@ class ItemIndex:
         """Text number, item number, shared and all shingles of each item that a text contains."""
         prints, first = word_prints(texts)
         out, by_k = [], {}
+        self.last: tuple = (None, frozenset())  # the text whose shingles were made last
         for p in self.parts:
             if p["k"] not in by_k:
                 by_k[p["k"]] = shingle_prints(prints, first, p["k"], False)
@@ -75,11 +78,18 @@ class ItemIndex:
                 if t != own_of:
                     own, own_of = np.unique(grams[offsets[t] : offsets[t + 1]]), t
                 if len(own) >= p["need"][i]:
-                    shared = int(np.isin(p["sets"][i], own, assume_unique=True).sum())
-                    if shared >= p["need"][i]:
-                        out.append((t, p["rows"][i], shared, len(p["sets"][i])))
+                    if int(np.isin(p["sets"][i], own, assume_unique=True).sum()) >= p["need"][i]:
+                        out += self._exact(t, p["rows"][i], p["k"], texts)
         return out
 
+    def _exact(self, t: int, i: int, k: int, texts: pa.Array) -> list[tuple[int, int, int, int]]:
+        """The pair with its counts if the item's shingles are in the text word by word."""
+        if self.last[0] != (t, k):
+            self.last = (t, k), word_shingles(texts[t].as_py(), k)
+        asked = word_shingles(self.texts[i].as_py(), k)
+        shared = len(asked & self.last[1])
+        return [(t, i, shared, len(asked))] if 100 * shared >= self.least * len(asked) else []
+
 
 def _search(batches, index):
     ids = index.value.ids

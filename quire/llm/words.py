@@ -1,11 +1,15 @@
 """Word and shingle fingerprints of Arrow text, in numpy.
 
 A word is a run of bytes that are none of space, tab, line feed, vertical tab, form feed and carriage return; A-Z are
-lower-cased. Fingerprints have 64 bits.
+lower-cased. Fingerprints have 64 bits: a word's is the scrambled sum of a scrambled number for each byte and its place,
+whatever the word's length, so no pattern of letters makes two words meet; what rests on them alone can only be wrong by
+chance, at about 5e-20 for each pair compared.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -25,16 +29,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def mixed_int(x: int) -> int:
+    """The same of one Python number."""
+    full = (1 << 64) - 1
+    x &= full
+    x = ((x ^ (x >> 30) ^ 0x5851F42D4C957F2D) * 0xBF58476D1CE4E5B9) & full
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+    return x ^ (x >> 31)
+
+
 def _letters() -> np.ndarray:
     table = _fixed(256, 1)
     table[65:91] = table[97:123]
-    table[[9, 10, 11, 12, 13, 32]] = 0
     return table
 
 
 LETTER = _letters()
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-PLACE = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15 | 1, np.uint64))
 ORDER = _fixed(K + 1, 3) | np.uint64(1)
 
 
@@ -59,13 +70,20 @@ def word_prints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(start)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    at = np.arange(starts[0], len(flat), dtype=np.int32 if len(flat) < 1 << 31 else np.int64)
-    at -= np.repeat(starts.astype(at.dtype), np.diff(np.append(starts, len(flat))))
-    at &= len(PLACE) - 1
+    at = np.flatnonzero(inside)
+    lens = np.diff(np.append(np.searchsorted(at, starts), len(at)))
+    place = (at - np.repeat(starts, lens)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        terms = LETTER[flat[starts[0] :]]
-        terms *= PLACE[at]
-        sums = np.add.reduceat(terms, starts - starts[0])
+        place *= np.uint64(0x9E3779B97F4A7C15)
+        terms = LETTER[flat[at]]
+        terms ^= place
+        terms ^= terms >> np.uint64(32)
+        terms *= np.uint64(0xD6E8FEB86659FD93)
+        terms ^= terms >> np.uint64(29)
+        terms *= np.uint64(0xBF58476D1CE4E5B9)
+        terms ^= terms >> np.uint64(32)
+        sums = np.add.reduceat(terms, np.cumsum(lens) - lens)
+        sums += lens.astype(np.uint64)
     return mixed(sums), np.searchsorted(starts, offsets)
 
 
@@ -90,3 +108,13 @@ def shingle_prints(prints: np.ndarray, first: np.ndarray, k: int = K, short: boo
             out += term
         out += brief.astype(np.uint64) * ORDER[0]
     return mixed(out), offsets
+
+
+#: White space between words, and the letters that are lower-cased.
+BETWEEN, LOWER = re.compile(r"[\x20\x09-\x0D]+"), {c: c + 32 for c in range(65, 91)}
+
+
+def word_shingles(text: str, k: int = K) -> frozenset:
+    """The distinct k-word shingles themselves; none where there are fewer words."""
+    found = [w for w in BETWEEN.split(text.translate(LOWER)) if w]
+    return frozenset(tuple(found[i : i + k]) for i in range(len(found) - k + 1))
