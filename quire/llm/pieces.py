@@ -2,9 +2,11 @@
 
 A text is taken as words that are led by the space sign, as the vocabulary has them: every space is a sign, and one more
 sign stands before the first word. The lattice of a word has a node at each byte boundary and an edge for each piece that
-matches; a character that no one-character piece covers goes by its byte pieces. A piece of rank r weighs
-1 / (r + SHIFT) ** theta (frequencies of merge-ranked pieces fall about so). Forward weights of each distinct word are
-computed once for a batch; then each occurrence is sampled backward, all occurrences at a time in numpy. The random
+matches; a character that no one-character piece covers, or a sign of the text itself, has one edge that stands for its
+byte pieces. A piece of rank r weighs 1 / (r + SHIFT) ** theta (frequencies of merge-ranked pieces fall about so). A node
+that no edge passes over cuts the word, and each segment between cuts is a lattice of its own, so long runs without spaces
+are many short lattices. Forward weights of each distinct word are computed once for a batch; then each occurrence is
+sampled backward, all segments at a time in numpy; the few that are longer than LONG are done edge by edge. The random
 number of a step is a hash of the seed, the row key, and the place of the step in the text, so a row is segmented alike
 on any machine, in any batch and on any retry; rows with one key and one text are segmented alike.
 
@@ -14,7 +16,6 @@ result. Other columns are left out.
 
 from __future__ import annotations
 
-import re
 from functools import partial
 
 import numpy as np
@@ -25,12 +26,16 @@ from pyspark.sql import functions as F
 
 from .common import id_text, slices, texts_of
 from .tokens import gather
-from .words import mixed
+from .words import mixed, mixed_int
 
 SHIFT, THETA, SEED = 32.0, 1.0, 20_240_501
 #: Words whose lattices a Python worker keeps, at about 600 bytes a word. It changes memory and speed, never the pieces.
-CACHE_WORDS = 200_000
+CACHE_WORDS, EDGES_A_WORD = 200_000, 32
 SIGN = "▁"
+#: Segments of more characters are filtered edge by edge; so many segments at most are sampled step by step at the end.
+LONG, FEW = 512, 12
+#: Stands for a sign of the text itself, which is no word's beginning; no character has this number.
+LITERAL = 0x110000
 
 
 class PieceLattice:
@@ -74,122 +79,54 @@ class PieceLattice:
                     h = mixed(h + points[:, k])
             order = np.argsort(h)
             self.by_length[size] = h[order], np.array(list(begun.values()), np.int64)[order]
+        # what an edge stands for: itself, or, beyond the vocabulary, the byte pieces of a character (one entry each)
+        self.spelled: dict[int, int] = {}
+        self.out_ids, self.out_starts = np.arange(len(self.bytes_of)), np.arange(len(self.bytes_of) + 1)
         self.cache_size = cache_size
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.first: list[int] = []  # a word's first node
-        self.last: list[int] = []
-        self.ends = np.zeros((2, 0), np.int64)  # both, as far as they were turned into arrays
-        self.edge_from: list[int] = []
-        self.edge_to: list[int] = []
-        self.edge_id: list[int] = []
-        self.edge_cum: list[float] = []  # cumulative share of the edges into a node
-        self.blocks: list[tuple[np.ndarray, ...]] = []
-        self.nodes = self.placed = 0  # nodes in all, and nodes whose edges are in blocks
-
-    def _add(self, word: str) -> None:
-        first, last = self._run(word)
-        self.known[word] = len(self.first)
-        self.first.append(first)
-        self.last.append(last)
-
-    def _run(self, word: str) -> tuple[int, int]:
-        """Forward filtering: the share of each edge among the paths that reach its node. Gives the first and last node."""
-        base, n, ids, weights = self.nodes, len(word), self.ids, self.weights
-        alpha = [0.0] * (n + 1)
-        alpha[0] = 1.0
-        extra = 0
-        into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        chain: list[tuple[int, int, int, float]] = []
-        for i in range(n):
-            a = alpha[i]
-            if a < 1e-200:  # long words: lift what is not yet used, which leaves all shares as they are
-                for j in range(i, min(n, i + self.longest) + 1):
-                    alpha[j] *= 1e200
-                    into[j] = [(x, piece, w * 1e200) for x, piece, w in into[j]] if j > i else into[j]
-                a = alpha[i]
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = ids.get(word[i:j])
-                if piece is not None:
-                    w = a * weights[piece]
-                    into[j].append((i, piece, w))
-                    alpha[j] += w
-                elif j == i + 1:
-                    raw = word[i].encode("utf-8", "surrogatepass")
-                    w, at = a, i
-                    for k, b in enumerate(raw):
-                        piece = int(self.byte_ids[b])
-                        if k == len(raw) - 1:
-                            w *= weights[piece]
-                            into[j].append((at, piece, w))
-                            alpha[j] += w
-                        else:
-                            extra += 1
-                            chain.append((n + extra, at, piece, 1.0))
-                            w *= weights[piece]
-                            at = n + extra
-        for j in range(1, n + 1):
-            total, run = sum(w for _, _, w in into[j]), 0.0
-            for i, piece, w in into[j]:
-                run += w / total
-                self.edge_from.append(base + i)
-                self.edge_to.append(base + j)
-                self.edge_id.append(piece)
-                self.edge_cum.append(min(run, 1.0))
-            self.edge_cum[-1] = 1.0
-        for node, at, piece, share in chain:
-            self.edge_from.append(base + at)
-            self.edge_to.append(base + node)
-            self.edge_id.append(piece)
-            self.edge_cum.append(share)
-        self.nodes = base + n + extra + 1
-        return base, base + n
-
-    def _lattice(self):
-        """First and last node of each word; edges in order of the node they lead to: where from, which piece, cumulative
-        share; and each node's first edge."""
-        if self.edge_from:
-            starts = np.searchsorted(np.array(self.edge_to), np.arange(self.placed, self.nodes))
-            self._place(np.array(self.edge_from, np.int32), np.array(self.edge_id, np.int32), np.array(self.edge_cum), starts)
-            self.edge_from, self.edge_to, self.edge_id, self.edge_cum = [], [], [], []
-        if len(self.blocks) > 1:
-            self.blocks = [tuple(np.concatenate(x) for x in zip(*self.blocks))]
-        known = self.ends.shape[1]
-        if known < len(self.first):
-            self.ends = np.concatenate([self.ends, np.array([self.first[known:], self.last[known:]], np.int64)], 1)
-        none = np.zeros(0, np.int32)
-        return *self.ends, *(self.blocks[0] if self.blocks else (none, none, np.zeros(0), none))
-
-    def _place(self, source: np.ndarray, piece: np.ndarray, share: np.ndarray, starts: np.ndarray) -> None:
-        """One more block of edges; starts are the first edges of all nodes made since the block before."""
-        before = sum(len(b[0]) for b in self.blocks)
-        self.blocks.append((source, piece, share, (starts + before).astype(np.int32)))
-        self.placed = self.nodes
+        none = np.zeros(0, np.int64)
+        #: Segments: first and last node. Words: their first segments. Edges in order of the node they lead to: where from,
+        #: which piece, cumulative share. Nodes: their first edges. All in blocks that are joined when they are needed.
+        self.segments, self.words = [(none, none)], [np.zeros(1, np.int64)]
+        self.edges: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64))]
+        self.n_nodes = self.n_edges = self.n_segments = 0
+
+    def _spell(self, points: np.ndarray) -> np.ndarray:
+        """The edge of each character that no piece covers."""
+        uniq, where = np.unique(points, return_inverse=True)
+        new = [p for p in uniq.tolist() if p not in self.spelled]
+        if new:
+            raw = [chr(p if p != LITERAL else ord(SIGN)).encode("utf-8", "surrogatepass") for p in new]
+            ids = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+            lens = np.array([len(r) for r in raw])
+            self.spelled.update(zip(new, range(len(self.out_starts) - 1, len(self.out_starts) - 1 + len(new))))
+            ends = np.cumsum(lens)
+            self.log_weight = np.concatenate([self.log_weight, np.add.reduceat(self.log_weight[ids], ends - lens)])
+            self.out_starts = np.concatenate([self.out_starts, len(self.out_ids) + ends])
+            self.out_ids = np.concatenate([self.out_ids, ids])
+        return np.array([self.spelled[p] for p in uniq.tolist()], np.int64)[where]
 
     def _learn(self, words: list[str]) -> None:
-        """Lattices of many words at a time; those with a character that no piece covers are done one by one."""
+        """Forward filtering of new words, many at a time."""
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+            points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
             lens = np.fromiter(map(len, part), np.int64, len(part))
             begin = np.cumsum(lens) - lens
-            strange = ~np.isin(points, self.single) | (points == ord(SIGN))
-            strange[begin] = False  # the leading sign itself
-            odd = np.logical_or.reduceat(strange, begin)
-            for w in np.flatnonzero(odd).tolist():
-                self._add_literal(part[w][1:]) if SIGN in part[w][1:] else self._add(part[w])
-            self._lattice()
-            plain = np.flatnonzero(~odd)
-            if len(plain):
-                points, lens = points[np.repeat(~odd, lens)], lens[plain]
-                self._learn_plain([part[w] for w in plain.tolist()], points, lens)
-
-    def _learn_plain(self, words: list[str], points: np.ndarray, lens: np.ndarray) -> None:
+            signs = points == ord(SIGN)
+            signs[begin] = False  # the leading sign itself
+            points[signs] = LITERAL
+            self._learn_part(points, lens)
+            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
+
+    def _learn_part(self, points: np.ndarray, lens: np.ndarray) -> None:
         begin = np.cumsum(lens) - lens
         left = np.repeat(begin + lens, lens) - np.arange(len(points))  # characters to the word's end
         node = np.arange(len(points)) + np.repeat(np.arange(len(lens)), lens)  # a word of n characters has n + 1 nodes
+        nodes = len(points) + len(lens)
         source, target, piece = [], [], []
         alive, h = np.arange(len(points)), np.zeros(len(points), np.uint64)
         with np.errstate(over="ignore"):
@@ -208,24 +145,56 @@ class PieceLattice:
                 source.append(node[alive[whole]])
                 target.append(source[-1] + size)
                 piece.append(ids[whole])
+        strange = np.flatnonzero(~np.isin(points, self.single))
+        if len(strange):
+            source.insert(0, node[strange])
+            target.insert(0, source[0] + 1)
+            piece.insert(0, self._spell(points[strange]))
         # long pieces first: they are the likelier
         source, target, piece = np.concatenate(source[::-1]), np.concatenate(target[::-1]), np.concatenate(piece[::-1])
         order = np.argsort(target, kind="stable")
         source, target, piece = source[order], target[order], piece[order]
-        # forward filtering by distance from the word's start, all words at a time, in logarithms
+        # cuts: nodes that no edge passes over, word ends among them
         word_first = begin + np.arange(len(lens))
-        distance = target - word_first[np.searchsorted(word_first, target, "right") - 1]
-        log_alpha = np.zeros(len(points) + len(lens))
+        over = np.bincount(source + 1, minlength=nodes + 1) - np.bincount(target, minlength=nodes + 1)
+        cuts = np.flatnonzero(np.cumsum(over)[:nodes] == 0)
+        is_last = np.zeros(nodes, bool)
+        is_last[word_first + lens] = True
+        seg_first = cuts[~is_last[cuts]]
+        seg_last = cuts[np.searchsorted(cuts, seg_first) + 1]
+        segment = np.searchsorted(seg_first, target, "left") - 1
+        share = self._shares(source, target, piece, segment, seg_first, seg_last)
+        per_word = np.diff(np.append(np.searchsorted(seg_first, word_first), len(seg_first)))
+        self.segments.append((seg_first + self.n_nodes, seg_last + self.n_nodes))
+        self.words.append(self.n_segments + np.cumsum(per_word))
+        into = np.bincount(target, minlength=nodes)
+        self.edges.append(((source + self.n_nodes).astype(np.int32), piece.astype(np.int32), share, self.n_edges + np.cumsum(into) - into))
+        self.n_nodes, self.n_edges, self.n_segments = self.n_nodes + nodes, self.n_edges + len(source), self.n_segments + len(seg_first)
+
+    def _shares(self, source, target, piece, segment, seg_first, seg_last) -> np.ndarray:
+        """Forward filtering: the cumulative share of each edge among the paths that reach its node. By distance from the
+        segment's start, all segments at a time, in logarithms."""
         share = np.empty(len(target))
-        by_distance = np.argsort(distance, kind="stable")
-        cuts = np.searchsorted(distance[by_distance], np.arange(1, distance.max() + 2))
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
+        size = seg_last - seg_first
+        long = np.flatnonzero(size > LONG)
+        short = np.arange(len(target))
+        if len(long):
+            cut = np.searchsorted(segment, np.stack([long, long + 1]))
+            for s, lo, hi in zip(long.tolist(), *cut.tolist()):
+                share[lo:hi] = self._long_shares((source[lo:hi] - seg_first[s]).tolist(), (target[lo:hi] - seg_first[s]).tolist(), np.exp(self.log_weight[piece[lo:hi]]).tolist(), int(size[s]))
+            short = np.flatnonzero(size[segment] <= LONG)
+        distance = target[short] - seg_first[segment[short]]
+        log_alpha = np.zeros(int(target.max(initial=0)) + 1)
+        opens = source == seg_first[segment]  # a segment's first node weighs one
+        by_distance = short[np.argsort(distance, kind="stable")]
+        ends = np.cumsum(np.bincount(distance)) if len(short) else np.zeros(1, np.int64)
+        for lo, hi in zip(ends[:-1], ends[1:]):
             e = by_distance[lo:hi]
             if len(e):
                 to = target[e]
                 head = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
                 group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(e))))
-                value = log_alpha[source[e]] + self.log_weight[piece[e]]
+                value = np.where(opens[e], 0.0, log_alpha[source[e]]) + self.log_weight[piece[e]]
                 top = np.maximum.reduceat(value, head)
                 value = np.exp(value - top[group])
                 total = np.add.reduceat(value, head)
@@ -235,28 +204,44 @@ class PieceLattice:
                 value = np.minimum(run / total[group], 1.0)
                 value[np.append(head[1:], len(e)) - 1] = 1.0
                 share[e] = value
-        base = self.nodes
-        for w, f, n in zip(words, word_first.tolist(), lens.tolist()):
-            self.known[w] = len(self.first)
-            self.first.append(base + f)
-            self.last.append(base + f + n)
-        self.nodes = base + len(points) + len(lens)
-        into = np.bincount(target, minlength=self.nodes - base)
-        self._place((source + base).astype(np.int32), piece.astype(np.int32), share, np.cumsum(into) - into)
+        return share
+
+    def _long_shares(self, source: list[int], target: list[int], weight: list[float], size: int) -> list[float]:
+        """The same for one long segment, edge by edge."""
+        alpha, out, e = [1.0] + [0.0] * size, [], 0
+        while e < len(target):
+            to, lo, run = target[e], e, 0.0
+            sums = []
+            while e < len(target) and target[e] == to:
+                run += alpha[source[e]] * weight[e]
+                sums.append(run)
+                e += 1
+            alpha[to] = run
+            out += [x / run for x in sums[:-1]] + [1.0]
+            if run < 1e-200:  # lift what later edges can start from, which leaves all shares as they are
+                for j in range(max(0, to - self.longest), to + 1):
+                    alpha[j] *= 1e200
+        return out
+
+    def _joined(self):
+        if len(self.edges) > 1:
+            self.edges = [tuple(np.concatenate(x) for x in zip(*self.edges))]
+            self.segments = [tuple(np.concatenate(x) for x in zip(*self.segments))]
+            self.words = [np.concatenate(self.words)]
+        return *self.segments[0], self.words[0], *self.edges[0]
 
     def encode(self, texts: pa.Array, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts end to end, and the number of each text's ids."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if len(self.known) > self.cache_size:
+        if len(self.known) > self.cache_size or self.n_edges > EDGES_A_WORD * self.cache_size:
             self._clear()
         pieces = pc.split_pattern(texts, " ")
         some = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         offsets = pieces.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
         coded = pieces.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
         known = self.known
-        words = [SIGN + w for w in words]
+        words = [SIGN + w for w in coded.dictionary.to_pylist()]
         new = [w for w in words if w not in known]
         if new:
             self._learn(new)
@@ -265,16 +250,18 @@ class PieceLattice:
         text = np.repeat(np.arange(len(texts)), np.diff(offsets))
         live = some[text]
         codes, text = codes[live], text[live]
-        first, last, edge_from, edge_id, share, start = self._lattice()
         if not len(codes):
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        place = np.arange(len(codes)) - np.searchsorted(text, text)
+        seg_first, seg_last, word_start, edge_from, edge_id, share, start = self._joined()
+        codes, lens = gather(np.arange(len(seg_first)), word_start, codes)
+        text = np.repeat(text, lens)
+        in_text = np.bincount(text, minlength=len(texts))
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(in_text) - in_text, in_text)
         with np.errstate(over="ignore"):
             stream = mixed(mixed(keys.astype(np.uint64) + np.uint64(seed))[text] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        at, goal = last[codes].copy(), first[codes]
-        live, steps = np.arange(len(codes)), []
-        step = 0
-        while len(live):
+        at, goal = seg_last[codes].copy(), seg_first[codes]
+        live, steps, step = np.arange(len(codes)), [], 0
+        while len(live) > FEW:
             with np.errstate(over="ignore"):
                 u = (mixed(stream[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             edge = start[at[live]]
@@ -286,47 +273,38 @@ class PieceLattice:
             at[live] = edge_from[edge]
             live = live[at[live] != goal[live]]
             step += 1
-        # backward order: the last piece of a word was drawn first
         count = np.zeros(len(codes), np.int64)
         for rows, _ in steps:
             count[rows] += 1
+        tails = {i: self._walk_back(int(stream[i]), int(at[i]), int(goal[i]), step, edge_from, edge_id, share, start) for i in live.tolist()}
+        for i, ids in tails.items():
+            count[i] += len(ids)
+        # backward order: the last piece of a segment was drawn first
         ends = np.cumsum(count)
         out = np.empty(ends[-1], np.int64)
         for k, (rows, ids) in enumerate(steps):
             out[ends[rows] - 1 - k] = ids
-        return out, np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)
-
-    def _add_literal(self, word: str) -> None:
-        """A word that holds the sign itself: each sign of the text is three bytes, the rest its own lattice run."""
-        hidden = "\x00\x00"
-        base_known = len(self.first)
-        parts = re.split(f"({SIGN})", word)
-        # one lattice, joined end to end: the runs between signs are words without a leading sign
-        start = self.nodes
-        joined = [SIGN + parts[0], *parts[1:]]
-        offset_edges = len(self.edge_cum)
-        previous_last = None
-        for part in joined:
-            if not part:
-                continue
-            if part == SIGN and previous_last is not None:
-                base = self.nodes
-                for k, b in enumerate(SIGN.encode()):
-                    self.edge_from.append(base + k)
-                    self.edge_to.append(base + k + 1)
-                    self.edge_id.append(int(self.byte_ids[b]))
-                    self.edge_cum.append(1.0)
-                first, last, self.nodes = base, base + 3, base + 4
-            else:
-                first, last = self._run(part)
-            if previous_last is not None:  # paths that reach this run's first node go on from the last node of the one before
-                for e in range(offset_edges, len(self.edge_from)):
-                    if self.edge_from[e] == first:
-                        self.edge_from[e] = previous_last
-            previous_last = last
-        self.known[SIGN + word] = len(self.first)
-        self.first.append(start)
-        self.last.append(previous_last)
+        for i, ids in tails.items():
+            out[ends[i] - count[i] : ends[i] - len(steps)] = ids[::-1]
+        count = np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)
+        if len(out) and out.max() >= len(self.bytes_of):  # characters that are spelled in byte pieces
+            out, lens = gather(self.out_ids, self.out_starts, out)
+            count = np.diff(np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(count)])])
+        return out, count
+
+    @staticmethod
+    def _walk_back(stream: int, at: int, goal: int, step: int, edge_from, edge_id, share, start) -> list[int]:
+        """The steps that are left of one long segment."""
+        out = []
+        while at != goal:
+            u = (mixed_int(stream + step) >> 11) * 2.0**-53
+            edge = int(start[at])
+            while share[edge] <= u:
+                edge += 1
+            out.append(int(edge_id[edge]))
+            at = int(edge_from[edge])
+            step += 1
+        return out
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each text again: pieces end to end without the first sign."""
