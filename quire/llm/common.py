@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -17,10 +16,13 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can read; the session's spark.checkpoint.dir, or a local one of our own if unset."""
+    """The folder every executor can read: the session's spark.checkpoint.dir. A local session without one gets a folder
+    of its own; on a cluster its absence is an error, as executors do not share a machine's temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "quire-scratch")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

@@ -8,21 +8,23 @@ The join moves no payloads. Records are range-partitioned by (canonical URL, dat
 spreads over partitions; each partition carries its latest response forward, and what a partition inherits from those
 before it is settled by one row for each partition.
 
-Nulls: a null url is canonicalised as an empty one is (/); a record without a date is never earlier than another and finds nothing.
+Nulls: a null url is canonicalised as an empty one is (/); a record without a date, or with one that is no date, is never
+earlier than another and finds nothing.
 Ties: of responses with one date the one with the largest record_id is latest. Repeated rows are resolved alike. Empty
 tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import partial
+import datetime
+import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import drop_scratch, slices, written
 
 #: Headers of a 304 that replace the stored ones.
 UPDATES = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -56,16 +58,44 @@ def warc_record(kind: str, record_id: str, url: str, date: str, status: str, hea
 
 
 def _fields(block: bytes) -> dict[str, str]:
-    out = {}
+    """Header fields by lower-cased name; a name that comes again has its values joined by a comma, as HTTP has it."""
+    out: dict[str, str] = {}
     for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
         name, sep, value = line.partition(":")
         if sep:
-            out[name.strip().lower()] = value.strip()
+            name, value = name.strip().lower(), value.strip()
+            out[name] = f"{out[name]}, {value}" if name in out else value
     return out
 
 
+def unpacked(data: bytes) -> bytes:
+    """WARC data as it is, or its gzip members end to end; a torn or damaged member ends it."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
+def date_of(text: str | None) -> datetime.datetime | None:
+    """A WARC date in UTC; null where it is none."""
+    try:
+        date = datetime.datetime.fromisoformat((text or "").replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return date.replace(tzinfo=datetime.UTC) if date.tzinfo is None else date.astimezone(datetime.UTC)
+
+
 def read_records(data: bytes):
-    """Record by record: (record_id, kind, url, date, status, HTTP headers, digest, body). A torn last record is left out."""
+    """Record by record: (record_id, kind, url, date, status, HTTP headers, digest, body). A torn last record is left out,
+    and a record whose length is no number is passed over up to the next that begins a line."""
+    data = unpacked(data)
     at = 0
     while True:
         at = data.find(b"WARC/1.", at)
@@ -73,31 +103,32 @@ def read_records(data: bytes):
         if at < 0 or end < 0:
             return
         warc = _fields(data[at:end])
-        size = int(warc.get("content-length") or 0)
+        length = warc.get("content-length", "")
+        if not (length.isascii() and length.isdigit()) or (at and data[at - 1 : at] != b"\n"):
+            at += 7
+            continue
+        size = int(length)
         block = data[end + 4 : end + 4 + size]
         if len(block) < size:
             return
         head, _, body = block.partition(b"\r\n\r\n")
         status = head.split(b"\r\n", 1)[0].split(b" ")
-        yield warc.get("warc-record-id", "").strip("<>"), warc.get("warc-type"), warc.get("warc-target-uri"), warc.get("warc-date"), int(status[1]) if len(status) > 1 and status[1].isdigit() else None, _fields(head), warc.get("warc-payload-digest"), body
+        yield warc.get("warc-record-id", "").strip("<>"), warc.get("warc-type"), warc.get("warc-target-uri"), warc.get("warc-date"), int(status[1]) if len(status) > 1 and len(status[1]) == 3 and status[1].isdigit() else None, _fields(head), warc.get("warc-payload-digest"), body
         at = end + 4 + size
 
 
 def _parsed(batches):
-    import datetime
-
     for rows in batches:
         for part in slices(rows, 0, 8 << 20):
             got = [r for data in part.column(0).to_pylist() if data for r in read_records(data)]
-            dates = [datetime.datetime.fromisoformat(r[3].replace("Z", "+00:00")) if r[3] else None for r in got]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in got], pa.string()), pa.array([r[1] for r in got], pa.string()), pa.array([r[2] for r in got], pa.string()), pa.array(dates, pa.timestamp("us", "UTC")), pa.array([r[4] for r in got], pa.int32()), pa.array([list(r[5].items()) for r in got], pa.map_(pa.string(), pa.string())), pa.array([r[6] for r in got], pa.string()), pa.array([r[7] for r in got], pa.binary())],
+                [pa.array([r[0] for r in got], pa.string()), pa.array([r[1] for r in got], pa.string()), pa.array([r[2] for r in got], pa.string()), pa.array([date_of(r[3]) for r in got], pa.timestamp("us", "UTC")), pa.array([r[4] for r in got], pa.int32()), pa.array([list(r[5].items()) for r in got], pa.map_(pa.string(), pa.string())), pa.array([r[6] for r in got], pa.string()), pa.array([r[7] for r in got], pa.binary())],
                 names=["record_id", "kind", "url", "date", "status", "headers", "digest", "body"],
             )
 
 
 def parse_warc(files: DataFrame, content_col: str = "content") -> DataFrame:
-    """RECORD rows of uncompressed WARC data, one binary value for each run of whole records."""
+    """RECORD rows of WARC data, plain or of gzip members, one binary value for each run of whole records."""
     return files.select(F.col(content_col).alias("content")).mapInArrow(_parsed, RECORD)
 
 
@@ -132,9 +163,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     spark = records.sparkSession
     meta = records.where(F.col("kind").isin("response", "revisit") & ((F.col("kind") == "revisit") | (F.col("status") == 200)))
     meta = meta.select(canonical_url(F.col("url")).alias("canonical_url"), "date", (F.col("kind") == "response").alias("late"), "record_id", "kind", "url", "headers", "digest")
+    meta, meta_path = written(meta, "records")  # range partitioning reads its input twice
     keys = ["canonical_url", "date", "late", "record_id"]
     placed = meta.repartitionByRange(*keys).sortWithinPartitions(*keys)
     table, _ = written(placed.mapInArrow(_filled, FILLED), "revisits")
+    drop_scratch(spark, meta_path)
     tails = sorted(table.where("tail").select("part", "canonical_url", "response_id", "response_headers", "response_digest", "waits").collect(), key=lambda r: r.part)
     carried, last = [], None  # what each partition inherits: the latest response of the URL that its predecessor ends with
     for t in tails:
@@ -164,7 +197,6 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 def _crawl(batches):
     """A small crawl of each page: a full response, and a later revisit whose URL and validators are written differently."""
-    import datetime
     import hashlib
 
     zero = datetime.datetime(2024, 1, 1)

@@ -1,6 +1,7 @@
 """Each operator over nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import collections
+import gzip
 import hashlib
 import json
 import os
@@ -54,16 +55,22 @@ def test_exact_dedup(spark, odd):
 def test_perfect_hash_is_minimal_and_knows_strangers():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 256, (5000, 32), np.uint8)
-    table = exact_dedup.PerfectHash(keys)
-    assert sorted(table.slots(keys).tolist()) == list(range(5000))
-    assert (exact_dedup.PerfectHash(keys[:0]).slots(keys) == -1).all()
+    built = exact_dedup.PerfectHash.build(keys)
+    table = exact_dedup.PerfectHash.load(*built.packed())
+    assert sorted(table.slots(keys).tolist()) == list(range(5000)) and (table.slots(keys) == built.slots(keys)).all()
+    assert (exact_dedup.PerfectHash.build(keys[:0]).slots(keys) == -1).all()
 
 
 def test_history_merge(spark):
     first = exact_dedup.grouped(exact_dedup.digests(docs(spark, [(5, "a", None), (6, "b", None)])), 4)
     second = exact_dedup.grouped(exact_dedup.digests(docs(spark, [(1, "a", None), (9, "c", None), (8, "c", None)])), 4)
-    got = {(r.keep_id, r.n) for r in exact_dedup.merge_history(first, second).collect()}
-    assert got == {(1, 2), (6, 1), (8, 2)}
+    history = exact_dedup.stored(first)
+    found = {(r.old_keep, r.old_n) for r in exact_dedup.lookup(history, second).collect()}
+    assert found == {(5, 1)}
+    after = exact_dedup.merge_history(history, second)
+    assert {(r.keep_id, r.group_size) for r in exact_dedup.winners(after).collect()} == {(1, 2), (6, 1), (8, 2)}
+    again = exact_dedup.merge_history(after, second)
+    assert {(r.keep_id, r.group_size) for r in exact_dedup.winners(again).collect()} == {(1, 3), (6, 1), (8, 4)}
 
 
 def test_token_output_round_trip(spark, odd, tmp_path):
@@ -73,7 +80,6 @@ def test_token_output_round_trip(spark, odd, tmp_path):
     shards = token_output.write_sequences(docs(spark, odd), "file://" + str(tmp_path), path, seq_len=16, batch=3)
     got = sorted(map(tuple, token_output.read_digests(spark, shards).collect()), key=lambda r: r[1])
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     ids = collections.Counter()
     for i, t, _ in odd:
         e = tok.encode(t or "", add_special_tokens=False).ids + [0]
@@ -94,11 +100,36 @@ def test_token_output_round_trip(spark, odd, tmp_path):
     assert token_output.token_output(docs(spark, []), path).count() == 0
 
 
+def test_ids_are_the_library_s_in_any_batch():
+    from tokenizers import Tokenizer
+
+    from quire.llm.tokens import ByteBpe
+
+    path = tokenizer_path()
+    plain, bpe = Tokenizer.from_file(path), ByteBpe(path)
+    rng = np.random.default_rng(5)
+    spaces = [" "] * 6 + list("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000\u200b\ufeff\x00")
+    others = ["a", "b", "Z", "1", "23", "é", "日本", "٣", "'s", "'", "!?", "...", "_", "😀", "e\u0301", "<|endoftext|>", "<|endof", "don't", "word", "Ⅷ", "²"]
+    texts = ["a 1\n", " ", "a 1\u3000", " ", "x 1\n y", "  ", "a<|endoftext|>b", "", " <|endoftext|>  "]
+    for _ in range(10_000):
+        n = int(rng.integers(0, 9))
+        texts.append("".join(spaces[a] if u < 0.45 else others[b] for u, a, b in zip(rng.random(n), rng.integers(0, len(spaces), n), rng.integers(0, len(others), n))))
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+    def cut(batch):
+        ids, counts = bpe.encode(pa.array(batch, pa.large_string()))
+        ends = np.cumsum(counts).tolist()
+        return [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
+
+    assert cut(texts) == want
+    assert [x for k in range(0, len(texts) - 1, 2) for x in cut(texts[k : k + 2])] == want[: len(texts) // 2 * 2]
+    assert [x for t in texts[:1500] for x in cut([t])] == want[:1500]
+
+
 def test_token_counts(spark, odd):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     lens = np.array([len(tok.encode(t or "", add_special_tokens=False).ids) for _, t, _ in odd])
     sums = token_counts.token_counts(docs(spark, odd), tokenizer_path())
     got = {r.n_tokens: r for r in sums.collect()}
@@ -151,6 +182,18 @@ def test_a_rare_language_is_learned_from_all_its_rows(spark):
     assert (got[1].lang_pred, got[2].lang_pred) == ("de", "en")
 
 
+def test_patterns_of_letters_do_not_make_words_meet(spark):
+    morse = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    other = morse.translate({97: 98, 98: 97})
+    far = "x" * 10_000
+    swapped = "y" + far[1:4096] + "z" + far[4097:]
+    again = "z" + far[1:4096] + "y" + far[4097:]
+    rows = [(k, " ".join([w] * 5), None) for k, w in enumerate((morse, other, swapped, again, far))]
+    assert [r.component_id for r in sorted(ngram_join.jaccard_components(docs(spark, rows)).collect())] == [0, 1, 2, 3, 4]
+    items = spark.createDataFrame([(9, rows[0][1]), (10, rows[2][1])], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), items).collect()) == [(0, 9), (2, 10)]
+
+
 def words(t):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if w]
 
@@ -296,6 +339,30 @@ def test_pieces_are_lossless_and_reproducible(spark, odd):
     assert pieces.piece_digests(docs(spark, odd), path).where("not lossless").count() == 0
 
 
+def test_long_words_and_characters_without_a_piece():
+    import time
+
+    model = pieces.PieceLattice(tokenizer_path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(1)
+    cjk = "".join(chr(0x4E00 + c) for c in rng.integers(0, 20_000, 32_000))
+    run = "".join(chr(97 + c) for c in rng.integers(0, 26, 100_000))
+    texts = [cjk, run, "▁" * 2000, "a▁b ▁", "日▁" * 50 + run[:700], "\x00", " ", "  x", run[:511] + " " + run[:514]]
+    keys = np.arange(len(texts))
+    ids, counts = model.encode(pa.array(texts), keys)
+    assert [x.decode() for x in model.decode(ids, counts)] == texts
+    began = time.process_time()
+    model.encode(pa.array([cjk[::-1]]), np.zeros(1))
+    assert time.process_time() - began < 1
+    ends = np.cumsum(counts)
+    for k, t in enumerate(texts):  # in any batch the same
+        assert model.encode(pa.array([t]), keys[k : k + 1])[0].tolist() == ids[ends[k] - counts[k] : ends[k]].tolist()
+    # a long segment is filtered as a short one is
+    source, target, piece = np.array([0, 1, 0, 2, 1, 3]), np.array([1, 2, 2, 3, 3, 4]), np.array([300, 310, 320, 330, 340, 350])
+    whole = model._shares(source, target, piece, np.zeros(6, np.int64), np.array([0]), np.array([4]))
+    alone = model._long_shares(source.tolist(), target.tolist(), model.weight[piece].tolist(), 4)
+    assert np.allclose(whole, alone)
+
+
 def test_sampling_follows_the_lattice():
     model = pieces.PieceLattice(tokenizer_path("piece_bpe_32k.model"))
 
@@ -462,4 +529,9 @@ def test_warc_parsing(spark):
     data = warc.warc_record("response", "urn:1", "http://a/", "2024-01-01T00:00:00Z", "200 OK", {"ETag": "x"}, b"body\r\n\r\nmore", "sha1:1") + warc.warc_record("revisit", "urn:2", "http://a/", "2024-01-02T00:00:00Z", "304 Not Modified", {}, b"")
     rows = spark.createDataFrame([(bytearray(data),), (bytearray(data[:-40]),), (None,), (bytearray(b""),)], "content binary")
     got = warc.parse_warc(rows).collect()
+    packed = gzip.compress(data[: len(data) // 2]) + gzip.compress(data[len(data) // 2 :]) + gzip.compress(data)[:30]
+    bad = data.replace(b"2024-01-01T00:00:00Z", b"the first day").replace(b"Content-Length: ", b"Content-Length: x", 1) + data.replace(b"2024-01-01T00:00:00Z", b"yesterday").replace(b"ETag: x", b"Link: a\r\nLink: b")
+    more = warc.parse_warc(spark.createDataFrame([(bytearray(packed),), (bytearray(bad),), (bytearray(b"\x1f\x8bjunk"),)], "content binary")).collect()
+    assert [(r.record_id, r.date is None) for r in more] == [("urn:1", False), ("urn:2", False), ("urn:2", False), ("urn:1", True), ("urn:2", False)]
+    assert more[3].headers["link"] == "a, b"
     assert [(r.record_id, r.status, bytes(r.body)) for r in got[:2]] == [("urn:1", 200, b"body\r\n\r\nmore"), ("urn:2", 304, b"")] and len(got) == 3
