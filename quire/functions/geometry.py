@@ -15,11 +15,11 @@ def half_up(c: Column) -> Column:
 
 def smart_resize(height: Column, width: Column, most: int = MOST_PIXELS, least: int = LEAST_PIXELS) -> Column:
     """struct<height, width>: both on the grid, area within the limits, aspect kept as near as the grid allows."""
-    h, w = F.greatest(F.lit(GRID), half_up(height / GRID) * GRID), F.greatest(F.lit(GRID), half_up(width / GRID) * GRID)
+    h, w = half_up(height / GRID) * GRID, half_up(width / GRID) * GRID
     over, under = F.sqrt(height * width / F.lit(float(most))), F.sqrt(F.lit(float(least)) / (height * width))
     big = h * w > most
     small = h * w < least
-    down = lambda side: F.greatest(F.lit(GRID), F.floor(side / over / GRID) * GRID)
+    down = lambda side: F.floor(side / over / GRID) * GRID
     up = lambda side: F.ceil(side * under / GRID) * GRID
     pick = lambda plain, side: F.when(big, down(side)).when(small, up(side)).otherwise(plain).cast("long")
     return F.struct(pick(h, height).alias("height"), pick(w, width).alias("width"))
@@ -60,3 +60,32 @@ def turned(points: Column, quarters: int) -> Column:
     """The quadrilateral's corners named anew after so many clockwise quarter turns."""
     k = quarters % 4
     return F.array(*[points[(i - k) % 4] for i in range(4)])
+
+
+def render_scale(height: Column, width: Column, most: int = MOST_PIXELS) -> Column:
+    """How much a box grows to be back in the frame of its picture: one number for both axes."""
+    return width / smart_resize(height, width, most)["width"]
+
+
+def box_to_display(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, points_wide: Column, points_high: Column, quarters: int = 0) -> Column:
+    """struct<x, y, w, h> in points, y upwards from the foot of the page. The page is shown after so many clockwise quarter
+    turns; points_wide and points_high are its size as shown, boxes are in the pixels of the page as shown."""
+    sx, sy = points_wide / width, points_high / height
+    left, right, low, high = x1 * sx, x2 * sx, points_high - y2 * sy, points_high - y1 * sy
+    k = quarters % 4
+    corner = ((left, low), (low, points_wide - right), (points_wide - right, points_high - high), (points_high - high, left))[k]
+    w, h = right - left, high - low
+    return F.struct(corner[0].alias("x"), corner[1].alias("y"), (w if k % 2 == 0 else h).alias("w"), (h if k % 2 == 0 else w).alias("h"))
+
+
+def same_shape(points: Column, other: Column, tolerance: float = 0.02) -> Column:
+    """Whether two quadrilaterals have about the same ratio of width to height."""
+    ratio = lambda q: (lambda s: s["width"] / s["height"])(output_size(q))
+    return F.abs(ratio(points) / ratio(other) - 1) <= tolerance
+
+
+def halves(points: Column, at: Column) -> Column:
+    """The left and right parts of a quadrilateral that is cut from its top to its foot at this share of its width."""
+    mix = lambda a, b: F.array(points[a][0] + (points[b][0] - points[a][0]) * at, points[a][1] + (points[b][1] - points[a][1]) * at)
+    top, foot = mix(0, 1), mix(3, 2)
+    return F.array(F.array(points[0], top, foot, points[3]), F.array(top, points[1], points[2], foot))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BLANK = " \t\n\x0b\x0c\r"
 #: Superscript digits and the digits they stand for.
 SUPERSCRIPTS, DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789"
+#: Signs that end a sentence.
+SENTENCE_ENDS = (".", "!", "?", ":", '"', "”")
 #: The five XML entities.
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
 
@@ -87,7 +89,7 @@ def heading_label(c: Column) -> Column:
 
 
 def trailing_hyphen_word(c: Column) -> Column:
-    return F.regexp_extract(c, r"([A-Za-zÀ-ÿ]+)-\z", 1)
+    return F.regexp_extract(F.rtrim(c, F.lit(BLANK)), r"([A-Za-zÀ-ÿ]+)-\z", 1)
 
 
 def leading_word(c: Column) -> Column:
@@ -96,8 +98,8 @@ def leading_word(c: Column) -> Column:
 
 def continues_textually(before: Column, after: Column) -> Column:
     """A sentence goes on: the text before does not end one, and the text after opens with a letter in lower case."""
-    before, first = F.rtrim(before), F.substring(F.ltrim(after), 1, 1)
-    return (before != "") & (after != "") & ~F.substring(before, -1, 1).isin(".", "!", "?", ":", '"', "”", "`") & (F.upper(first) != first)
+    first = F.substring(after, 1, 1)
+    return (before != "") & (after != "") & ~F.substring(F.rtrim(before, F.lit(BLANK)), -1, 1).isin(*SENTENCE_ENDS) & (F.upper(first) != first)
 
 
 def wrapped_prose(c: Column) -> Column:
@@ -113,13 +115,6 @@ def reflowed(c: Column) -> Column:
     return F.when(wrapped_prose(c), F.regexp_replace(c, "[ \\t]*\\n[ \\t]*", " ")).otherwise(c)
 
 
-def strip_unsafe_markup(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?is)<(script|iframe|object|embed|style)\b[^>]*>.*?</\1\s*>", "")
-    c = F.regexp_replace(c, r"(?is)<(script|iframe|object|embed|style)\b[^>]*/?>", "")
-    c = F.regexp_replace(c, r"(?is)\son[a-z]+\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "")
-    return F.regexp_replace(c, r"(?is)(href|src)\s*=\s*([\"']?)\s*javascript:[^\"'\s>]*", "$1=$2")
-
-
 def flatten_table(c: Column) -> Column:
     """A table's markup as lines: a row ends a line, other tags are blanks."""
     return trim_all(F.regexp_replace(F.regexp_replace(c, "(?i)</tr>", "\n"), "<[^>]*>", " "))
@@ -127,7 +122,7 @@ def flatten_table(c: Column) -> Column:
 
 def unfenced(c: Column) -> Column:
     """One code fence around the whole text is taken off."""
-    return F.regexp_replace(c, r"(?s)\A[ \t\n]*```[A-Za-z]*\n(.*?)\n?```[ \t\n]*\z", "$1")
+    return F.regexp_replace(c, r"(?s)\A[ \t\n\x0B\f\r]*```[^\n]*\n(.*?)\n?```[ \t\n\x0B\f\r]*\z", "$1")
 
 
 def strip_markers(c: Column) -> Column:
@@ -160,12 +155,54 @@ def answer_budget(c: Column) -> Column:
     return F.greatest(F.lit(128), F.ceil(F.char_length(c) * 4 / 2.5)).cast("long")
 
 
-def join_hyphenated(head: Column, tail: Column, knows_fused: Column, knows_compound: Column) -> Column:
-    """Two texts where the first may end in a broken word: fused if the book has that word, kept with its hyphen if it has
-    the compound, else fused where the tail opens in lower case."""
-    stem, word = trailing_hyphen_word(head), leading_word(tail)
-    first = F.substring(tail, 1, 1)
-    fused = F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), tail)
-    kept = F.concat(head, tail)
-    broken = (stem != "") & (word != "")
-    return F.when(~broken, F.concat(head, F.lit(" "), tail)).when(knows_fused, fused).when(knows_compound, kept).when(F.upper(first) != first, fused).otherwise(kept)
+def joined_word(stem: Column, word: Column, knows_fused: Column, knows_compound: Column) -> Column:
+    """A word that was broken at a hyphen: fused if the book has it so, with its hyphen if it has the compound, else fused
+    where the second half opens in lower case."""
+    first = F.substring(word, 1, 1)
+    return F.when(knows_fused | (~knows_compound & (F.lower(first) == first)), F.concat(stem, word)).otherwise(F.concat(stem, F.lit("-"), word))
+
+
+def unemphasised(c: Column) -> Column:
+    """Emphasis signs as blanks, trimmed."""
+    return trim_all(F.translate(c, "*_", "  "))
+
+
+def match_spans(c: Column, pattern: str) -> Column:
+    """array<struct<at, len, hit>> of a pattern's matches, offsets in code points: a match starts after all text between
+    matches and all matches before it."""
+
+    def placed(both):
+        ends = F.aggregate(both, F.expr("cast(array() as array<int>)"), lambda acc, b: F.array_append(acc, F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(0) + F.char_length(b["hit"]) + F.char_length(b["rest"])))
+        return F.zip_with(both, ends, lambda b, end: F.struct((end - F.char_length(b["hit"])).alias("at"), F.char_length(b["hit"]).alias("len"), b["hit"].alias("hit")))
+
+    hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    both = F.transform(F.arrays_zip(hits.alias("hit"), F.split(c, pattern, -1).alias("rest")), lambda b: b)
+    return F.element_at(F.transform(F.array(F.filter(both, lambda b: b["hit"].isNotNull())), placed), 1)
+
+
+def chunk_ambiguity(parts: Column, kind: Column) -> Column:
+    """Why parts cannot be told apart once rendered, or null: a line break in one, a bar in a table cell, a number that opens
+    a list item, or nothing at all in a row."""
+    has = lambda pattern: F.exists(parts, lambda p: p.rlike(pattern))
+    return F.when(has("\n"), "line break").when((kind == "table") & has(r"\|"), "bar").when((kind != "table") & has(r"\A[ \t]*[0-9]+[ \t]*[.):]"), "number").when((kind == "table") & F.forall(parts, lambda p: trim_all(p) == ""), "empty row")
+
+
+def resolved_href(base: Column, href: Column) -> Column:
+    """A reference as a path within the package: percent signs decoded, . and .. folded, the fragment left off."""
+    path = F.try_url_decode(F.replace(F.regexp_extract(href, r"\A([^#?]*)", 1), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(base, r"\A(.*/)?[^/]*\z", 1)
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path))
+    start = F.expr("cast(array() as array<string>)")
+
+    def step(acc, p):
+        return F.when((p == "") | (p == "."), acc).when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p))
+
+    return F.array_join(F.aggregate(F.split(whole, "/"), start, step), "/")
+
+
+def language_tag(c: Column) -> Column:
+    """The tag in its usual case if it has the shape of one, else null."""
+    tag = trim_all(c)
+    parts = F.split(F.replace(F.lower(tag), F.lit("_"), F.lit("-")), "-")
+    cased = F.transform(parts, lambda p, i: F.when(i == 0, p).when(F.char_length(p) == 4, F.initcap(p)).when(F.char_length(p) == 2, F.upper(p)).otherwise(p))
+    return F.when(tag.rlike(r"\A[A-Za-z]{2,3}([-_][A-Za-z0-9]{2,8})*\z"), F.array_join(cased, "-"))

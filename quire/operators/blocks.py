@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
+from .running import following, previous, running
 
 #: The categories a model may answer with.
 CATEGORIES = ("Caption", "Footnote", "Formula", "List-item", "Page-footer", "Page-header", "Picture", "Section-header", "Table", "Text", "Title")
@@ -32,15 +33,15 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     """answers (book, page, answer) -> blocks with ``bad`` set on every element of a page that has one bad element.
 
     An answer must be a JSON array (a code fence around it is taken off); each element needs a known category, a box of
-    four finite numbers and a text (which may be empty for a Picture). Elements without text are dropped after the check;
+    four finite numbers. A missing text is empty; elements without text are dropped after the check, Pictures aside;
     ``ord`` counts them all.
     """
     parsed = answers.withColumn("items", F.from_json(X.unfenced(F.col("answer")), ANSWER))
     each = parsed.select("book", "page", F.posexplode_outer("items").alias("ord", "item"), F.col("items").isNull().alias("unread"))
     box = F.col("item.bbox")
-    good = ~F.col("unread") & (F.col("item").isNull() | (F.col("item.category").isin(*CATEGORIES) & (F.size(box) == 4) & F.forall(box, lambda v: v.isNotNull() & ~F.isnan(v)) & F.col("item.text").isNotNull()))
+    good = ~F.col("unread") & (F.col("item").isNull() | (F.col("item.category").isin(*CATEGORIES) & (F.size(box) == 4) & F.forall(box, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))))
     bad = F.max((~F.coalesce(good, F.lit(False))).cast("int")).over(Window.partitionBy("book", "page")) == 1
-    out = each.select("book", "page", "ord", F.lit(0).alias("part"), F.col("item.category").alias("category"), *[F.col("item.bbox")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))], X.trim_all(F.col("item.text")).alias("text"), bad.alias("bad"))
+    out = each.select("book", "page", "ord", F.lit(0).alias("part"), F.col("item.category").alias("category"), *[F.col("item.bbox")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))], X.trim_all(F.coalesce(F.col("item.text"), F.lit(""))).alias("text"), bad.alias("bad"))
     return out.where(F.col("bad") | (F.col("category") == "Picture") | (F.col("text") != ""))
 
 
@@ -126,50 +127,110 @@ def merged_boxes(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("book", "page").agg(F.min_by("y1", "ord").alias("first_y1"), F.sum(F.col("y2") - F.col("y1")).alias("flow_height"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"))
 
 
-def page_kinds(blocks: DataFrame, opening: int = 6) -> DataFrame:
-    """book, page, kind of contents, copyright, title and part pages (in this order of precedence)."""
+#: A contents heading and entry, marks of a copyright page, part headings and roman numerals, chapter words.
+CONTENTS, ENTRY = r"(?i)\A(table of )?contents\z", r"[^0-9\s]\s*[,.]?\s*[0-9]{1,4}[.,]?\z"
+MARKS = (r"(?i)©|\bcopyright\b", r"(?i)\bISBN\b", r"(?i)all rights reserved", r"(?i)library of congress")
+PART = r"(?i)\A(part|book|section|volume)\s+([ivxlcdm]+|[0-9]{1,2}|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\b"
+ROMAN = r"(?i)\A(?=[ivxlcdm])m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})\.?\z"
+CHAPTERISH = r"(?i)\A(chapter|part|book|prologue|epilogue|introduction|preface|foreword|acknowledg|conclusion|afterword|appendix|notes|bibliography|index)\b|\A[IVXLC]+\.?\z|\A[0-9]{1,2}\.?\z"
+#: Pages of front matter, words of body prose, blocks and words of a sparse page, blocks and title words of a part.
+OPENING, BODY_WORDS, SPARSE_BLOCKS, SPARSE_WORDS, PART_BLOCKS, PART_WORDS = 6, 25, 8, 12, 6, 8
+
+
+def in_flow(blocks: DataFrame) -> DataFrame:
+    """Blocks that are no page furniture."""
+    return blocks.where(~F.col("category").isin(*FURNITURE))
+
+
+def opening_pages(blocks: DataFrame, count: int = OPENING) -> DataFrame:
+    """book, page of the first pages of each book; each task keeps its own first pages before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("book").orderBy("page"))
+    return blocks.select("book", "page").distinct().withColumn("nth", rank).where(F.col("nth") <= count).select("book", "page")
+
+
+def page_kinds(blocks: DataFrame) -> DataFrame:
+    """book, page, kind of contents, copyright, title and part pages, displays, words (of prose), body.
+
+    A contents page may be anywhere; a copyright or title page is among the first OPENING pages of its book, a part page is
+    after them and has body prose on some later page."""
+    rows = in_flow(blocks)
     text, display = F.col("text"), F.col("category").isin(*HEADINGS)
     prose = ~display & (F.col("category") != "Picture")
-    words = X.word_count(text)
-    entry = F.size(F.filter(F.split(text, "\n"), lambda s: (F.char_length(s) <= 100) & s.rlike(r"[0-9]{1,4}[ \t]*\z")))
+    words, bare = X.word_count(text), X.unemphasised(text)
+    lines = F.transform(F.split(bare, "\n"), X.trim_all)
+    entries = F.size(F.filter(lines, lambda s: (s != "") & (F.char_length(s) <= 100) & s.rlike(ENTRY)))
+    heading = display & bare.rlike(CONTENTS)
+    printings = F.exists(F.transform(F.split(text, "\n"), X.trim_all), lambda s: s.rlike(r"\A[0-9 ]+\z") & (F.char_length(F.regexp_replace(s, "[^0-9]", "")) >= 5))
     center = F.abs((F.col("x1") + F.col("x2")) / 2 / F.col("page_width") - 0.5) < 0.06
-    low = F.lower(text)
+    first_line = X.unemphasised(F.split(text, "\n")[0])
+    numeral = display & first_line.rlike(ROMAN)
+    rest = X.word_count(F.array_join(F.slice(F.split(text, "\n"), 2, 1 << 20), " "))
+    short = (F.col("category") != "Picture") & words.between(1, PART_WORDS)
     count = lambda c: F.sum(c.cast("int"))
-    facts = blocks.groupBy("book", "page").agg(
+    seen = lambda c: F.max(c.cast("int"))
+    facts = rows.groupBy("book", "page").agg(
         count(display).alias("displays"),
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(prose, words).otherwise(0)).alias("words"),
         count(display & ~center).alias("off"),
-        count(display & low.rlike(r"\A(table of )?contents\z")).alias("contents"),
-        F.sum(F.when(prose, entry).otherwise(0)).alias("entries"),
-        count(display & F.upper(text).rlike(r"\A(PART|BOOK|SECTION|VOLUME) [A-Z0-9]+")).alias("parts"),
-        F.max((prose & (words >= 25)).cast("int")).alias("body"),
-        *[F.max(low.rlike(p).cast("int")).alias(f"m{i}") for i, p in enumerate(("©|copyright", "isbn", "all rights reserved", "library of congress", "first published|printed in|printing"))],
+        seen(heading).alias("contents"),
+        F.sum(F.when(heading, 0).otherwise(entries)).alias("entries"),
+        seen(display & bare.rlike(PART)).alias("part"),
+        F.min_by(F.struct(rest.between(1, PART_WORDS).alias("titled"), short.alias("short")), F.when(numeral, F.col("ord"))).alias("numeral"),
+        count(short).alias("shorts"),
+        seen(prose & (words >= BODY_WORDS)).alias("body"),
+        *[seen(text.rlike(p)).alias(f"m{i}") for i, p in enumerate(MARKS)],
+        seen(printings).alias("m4"),
     )
+    facts = body_follows(facts).join(facts, ["book", "page"]).join(opening_pages(rows).withColumn("front", F.lit(True)), ["book", "page"], "left")
     marks = sum((F.col(f"m{i}") for i in range(5)), F.lit(0))
+    titled = F.col("numeral").isNotNull() & (F.col("numeral.titled") | (F.col("shorts") - F.col("numeral.short").cast("int") >= 1))
+    sparse = F.col("words") <= SPARSE_WORDS
     kind = (
         F.when((F.col("contents") > 0) & (F.col("entries") >= 3), "contents")
-        .when((F.col("page") < opening) & (F.col("displays") == 0) & (marks >= 2), "copyright")
-        .when((F.col("page") < opening) & (F.col("displays") >= 1) & (F.col("n") <= 8) & (F.col("words") <= 12) & (F.col("off") == 0), "title-page")
-        .when((F.col("n") <= 6) & (F.col("words") <= 12) & (F.col("parts") > 0) & (F.col("body") == 0), "part")
+        .when(F.col("front") & (F.col("displays") == 0) & (marks >= 2), "copyright")
+        .when(F.col("front") & (F.col("displays") >= 1) & (F.col("n") <= SPARSE_BLOCKS) & sparse & (F.col("off") == 0), "title-page")
+        .when(F.col("front").isNull() & F.col("follows") & (F.col("n") <= PART_BLOCKS) & sparse & ((F.col("part") > 0) | titled), "part")
     )
     return facts.select("book", "page", kind.alias("kind"), "displays", "words", "body")
 
 
 def section_marks(blocks: DataFrame) -> DataFrame:
     """book, numbers, restarts: bare-number headings are section marks where there are two and one is not above the last."""
-    bare = blocks.where(F.col("category").isin(*HEADINGS) & F.col("text").rlike(r"\A[0-9]{1,3}\.?\z")).withColumn("v", F.regexp_extract("text", "[0-9]+", 0).cast("int"))
-    w = Window.partitionBy("book").orderBy("page", "ord")
-    return bare.withColumn("back", (F.col("v") <= F.lag("v").over(w)).cast("int")).groupBy("book").agg(F.count(F.lit(1)).alias("numbers"), F.coalesce(F.max("back"), F.lit(0)).alias("restarts"))
+    bare = blocks.withColumn("t", X.trim_all(F.col("text"))).where(F.col("category").isin(*HEADINGS) & F.col("t").rlike(r"\A[0-9]{1,3}\.?\z")).withColumn("v", F.regexp_extract("t", "[0-9]+", 0).cast("int"))
+    back = previous(bare.select("book", "page", "ord", "v"), ["book"], ["page", "ord"], "v", "last")
+    return back.withColumn("back", (F.col("v") <= F.col("last")).cast("int")).groupBy("book").agg(F.count(F.lit(1)).alias("numbers"), F.coalesce(F.max("back"), F.lit(0)).alias("restarts"))
+
+
+def chapter_proposals(blocks: DataFrame, spoken_for: DataFrame | None = None) -> DataFrame:
+    """book, page, ord, label, why: first block of its page, a heading shorter than 80 characters in the upper 45 %, that is
+    worded as a chapter, a Title, or centred. Bare numbers count only where the book does not use them as section marks.
+    Pages that have a verdict (spoken_for: book, page) are left out."""
+    rows = in_flow(blocks)
+    fields = [c for c in rows.columns if c not in ("book", "page")]
+    first = rows.groupBy("book", "page").agg(F.min_by(F.struct(*fields), F.struct("ord")).alias("b")).select("book", "page", *[F.col(f"b.{c}").alias(c) for c in fields])
+    if spoken_for is not None:
+        first = first.join(spoken_for.select("book", "page").distinct(), ["book", "page"], "left_anti")
+    marks = section_marks(rows).where("numbers >= 2 and restarts = 1").select("book", F.lit(True).alias("marked"))
+    text = F.col("text")
+    center = F.abs((F.col("x1") + F.col("x2")) / 2 / F.col("page_width") - 0.5) < 0.06
+    why = F.concat_ws(",", F.when(text.rlike(CHAPTERISH), "chapterish-text"), F.when(F.col("category") == "Title", "title-class"), F.when(center, "centered"))
+    found = first.where(F.col("category").isin(*HEADINGS) & (F.char_length("text") < SHORT) & (F.col("y1") / F.col("page_height") <= 0.45)).withColumn("why", why).where("why <> ''")
+    found = found.join(marks, "book", "left").where(F.col("marked").isNull() | ~X.trim_all(text).rlike(r"\A[0-9]{1,3}\.?\z"))
+    return found.select("book", "page", "ord", X.heading_label(text).alias("label"), "why")
 
 
-def chapter_proposals(blocks: DataFrame) -> DataFrame:
-    """First block of its page, a heading shorter than 80 characters in the upper 45 %: a Title, centred, or worded as a chapter."""
-    first = blocks.withColumn("rn", F.row_number().over(Window.partitionBy("book", "page").orderBy("ord"))).where("rn = 1")
-    center = F.abs((F.col("x1") + F.col("x2")) / 2 / F.col("page_width") - 0.5) < 0.06
-    worded = F.lower("text").rlike(r"\A(chapter|kapitel|chapitre|capítulo|prologue|epilogue|introduction|preface|appendix)")
-    why = F.when(worded, "words").when(F.col("category") == "Title", "title").when(center, "centred")
-    return first.where(F.col("category").isin(*HEADINGS) & (F.char_length("text") < SHORT) & (F.col("y1") / F.col("page_height") <= 0.45)).withColumn("why", why).where("why is not null").select("book", "page", X.heading_label(F.col("text")).alias("label"), "why")
+def section_starts(blocks: DataFrame) -> DataFrame:
+    """book, page, kind, label, why: where sections start. Named pages (page_kinds) win over chapters, chapters over closes;
+    a close is the next later page with body prose or a heading after a named page, and opens a section without a name."""
+    kinds = page_kinds(blocks)
+    named = kinds.where("kind is not null").select("book", "page", "kind", F.lit(None).cast("string").alias("label"), F.col("kind").alias("why"), F.lit(0).alias("rank"))
+    chapters = chapter_proposals(blocks, named).select("book", "page", F.lit("chapter").alias("kind"), "label", "why", F.lit(1).alias("rank"))
+    pages = kinds.select("book", "page", (F.col("kind").isNotNull()).alias("verdict"), F.when((F.col("body") > 0) | (F.col("displays") > 0), F.col("page")).alias("substantial"))
+    after = following(pages, ["book"], "page", "substantial", "close")
+    closes = after.where("verdict and close is not null").select("book", F.col("close").alias("page"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("label"), F.lit("").alias("why"), F.lit(2).alias("rank"))
+    every = named.unionByName(chapters).unionByName(closes)
+    return every.groupBy("book", "page").agg(F.min_by(F.struct("kind", "label", "why"), "rank").alias("s")).select("book", "page", "s.kind", "s.label", "s.why")
 
 
 def body_follows(pages: DataFrame) -> DataFrame:
@@ -183,9 +244,8 @@ def body_follows(pages: DataFrame) -> DataFrame:
 def section_spans(blocks: DataFrame, starts: DataFrame) -> DataFrame:
     """book, section, first_page, blocks: from each start (book, page) to the next; what is before the first start is section 0."""
     marked = blocks.join(starts.select("book", "page", F.lit(1).alias("start")).distinct(), ["book", "page"], "left")
-    pages = marked.groupBy("book", "page").agg(F.max("start").alias("start"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("book").orderBy("page")
-    numbered = pages.withColumn("section", F.sum(F.coalesce("start", F.lit(0))).over(w))
+    pages = marked.groupBy("book", "page").agg(F.max(F.coalesce("start", F.lit(0))).alias("start"), F.count(F.lit(1)).alias("n"))
+    numbered = running(pages, ["book"], "page", "start", F.sum, "section")
     return numbered.groupBy("book", "section").agg(F.min("page").alias("first_page"), F.sum("n").alias("blocks"))
 
 

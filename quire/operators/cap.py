@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from .running import running
+
 #: Multiple of the longest accepted answer, the least cap, and the model's own.
 TIMES, FLOOR, MODEL_CAP = 4, 2000, 16384
 
 
 def sent_caps(answers: DataFrame, model_cap: int = MODEL_CAP) -> DataFrame:
     """answers (book, seq, page, tokens, finish_reason, text) in order of arrival, with the cap each page was sent."""
-    accepted = (~F.col("finish_reason").eqNullSafe(F.lit("length"))) & (F.trim("text") != "")
-    before = Window.partitionBy("book").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    longest = F.max(F.when(accepted, F.col("tokens"))).over(before)
+    accepted = (~F.col("finish_reason").eqNullSafe(F.lit("length"))) & (X.trim_all(F.col("text")) != "")
+    rows = running(answers.withColumn("__raises", F.when(accepted, F.col("tokens"))), ["book"], "seq", "__raises", F.max, "__longest", before=True)
+    longest = F.col("__longest")
     cap = F.when(longest.isNull(), F.lit(model_cap)).otherwise(F.least(F.lit(model_cap), F.greatest(F.lit(FLOOR), F.floor(longest * TIMES))))
-    return answers.withColumn("cap", cap.cast("long")).withColumn("accepted", accepted)
+    return rows.withColumn("cap", cap.cast("long")).withColumn("accepted", accepted).drop("__raises", "__longest")
 
 
 def pages_to_reread(answers: DataFrame, model_cap: int = MODEL_CAP) -> DataFrame:

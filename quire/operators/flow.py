@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import text as X
+from .blocks import in_flow, lexicon
 
 JOINABLE = ("Text", "Page-header", "Page-footer")
 
@@ -14,41 +16,43 @@ def paragraph_starts(blocks: DataFrame) -> DataFrame:
     """blocks (book, page, ord, category, text, align) with ``para``, the running number of the paragraph.
 
     Footnotes stand alone and do not interrupt; any other category that does not join closes the paragraph. A block joins
-    the one before if it is flush, on the same or the next page, and the sentence goes on.
+    the one before if it is flush, on the same or the next page, and the sentence goes on. Where the blocks have them, a
+    section start (``starts``) closes the paragraph, and a decision (``decision``, true or false) stands instead of the rule.
     """
     w = Window.partitionBy("book").orderBy("page", "ord")
     flow = blocks.where(F.col("category") != "Footnote").withColumn("ok", F.col("category").isin(*JOINABLE))
     flow = flow.withColumn("p_page", F.lag("page").over(w)).withColumn("p_text", F.lag("text").over(w)).withColumn("p_ok", F.lag("ok").over(w))
-    joins = F.col("ok") & F.col("p_ok") & (F.col("align") == "") & ((F.col("page") - F.col("p_page")).isin(0, 1)) & X.continues_textually(F.col("p_text"), F.col("text"))
+    joins = (F.col("align") == "") & ((F.col("page") - F.col("p_page")).isin(0, 1)) & X.continues_textually(F.col("p_text"), F.col("text"))
+    if "decision" in blocks.columns:
+        joins = F.coalesce(F.col("decision"), joins)
+    joins = F.col("ok") & F.col("p_ok") & joins
+    if "starts" in blocks.columns:
+        joins = joins & ~F.coalesce("starts", F.lit(False))
     return flow.withColumn("joins", F.coalesce(joins, F.lit(False))).withColumn("para", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(w)).drop("p_page", "p_text", "p_ok", "ok")
 
 
-def _join_texts(words: dict[str, set], rows):
-    import re
+BROKEN = r"([A-Za-zÀ-ÿ]+)-\n([A-Za-zÀ-ÿ]+)"
 
-    head = re.compile(r"([A-Za-zÀ-ÿ]+)-\Z")
-    tail = re.compile(r"\A[A-Za-zÀ-ÿ]+")
-    for row in rows:
-        text = ""
-        for _, _, part in row["parts"]:
-            stem, word = head.search(text), tail.search(part)
-            if not text:
-                text = part
-            elif stem and word:
-                known = words.get(row["book"], ())
-                fused, kept = (stem.group(1) + word.group(0)).lower(), (stem.group(1) + "-" + word.group(0)).lower()
-                glue = fused in known or (kept not in known and part[:1].upper() != part[:1])
-                text = text[:-1] + part if glue else text + part
-            else:
-                text = text + " " + part
-        yield row["book"], row["para"], text
+
+def dehyphenated(blocks: DataFrame, words: DataFrame, keys: tuple[str, ...] = ("book", "page", "ord")) -> DataFrame:
+    """Blocks with the words that a line break split within them healed by the book's words (lexicon).
+
+    Only blocks with such a break are looked at; their broken words are joined with the lexicon one by one."""
+    broken = blocks.where(F.col("text").rlike(BROKEN)).select(*keys, "text")
+    each = broken.select(*keys, F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(BROKEN), F.lit(1)).alias("stem"), F.regexp_extract_all("text", F.lit(BROKEN), F.lit(2)).alias("word"))).alias("n", "w"))
+    each = each.select(*keys, "n", "w.stem", "w.word")
+    known = lambda name, c: words.select(F.col("book").alias(f"{name}_book"), F.col("word").alias(name))
+    both = each.join(known("a", "word"), (F.col("book") == F.col("a_book")) & (F.lower(F.concat("stem", "word")) == F.col("a")), "left")
+    both = both.join(known("b", "word"), (F.col("book") == F.col("b_book")) & (F.lower(F.concat_ws("-", "stem", "word")) == F.col("b")), "left")
+    joined = X.joined_word(F.col("stem"), F.col("word"), F.col("a").isNotNull(), F.col("b").isNotNull())
+    healed = both.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", joined.alias("w")))), lambda x: x["w"]).alias("healed"))
+    pieces = F.transform(F.split("text", BROKEN, -1), lambda p, i: F.concat(p, F.coalesce(F.try_element_at("healed", i + 1), F.lit(""))))
+    return blocks.join(healed, list(keys), "left").withColumn("text", F.when(F.col("healed").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))).drop("healed")
 
 
 def flow_paragraphs(blocks: DataFrame) -> DataFrame:
     """book, para, page, n_blocks, text: joined paragraphs. Broken words are looked up by a join with the lexicon's words
     that can be asked for, so neither a lexicon nor a book is gathered."""
-    from .blocks import lexicon
-
     marked = paragraph_starts(blocks)
     w = Window.partitionBy("book", "para").orderBy("page", "ord")
     pairs = marked.withColumn("p_text", F.lag("text").over(w)).withColumn("stem", X.trailing_hyphen_word(F.col("p_text"))).withColumn("word", X.leading_word(F.col("text")))
@@ -58,9 +62,10 @@ def flow_paragraphs(blocks: DataFrame) -> DataFrame:
     b = known.select(F.col("book").alias("b_book"), F.col("word").alias("b_word"))
     asked = pairs.join(a, (F.col("book") == F.col("a_book")) & (F.col("fused") == F.col("a_word")), "left").join(b, (F.col("book") == F.col("b_book")) & (F.col("kept") == F.col("b_word")), "left")
     first = F.substring("text", 1, 1)
-    glue = F.col("fused").isNotNull() & (F.col("a_word").isNotNull() | (F.col("b_word").isNull() & (F.upper(first) != first)))
+    glue = F.col("fused").isNotNull() & (F.col("a_word").isNotNull() | (F.col("b_word").isNull() & (F.lower(first) == first)))
     how = F.when(F.col("p_text").isNull(), "first").when(F.col("fused").isNull(), "space").when(glue, "fuse").otherwise("keep")
     parts = asked.groupBy("book", "para").agg(F.array_sort(F.collect_list(F.struct("page", "ord", how.alias("how"), "text"))).alias("parts"))
+    cut = lambda c: F.rtrim(c, F.lit(X.BLANK))
     text = F.aggregate(
         "parts",
         F.lit(""),
@@ -78,23 +83,32 @@ def seams(blocks: DataFrame) -> DataFrame:
 
 
 def merged_headings(blocks: DataFrame) -> DataFrame:
-    """Chains of adjacent headings of one page become one; judged against the growing union box, so a fold over a page's
-    few headings: book, page, ord of the first, n, label."""
-    heads = blocks.where(F.col("category").isin("Title", "Section-header"))
-    rows = heads.groupBy("book", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "x1", "y1", "x2", "y2", "text"))).alias("hs"))
-    empty = F.expr("cast(array() as array<struct<ord:int,x1:double,y1:double,x2:double,y2:double,n:int,text:string>>)")
+    """Chains of headings of one page that follow each other become one: book, page, ord of the first, n, category, label.
+
+    Any other block ends a chain. A heading joins if it lies below and close (within 1.5 times the larger type size), shares
+    half of the narrower width, and one of the two has four words at most, judged against the growing union box; so a chain
+    of neighbouring headings is folded in order."""
+    w = Window.partitionBy("book", "page").orderBy("ord")
+    rows = in_flow(blocks).withColumn("rn", F.row_number().over(w))
+    heads = rows.where(F.col("category").isin("Title", "Section-header")).withColumn("run", F.col("rn") - F.row_number().over(w))
+    fields = "ord", "x1", "y1", "x2", "y2", "text", "category"
+    chains = heads.groupBy("book", "page", "run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("hs"))
+    empty = F.expr("cast(array() as array<struct<ord:int,x1:double,y1:double,x2:double,y2:double,n:int,text:string,category:string>>)")
 
     def step(acc, h):
         last = F.element_at(acc, -1)
         overlap = F.least(last["x2"], h["x2"]) - F.greatest(last["x1"], h["x1"])
         narrow = F.least(last["x2"] - last["x1"], h["x2"] - h["x1"])
-        line = F.greatest(F.lit(1.0), (h["y2"] - h["y1"]).cast("double"))
-        short = (X.word_count(last["text"]) <= 4) | (X.word_count(h["text"]) <= 4)
-        joins = (F.size(acc) > 0) & (overlap >= 0.5 * narrow) & (h["y1"] >= last["y1"]) & (h["y1"] - last["y2"] <= 1.5 * line) & short
-        item = lambda o, x1, y1, x2, y2, n, t: F.struct(o.cast("int").alias("ord"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), x2.cast("double").alias("x2"), y2.cast("double").alias("y2"), n.cast("int").alias("n"), t.alias("text"))
-        merged = item(last["ord"], F.least(last["x1"], h["x1"].cast("double")), F.least(last["y1"], h["y1"].cast("double")), F.greatest(last["x2"], h["x2"].cast("double")), F.greatest(last["y2"], h["y2"].cast("double")), last["n"] + 1, F.concat(last["text"], F.lit("\n"), h["text"]))
-        single = item(h["ord"], h["x1"], h["y1"], h["x2"], h["y2"], F.lit(1), h["text"])
+        line = F.greatest(G.type_size(last["y2"] - last["y1"], last["text"]), G.type_size(h["y2"] - h["y1"], h["text"]))
+        short = (X.plain_word_count(last["text"]) <= 4) | (X.plain_word_count(h["text"]) <= 4)
+        joins = (F.size(acc) > 0) & (narrow > 0) & (overlap >= 0.5 * narrow) & (h["y1"] >= last["y1"]) & (h["y1"] - last["y2"] <= 1.5 * line) & short
+        item = lambda o, x1, y1, x2, y2, n, t, c: F.struct(o.cast("int").alias("ord"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), x2.cast("double").alias("x2"), y2.cast("double").alias("y2"), n.cast("int").alias("n"), t.alias("text"), c.alias("category"))
+        loud = F.when((last["category"] == "Title") | (h["category"] == "Title"), "Title").otherwise("Section-header")
+        text = F.concat(F.rtrim(last["text"], F.lit(X.BLANK)), F.lit("\n"), F.ltrim(h["text"], F.lit(X.BLANK)))
+        union = [f(last[c], h[c].cast("double")) for f, c in ((F.least, "x1"), (F.least, "y1"), (F.greatest, "x2"), (F.greatest, "y2"))]
+        merged = item(last["ord"], *union, last["n"] + 1, text, loud)
+        single = item(h["ord"], h["x1"], h["y1"], h["x2"], h["y2"], F.lit(1), h["text"], h["category"])
         return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(acc, F.array(single)))
 
-    folded = rows.select("book", "page", F.explode(F.aggregate("hs", empty, step)).alias("h"))
-    return folded.select("book", "page", F.col("h.ord").alias("ord"), F.col("h.n").cast("long").alias("n"), X.heading_label(F.col("h.text")).alias("label"))
+    folded = chains.select("book", "page", F.explode(F.aggregate("hs", empty, step)).alias("h"))
+    return folded.select("book", "page", F.col("h.ord").alias("ord"), F.col("h.n").cast("long").alias("n"), F.col("h.category").alias("category"), X.heading_label(F.col("h.text")).alias("label"))

@@ -142,3 +142,48 @@ def marker_complaint(text, count):
         .when(F.size(F.array_distinct(found)) < F.size(found), "doubled")
         .when(F.size(found) < count, "missing")
     )
+
+
+#: Elements that are taken out with all they hold, and attributes that may hold an address.
+UNSAFE, ADDRESSES = frozenset("script iframe object embed style".split()), frozenset("href src xlink:href action formaction data".split())
+TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+WRITTEN = re.compile(r"\s+([^\s=>\"'/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+
+
+def safe_markup(markup: str) -> str:
+    """Markup without unsafe elements (stray tags of them too), without event handlers and script addresses."""
+    out: list[str] = []
+    at, open_tag = 0, None
+    for m in TAG.finditer(markup):
+        tag = (m.group(2) or "").lower()
+        if open_tag:
+            if m.group(1) and tag == open_tag:
+                open_tag, at = None, m.end()
+            continue
+        if tag in UNSAFE:
+            out.append(markup[at : m.start()])
+            at = m.end()
+            if not m.group(1) and re.search(rf"</{tag}\s*>", markup[at:], re.I):
+                open_tag = tag
+        elif tag and m.group(3).strip():
+            kept = WRITTEN.sub(lambda a: "" if unsafe_attribute(a.group(1).lower(), a.group(2)) else a.group(), m.group(3))
+            if kept != m.group(3):
+                out.append(markup[at : m.start()] + f"<{m.group(1)}{m.group(2)}{kept}>")
+                at = m.end()
+    out.append(markup[at:])
+    return "".join(out)
+
+
+def unsafe_attribute(name: str, value: str) -> bool:
+    handler = name.startswith("on") and name[2:].isascii() and name[2:].isalpha()
+    return handler or (name in ADDRESSES and value[:1] in "\"'" and value[1:].lstrip().lower().startswith("javascript:"))
+
+
+def _safe(batches):
+    for rows in batches:
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([None if t is None else safe_markup(t) for t in rows.column(1).to_pylist()], pa.string())], names=["id", "markup"])
+
+
+def without_unsafe(rows: DataFrame, id_col: str, markup_col: str) -> DataFrame:
+    """id, markup of each row with what could run taken out."""
+    return rows.select(F.col(id_col).cast("long"), F.col(markup_col)).mapInArrow(_safe, "id long, markup string")

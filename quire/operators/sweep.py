@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def census(rows: DataFrame, pattern: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, n, hit of each match. Matches are taken by the JVM; a pattern that matches nothing at all is refused."""
@@ -18,20 +18,10 @@ def census(rows: DataFrame, pattern: str, id_col: str = "id", text_col: str = "t
     return rows.select(F.col(id_col).alias("id"), F.posexplode(hits).alias("n", "hit"))
 
 
-def _spans(batches, pattern: str):
-    import re
-
-    import pyarrow as pa
-
-    rx = re.compile(pattern)
-    for rows in batches:
-        out = [(i, m.start(), m.end(), m.group()) for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()) for m in rx.finditer(t or "")]
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["id", "start", "end", "hit"])
-
-
 def spans(rows: DataFrame, pattern: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, start, end, hit: offsets in code points."""
-    return rows.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(partial(_spans, pattern=pattern), "id long, start long, end long, hit string")
+    each = rows.select(F.col(id_col).cast("long").alias("id"), F.explode(X.match_spans(F.col(text_col), pattern)).alias("s"))
+    return each.select("id", F.col("s.at").cast("long").alias("start"), (F.col("s.at") + F.col("s.len")).cast("long").alias("end"), F.col("s.hit").alias("hit"))
 
 
 def cut(rows: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:

@@ -32,9 +32,9 @@ def plan_chunks(items: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
 
 def complaint(question: Column, answer: Column) -> Column:
     """Why an answer is refused, or null."""
-    q, a = X.strip_markers(question), X.strip_markers(answer)
-    ratio = F.char_length(a) / F.greatest(F.lit(1), F.char_length(q))
-    return F.when(X.trim_all(answer) == "", "empty").when(a == "", "only markers").when(ratio < SHORTEST, "too short").when(ratio > LONGEST, "too long")
+    answer = X.trim_all(X.unfenced(answer))
+    q, a = F.char_length(X.strip_markers(question)), F.char_length(X.strip_markers(answer))
+    return F.when(answer == "", "empty").when(a == 0, "only markers").when(a < q * SHORTEST, "too short").when(a > q * LONGEST, "too long")
 
 
 def rendered(parts: Column) -> Column:

@@ -133,37 +133,60 @@ def furniture_keys(spark, d):
     return S.blocks(spark, d).where(F.char_length("text") < 80).groupBy("book", X.furniture_key(F.col("text")).alias("key")).agg(F.count_distinct("page").alias("pages"))
 
 
-@query("page_kinds", f"""
-WITH {S.BLOCKS}, b AS (SELECT *, category IN ('Title', 'Section-header') AS disp, category NOT IN ('Title', 'Section-header', 'Picture') AS prose,
-  len(list_filter(regexp_split_to_array(translate(text, '*_', '  '), '[ \\t\\n]+'), lambda w: w <> '')) AS words, abs((x1 + x2) / 2 / page_width - 0.5) < 0.06 AS center, lower(text) AS low FROM blocks),
-f AS (SELECT book, page, count(*) FILTER (disp) AS displays, count(*) AS n, coalesce(sum(words) FILTER (prose), 0)::BIGINT AS words, count(*) FILTER (disp AND NOT center) AS off,
-  count(*) FILTER (disp AND low IN ('contents', 'table of contents')) AS contents, count(*) FILTER (prose AND length(text) <= 100 AND regexp_matches(text, '[0-9]{{1,4}}[ \\t]*$')) AS entries,
-  count(*) FILTER (disp AND regexp_matches(upper(text), '^(PART|BOOK|SECTION|VOLUME) [A-Z0-9]+')) AS parts, max(prose AND words >= 25)::INT AS body,
-  max(regexp_matches(low, '©|copyright'))::INT + max(regexp_matches(low, 'isbn'))::INT + max(regexp_matches(low, 'all rights reserved'))::INT + max(regexp_matches(low, 'library of congress'))::INT + max(regexp_matches(low, 'first published|printed in|printing'))::INT AS marks
-  FROM b GROUP BY book, page)
-SELECT book, page, CASE WHEN contents > 0 AND entries >= 3 THEN 'contents' WHEN page < 6 AND displays = 0 AND marks >= 2 THEN 'copyright'
-  WHEN page < 6 AND displays >= 1 AND n <= 8 AND words <= 12 AND off = 0 THEN 'title-page' WHEN n <= 6 AND words <= 12 AND parts > 0 AND body = 0 THEN 'part' END AS kind, displays, words, body FROM f""")
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: Blocks of one line, as the stand-ins have them.
+KINDS = rf"""
+kb AS (SELECT *, category IN ('Title', 'Section-header') AS disp, category NOT IN ('Title', 'Section-header', 'Picture') AS prose, trim(translate(text, '*_', '  '), {BLANKS}) AS bare,
+  len(list_filter(regexp_split_to_array(translate(text, '*_', '  '), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS words, abs((x1 + x2) / 2 / page_width - 0.5) < 0.06 AS center FROM blocks WHERE category NOT IN ('Page-header', 'Page-footer')),
+kc AS (SELECT *, disp AND regexp_matches(bare, '(?i)^(table of )?contents$') AS heading, category <> 'Picture' AND words BETWEEN 1 AND 8 AS short,
+  disp AND regexp_matches(bare, '(?i)^[ivxlcdm]') AND regexp_matches(bare, '(?i)^m{{0,3}}(cm|cd|d?c{{0,3}})(xc|xl|l?x{{0,3}})(ix|iv|v?i{{0,3}})\.?$') AS numeral FROM kb),
+kf AS (SELECT book, page, count(*) FILTER (disp) AS displays, count(*) AS n, coalesce(sum(words) FILTER (prose), 0)::BIGINT AS words, count(*) FILTER (disp AND NOT center) AS off, bool_or(heading) AS contents,
+  count(*) FILTER (NOT heading AND bare <> '' AND length(bare) <= 100 AND regexp_matches(bare, '[^0-9\s]\s*[,.]?\s*[0-9]{{1,4}}[.,]?$')) AS entries,
+  bool_or(disp AND regexp_matches(bare, '(?i)^(part|book|section|volume)\s+([ivxlcdm]+|[0-9]{{1,2}}|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\b')) AS part,
+  bool_or(numeral) AS numeral, count(*) FILTER (short) - coalesce(arg_min(short::INT, ord) FILTER (numeral), 0) AS others, max(prose AND words >= 25)::INT AS body,
+  bool_or(regexp_matches(text, '(?i)©|\bcopyright\b'))::INT + bool_or(regexp_matches(text, '(?i)\bISBN\b'))::INT + bool_or(regexp_matches(text, '(?i)all rights reserved'))::INT + bool_or(regexp_matches(text, '(?i)library of congress'))::INT
+    + bool_or(regexp_matches(trim(text), '^[0-9 ]+$') AND length(regexp_replace(text, '[^0-9]', '', 'g')) >= 5)::INT AS marks FROM kc GROUP BY book, page),
+kp AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page) <= 6 AS front, page < max(page) FILTER (body = 1) OVER (PARTITION BY book) AS follows FROM kf),
+kinds AS (SELECT book, page, CASE WHEN contents AND entries >= 3 THEN 'contents' WHEN front AND displays = 0 AND marks >= 2 THEN 'copyright'
+  WHEN front AND displays >= 1 AND n <= 8 AND words <= 12 AND off = 0 THEN 'title-page' WHEN NOT front AND follows AND n <= 6 AND words <= 12 AND (part OR (numeral AND others >= 1)) THEN 'part' END AS kind, displays, words, body FROM kp)
+"""
+
+
+@query("page_kinds", f"WITH {S.BLOCKS}, {KINDS} SELECT * FROM kinds")
 def page_kinds(spark, d):
     return B.page_kinds(S.blocks(spark, d))
 
 
 CHAPTERS = rf"""
-{S.BLOCKS}, first AS (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY book, page ORDER BY ord) = 1),
-chapters AS (SELECT book, page, text AS label, CASE WHEN regexp_matches(lower(text), '^(chapter|kapitel|chapitre|capítulo|prologue|epilogue|introduction|preface|appendix)') THEN 'words'
-  WHEN category = 'Title' THEN 'title' WHEN abs((x1 + x2) / 2 / page_width - 0.5) < 0.06 THEN 'centred' END AS why
-  FROM first WHERE category IN ('Title', 'Section-header') AND length(text) < 80 AND y1 / page_height <= 0.45)
+{S.BLOCKS}, live AS (SELECT * FROM blocks WHERE category NOT IN ('Page-header', 'Page-footer')),
+first AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY book, page ORDER BY ord) = 1),
+bare AS (SELECT book, page, ord, regexp_extract(text, '[0-9]+')::INT AS v FROM live WHERE category IN ('Title', 'Section-header') AND regexp_matches(trim(text), '^[0-9]{{1,3}}\.?$')),
+marked AS (SELECT book FROM (SELECT book, v <= lag(v) OVER (PARTITION BY book ORDER BY page, ord) AS back FROM bare) GROUP BY book HAVING count(*) >= 2 AND max(back)),
+chapters AS (SELECT book, page, ord::INT AS ord, text AS label, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)^(chapter|part|book|prologue|epilogue|introduction|preface|foreword|acknowledg|conclusion|afterword|appendix|notes|bibliography|index)\b|^[IVXLC]+\.?$|^[0-9]{{1,2}}\.?$') THEN 'chapterish-text' END,
+  CASE WHEN category = 'Title' THEN 'title-class' END, CASE WHEN abs((x1 + x2) / 2 / page_width - 0.5) < 0.06 THEN 'centered' END) AS why
+  FROM first WHERE category IN ('Title', 'Section-header') AND length(text) < 80 AND y1 / page_height <= 0.45 AND NOT (book IN (SELECT book FROM marked) AND regexp_matches(trim(text), '^[0-9]{{1,3}}\.?$')))
 """
 
 
-@query("chapter_proposals", f"WITH {CHAPTERS} SELECT * FROM chapters WHERE why IS NOT NULL")
+@query("chapter_proposals", f"WITH {CHAPTERS} SELECT * FROM chapters WHERE why <> ''")
 def chapter_proposals(spark, d):
     return B.chapter_proposals(S.blocks(spark, d))
 
 
+@query("section_starts", f"""
+WITH {CHAPTERS}, {KINDS}, named AS (SELECT book, page, kind, NULL::VARCHAR AS label, kind AS why, 0 AS rank FROM kinds WHERE kind IS NOT NULL),
+later AS (SELECT book, kind, min(CASE WHEN body > 0 OR displays > 0 THEN page END) OVER (PARTITION BY book ORDER BY page ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS close FROM kinds),
+every AS (SELECT * FROM named UNION ALL SELECT book, page, 'chapter', label, why, 1 FROM chapters WHERE why <> '' AND NOT EXISTS (SELECT 1 FROM named n WHERE n.book = chapters.book AND n.page = chapters.page)
+  UNION ALL SELECT book, close, NULL, '', '', 2 FROM later WHERE kind IS NOT NULL AND close IS NOT NULL)
+SELECT book, page, kind, label, why FROM every QUALIFY row_number() OVER (PARTITION BY book, page ORDER BY rank) = 1""")
+def section_starts(spark, d):
+    return B.section_starts(S.blocks(spark, d))
+
+
 @query("section_spans", f"""
 WITH {CHAPTERS}, pages AS (SELECT book, page, count(*) AS n FROM blocks GROUP BY ALL),
 s AS (SELECT p.book, p.page, n, sum(CASE WHEN c.page IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.book ORDER BY p.page) AS section
-  FROM pages p LEFT JOIN (SELECT DISTINCT book, page FROM chapters WHERE why IS NOT NULL) c ON p.book = c.book AND p.page = c.page)
+  FROM pages p LEFT JOIN (SELECT DISTINCT book, page FROM chapters WHERE why <> '') c ON p.book = c.book AND p.page = c.page)
 SELECT book, section::BIGINT AS section, min(page) AS first_page, sum(n)::BIGINT AS blocks FROM s GROUP BY book, section""")
 def section_spans(spark, d):
     b = S.blocks(spark, d)
@@ -171,7 +194,7 @@ def section_spans(spark, d):
 
 
 @query("folded_sections", f"""
-WITH {CHAPTERS}, n AS (SELECT book, page AS section, label AS name, regexp_replace(regexp_replace(upper(label), '[^A-Z0-9]', '', 'g'), '[0-9]+', '#', 'g') AS key, (page % 2)::INT AS body FROM chapters WHERE why IS NOT NULL)
+WITH {CHAPTERS}, n AS (SELECT book, page AS section, label AS name, regexp_replace(regexp_replace(upper(label), '[^A-Z0-9]', '', 'g'), '[0-9]+', '#', 'g') AS key, (page % 2)::INT AS body FROM chapters WHERE why <> '')
 SELECT book, section, name, body, coalesce(key <> '' AND body = 0 AND key = lag(key) OVER (PARTITION BY book ORDER BY section), false) AS folded FROM n""")
 def folded_sections(spark, d):
     c = B.chapter_proposals(S.blocks(spark, d)).select("book", F.col("page").alias("section"), F.col("label").alias("name"), (F.col("page") % 2).cast("int").alias("body"))
@@ -186,15 +209,6 @@ def body_follows(spark, d):
     return B.body_follows(pages)
 
 
-@query("section_marks", r"""
-WITH b AS (SELECT source AS book, doc_id AS page, (doc_id * 7 % 30) AS v FROM documents WHERE doc_id % 9 = 0),
-l AS (SELECT book, v <= lag(v) OVER (PARTITION BY book ORDER BY page) AS back FROM b)
-SELECT book, count(*) AS numbers, coalesce(max(back), false)::INT AS restarts FROM l GROUP BY book""")
-def section_marks(spark, d):
-    docs = S.table(spark, d, "documents").where("doc_id % 9 = 0")
-    return B.section_marks(docs.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), F.lit("Title").alias("category"), (F.col("doc_id") * 7 % 30).cast("string").alias("text")))
-
-
 @query("section_marks_all", r"""
 WITH b AS (SELECT source AS book, doc_id AS page, (doc_id * 7 % 30) AS v FROM documents),
 l AS (SELECT book, v <= lag(v) OVER (PARTITION BY book ORDER BY page) AS back FROM b)
@@ -226,18 +240,6 @@ def reflow_wrapped(spark, d):
     return S.table(spark, d, "documents").select("doc_id", X.wrapped_prose(F.col("text")).alias("wrapped"), F.sha2(X.reflowed(F.col("text")), 256).alias("h"))
 
 
-@query("text_functions", r"""
-WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)
-SELECT doc_id, length(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;'))::BIGINT AS escaped,
-  len(list_filter(regexp_split_to_array(translate(t, '*_', '  '), '[ \t\n]+'), lambda w: w <> '')) AS words, greatest(128, ceil(length(t) * 4 / 2.5))::BIGINT AS budget,
-  greatest(1, length(trim(regexp_replace(t, '[ \t\n]+', ' ', 'g'))))::BIGINT AS weight, sha256(t || chr(0) || doc_id::VARCHAR) AS key, substring(sha256(t), 1, 16) AS short,
-  regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM l""")
-def text_functions(spark, d):
-    t = S.table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1)[0].alias("t"))
-    c = F.col("t")
-    return t.select("doc_id", F.char_length(X.escape_xml(c)).cast("long").alias("escaped"), X.word_count(c).alias("words"), X.answer_budget(c).alias("budget"), X.text_weight(c).alias("weight"), X.bank_key(c, F.col("doc_id").cast("string")).alias("key"), X.short_sha(c).alias("short"), X.slug(c).alias("slug"))
-
-
 @query("text_functions_lines", r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS t FROM documents)
 SELECT doc_id, pos::INT AS pos, length(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;'))::BIGINT AS escaped,
@@ -253,25 +255,47 @@ def text_functions_lines(spark, d):
 
 @query("paragraph_starts", f"""
 WITH {S.FLOW}, f AS (SELECT *, category = 'Text' AS ok, lag(page) OVER w AS pp, lag(text) OVER w AS pt, lag(category = 'Text') OVER w AS pok FROM flow WHERE category <> 'Footnote' WINDOW w AS (PARTITION BY book ORDER BY page, ord)),
-j AS (SELECT *, coalesce(ok AND pok AND page - pp IN (0, 1) AND right(rtrim(pt), 1) NOT IN ('.', '!', '?', ':', '"', '”', '`') AND upper(substring(text, 1, 1)) <> substring(text, 1, 1), false) AS joins FROM f)
+j AS (SELECT *, coalesce(ok AND pok AND page - pp IN (0, 1) AND right(rtrim(pt), 1) NOT IN ('.', '!', '?', ':', '"', '”') AND upper(substring(text, 1, 1)) <> substring(text, 1, 1), false) AS joins FROM f)
 SELECT book, ord, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY book ORDER BY page, ord)::BIGINT AS para FROM j""")
 def paragraph_starts(spark, d):
     return flow.paragraph_starts(S.flow(spark, d)).select("book", "ord", "para")
 
 
-@query("flow_paragraphs")
+@query("flow_paragraphs", f"""
+WITH {S.FLOW}, f AS (SELECT *, category = 'Text' AS ok, lag(page) OVER w AS pp, lag(text) OVER w AS pt, lag(category = 'Text') OVER w AS pok FROM flow WHERE category <> 'Footnote' WINDOW w AS (PARTITION BY book ORDER BY page, ord)),
+j AS (SELECT *, coalesce(ok AND pok AND page - pp IN (0, 1) AND right(rtrim(pt), 1) NOT IN ('.', '!', '?', ':', '"', '”') AND upper(substring(text, 1, 1)) <> substring(text, 1, 1), false) AS joins FROM f),
+n AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY book ORDER BY page, ord)::BIGINT AS para FROM j),
+q AS (SELECT *, lag(text) OVER (PARTITION BY book, para ORDER BY page, ord) AS before FROM n),
+t AS (SELECT *, regexp_extract(rtrim(before), '([A-Za-zÀ-ÿ]+)-$', 1) AS stem, regexp_extract(text, '^[A-Za-zÀ-ÿ]+') AS word FROM q),
+lex AS (SELECT DISTINCT book, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+(?:-[a-zà-ÿ]+)*')) AS known FROM flow),
+d AS (SELECT t.*, CASE WHEN before IS NULL THEN 'first' WHEN coalesce(stem, '') = '' OR word = '' THEN 'space' WHEN a.known IS NOT NULL OR (b.known IS NULL AND lower(substring(text, 1, 1)) = substring(text, 1, 1)) THEN 'fuse' ELSE 'keep' END AS how
+  FROM t LEFT JOIN lex a ON a.book = t.book AND a.known = lower(stem || word) AND stem <> '' AND word <> '' LEFT JOIN lex b ON b.book = t.book AND b.known = lower(stem || '-' || word) AND stem <> '' AND word <> ''),
+x AS (SELECT *, lead(how) OVER (PARTITION BY book, para ORDER BY page, ord) AS next FROM d)
+SELECT book, para, min(page)::INT AS page, count(*) AS n_blocks, string_agg(CASE WHEN how = 'space' THEN ' ' ELSE '' END || CASE next WHEN 'fuse' THEN rtrim(text)[1:-2] WHEN 'keep' THEN rtrim(text) ELSE text END, '' ORDER BY page, ord) AS text FROM x GROUP BY book, para""")
 def flow_paragraphs(spark, d):
     return flow.flow_paragraphs(S.flow(spark, d))
 
 
 @query("unjoined_seams", f"""
 WITH {S.FLOW}, f AS (SELECT *, lag(page) OVER w AS pp, lag(text) OVER w AS pt FROM flow WHERE category = 'Text' WINDOW w AS (PARTITION BY book ORDER BY page, ord))
-SELECT book, page::INT AS page FROM f WHERE page - pp = 1 AND NOT (right(rtrim(pt), 1) NOT IN ('.', '!', '?', ':', '"', '”', '`') AND upper(substring(text, 1, 1)) <> substring(text, 1, 1))""")
+SELECT book, page::INT AS page FROM f WHERE page - pp = 1 AND NOT (right(rtrim(pt), 1) NOT IN ('.', '!', '?', ':', '"', '”') AND upper(substring(text, 1, 1)) <> substring(text, 1, 1))""")
 def unjoined_seams(spark, d):
     return flow.seams(S.flow(spark, d))
 
 
-@query("merged_headings")
+@query("merged_headings", rf"""
+WITH RECURSIVE {S.BLOCKS}, r AS (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY ord) AS rn FROM blocks WHERE category NOT IN ('Page-header', 'Page-footer')),
+h AS (SELECT *, rn - row_number() OVER (PARTITION BY book, page ORDER BY ord) AS run FROM r WHERE category IN ('Title', 'Section-header')),
+o AS (SELECT *, row_number() OVER (PARTITION BY book, page, run ORDER BY ord) AS k, CASE WHEN length(text) > 90 THEN (y2 - y1) / greatest(1, floor((y2 - y1) / 40 + 0.5)) ELSE y2 - y1 END AS px,
+  len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS words FROM h),
+f AS (SELECT book, page, run, k, ord AS first, x1, y1, x2, y2, px, words, category, text AS label, 1 AS n FROM o WHERE k = 1
+  UNION ALL SELECT book, page, run, k, CASE WHEN j THEN first ELSE ord END, CASE WHEN j THEN least(x1, a1) ELSE x1 END, CASE WHEN j THEN least(y1, b1) ELSE y1 END, CASE WHEN j THEN greatest(x2, a2) ELSE x2 END, CASE WHEN j THEN greatest(y2, b2) ELSE y2 END,
+    CASE WHEN j THEN (greatest(y2, b2) - least(y1, b1)) / (n + 1) ELSE px END, CASE WHEN j THEN words + before ELSE words END, CASE WHEN j AND loud = 'Title' THEN 'Title' ELSE category END,
+    CASE WHEN j THEN label || CASE WHEN regexp_matches(label, '[.,:;!?…—–-]$') THEN ' ' ELSE ': ' END || text ELSE text END, CASE WHEN j THEN n + 1 ELSE 1 END
+  FROM (SELECT o.*, s.first, s.x1 AS a1, s.y1 AS b1, s.x2 AS a2, s.y2 AS b2, s.words AS before, s.category AS loud, s.label, s.n,
+      least(o.x2, s.x2) - greatest(o.x1, s.x1) >= 0.5 * least(o.x2 - o.x1, s.x2 - s.x1) AND least(o.x2 - o.x1, s.x2 - s.x1) > 0 AND o.y1 >= s.y1 AND o.y1 - s.y2 <= 1.5 * greatest(s.px, o.px) AND (s.words <= 4 OR o.words <= 4) AS j
+    FROM f s JOIN o ON o.book = s.book AND o.page = s.page AND o.run = s.run AND o.k = s.k + 1))
+SELECT book, page, first::INT AS ord, max(n)::BIGINT AS n, arg_max(category, n) AS category, arg_max(label, n) AS label FROM f GROUP BY book, page, first""")
 def merged_headings(spark, d):
     return flow.merged_headings(S.blocks(spark, d))
 
@@ -297,7 +321,14 @@ def note_links_first(spark, d):
     return notes.links_first(*_marks(spark, d))
 
 
-@query("note_links_exclusive")
+@query("note_links_exclusive", f"""
+WITH RECURSIVE {MARKS}, mk AS (SELECT *, row_number() OVER (PARTITION BY book, printed ORDER BY page, pos) AS k FROM m),
+nl AS (SELECT book, printed, list_sort(list({{'page': page, 'note': note}})) AS ns FROM n GROUP BY book, printed),
+c AS (SELECT book, printed, 0::BIGINT AS k, NULL::BIGINT AS page, NULL::BIGINT AS pos, NULL::STRUCT(page BIGINT, note BIGINT) AS pick, coalesce(ns, []) AS rest FROM (SELECT DISTINCT book, printed FROM mk) LEFT JOIN nl USING (book, printed)
+  UNION ALL SELECT book, printed, k, page, pos, pick, CASE WHEN pick IS NULL THEN rest ELSE list_concat(rest[1:list_position(rest, pick) - 1], rest[list_position(rest, pick) + 1:]) END
+  FROM (SELECT mk.book, mk.printed, mk.k, mk.page, mk.pos, c.rest, coalesce(list_filter(c.rest, lambda x: x.page = mk.page)[1], list_filter(c.rest, lambda x: x.page = mk.page + 1)[1]) AS pick
+    FROM c JOIN mk ON mk.book = c.book AND mk.printed = c.printed AND mk.k = c.k + 1))
+SELECT book, page, pos, printed, pick.page AS note_page, pick.note AS note FROM c WHERE k > 0""")
 def note_links_exclusive(spark, d):
     return notes.links_exclusive(*_marks(spark, d))
 
@@ -423,27 +454,21 @@ def merged_metadata(spark, d):
     return ledger.merged_fields(e, ["user_id"], ["a", "b"], "event_id")
 
 
-@query("chunk_plan")
+@query("chunk_plan", r"""
+WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber AS pos, trunc(l_quantity)::BIGINT AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, trunc(l_quantity)) AS k FROM lineitem),
+f AS (SELECT l_orderkey, k, pos, w, 0 AS chunk, w AS used FROM i WHERE k = 1
+  UNION ALL SELECT i.l_orderkey, i.k, i.pos, i.w, CASE WHEN f.used + i.w <= 80 THEN f.chunk ELSE f.chunk + 1 END, CASE WHEN f.used + i.w <= 80 THEN f.used + i.w ELSE i.w END FROM f JOIN i ON i.l_orderkey = f.l_orderkey AND i.k = f.k + 1)
+SELECT l_orderkey, chunk, min(pos) AS first_pos, count(*) AS n, sum(w)::BIGINT AS weight FROM f GROUP BY l_orderkey, chunk""")
 def chunk_plan(spark, d):
     li = S.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("weight"))
     return translate.plan_chunks(li, "l_orderkey", 80)
 
 
-@query("answer_complaints", r"""
-WITH q AS (SELECT doc_id, string_split(text, chr(10))[1] AS q, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '⟦m1⟧' WHEN 2 THEN 'x' WHEN 3 THEN repeat(string_split(text, chr(10))[1] || ' ', 4) ELSE text END AS a FROM documents),
-s AS (SELECT doc_id, a AS raw, trim(regexp_replace(regexp_replace(q, '⟦[^⟧]*⟧', '', 'g'), '[ \t\n]+', ' ', 'g')) AS q, trim(regexp_replace(regexp_replace(a, '⟦[^⟧]*⟧', '', 'g'), '[ \t\n]+', ' ', 'g')) AS a FROM q)
-SELECT doc_id, CASE WHEN trim(raw) = '' THEN 'empty' WHEN a = '' THEN 'only markers' WHEN length(a) / greatest(1, length(q)) < 0.25 THEN 'too short' WHEN length(a) / greatest(1, length(q)) > 3 THEN 'too long' END AS complaint FROM s""")
-def answer_complaints(spark, d):
-    t = S.table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1)[0].alias("q"), "text")
-    a = F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 5 == 1, "⟦m1⟧").when(F.col("doc_id") % 5 == 2, "x").when(F.col("doc_id") % 5 == 3, F.repeat(F.concat("q", F.lit(" ")), 4)).otherwise(F.col("text"))
-    return t.select("doc_id", translate.complaint(F.col("q"), a).alias("complaint"))
-
-
 @query("answer_complaints_lines", r"""
 WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS q FROM documents),
 q AS (SELECT doc_id, pos, q, CASE (doc_id + pos) % 5 WHEN 0 THEN '' WHEN 1 THEN '⟦m1⟧' WHEN 2 THEN 'x' WHEN 3 THEN repeat(q || ' ', 4) ELSE q END AS a FROM l),
 s AS (SELECT doc_id, pos, a AS raw, trim(regexp_replace(regexp_replace(q, '⟦[^⟧]*⟧', '', 'g'), '[ \t\n]+', ' ', 'g')) AS q, trim(regexp_replace(regexp_replace(a, '⟦[^⟧]*⟧', '', 'g'), '[ \t\n]+', ' ', 'g')) AS a FROM q)
-SELECT doc_id, pos::INT AS pos, CASE WHEN trim(raw) = '' THEN 'empty' WHEN a = '' THEN 'only markers' WHEN length(a) / greatest(1, length(q)) < 0.25 THEN 'too short' WHEN length(a) / greatest(1, length(q)) > 3 THEN 'too long' END AS complaint FROM s""")
+SELECT doc_id, pos::INT AS pos, CASE WHEN trim(raw) = '' THEN 'empty' WHEN a = '' THEN 'only markers' WHEN length(a) < length(q) * 0.25 THEN 'too short' WHEN length(a) > length(q) * 3 THEN 'too long' END AS complaint FROM s""")
 def answer_complaints_lines(spark, d):
     """answer_complaints with every line of a document as a question."""
     t = S.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "q"))
@@ -452,14 +477,6 @@ def answer_complaints_lines(spark, d):
     return t.select("doc_id", "pos", translate.complaint(F.col("q"), a).alias("complaint"))
 
 
-@query("rendered_answers", r"""
-WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')[1:4] AS ps FROM documents)
-SELECT doc_id, len(ps) AS parts, true AS same FROM p WHERE len(ps) > 0""")
-def rendered_answers(spark, d):
-    p = S.table(spark, d, "documents").select("doc_id", F.slice(F.filter(F.transform(F.split("text", "\n", -1), X.trim_all), lambda s: s != ""), 1, 4).alias("ps")).where(F.size("ps") > 0)
-    return p.select("doc_id", F.size("ps").cast("long").alias("parts"), translate.parsed_answer(translate.rendered(F.col("ps")), F.size("ps")).eqNullSafe(F.col("ps")).alias("same"))
-
-
 @query("rendered_answers_all", r"""
 WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS ps FROM documents)
 SELECT doc_id, len(ps) AS parts, true AS same FROM p WHERE len(ps) > 0""")
@@ -505,7 +522,11 @@ def sweep_census(spark, d):
     return sweep.census(S.table(spark, d, "documents"), SWEEP, "doc_id")
 
 
-@query("sweep_spans")
+@query("sweep_spans", r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(text, '\([^()\n]*\)|\[[^\[\]\n]*\]') AS h, regexp_split_to_array(text, '\([^()\n]*\)|\[[^\[\]\n]*\]') AS r FROM documents),
+e AS (SELECT id, h, r, unnest(range(1, len(h) + 1)) AS i FROM d),
+o AS (SELECT id, h[i] AS hit, (list_sum(list_transform(r[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM e)
+SELECT id, start, start + length(hit) AS "end", hit FROM o""")
 def sweep_spans(spark, d):
     return sweep.spans(S.table(spark, d, "documents"), SWEEP, "doc_id")
 
@@ -526,9 +547,9 @@ def skip_pages(spark, d):
 
 @query("smart_resize", r"""
 WITH p AS (SELECT p_partkey AS k, (p_partkey * 37 % 4000 + 20)::BIGINT AS h, (p_partkey * 91 % 5000 + 20)::BIGINT AS w FROM part),
-g AS (SELECT *, greatest(28, floor(h / 28 + 0.5) * 28) AS gh, greatest(28, floor(w / 28 + 0.5) * 28) AS gw, sqrt(h * w / 2000000.0) AS o, sqrt(3136.0 / (h * w)) AS u FROM p)
-SELECT k, CASE WHEN gh * gw > 2000000 THEN greatest(28, floor(h / o / 28) * 28) WHEN gh * gw < 3136 THEN ceil(h * u / 28) * 28 ELSE gh END::BIGINT AS height,
-  CASE WHEN gh * gw > 2000000 THEN greatest(28, floor(w / o / 28) * 28) WHEN gh * gw < 3136 THEN ceil(w * u / 28) * 28 ELSE gw END::BIGINT AS width FROM g""")
+g AS (SELECT *, floor(h / 28 + 0.5) * 28 AS gh, floor(w / 28 + 0.5) * 28 AS gw, sqrt(h * w / 2000000.0) AS o, sqrt(3136.0 / (h * w)) AS u FROM p)
+SELECT k, CASE WHEN gh * gw > 2000000 THEN floor(h / o / 28) * 28 WHEN gh * gw < 3136 THEN ceil(h * u / 28) * 28 ELSE gh END::BIGINT AS height,
+  CASE WHEN gh * gw > 2000000 THEN floor(w / o / 28) * 28 WHEN gh * gw < 3136 THEN ceil(w * u / 28) * 28 ELSE gw END::BIGINT AS width FROM g""")
 def smart_resize(spark, d):
     p = S.table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") * 37 % 4000 + 20).alias("h"), (F.col("p_partkey") * 91 % 5000 + 20).alias("w"))
     return p.select("k", G.smart_resize(F.col("h"), F.col("w"), 2_000_000).alias("s")).select("k", "s.height", "s.width")
@@ -600,7 +621,7 @@ def masked_text(spark, d):
 
 @query("unsafe_markup", r"SELECT page_id, length(regexp_replace(html, '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>', '', 'g'))::BIGINT AS n FROM pages")
 def unsafe_markup(spark, d):
-    return S.table(spark, d, "pages").select("page_id", F.char_length(X.strip_unsafe_markup(F.col("html"))).cast("long").alias("n"))
+    return markup.without_unsafe(S.table(spark, d, "pages"), "page_id", "html").select(F.col("id").alias("page_id"), F.char_length("markup").cast("long").alias("n"))
 
 
 @query("plain_text_of_markup", r"""
@@ -616,16 +637,6 @@ def windowed_events(spark, d):
     return windows(S.table(spark, d, "events"))
 
 
-@query("plain_text_book", r"""
-WITH l AS (SELECT source AS book, doc_id, string_split(text, chr(10))[1] AS t FROM documents WHERE doc_id % 7 = 0)
-SELECT book, sha256(string_agg(t, chr(10) || chr(10) ORDER BY doc_id)) AS h FROM l GROUP BY book""")
-def plain_text_book(spark, d):
-    from ..sources.books import plain_text
-
-    t = S.table(spark, d, "documents").where("doc_id % 7 = 0").select(F.col("source").alias("book"), F.col("doc_id").alias("pos"), F.split("text", "\n", -1)[0].alias("text"))
-    return plain_text(t).select("book", F.sha2("text", 256).alias("h"))
-
-
 @query("plain_text_book_rows", r"""
 SELECT source AS book, doc_id AS pos, sha256(text) AS h FROM documents WHERE text IS NOT NULL""")
 def plain_text_book_rows(spark, d):
@@ -636,15 +647,26 @@ def plain_text_book_rows(spark, d):
     return plain_text_rows(t).select("book", "pos", F.sha2("text", 256).alias("h"))
 
 
-@query("markdown_runs")
+@query("markdown_runs", r"""
+WITH l AS (SELECT source AS book, doc_id AS page, unnest(string_split(regexp_replace(text, '(?m)^(Th|De|Es)', '# \1', 'g'), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,4}[ \t]+') THEN 'h' WHEN regexp_matches(line, '^>') THEN 'q' ELSE 't' END AS kind FROM l),
+m AS (SELECT *, CASE WHEN kind = 'h' OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY book, page ORDER BY pos) THEN 1 ELSE 0 END AS new FROM k),
+r AS (SELECT *, sum(new) OVER (PARTITION BY book, page ORDER BY pos) AS run FROM m),
+g AS (SELECT book, page, run, arg_min(CASE WHEN kind = 'q' THEN 'Quote' WHEN kind = 'h' AND regexp_matches(line, '^#[ \t]') THEN 'Title' WHEN kind = 'h' THEN 'Section-header' ELSE 'Text' END, pos) AS category,
+  trim(string_agg(CASE kind WHEN 'h' THEN regexp_replace(line, '^#{1,4}[ \t]+', '') WHEN 'q' THEN regexp_replace(line, '^>[ \t]?', '') ELSE line END, chr(10) ORDER BY pos), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM r GROUP BY book, page, run)
+SELECT book, page, 0 AS ord, (row_number() OVER (PARTITION BY book, page ORDER BY run) - 1)::INT AS part, category, text FROM g WHERE text <> ''""")
 def markdown_runs(spark, d):
-    t = S.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), F.lit("Text").alias("category"), F.regexp_replace("text", r"(?m)^(Th|De|Es)", "# $1").alias("text"))
+    t = S.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), F.lit("Text").alias("category"), F.regexp_replace("text", r"(?md)^(Th|De|Es)", "# $1").alias("text"))
     return B.markdown_runs(t)
 
 
 def queries() -> dict:
+    from . import book_catalog  # noqa: F401 - registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import book_catalog  # noqa: F401
+
     return dict(SQL)

@@ -26,7 +26,7 @@ def skip_list(spark: SparkSession, text: str, widest: int = 100_000) -> DataFram
 
 def bank_lines(spark: SparkSession, path: str) -> DataFrame:
     """book (file), seq (line order), value, last: lines of JSON-lines files. Files are not split, so order is the file's."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("book"), F.split(X.strip_bom(F.col("value")), "\n").alias("ls"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("book"), F.split(X.strip_bom(F.col("value")), "\n").alias("ls"))
     lines = raw.select("book", F.posexplode("ls").alias("seq", "value")).where(F.btrim("value") != "")
     return lines.withColumn("last", F.col("seq") == F.max("seq").over(Window.partitionBy("book")))
 
@@ -63,5 +63,82 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
 
 def write_book_rows(rows: DataFrame, path: str) -> None:
     """Rows with pos as JSON lines, one folder for each book; order within a book is pos."""
-    out = rows.repartition("book").sortWithinPartitions("book", "pos")
+    named = rows.withColumn("book", F.coalesce(F.col("book").cast("string"), F.lit("")))
+    out = named.repartition("book").sortWithinPartitions("book", "pos")
     out.select("book", F.to_json(F.struct(*[c for c in rows.columns if c != "book"])).alias("value")).write.partitionBy("book").text(path)
+
+
+def checked_lines(spark: SparkSession, path: str, schema: str, needed: list[str], torn: bool = True) -> DataFrame:
+    """book, seq and the fields of JSON lines. A line without a needed field refuses its file, the last one aside where it
+    may be torn (torn)."""
+    parsed = bank_lines(spark, path).withColumn("r", F.from_json("value", schema))
+    good = F.col("r").isNotNull()
+    for name in needed:
+        good = good & F.col(f"r.{name}").isNotNull()
+    lame = (F.col("last") & F.lit(torn)) if torn else F.lit(False)
+    checked = parsed.where(good | F.when(lame, F.lit(False)).otherwise(F.assert_true(good, F.concat(F.lit("bad line in "), "book")).isNull()))
+    return checked.where(good).select("book", F.col("seq").cast("long").alias("seq"), "r.*")
+
+
+def translation_bank(spark: SparkSession, path: str) -> DataFrame:
+    """book, key, source, answer: the last answer to each question."""
+    rows = checked_lines(spark, path, "key string, source string, answer string", ["key", "answer"])
+    return rows.groupBy("book", "key").agg(F.max_by(F.struct("source", "answer"), "seq").alias("r")).select("book", "key", "r.source", "r.answer")
+
+
+RECORD = "key string, parts array<string>, generation long, text string, author string"
+
+
+def translation_records(spark: SparkSession, path: str) -> DataFrame:
+    """book, seq, key, parts, generation, text, author; an author counts only if it is the user."""
+    rows = checked_lines(spark, path, RECORD, ["parts", "text"])
+    return rows.withColumn("author", F.when(F.col("author") == "user", F.col("author")))
+
+
+def records_by_parts(records: DataFrame) -> DataFrame:
+    """book, parts, text, author: the last record of each list of parts, and the key it was last asked under."""
+    last = F.max_by(F.struct("text", "author"), "seq")
+    asked = F.max_by("key", F.when(F.col("key").isNotNull(), F.col("seq")))
+    return records.groupBy("book", "parts").agg(last.alias("r"), asked.alias("asked")).select("book", "parts", "r.text", "r.author", "asked")
+
+
+def records_by_key(records: DataFrame) -> DataFrame:
+    """book, key, text: the last record of each key."""
+    return records.where("key is not null").groupBy("book", "key").agg(F.max_by("text", "seq").alias("text"))
+
+
+OP = "op string, id string, into string, at long, len long, block string, note string, text string, category string, title string"
+#: What each verb of the edit log must say.
+SAYS = {"strike": ["id"], "restore": ["id"], "text": ["id", "text"], "category": ["id", "category"], "merge": ["id", "into"], "split": ["id", "at"], "move": ["id", "into"], "link": ["block", "note", "at", "len"], "restore-furniture": ["id"], "chapter-set": ["id", "title"], "chapter-rename": ["id", "title"], "chapter-remove": ["id"], "chapter-move": ["id", "into"], "chapter-reset": []}
+
+
+def edit_log(spark: SparkSession, path: str) -> DataFrame:
+    """book, seq and the fields of an edit log; an unknown verb or one that lacks a field refuses the file."""
+    rows = checked_lines(spark, path, OP, ["op"], torn=False)
+    says = F.create_map(*[x for verb, fields in SAYS.items() for x in (F.lit(verb), F.lit(",".join(fields)))])
+    missing = F.filter(F.split(F.coalesce(says[F.col("op")], F.lit("?")), ","), lambda f: (f != "") & ~F.array_contains(F.map_keys(said_fields()), f))
+    good = F.size(missing) == 0
+    return rows.where(F.assert_true(good, F.concat(F.lit("bad op in "), "book")).isNull())
+
+
+def said_fields():
+    """Column: the fields of an op that are not null, as a map."""
+    names = ("id", "into", "at", "len", "block", "note", "text", "category", "title")
+    every = F.map_from_entries(F.array(*[F.struct(F.lit(n), F.col(n).cast("string")) for n in names]))
+    return F.map_filter(every, lambda k, v: v.isNotNull())
+
+
+def bank_decision(pending, same_ask, marker, partial):
+    """Column: what a run does with the bank it finds: goes on with a pending one that asks the same, else discards it; reads
+    anew beside a completed one, goes on with a partial one, or starts."""
+    return F.when(pending & same_ask, "resume pending").when(pending, "discard pending").when(marker, "fresh into pending").when(partial, "resume").otherwise("start")
+
+
+def write_lines(rows: DataFrame, path: str) -> str:
+    """Rows (book, seq, ...) as JSON lines in order, one folder for each book and one file in it, nulls left out."""
+    fields = [c for c in rows.columns if c not in ("book", "seq")]
+    # a book that is never null is not sorted anew by the writer, so the order within it stays
+    named = rows.withColumn("book", F.coalesce(F.col("book").cast("string"), F.lit("")))
+    out = named.repartition("book").sortWithinPartitions("book", "seq")
+    out.select("book", F.to_json(F.struct(*fields)).alias("value")).write.partitionBy("book").text(path)
+    return path
