@@ -2,8 +2,10 @@
 
 Characters are the UTF-8 bytes of the lower-cased text, with every run of bytes that are not letters as one blank; the
 n-grams of 1 to 4 bytes are hashed into BUCKETS bins for each n. The log-probability matrix (bins x languages) is
-broadcast: its size depends on the model alone. A batch is scored as a sparse count vector times that matrix, summed text
-by text in numpy.
+broadcast: MAX_LANGS languages at most, so 128 MB at most. A batch is scored sparsely: only the bins that occur are looked
+up, and their rows of the matrix are summed text by text in numpy, which is the count vector times the matrix. The n-grams
+of the orders overlap, so their evidence is divided by the number of orders; the logarithm of a language's share of the
+labelled rows is added as its prior.
 
 Nulls: a null text, and one without a letter, is ``und`` with score 0. An empty table of labelled rows gives a model that
 answers ``und`` for all. Ties go to the language that is first in alphabetical order. Other columns are ignored by
@@ -27,6 +29,8 @@ ORDERS, BUCKETS, SMOOTHING = (1, 2, 3, 4), 1 << 15, 0.5
 FIT_ROWS = 20_000
 #: Rows that length classes are pooled to before a floor of evidence is taken from them.
 POOL_ROWS = 500
+#: More languages than this are refused: the matrix grows with them.
+MAX_LANGS = 256
 #: Fixed multipliers of the rolling hash.
 TIMES = np.uint32(0x01000193)
 NOTHING, BLANK = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
@@ -66,16 +70,19 @@ def _count(batches, langs: tuple[str, ...]):
             names = np.array([number[x] for x in part.column(1).to_pylist()])
             texts = texts_of(part.column(0))
             for k in np.unique(names):
-                flat, _, _ = _letters(texts.filter(pa.array(names == k)))
-                for bins in _grams(flat):
-                    counts[k] += np.bincount(bins, minlength=counts.shape[1])
+                flat, starts, _ = _letters(texts.filter(pa.array(names == k)))
+                end = np.repeat(np.append(starts[1:], len(flat)), np.diff(np.append(starts, len(flat))))
+                for n, bins in zip(ORDERS, _grams(flat)):
+                    # texts stand end to end: an n-gram that reaches into the next text is none
+                    counts[k] += np.bincount(bins[np.arange(len(bins)) + n <= end[: len(bins)]], minlength=counts.shape[1])
     at = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(counts[at])], names=["lang", "bin", "n"])
 
 
 class LanguageModel:
-    def __init__(self, langs: list[str], counts: np.ndarray):
+    def __init__(self, langs: list[str], counts: np.ndarray, rows: list[int]):
         self.langs = langs
+        self.prior = np.log(np.array(rows, np.float64) / max(1, sum(rows)))
         by_order = counts.reshape(len(langs), len(ORDERS), BUCKETS).astype(np.float64) + SMOOTHING
         logs = np.log(by_order / by_order.sum(2, keepdims=True)).reshape(len(langs), len(ORDERS) * BUCKETS)
         self.matrix = np.ascontiguousarray(logs.T.astype(np.float32))
@@ -91,13 +98,14 @@ class LanguageModel:
         size = np.diff(np.append(starts, len(flat)))
         total = np.zeros((len(starts), len(self.langs)))
         if len(flat) and self.langs:
-            for bins in _grams(flat):
+            for n, bins in zip(ORDERS, _grams(flat)):
                 if len(bins):
+                    ends = np.maximum(starts, np.append(starts[1:], len(flat)) - n + 1)
                     for a in range(len(self.langs)):
                         sums = np.concatenate([[0.0], np.cumsum(self.matrix[:, a][bins], dtype=np.float64)])
-                        ends = np.minimum(np.append(starts[1:], len(flat)), len(bins))
-                        total[:, a] += sums[ends] - sums[np.minimum(starts, len(bins))]
+                        total[:, a] += sums[np.minimum(ends, len(bins))] - sums[np.minimum(starts, len(bins))]
         total /= len(ORDERS)  # n-grams of the orders overlap; their evidence counts once
+        total += self.prior
         each = (total.max(1) if total.size else np.zeros(len(starts))) / np.maximum(size, 1)
         total -= total.max(1, keepdims=True) if total.size else 0
         p = np.exp(total)
@@ -107,10 +115,12 @@ class LanguageModel:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Counts are summed in each task and then over tasks; the driver gets one row for each bin and language at most."""
     rows = labelled.select(col(labelled, id_col).alias("doc_id"), col(labelled, text_col).cast("string").alias("text"), col(labelled, lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
     langs, total = sorted(sizes), sum(sizes.values())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"{len(langs)} values of {lang_col}; a model learns {MAX_LANGS} languages at most")
     if not langs:
-        return LanguageModel([], np.zeros((0, BUCKETS * len(ORDERS))))
+        return LanguageModel([], np.zeros((0, BUCKETS * len(ORDERS))), [])
     if fit_rows < total:
         # the sample is shared out evenly; a language with fewer rows than its part gives them all
         left, cut = fit_rows, {}
@@ -124,7 +134,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", t
     got = summed.toArrow()
     counts = np.zeros((len(langs), BUCKETS * len(ORDERS)))
     counts[got.column("lang").to_numpy(), got.column("bin").to_numpy()] = got.column("n").to_numpy()
-    return LanguageModel(langs, counts)
+    return LanguageModel(langs, counts, [sizes[x] for x in langs])
 
 
 def _predict(batches, model):
