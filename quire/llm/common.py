@@ -27,9 +27,15 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Scratch tables that were made and not yet deleted in this process.
+MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder."""
-    return f"{shared_root(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -44,12 +50,15 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 
 
 def drop_scratch(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that nothing reads any more."""
+    """Delete scratch tables that nothing reads any more. A result that is still to be read may need its own: what is left
+    in MADE can go once the result is written."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+        if path in MADE:
+            MADE.remove(path)
 
 
 def col(df: DataFrame, name: str) -> Column:

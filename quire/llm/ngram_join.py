@@ -11,7 +11,9 @@ measured against the number of index entries. Where slack is dear (the smallest
 them are made to stand one deletion: both the subset and each one-deletion neighbour are indexed. A set whose empty
 segments use up its slack is looked for directly, as a query against all sets, in blocks.
 
-Sets are held as 64-bit fingerprints of shingles; equal sets are one node. Candidates are verified by counting. First
+Sets are held as 64-bit fingerprints of shingles, and equal sets are one node, named by a 64-bit fingerprint of the set.
+Fingerprints are scrambled sums that no pattern of letters can make meet; by chance two of n different sets have one name
+at a rate of n * n / 4e19, and no link is ever lost. Candidates are verified by counting. First
 every node is compared with one leader of each of its groups, then all pairs that are still in different components are
 compared, in blocks of nodes; so copies are not expanded into all pairs and no link between different texts is lost.
 Components are found by alternating large-star and small-star steps over written tables.
@@ -263,10 +265,6 @@ def kept_entries(shared: DataFrame) -> DataFrame:
     return ranked.where(stays).select("sig", "node", "n")
 
 
-def near_enough(x, y):
-    return (F.lit(DEN) * F.least(x, y)) >= (F.lit(NUM) * F.greatest(x, y))
-
-
 def row_bit():
     return F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << FILTER_BITS))
 

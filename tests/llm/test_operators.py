@@ -175,6 +175,56 @@ def test_texts_in_no_learned_language_are_refused(spark):
     assert ids == lettered
 
 
+def brute_scores(train, text, langs):
+    """Naive Bayes with plain dictionaries of hashed n-grams."""
+
+    def grams(t):
+        raw = (" " + re.sub(r"(?:[^\w]|[\d_])+", " ", t.lower()).strip() + " ").encode()
+        for n in language_id.ORDERS:
+            for k in range(len(raw) - n + 1):
+                h = 0
+                for c in raw[k : k + n]:
+                    h = ((h ^ c) * 0x01000193) & 0xFFFFFFFF
+                    h ^= h >> 15
+                yield n, h % language_id.BUCKETS
+
+    counts = {x: collections.Counter() for x in langs}
+    rows = collections.Counter()
+    for t, x in train:
+        counts[x].update(grams(t))
+        rows[x] += 1
+    total = {}
+    for x in langs:
+        size = collections.Counter()
+        for (n, _), c in counts[x].items():
+            size[n] += c
+        total[x] = np.log(rows[x] / len(train)) + sum(np.log((counts[x][g] + language_id.SMOOTHING) / (size[g[0]] + language_id.SMOOTHING * language_id.BUCKETS)) for g in grams(text)) / len(language_id.ORDERS)
+    top = max(total.values())
+    p = {x: np.exp(v - top) for x, v in total.items()}
+    return {x: v / sum(p.values()) for x, v in p.items()}
+
+
+def test_scores_equal_a_plain_naive_bayes(spark):
+    train = [("the quick brown fox", "en"), ("der schnelle braune fuchs", "de"), ("and the lazy dog", "en")]
+    model = language_id.fit(docs(spark, [(k, t, x) for k, (t, x) in enumerate(train)]))
+    texts = ["the fox", "der fuchs und the dog", "Über 12 Fox", "x"]
+    p, some = model.scores(pa.array(texts, pa.large_string()))
+    for row, text in zip(p, texts):
+        want = brute_scores(train, text, model.langs)
+        assert np.allclose(row, [want[x] for x in model.langs], atol=1e-4), text
+        assert np.allclose(model.scores(pa.array([text], pa.large_string()))[0][0], row, atol=1e-12)  # in any batch
+    assert some.all()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
+def test_held_out_accuracy(spark):
+    from quire.llm.queries import op4_language_id
+
+    truth = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang")
+    rows = op4_language_id(spark, SF_DIR).join(truth, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 200 and sum(r.lang == r.lang_pred for r in rows) >= 0.99 * len(rows)
+
+
 def test_a_rare_language_is_learned_from_all_its_rows(spark):
     rows = [(k, "the quick brown fox and the dog", "en") for k in range(400)] + [(1000 + k, "der schnelle braune fuchs und das über", "de") for k in range(4)]
     few = language_id.fit(docs(spark, rows), fit_rows=20)
