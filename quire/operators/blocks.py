@@ -41,7 +41,7 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     box = F.col("item.bbox")
     good = ~F.col("unread") & (F.col("item").isNull() | (F.col("item.category").isin(*CATEGORIES) & (F.size(box) == 4) & F.forall(box, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))))
     bad = F.max((~F.coalesce(good, F.lit(False))).cast("int")).over(Window.partitionBy("book", "page")) == 1
-    out = each.select("book", "page", "ord", F.lit(0).alias("part"), F.col("item.category").alias("category"), *[F.col("item.bbox")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))], X.trim_all(F.coalesce(F.col("item.text"), F.lit(""))).alias("text"), bad.alias("bad"))
+    out = each.select("book", "page", "ord", F.lit(0).alias("part"), F.col("item.category").alias("category"), *[F.get("item.bbox", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))], X.trim_all(F.coalesce(F.col("item.text"), F.lit(""))).alias("text"), bad.alias("bad"))
     return out.where(F.col("bad") | (F.col("category") == "Picture") | (F.col("text") != ""))
 
 

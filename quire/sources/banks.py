@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -31,13 +31,19 @@ def bank_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("last", F.col("seq") == F.max("seq").over(Window.partitionBy("book")))
 
 
+def accepted(good: Column, torn: Column) -> Column:
+    """Whether a line is taken; one that is neither good nor a torn end refuses its file. One expression, as a condition of
+    two parts could be simplified to the part that cannot fail."""
+    return F.when(good, "taken").when(torn, "torn").otherwise(F.raise_error(F.concat(F.lit("bad line in "), "book")).cast("string")) == "taken"
+
+
 def readings(spark: SparkSession, path: str) -> DataFrame:
     """One row for each book and page, the last line wins. A torn last line is left out, any earlier bad line refuses."""
     parsed = bank_lines(spark, path).withColumn("r", F.from_json("value", READING))
     good = F.col("r.page").isNotNull() & F.col("r.text").isNotNull()
-    checked = parsed.where(good | F.when(F.col("last"), F.lit(False)).otherwise(F.assert_true(good, F.concat(F.lit("bad line in "), "book")).isNull()))
+    checked = parsed.where(accepted(good, F.col("last")))
     pair = F.when(F.col("r.render").isNotNull() & F.col("r.maxPixels").isNotNull(), F.struct("r.render", "r.maxPixels"))
-    rows = checked.where(good).select("book", F.col("seq").cast("long").alias("seq"), "r.page", "r.text", F.coalesce("r.tokens", F.lit(0)).alias("tokens"), F.col("r.finishReason").alias("finish_reason"), F.coalesce("r.seconds", F.lit(0.0)).alias("seconds"), pair.alias("geometry"))
+    rows = checked.select("book", F.col("seq").cast("long").alias("seq"), "r.page", "r.text", F.coalesce("r.tokens", F.lit(0)).alias("tokens"), F.col("r.finishReason").alias("finish_reason"), F.coalesce("r.seconds", F.lit(0.0)).alias("seconds"), pair.alias("geometry"))
     newest = F.row_number().over(Window.partitionBy("book", "page").orderBy(F.desc("seq")))
     return rows.withColumn("__n", newest).where("__n = 1").drop("__n")
 
@@ -75,9 +81,7 @@ def checked_lines(spark: SparkSession, path: str, schema: str, needed: list[str]
     good = F.col("r").isNotNull()
     for name in needed:
         good = good & F.col(f"r.{name}").isNotNull()
-    lame = (F.col("last") & F.lit(torn)) if torn else F.lit(False)
-    checked = parsed.where(good | F.when(lame, F.lit(False)).otherwise(F.assert_true(good, F.concat(F.lit("bad line in "), "book")).isNull()))
-    return checked.where(good).select("book", F.col("seq").cast("long").alias("seq"), "r.*")
+    return parsed.where(accepted(good, F.col("last") if torn else F.lit(False))).select("book", F.col("seq").cast("long").alias("seq"), "r.*")
 
 
 def translation_bank(spark: SparkSession, path: str) -> DataFrame:
