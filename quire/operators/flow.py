@@ -82,8 +82,9 @@ def seams(blocks: DataFrame) -> DataFrame:
     return flow.where((F.col("page") - F.col("p_page") == 1) & refused).select("book", "page")
 
 
-def merged_headings(blocks: DataFrame) -> DataFrame:
-    """Chains of headings of one page that follow each other become one: book, page, ord of the first, n, category, label.
+def heading_chains(blocks: DataFrame) -> DataFrame:
+    """Chains of headings of one page that follow each other become one: book, page, h (ord of the first, the union box, n,
+    text, category).
 
     Any other block ends a chain. A heading joins if it lies below and close (within 1.5 times the larger type size), shares
     half of the narrower width, and one of the two has four words at most, judged against the growing union box; so a chain
@@ -110,5 +111,40 @@ def merged_headings(blocks: DataFrame) -> DataFrame:
         single = item(h["ord"], h["x1"], h["y1"], h["x2"], h["y2"], F.lit(1), h["text"], h["category"])
         return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(acc, F.array(single)))
 
-    folded = chains.select("book", "page", F.explode(F.aggregate("hs", empty, step)).alias("h"))
-    return folded.select("book", "page", F.col("h.ord").alias("ord"), F.col("h.n").cast("long").alias("n"), F.col("h.category").alias("category"), X.heading_label(F.col("h.text")).alias("label"))
+    return chains.select("book", "page", F.explode(F.aggregate("hs", empty, step)).alias("h"))
+
+
+def merged_headings(blocks: DataFrame) -> DataFrame:
+    """book, page, ord of the first, n, category, label of each heading once neighbours are merged."""
+    return heading_chains(blocks).select("book", "page", F.col("h.ord").alias("ord"), F.col("h.n").cast("long").alias("n"), F.col("h.category").alias("category"), X.heading_label(F.col("h.text")).alias("label"))
+
+
+def headings_joined(blocks: DataFrame) -> DataFrame:
+    """Blocks (book, page, ord, category, text, boxes) with merged headings in place of their parts."""
+    fields = "ord", "category", "text", "x1", "y1", "x2", "y2"
+    size = blocks.groupBy("book", "page").agg(F.first("page_width").alias("page_width"), F.first("page_height").alias("page_height"))
+    heads = heading_chains(blocks).select("book", "page", *[F.col(f"h.{c}").alias(c) for c in fields]).join(size, ["book", "page"])
+    rest = blocks.where(~F.col("category").isin("Title", "Section-header"))
+    return rest.select("book", "page", *fields, "page_width", "page_height").unionByName(heads)
+
+
+def reflowed_book(blocks: DataFrame) -> dict[str, DataFrame]:
+    """A book's blocks as it reads: running heads and furniture set aside, headings merged, broken words healed, wrapped prose
+    unwrapped, sections opened, paragraphs joined, footnotes cut into notes.
+
+    The steps are in this order, and the lexicon and the column are those of the blocks before their texts are changed."""
+    from . import blocks as B
+    from . import notes as N
+
+    shelf = B.running_heads(blocks)
+    kept = in_flow(blocks).join(shelf.select("book", "page", "ord"), ["book", "page", "ord"], "left_anti")
+    joined = headings_joined(kept)
+    healed = dehyphenated(joined, lexicon(joined))
+    plain = healed.withColumn("text", F.when(F.col("category") == "Text", X.reflowed(F.col("text"))).otherwise(F.col("text")))
+    starts = B.section_starts(plain)
+    column = B.body_column(joined)
+    first = plain.groupBy("book", "page").agg(F.min("ord").alias("ord")).join(starts.select("book", "page"), ["book", "page"]).withColumn("starts", F.lit(True))
+    aligned = plain.join(column, "book").withColumn("align", G.alignment_class(F.col("x1"), F.col("x2"), F.col("body_x1"), F.col("body_x2"))).join(first, ["book", "page", "ord"], "left")
+    flow = aligned.select("book", "page", "ord", "category", "text", "align", "starts")
+    notes = plain.where(F.col("category") == "Footnote")
+    return {"sections": starts, "shelf": shelf, "paragraphs": flow_paragraphs(flow), "notes": N.split_notes(notes.select("book", "page", "ord", "text"), ["book", "page", "ord"])}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import layer, ledger, refs, rows
+from ..operators import explode, layer, ledger, prose, refs, rows
 from ..operators import flow as flow_ops
 from ..operators.scratch import folder
 from ..sources import banks
@@ -571,3 +571,49 @@ def quad_geometry(spark, d):
     zero = F.lit(0.0)
     left = G.halves(F.array(F.array(F.col("a"), F.col("a")), F.array(F.col("b"), zero), F.array(F.col("b") + 5, F.col("b") + 7), F.array(zero, F.col("b"))), F.lit(0.25))[0]
     return q.select("k", F.round(left[1][0], 6).alias("top_x"), F.round(left[2][0], 6).alias("foot_x"), F.round(G.render_scale(F.lit(800), F.lit(1000), 2_000_000), 6).alias("scale"))
+
+
+@query("markdown_blocks", r"""
+WITH l AS (SELECT source AS book, doc_id AS page, unnest(string_split(m, chr(10))) AS line, generate_subscripts(string_split(m, chr(10)), 1) AS pos FROM (SELECT source, doc_id,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^(A|E)', '- \1', 'g'), '(?m)^(D|L)', '7. \1', 'g'), '(?m)^(T)', '## \1', 'g'), '(?m)^(O)', '<table><tr>\1', 'g') || chr(10) || chr(10) || '***' || chr(10) || 'end </table>' AS m FROM documents)),
+t AS (SELECT *, coalesce(max(CASE WHEN regexp_matches(line, '(?i)^[ \t]*<table[\s>]') THEN pos END) OVER (PARTITION BY book, page ORDER BY pos) > coalesce(max(CASE WHEN regexp_matches(line, '(?i)</table>') THEN pos END) OVER (PARTITION BY book, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), false) AS tab FROM l),
+k AS (SELECT *, CASE WHEN tab THEN 'table' WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '<img>.*?</img>') THEN 'image' WHEN regexp_matches(trim(line), '^(-[ \t]*(-[ \t]*){2,}|\*[ \t]*(\*[ \t]*){2,}|_[ \t]*(_[ \t]*){2,})$') THEN 'rule' WHEN regexp_matches(trim(line), '^#{1,6}[ \t]+') THEN 'heading'
+  WHEN regexp_matches(line, '^[ \t]{0,3}[-*+][ \t]+') THEN 'bullet' WHEN regexp_matches(line, '^[ \t]{0,3}[0-9]+[.)][ \t]+') THEN 'number' ELSE 'text' END AS k FROM t),
+g AS (SELECT *, k = 'text' AND last_value(CASE WHEN k <> 'text' THEN k END IGNORE NULLS) OVER (PARTITION BY book, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) IN ('bullet', 'number') AS more,
+  last_value(CASE WHEN k <> 'text' THEN k END IGNORE NULLS) OVER (PARTITION BY book, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lk FROM k),
+h AS (SELECT *, CASE WHEN coalesce(more, false) THEN lk ELSE k END AS kk FROM g),
+f AS (SELECT *, CASE WHEN kk IN ('image', 'rule', 'heading') THEN 1 WHEN kk = 'table' THEN (NOT coalesce(lag(tab) OVER w, false) OR regexp_matches(lag(line) OVER w, '(?i)</table>'))::INT ELSE (lag(kk) OVER w IS DISTINCT FROM kk)::INT END AS fresh FROM h WINDOW w AS (PARTITION BY book, page ORDER BY pos)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY book, page ORDER BY pos) AS run FROM f)
+SELECT book, page, row_number() OVER (PARTITION BY book, page ORDER BY run)::INT AS seq, CASE WHEN kk IN ('bullet', 'number') THEN 'list' WHEN kk = 'text' THEN 'paragraph' ELSE kk END AS kind, CASE WHEN kk IN ('bullet', 'number') THEN kk = 'number' END AS ordered,
+  CASE WHEN kk IN ('bullet', 'number') THEN count(*) FILTER (NOT coalesce(more, false)) ELSE 1 END AS items FROM r WHERE kk <> 'blank' GROUP BY book, page, run, kk""")
+def markdown_blocks(spark, d):
+    text = F.col("text")
+    for pattern, mark in (("(A|E)", "- "), ("(D|L)", "7. "), ("(T)", "## "), ("(O)", "<table><tr>")):
+        text = F.regexp_replace(text, f"(?md)^{pattern}", mark + "$1")
+    pages = S.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.concat(text, F.lit("\n\n***\nend </table>")).alias("text"))
+    return prose.markdown_blocks(pages, furniture=False).select("book", "page", "seq", "kind", "ordered", F.size("items").cast("long").alias("items"))
+
+
+@query("exploded_categories", r"""
+WITH p AS (SELECT regexp_replace(html, '(?s)<(head|script|style)[^>]*>.*?</(head|script|style)>', '', 'g') AS h FROM pages),
+t AS (SELECT unnest(regexp_extract_all(h, '<(h1|li)[ >]', 1)) AS tag FROM p)
+SELECT CASE tag WHEN 'h1' THEN 'Title' ELSE 'List-item' END AS category, count(*) AS n FROM t GROUP BY tag""")
+def exploded_categories(spark, d):
+    r = explode.exploded_rows(S.table(spark, d, "pages"), "page_id", "html")
+    return r.where(F.col("category").isin("Title", "List-item")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("exploded_rows")
+def exploded_rows(spark, d):
+    return explode.exploded_rows(S.table(spark, d, "pages"), "page_id", "html")
+
+
+@query("plain_chapters")
+def plain_chapters(spark, d):
+    body = F.regexp_replace(F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1), "<b>|</b>", "")
+    return prose.plain_chapters(S.table(spark, d, "pages").select("page_id", body.alias("body")), "page_id", "body")
+
+
+@query("reflowed_book")
+def reflowed_book(spark, d):
+    return flow_ops.reflowed_book(S.blocks(spark, d))["paragraphs"]

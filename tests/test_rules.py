@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import text as X
 from quire.operators import blocks as B
-from quire.operators import chapters, flow, ledger, markup, refs, replay, rows, running, translate
+from quire.operators import chapters, explode, flow, ledger, markup, prose, refs, replay, rows, running, translate
 from quire.sources import banks, books
 from quire.streaming import intake
 
@@ -408,3 +408,53 @@ def test_windows_with_late_events(spark, tmp_path):
     go()
     got = {(r.start.hour, r.n, r.total) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert (0, 2, 3.0) in got and not any(t >= 100 for _, _, t in got)
+
+
+def test_markdown_pages(spark):
+    page = "<header>head</header># One *two*\n\nfirst line\nsecond  \n- a\n  b\n- c\n1. d\ne\n\nplain\n---\n<table>\n<tr>\n\n</table>\n<img> a view </img> here\nafter"
+    made = spark.createDataFrame([("b", 1, page), ("b", 2, "x\n<table>\n<tr>"), ("b", 3, "")], "book string, page int, text string")
+    got = [(r.page, r.kind, r.level, r.ordered, r["items"], r.bad) for r in prose.markdown_blocks(made).orderBy("page", "seq").collect()]
+    assert got[:-2] == [
+        (1, "heading", 1, None, ["One *two*"], False), (1, "paragraph", None, None, ["first line second"], False), (1, "list", None, False, ["a b", "c"], False), (1, "list", None, True, ["d e"], False),
+        (1, "paragraph", None, None, ["plain"], False), (1, "rule", None, None, [""], False), (1, "table", None, None, ["<table>\n<tr>\n\n</table>"], False), (1, "image", None, None, ["a view here"], False), (1, "paragraph", None, None, ["after"], False),
+    ]
+    assert [g[5] for g in got[-2:]] == [True, True]
+    assert values(spark, [prose.inline_prose(F.lit("**a** *b* _c_ x*y*z <d> e²⁺"))]) == ("<strong>a</strong> <em>b</em> <em>c</em> x*y*z &lt;d&gt; e<sup>2+</sup>",)
+
+
+def test_chapters_as_plain_text():
+    chapter = "<section><h1>Head<br/>line</h1><p>One <em>two</em><sup>3</sup> &amp; <img src='x'/></p><blockquote><p>said</p><p>so</p></blockquote><ul><li>a</li><li> b </li></ul><table><thead><tr><th>x</th><th>y</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table><hr/><h3>Small</h3></section>"
+    assert prose.plain_chapter(chapter) == "Head\nline\n====\n\nOne two[3] & [figure]\n\n    said\n\n    so\n\na\nb\n\nx | y\n1 | 2\n\n* * *\n\nSmall"
+    assert prose.plain_chapter("<p>a</p><video>x</video>") is None and prose.plain_chapter("") == ""
+
+
+def test_imported_books(spark, tmp_path):
+    import zipfile
+
+    one = "<html><head><title>t</title></head><body><h1 id='c1'>One</h1><p>See<a href='two.xhtml#n1'><sup>1</sup></a> this.<br/>Next</p><blockquote><p>quoted</p></blockquote><ul><li>a</li><li><p>b</p></li></ul>loose <i>text</i><figure><img src='p.png' alt='A  view'/><figcaption>cap</figcaption></figure><table id='t'><tr><td onclick='x()'>1</td></tr></table><p class='h2'>Sub</p></body></html>"
+    two = "<html><body><aside epub:type='footnote' id='n1'><p>1 The note.</p><p>More.</p></aside></body></html>"
+    with zipfile.ZipFile(tmp_path / "b.epub", "w") as z:
+        z.writestr("META-INF/container.xml", "<container xmlns='urn:x'><rootfiles><rootfile full-path='OEBPS/p.opf'/></rootfiles></container>")
+        z.writestr("OEBPS/p.opf", "<package xmlns='urn:y'><manifest><item id='b' href='two.xhtml'/><item id='a' href='text/one%20x.xhtml'/></manifest><spine><itemref idref='a'/><itemref idref='b'/></spine></package>")
+        z.writestr("OEBPS/text/one x.xhtml", one)
+        z.writestr("OEBPS/two.xhtml", two)
+    documents = explode.epub_documents(spark, str(tmp_path))
+    assert [(r.n, r.document) for r in documents.orderBy("n").collect()] == [(0, "OEBPS/text/one x.xhtml"), (1, "OEBPS/two.xhtml")]
+    got = [(r.doc, r.category, r.text, list(r.anchors), [tuple(x) for x in r.refs]) for r in explode.exploded_rows(documents, "n", "markup").orderBy("doc", "n").collect()]
+    assert got == [
+        (0, "Title", "One", ["c1"], []), (0, "Text", "See¹ this.\nNext", [], [("two.xhtml#n1", 3, 1)]), (0, "Quote", "quoted", [], []), (0, "List-item", "a", [], []), (0, "List-item", "b", [], []), (0, "Text", "loose text", [], []),
+        (0, "Picture", "A view", [], [("p.png", 0, 0)]), (0, "Caption", "cap", [], []), (0, "Table", "<table id='t'><tr><td>1</td></tr></table>", ["t"], []), (0, "Section-header", "Sub", [], []), (1, "Footnote", "1 The note. More.", ["n1"], []),
+    ]
+
+
+def test_a_book_as_it_reads(spark):
+    body = lambda page, ord, text: block(page, ord, "Text", text, 100, 300, 900, 340)
+    made = []
+    for page in range(1, 5):
+        made += [block(page, 0, "Page-header", "THE BOOK", y1=10.0, y2=30.0), block(page, 9, "Footnote", f"{page} note\n{page + 1} more")]
+    made += [block(1, 1, "Title", "II", 480, 100, 520, 180), block(1, 2, "Title", "The Price", 400, 200, 900, 280), body(1, 3, "It was a gov-\nernment of the Anglo-"), body(2, 3, "saxon kind " + "word " * 30), body(3, 3, "Another begins")]
+    made += [block(4, 2, "Section-header", "THE BOOK", y1=10.0, y2=30.0)]
+    got = flow.reflowed_book(spark.createDataFrame(made, BLOCK))
+    texts = [r.text for r in got["paragraphs"].orderBy("para").collect()]
+    assert texts == ["II\nThe Price", "It was a government of the Anglosaxon kind " + ("word " * 30), "Another begins"]
+    assert [r.page for r in got["sections"].collect()] == [1] and got["shelf"].count() == 1 and got["notes"].count() == 8
