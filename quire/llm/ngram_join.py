@@ -458,7 +458,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drop_scratch(spark, kept_path, sets_path, reps_path, links_path, comps_path, more_path)
 
     grouped = nodes.join(final, "node", "left").select("doc_id", "n", "node", F.coalesce("comp", "node").alias("comp"))
-    smallest = grouped.groupBy("comp").agg(F.min("doc_id").alias("least"))
+    # both sides of the join are read from tables, so that the rows of a very large component can be split over tasks
+    grouped, _ = written(grouped, "members")
+    smallest, _ = written(grouped.groupBy("comp").agg(F.min("doc_id").alias("least")), "components")
     out = grouped.join(smallest, "comp")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
