@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 from .running import following, previous, running
+from .scratch import cut
 
 #: The categories a model may answer with.
 CATEGORIES = ("Caption", "Footnote", "Formula", "List-item", "Page-footer", "Page-header", "Picture", "Section-header", "Table", "Text", "Title")
@@ -223,7 +224,7 @@ def chapter_proposals(blocks: DataFrame, spoken_for: DataFrame | None = None) ->
 def section_starts(blocks: DataFrame) -> DataFrame:
     """book, page, kind, label, why: where sections start. Named pages (page_kinds) win over chapters, chapters over closes;
     a close is the next later page with body prose or a heading after a named page, and opens a section without a name."""
-    kinds = page_kinds(blocks)
+    kinds = cut(page_kinds(blocks))
     named = kinds.where("kind is not null").select("book", "page", "kind", F.lit(None).cast("string").alias("label"), F.col("kind").alias("why"), F.lit(0).alias("rank"))
     chapters = chapter_proposals(blocks, named).select("book", "page", F.lit("chapter").alias("kind"), "label", "why", F.lit(1).alias("rank"))
     pages = kinds.select("book", "page", (F.col("kind").isNotNull()).alias("verdict"), F.when((F.col("body") > 0) | (F.col("displays") > 0), F.col("page")).alias("substantial"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 from .blocks import in_flow, lexicon
+from .scratch import cut
 
 JOINABLE = ("Text", "Page-header", "Page-footer")
 
@@ -65,7 +66,7 @@ def flow_paragraphs(blocks: DataFrame) -> DataFrame:
     glue = F.col("fused").isNotNull() & (F.col("a_word").isNotNull() | (F.col("b_word").isNull() & (F.lower(first) == first)))
     how = F.when(F.col("p_text").isNull(), "first").when(F.col("fused").isNull(), "space").when(glue, "fuse").otherwise("keep")
     parts = asked.groupBy("book", "para").agg(F.array_sort(F.collect_list(F.struct("page", "ord", how.alias("how"), "text"))).alias("parts"))
-    cut = lambda c: F.rtrim(c, F.lit(X.BLANK))
+    bare = lambda c: F.rtrim(c, F.lit(X.BLANK))
     text = F.aggregate(
         "parts",
         F.lit(""),
@@ -136,15 +137,16 @@ def reflowed_book(blocks: DataFrame) -> dict[str, DataFrame]:
     from . import blocks as B
     from . import notes as N
 
+    blocks = cut(blocks)  # each step below is read several times
     shelf = B.running_heads(blocks)
     kept = in_flow(blocks).join(shelf.select("book", "page", "ord"), ["book", "page", "ord"], "left_anti")
-    joined = headings_joined(kept)
+    joined = cut(headings_joined(kept))
     healed = dehyphenated(joined, lexicon(joined))
-    plain = healed.withColumn("text", F.when(F.col("category") == "Text", X.reflowed(F.col("text"))).otherwise(F.col("text")))
-    starts = B.section_starts(plain)
+    plain = cut(healed.withColumn("text", F.when(F.col("category") == "Text", X.reflowed(F.col("text"))).otherwise(F.col("text"))))
+    starts = cut(B.section_starts(plain))
     column = B.body_column(joined)
     first = plain.groupBy("book", "page").agg(F.min("ord").alias("ord")).join(starts.select("book", "page"), ["book", "page"]).withColumn("starts", F.lit(True))
     aligned = plain.join(column, "book").withColumn("align", G.alignment_class(F.col("x1"), F.col("x2"), F.col("body_x1"), F.col("body_x2"))).join(first, ["book", "page", "ord"], "left")
-    flow = aligned.select("book", "page", "ord", "category", "text", "align", "starts")
+    flow = cut(aligned.select("book", "page", "ord", "category", "text", "align", "starts"))
     notes = plain.where(F.col("category") == "Footnote")
     return {"sections": starts, "shelf": shelf, "paragraphs": flow_paragraphs(flow), "notes": N.split_notes(notes.select("book", "page", "ord", "text"), ["book", "page", "ord"])}
