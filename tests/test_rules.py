@@ -443,7 +443,7 @@ def test_imported_books(spark, tmp_path):
     got = [(r.doc, r.category, r.text, list(r.anchors), [tuple(x) for x in r.refs]) for r in explode.exploded_rows(documents, "n", "markup").orderBy("doc", "n").collect()]
     assert got == [
         (0, "Title", "One", ["c1"], []), (0, "Text", "See¹ this.\nNext", [], [("two.xhtml#n1", 3, 1)]), (0, "Quote", "quoted", [], []), (0, "List-item", "a", [], []), (0, "List-item", "b", [], []), (0, "Text", "loose text", [], []),
-        (0, "Picture", "A view", [], [("p.png", 0, 0)]), (0, "Caption", "cap", [], []), (0, "Table", "<table id='t'><tr><td>1</td></tr></table>", ["t"], []), (0, "Section-header", "Sub", [], []), (1, "Footnote", "1 The note. More.", ["n1"], []),
+        (0, "Picture", "A view", [], [("p.png", 0, 0)]), (0, "Caption", "cap", [], []), (0, "Table", "<table id='t'><tr><td>1</td></tr></table>", ["t"], []), (0, "Section-header", "Sub", [], []), (1, "Footnote", "1 The note.More.", ["n1"], []),
     ]
 
 
