@@ -90,7 +90,7 @@ def rope_of(text: str, unit: str = "char", leaf: int = LEAF) -> Rope:
     """A balanced rope of the text; a leaf ends with a unit, so a longer unit has a leaf of its own."""
     pattern = UNITS[unit]
     if pattern is None:
-        row: list[Rope] = [Leaf(text[i : i + leaf], min(leaf, len(text) - i)) for i in range(0, len(text), leaf)]
+        row = [Leaf(text[i : i + leaf], min(leaf, len(text) - i)) for i in range(0, len(text), leaf)]
     else:
         row, start, count = [], 0, 0
         for match in pattern.finditer(text):
@@ -100,9 +100,15 @@ def rope_of(text: str, unit: str = "char", leaf: int = LEAF) -> Rope:
             count += 1
         if count:
             row.append(Leaf(text[start:], count))
-    while len(row) > 1:
-        row = [_node(*row[i : i + 2]) if i + 1 < len(row) else row[i] for i in range(0, len(row), 2)]
-    return row[0] if row else EMPTY
+    return _built(row, 0, len(row)) if row else EMPTY
+
+
+def _built(row: list[Leaf], start: int, end: int) -> Rope:
+    """Leaves start to end, halved until one is left."""
+    if end - start == 1:
+        return row[start]
+    middle = (start + end) // 2
+    return _node(_built(row, start, middle), _built(row, middle, end))
 
 
 def split(rope: Rope, rank: int, unit: str = "char", by: str = "units") -> tuple[Rope, Rope]:

@@ -3,11 +3,10 @@
 Characters are the UTF-8 bytes of the lower-cased text, with every run of bytes that are not letters as one blank; the
 n-grams of 1 to 4 bytes are hashed into BUCKETS bins for each n. The log-probability matrix (bins x languages) is
 broadcast: MAX_LANGS languages at most, so 128 MB at most. A batch is scored sparsely: only the bins that occur are looked
-up, and their rows of the matrix are summed text by text in numpy, which is the count vector times the matrix. The n-grams
-of the orders overlap, so their evidence is divided by the number of orders; the logarithm of a language's share of the
-labelled rows is added as its prior.
+up, and their rows of the matrix are summed text by text in numpy, which is the sparse count vector times the matrix. The n-grams of the orders overlap, so their evidence is divided by the number of orders; the
+logarithm of a language's share of the labelled rows is added as its prior.
 
-Nulls: a null text, and one without a letter, is ``und`` with score 0. An empty table of labelled rows gives a model that
+Nulls: a null text, and one without a letter (marks alone are none), is ``und`` with score 0; a null id is not held out. An empty table of labelled rows gives a model that
 answers ``und`` for all. Ties go to the language that is first in alphabetical order. Other columns are ignored by
 predict_language and kept by keep_languages.
 """
@@ -39,12 +38,12 @@ NOTHING, BLANK = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_strin
 def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, where each starts, and whether each has a letter. A text is blank, words and blanks, blank."""
     low = pc.utf8_lower(texts)
+    some = pc.match_substring_regex(low, r"\pL").to_numpy(zero_copy_only=False)
     low = pc.replace_substring_regex(low, r"[^\pL\pM]+", " ")
     low = pc.binary_join_element_wise(NOTHING, pc.utf8_trim(low, " "), NOTHING, BLANK)
-    lens = pc.binary_length(low).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = np.frombuffer(low.buffers()[2], np.uint8)
     begin = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
-    return flat[begin[0] : begin[-1]], begin[:-1] - begin[0], lens > 2
+    return flat[begin[0] : begin[-1]], begin[:-1] - begin[0], some
 
 
 def _grams(flat: np.ndarray) -> list[np.ndarray]:
@@ -99,11 +98,14 @@ class LanguageModel:
         total = np.zeros((len(starts), len(self.langs)))
         if len(flat) and self.langs:
             for n, bins in zip(ORDERS, _grams(flat)):
-                if len(bins):
-                    ends = np.maximum(starts, np.append(starts[1:], len(flat)) - n + 1)
+                # of each text, from its first n-gram to the one that ends with it; a text shorter than n has none
+                ends = np.append(starts[1:], len(flat)) - n + 1
+                have = np.flatnonzero(ends > starts)
+                if len(have):
+                    edges = np.stack([starts[have], ends[have]], 1).ravel()
+                    bins = np.append(bins, 0)  # so that the last end is a place too
                     for a in range(len(self.langs)):
-                        sums = np.concatenate([[0.0], np.cumsum(self.matrix[:, a][bins], dtype=np.float64)])
-                        total[:, a] += sums[np.minimum(ends, len(bins))] - sums[np.minimum(starts, len(bins))]
+                        total[have, a] += np.add.reduceat(np.take(self.matrix[:, a], bins), edges, dtype=np.float64)[::2]
         total /= len(ORDERS)  # n-grams of the orders overlap; their evidence counts once
         total += self.prior
         each = (total.max(1) if total.size else np.zeros(len(starts))) / np.maximum(size, 1)
@@ -156,8 +158,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
 
 
 def held_out(doc_id) -> "F.Column":
-    """The fold that no model sees."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """The fold that no model sees; a null id is not in it."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def length_class(size: np.ndarray) -> np.ndarray:
