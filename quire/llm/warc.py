@@ -8,6 +8,9 @@ The join moves no payloads. Records are range-partitioned by (canonical URL, dat
 spreads over partitions; each partition carries its latest response forward, and what a partition inherits from those
 before it is settled by one row for each partition.
 
+Damaged data lose no other record: a torn record or gzip member is passed over and reported, and reading goes on at the next
+one. A date that is none, or lies outside of the years that can be told, is null.
+
 Nulls: a null url is canonicalised as an empty one is (/); a record without a date, or with one that is no date, is never
 earlier than another and finds nothing.
 Ties: of responses with one date the one with the largest record_id is latest. Repeated rows are resolved alike. Empty
@@ -30,6 +33,10 @@ from .common import drop_scratch, slices, written
 UPDATES = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that do not change the resource.
 TRACKING = r"^(utm_[a-z]+|gclid|fbclid|msclkid|ref|phpsessid|jsessionid|sid)(=|$)"
+#: The kind of a record that could not be read.
+DAMAGED = "damaged"
+#: How a gzip member begins.
+GZIP = b"\x1f\x8b\x08"
 RECORD = "record_id string, kind string, url string, date timestamp, status int, headers map<string,string>, digest string, body binary"
 REVISIT = "record_id string, url string, canonical_url string, date timestamp, response_id string, state string, headers map<string,string>, digest string"
 
@@ -68,52 +75,79 @@ def _fields(block: bytes) -> dict[str, str]:
     return out
 
 
-def unpacked(data: bytes) -> bytes:
-    """WARC data as it is, or its gzip members end to end; a torn or damaged member ends it."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        try:
-            out.append(member.decompress(data))
-        except zlib.error:
-            break
-        data = member.unused_data
-    return b"".join(out)
+def unpacked(data: bytes) -> list[bytes]:
+    """WARC data as it is, or its gzip members. Whole members that follow each other are one piece; after a torn or damaged
+    one, whose own data up to the damage are a piece, the next member is looked for."""
+    if data[:2] != GZIP[:2]:
+        return [data]
+    pieces, run, at = [], [], 0
+    while at >= 0:
+        got, end = _member(data, at)
+        run.append(got)
+        if end is not None and (end == len(data) or data[end : end + 3] == GZIP):
+            at = end if end < len(data) else -1
+            continue
+        pieces.append(b"".join(run))
+        run = []
+        at = data.find(GZIP, at + 1 if end is None else end)
+    return [p for p in [*pieces, b"".join(run)] if p]
+
+
+def _member(data: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int | None]:
+    """What the gzip member that begins here holds (up to its damage), and where it ends; None if it does not."""
+    member, out = zlib.decompressobj(31), []
+    try:
+        for k in range(at, len(data), step):
+            out.append(member.decompress(data[k : k + step]))
+            if member.eof:
+                return b"".join(out), min(k + step, len(data)) - len(member.unused_data)
+    except zlib.error:
+        pass
+    return b"".join(out), None
 
 
 def date_of(text: str | None) -> datetime.datetime | None:
     """A WARC date in UTC; null where it is none."""
     try:
         date = datetime.datetime.fromisoformat((text or "").replace("Z", "+00:00"))
-    except ValueError:
+        return date.replace(tzinfo=datetime.UTC) if date.tzinfo is None else date.astimezone(datetime.UTC)
+    except (ValueError, OverflowError):
         return None
-    return date.replace(tzinfo=datetime.UTC) if date.tzinfo is None else date.astimezone(datetime.UTC)
 
 
 def read_records(data: bytes):
-    """Record by record: (record_id, kind, url, date, status, HTTP headers, digest, body). A torn last record is left out,
-    and a record whose length is no number is passed over up to the next that begins a line."""
-    data = unpacked(data)
+    """Record by record: (record_id, kind, url, date, status, HTTP headers, digest, body).
+
+    A record whose length is no number, or is larger than what follows, is passed over up to the next record head that
+    begins a line; it comes out as one of kind DAMAGED with its named fields and no body. A file that was torn within its
+    last record ends with such a one."""
+    for piece in unpacked(data):
+        yield from _records(piece)
+
+
+def _records(data: bytes):
     at = 0
     while True:
         at = data.find(b"WARC/1.", at)
-        end = data.find(b"\r\n\r\n", at)
-        if at < 0 or end < 0:
+        if at < 0:
             return
-        warc = _fields(data[at:end])
+        if at and data[at - 1 : at] != b"\n":
+            at += 7
+            continue
+        end = data.find(b"\r\n\r\n", at)
+        warc = _fields(data[at : end if end >= 0 else len(data)])
+        named = warc.get("warc-record-id", "").strip("<>"), warc.get("warc-type"), warc.get("warc-target-uri"), warc.get("warc-date")
         length = warc.get("content-length", "")
-        if not (length.isascii() and length.isdigit()) or (at and data[at - 1 : at] != b"\n"):
+        known = length.isascii() and length.isdigit() and len(length.lstrip("0")) < 16
+        size = int(length.lstrip("0") or 0) if known else 0
+        if end < 0 or not known or end + 4 + size > len(data):
+            yield named[0], DAMAGED, named[2], named[3], None, {}, warc.get("warc-payload-digest"), None
             at += 7
             continue
-        size = int(length)
         block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            return
         head, _, body = block.partition(b"\r\n\r\n")
         status = head.split(b"\r\n", 1)[0].split(b" ")
-        yield warc.get("warc-record-id", "").strip("<>"), warc.get("warc-type"), warc.get("warc-target-uri"), warc.get("warc-date"), int(status[1]) if len(status) > 1 and len(status[1]) == 3 and status[1].isdigit() else None, _fields(head), warc.get("warc-payload-digest"), body
+        yield *named, int(status[1]) if len(status) > 1 and len(status[1]) == 3 and status[1].isdigit() else None, _fields(head), warc.get("warc-payload-digest"), body
         at = end + 4 + size
 
 
@@ -196,7 +230,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def _crawl(batches):
-    """A small crawl of each page: a full response, and a later revisit whose URL and validators are written differently."""
+    """A small crawl of each page: full responses, each with validators of its own, and revisits before, between and after
+    them whose URL and validators are written differently."""
     import hashlib
 
     zero = datetime.datetime(2024, 1, 1)
@@ -207,13 +242,18 @@ def _crawl(batches):
             for page_id, url, page in zip(*(part.column(k).to_pylist() for k in range(3))):
                 body, k, url = (page or "").encode("utf-8", "surrogatepass"), page_id or 0, url or ""
                 digest = "sha1:" + hashlib.sha1(body).hexdigest()
-                tag = f'"{digest[5:21]}"'
-                head = {"Content-Type": "text/html", "ETag": tag, "Date": stamp(60 * k), "Cache-Control": "max-age=60"}
-                again = {"Date": stamp(60 * k + 86_400), "Cache-Control": "max-age=3600", "Content-Type": "text/plain"}
-                if k % 7:
-                    again["ETag"] = "W/" + tag if k % 5 else '"changed"'
-                data = warc_record("response", f"urn:page:{k}:0", url, stamp(60 * k), "200 OK", head, body, digest)
-                data += warc_record("revisit", f"urn:page:{k}:1", url + ("#again" if k % 2 else ""), stamp(60 * k + 86_400), "304 Not Modified", again, b"", digest if k % 3 else None)
+                data = b""
+                for n in range(1 + k % 3):  # responses a day apart, revisits half a day after each
+                    tag = f'"{digest[5:21]}-{n}"'
+                    at = 60 * k + 86_400 * n
+                    head = {"Content-Type": "text/html", "ETag": tag, "Date": stamp(at), "Cache-Control": "max-age=60"}
+                    again = {"Date": stamp(at + 43_200), "Cache-Control": "max-age=3600", "Content-Type": "text/plain"}
+                    if k % 7:
+                        again["ETag"] = "W/" + tag if (k + n) % 5 else '"changed"'
+                    data += warc_record("response", f"urn:page:{k}:{n}:0", url, stamp(at), "200 OK", head, body, digest)
+                    data += warc_record("revisit", f"urn:page:{k}:{n}:1", url + ("#again" if k % 2 else ""), stamp(at + 43_200), "304 Not Modified", again, b"", digest if k % 3 else None)
+                if k % 11 == 0:
+                    data += warc_record("revisit", f"urn:page:{k}:early", url, stamp(60 * k - 60), "304 Not Modified", {}, b"", digest)
                 out.append(data)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["content"])
 

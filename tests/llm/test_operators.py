@@ -540,11 +540,22 @@ def test_html_very_deep_and_very_long(spark):
 
 
 def brute_revisits(records):
+    """record_id: (response_id, state, headers, digest), by looking through all records for each revisit."""
+    updates = {"cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"}
     out = {}
     for r in records:
         if r["kind"] == "revisit":
             earlier = [x for x in records if x["kind"] == "response" and x["status"] == 200 and x["c"] == r["c"] and x["date"] is not None and r["date"] is not None and x["date"] < r["date"]]
-            out[r["record_id"]] = max(earlier, key=lambda x: (x["date"], x["record_id"]))["record_id"] if earlier else None
+            if not earlier:
+                out[r["record_id"]] = (None, "no-earlier-response", None, None)
+                continue
+            old = max(earlier, key=lambda x: (x["date"], x["record_id"]))
+            a, b = old["headers"] or {}, r["headers"] or {}
+            pairs = [(a.get("etag", "").removeprefix("W/") if "etag" in a else None, b.get("etag", "").removeprefix("W/") if "etag" in b else None), (a.get("last-modified"), b.get("last-modified")), (old["digest"], r["digest"])]
+            known = [(x, y) for x, y in pairs if x is not None and y is not None]
+            state = "no-validator" if not known else "resolved" if known[0][0] == known[0][1] else "validator-mismatch"
+            merged = {**a, **{k: v for k, v in b.items() if k in updates}} if state == "resolved" and old["headers"] is not None else None
+            out[r["record_id"]] = (old["record_id"], state, merged, old["digest"])
     return out
 
 
@@ -558,19 +569,18 @@ def test_warc(spark):
         url = None if k == 7 else ["http://www.A.example:80/x/", "https://a.example/x?utm_source=q#f", "http://b.example/?b=2&a=1", "http://b.example?a=1&b=2"][rng.integers(0, 4)] if k % 3 else "http://hot.example/"
         date = None if k % 50 == 9 else zero + datetime.timedelta(minutes=int(rng.integers(0, 120)))
         kind = "revisit" if rng.random() < 0.4 else "response"
-        head = {"etag": '"a"' if k % 4 else '"b"', "content-type": "x", "cache-control": str(k)} if k % 5 else None
-        rows.append((f"r{k:03}", kind, url, date, 200 if k % 11 else 404, head, "d", None, 1))
+        tag = ['"a"', 'W/"a"', '"b"', None][rng.integers(0, 4)]
+        head = {"etag": tag, "last-modified": [None, "m1", "m2"][rng.integers(0, 3)], "content-type": f"t{k}", "cache-control": str(k), "vary": "x" if k % 2 else None, "server": f"s{k % 3}"}
+        head = {x: v for x, v in head.items() if v is not None} if k % 5 else None
+        rows.append((f"r{k:03}", kind, url, date, 200 if k % 11 else 404, head, ["d", "e", None][rng.integers(0, 3)], None, 1))
+    rows += rows[5:25] + rows[5:25]  # repeated rows are resolved alike
     table = spark.createDataFrame(rows, warc.RECORD + ", part int")
     named = [r.asDict() for r in table.withColumn("c", warc.canonical_url(F.col("url"))).collect()]
     want = brute_revisits(named)
-    got = {r.record_id: r for r in warc.resolve_revisits(table.repartition(7)).collect()}
-    assert {k: r.response_id for k, r in got.items()} == want
-    by_id = {r["record_id"]: r for r in named}
-    for k, r in got.items():
-        if r.state == "resolved":
-            old, new = by_id[r.response_id]["headers"], by_id[k]["headers"]
-            if old and new:
-                assert old["etag"] == new["etag"] and r.headers["cache-control"] == new["cache-control"] and r.headers["content-type"] == "x"
+    found = warc.resolve_revisits(table.repartition(7)).collect()
+    assert len(found) == sum(r[1] == "revisit" for r in rows)
+    assert all((r.response_id, r.state, r.headers, r.digest) == want[r.record_id] for r in found)
+    assert len({r.state for r in found}) == 4
     assert {c["c"] for c in named} == {"/", "hot.example/", "a.example/x", "b.example/?a=1&b=2"}
     assert warc.resolve_revisits(table.limit(0)).count() == 0
 
@@ -582,6 +592,29 @@ def test_warc_parsing(spark):
     packed = gzip.compress(data[: len(data) // 2]) + gzip.compress(data[len(data) // 2 :]) + gzip.compress(data)[:30]
     bad = data.replace(b"2024-01-01T00:00:00Z", b"the first day").replace(b"Content-Length: ", b"Content-Length: x", 1) + data.replace(b"2024-01-01T00:00:00Z", b"yesterday").replace(b"ETag: x", b"Link: a\r\nLink: b")
     more = warc.parse_warc(spark.createDataFrame([(bytearray(packed),), (bytearray(bad),), (bytearray(b"\x1f\x8bjunk"),)], "content binary")).collect()
+    assert [r.record_id for r in more if r.kind == "damaged"] == ["urn:1"]
+    more = [r for r in more if r.kind != "damaged"]
     assert [(r.record_id, r.date is None) for r in more] == [("urn:1", False), ("urn:2", False), ("urn:2", False), ("urn:1", True), ("urn:2", False)]
     assert more[3].headers["link"] == "a, b"
-    assert [(r.record_id, r.status, bytes(r.body)) for r in got[:2]] == [("urn:1", 200, b"body\r\n\r\nmore"), ("urn:2", 304, b"")] and len(got) == 3
+    assert [(r.record_id, r.status, bytes(r.body)) for r in got[:2]] == [("urn:1", 200, b"body\r\n\r\nmore"), ("urn:2", 304, b"")]
+    assert [(r.record_id, r.kind) for r in got[2:]] == [("urn:1", "response"), ("urn:2", "damaged")]
+
+
+def test_warc_damage_loses_no_other_record(spark):
+    one = lambda k, body=b"body": warc.warc_record("response", f"urn:{k}", "http://a/", "2024-01-01T00:00:00Z", "200 OK", {"X": "y"}, body)
+    ids = lambda data: [(r[0], r[1]) for r in warc.read_records(data)]
+    ok = [(f"urn:{k}", "response") for k in range(4)]
+    lost = [ok[0], ("urn:1", "damaged"), ok[2], ok[3]]
+    for length in (b"Content-Length: 9000", b"Content-Length: " + b"9" * 5000, b"Content-Length: -1", b"Content-Length:"):
+        damaged = re.sub(rb"Content-Length: \d+", length, one(1))
+        assert ids(one(0) + damaged + one(2) + one(3)) == lost
+    assert ids(one(0) + one(1).replace(b"Content-Length: ", b"Content-Length: " + b"0" * 5000) + one(2) + one(3)) == ok
+    noise = np.random.default_rng(1).integers(0, 256, 40_000, np.uint8).tobytes()
+    members = [gzip.compress(one(k, noise if k == 1 else b"body")) for k in range(4)]
+    assert ids(b"".join(members)) == ok and ids(gzip.compress(one(0) + one(1)) + members[2] + members[3]) == ok
+    for bad in (members[1][:20_000], members[1][:20_000] + b"\xff" * 50 + members[1][20_050:], members[1][:3]):
+        got = ids(members[0] + bad + members[2] + members[3])
+        assert [r for r in got if r[1] == "response"] == [ok[0], *ok[2:]] and ("urn:1", "damaged") in got or bad == members[1][:3]
+    early = one(0).replace(b"2024-01-01T00:00:00Z", b"0001-01-01T00:00:00+14:00") + one(1).replace(b"2024-01-01T00:00:00Z", b"9999-12-31T23:59:59-14:00")
+    rows = warc.parse_warc(spark.createDataFrame([(bytearray(early),), (bytearray(one(2, b"x" * 30_000_000)),)], "content binary")).collect()
+    assert [r.date for r in rows[:2]] == [None, None] and len(rows[2].body) == 30_000_000
