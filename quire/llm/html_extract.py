@@ -11,13 +11,15 @@ The wrapper decides. Its content part is the article or main element with most t
 MOST of the host's text that varies and is in no link; constants, links and furniture count for nothing. Every page is
 then aligned with its host's wrapper, and its text is what lies in slots of the content part: no furniture (elements and
 whole class or role tokens below, fixed values) and no constant that CONSTANT_PAGES pages or more and nearly all pages of
-the host have in the same place. Headings are no constants. Where constants are most of the content, the pages are copies
+the host have in the same place. Records of short texts and a longer one that repeat after the prose are readers' comments,
+whatever their marks. Headings are no constants. Where constants are most of the content, the pages are copies
 of each other and nothing counts as constant. A page without its host's content part is its own wrapper.
 
 Distinct streams are counted with partial sums before the shuffle; a host's streams are aligned in parts of PART streams,
 then part by part, so a host with a third of all pages is no large group. The order is that of the streams, so results
-do not depend on how pages are dealt out. Elements deeper than DEPTH belong to their ancestor at that depth. Pages stay
-where they are while all wrappers together have at most BROADCAST_BYTES; beyond that they are joined by host.
+do not depend on how pages are dealt out. Elements deeper than DEPTH belong to their ancestor at that depth, but for
+furniture, which is left out there as anywhere. Pages stay where they are while all wrappers together have at most
+BROADCAST_BYTES; beyond that they are joined by host.
 
 Nulls: null or empty html gives an empty text; a null url is the host of all null urls. Tags that are never closed end with
 their parent. Repeated rows give equal rows. An empty table gives an empty result. Other columns are ignored.
@@ -29,6 +31,8 @@ import html as entities
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache, partial
 
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import col, drop_scratch, slices, written
 
 #: Elements whose content is no text of the page.
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "canvas", "select", "annotation-xml", "annotation")
+RAW = ("script", "style", "template", "textarea", "svg", "iframe", "canvas", "select", "annotation-xml", "annotation")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -47,13 +51,17 @@ BLOCK = frozenset(
 HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that may be the content part; a paragraph or list item is a block of it.
 HOLDERS = frozenset("html body div section main article center table tbody tr td".split())
-#: Elements that are furniture wherever they stand.
+#: Elements that hold blocks; only these are furniture by a mark, so a marked paragraph, cell or span is text.
+CONTAINERS = frozenset("div section article ul ol dl details dialog fieldset figure center dir".split())
+#: Elements that may hold one reader's comment, and the most code points of a name or date on average.
+RECORDS, SHORT_TEXT = frozenset("div section article li dd".split()), 40
+#: Elements that are furniture wherever they stand (a header within an article or main element is its own).
 NOISE = frozenset("nav header footer aside form head title menu button".split())
 #: Whole class or role tokens that mark furniture; a word between hyphens may be a subject of the text.
 NOISE_TOKEN = re.compile(
-    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|nav\w*|menu|sidebar|side|footer|header|masthead|breadcrumbs?|comments?|respond|disqus|share|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|search|pagination|pager|toolbar|widget|complementary|contentinfo|navigation)"
-    r"|ads?[_-](?:slot|box|unit|banner|container|wrapper)|(?:site|page|main|global|top)[_-](?:header|footer|nav|navigation|menu)|nav[_-](?:bar|menu|links)|(?:cookies?|consent)[_-](?:banner|notice|bar|popup)"
-    r"|comments?[_-](?:list|area|section|form|thread)|(?:share|social)[_-](?:bar|buttons?|links|icons)|related[_-](?:posts?|articles?|stories|links)|search[_-](?:form|box|bar)|newsletter[_-](?:signup|form|box)|widget[_-]area|promo[_-]card",
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|nav\w*|menu|sidebar|footer|header|masthead|breadcrumbs?|respond|disqus|share|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|pagination|pager|toolbar|widget|complementary|contentinfo|navigation)"
+    r"|(?:\w+[_-])?comments?(?:[_-]\w+)?|ads?[_-](?:slot|box|unit|banner|container|wrapper)|(?:site|page|main|global|top)[_-](?:header|footer|nav|navigation|menu)|nav[_-](?:bar|menu|links)|(?:cookies?|consent)[_-](?:banner|notice|bar|popup)"
+    r"|(?:share|social)[_-](?:bar|buttons?|links|icons)|related[_-](?:posts?|articles?|stories|links)|search[_-](?:form|box|bar)|newsletter[_-](?:signup|form|box)|widget[_-]area|promo[_-]card",
     re.I,
 )
 #: Marks that name a page's article.
@@ -71,6 +79,8 @@ CONSTANT_PAGES, CONSTANT_SHARE = 3, 0.9
 #: The share of a host's varying text that its content part holds at least.
 MOST = 0.9
 DEPTH = 200
+#: Lists whose lengths have a product of at most this are aligned by their longest common runs.
+SMALL = 1 << 14
 BROADCAST_BYTES = 64 << 20
 
 
@@ -86,8 +96,8 @@ def labelled(name: str, attributes: str) -> tuple[str, bool]:
     for kind, a, b, c in MARK.findall(attributes) if attributes else ():
         for token in (a or b or c).split():
             is_id = kind.lower() == "id"
-            # an id is a hint for a div or list only, and nothing is for a heading or the whole page
-            if kind.lower() != "itemprop" and name not in HEADS and name not in ("html", "body") and (not is_id or name in ("div", "ul")):
+            # an id is a hint for a div or list only
+            if kind.lower() != "itemprop" and name in CONTAINERS and (not is_id or name in ("div", "ul")):
                 noise = noise or bool(NOISE_TOKEN.fullmatch(token))
             marks.append("#" if any(x.isdigit() for x in token) else ("#" + token if is_id else token))
     return (f"{name}.{' '.join(marks)}" if marks else name), noise
@@ -130,15 +140,23 @@ def merged(a: Part, b: Part) -> Part:
     return out
 
 
-def grouped(kids: list[Part], unit: list[str], label: str) -> list[Part]:
-    """Runs of parts that are the unit of a group become that group."""
+def grouped(kids: list[Part], groups: list[Part]) -> list[Part]:
+    """Runs of parts that are the unit of one of the groups become that group, longest units first."""
+    units: dict[int, dict[tuple, str]] = {}
+    for g in groups:
+        units.setdefault(len(g.kids), {})[tuple(k.label for k in g.kids)] = g.label
+    sizes = sorted(units, reverse=True)
+    labels = [k.label for k in kids]
     out, i = [], 0
     while i < len(kids):
-        if [k.label for k in kids[i : i + len(unit)]] == unit:
-            group = Part(label)
-            group.kids, group.optional = kids[i : i + len(unit)], all(k.optional for k in kids[i : i + len(unit)])
-            out.append(group)
-            i += len(unit)
+        for size in sizes:
+            label = units[size].get(tuple(labels[i : i + size]))
+            if label is not None:
+                group = Part(label)
+                group.kids, group.optional = kids[i : i + size], all(k.optional for k in kids[i : i + size])
+                out.append(group)
+                i += size
+                break
         else:
             out.append(kids[i])
             i += 1
@@ -148,19 +166,88 @@ def grouped(kids: list[Part], unit: list[str], label: str) -> list[Part]:
 def steps(a: list[Part], b: list[Part]):
     """The alignment of two lists: (part of a, part of b) in order, None for one that the other lacks."""
     for mine, other in ((a, b), (b, a)):
-        for x in mine:
-            if x.label[0] == "(" and not any(y.label == x.label for y in other):
-                other[:] = grouped(other, [k.label for k in x.kids], x.label)
+        there = {y.label for y in other}
+        lacking = [x for x in mine if x.label[0] == "(" and x.label not in there]
+        if lacking:
+            other[:] = grouped(other, lacking)
     la, lb = [x.label for x in a], [x.label for x in b]
     if la == lb:
         yield from zip(a, b)
         return
-    for what, i, j, k, m in SequenceMatcher(None, la, lb, autojunk=False).get_opcodes():
-        if what == "equal":
-            yield from zip(a[i:j], b[k:m])
+    i = k = 0
+    for j, m in [*_pairs(la, lb), (len(la), len(lb))]:
+        yield from ((x, None) for x in a[i:j])
+        yield from ((None, y) for y in b[k:m])
+        if j < len(la):
+            yield a[j], b[m]
+        i, k = j + 1, m + 1
+
+
+def _pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal labels, rising in both lists. Short lists are matched by their longest common runs; longer ones are
+    first cut at runs of labels that each of them has once, the shortest such runs that there are."""
+    out: list[tuple[int, int]] = []
+    work = [(0, len(a), 0, len(b))]
+    while work:
+        i, j, k, m = work.pop()
+        head = 0
+        while i + head < j and k + head < m and a[i + head] == b[k + head]:
+            head += 1
+        out += [(i + n, k + n) for n in range(head)]
+        i, k = i + head, k + head
+        while j > i and m > k and a[j - 1] == b[m - 1]:
+            j, m = j - 1, m - 1
+            out.append((j, m))
+        if i == j or k == m:
+            continue
+        if (j - i) * (m - k) <= SMALL:
+            for x, y, n in SequenceMatcher(None, a[i:j], b[k:m], autojunk=False).get_matching_blocks():
+                out += [(i + x + d, k + y + d) for d in range(n)]
+            continue
+        anchors = _anchors(a[i:j], b[k:m])
+        edges = [(i, k), *((i + x, k + y) for x, y in anchors), (j, m)]
+        if anchors:
+            work += [(x, x2, y, y2) for (x, y), (x2, y2) in zip(edges, edges[1:])]
+    return sorted(out)
+
+
+def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places at which both lists have a run that is in each of them once, rising in both lists."""
+    rank = {x: n for n, x in enumerate(dict.fromkeys([*a, *b]))}
+    ranks_a, ranks_b = ([rank[x] for x in side] for side in (a, b))
+    length = 1
+    while ranks_a and ranks_b:
+        once_a, once_b = Counter(ranks_a), Counter(ranks_b)
+        where = {r: n for n, r in enumerate(ranks_b) if once_b[r] == 1}
+        both = [(n, where[r]) for n, r in enumerate(ranks_a) if once_a[r] == 1 and r in where]
+        if both:
+            return _rising(both)
+        # the ranks of runs of twice the length
+        pairs = [list(zip(side, side[length:])) for side in (ranks_a, ranks_b)]
+        number = {x: n for n, x in enumerate(dict.fromkeys([*pairs[0], *pairs[1]]))}
+        ranks_a, ranks_b = ([number[x] for x in side] for side in pairs)
+        length *= 2
+    return []
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest part of the pairs, in the order of the first, whose second rises."""
+    tops: list[int] = []
+    last: list[int] = []
+    before = []
+    for n, (_, y) in enumerate(pairs):
+        at = bisect_left(tops, y)
+        before.append(last[at - 1] if at else -1)
+        if at == len(tops):
+            tops.append(y)
+            last.append(n)
         else:
-            yield from ((x, None) for x in a[i:j])
-            yield from ((None, y) for y in b[k:m])
+            tops[at], last[at] = y, n
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
 
 
 def aligned(a: list[Part], b: list[Part]) -> list[Part]:
@@ -175,9 +262,82 @@ def aligned(a: list[Part], b: list[Part]) -> list[Part]:
     return folded(out)
 
 
+class _Suffixes:
+    """A stack of labels that knows the smallest repeat it ends with: the last ``size`` labels equal to those before them.
+
+    Runs of 2, 4, 8 ... labels are indexed by their hash and the place they end at. A repeat of ``size`` labels has the run of
+    the largest such length up to size at both of its ends; as repeats are folded as soon as they are there, equal runs stand
+    apart, so few places are tried and a push costs the logarithm of the stack."""
+
+    MOD, BASE = (1 << 61) - 1, 1_000_003
+
+    def __init__(self) -> None:
+        self.names: dict[str, int] = {}
+        self.codes: list[int] = []
+        self.sums, self.powers = [0], [1]
+        self.ends: list[dict[int, list[int]]] = []
+
+    def _run(self, start: int, end: int) -> int:
+        return (self.sums[end] - self.sums[start] * self.powers[end - start]) % self.MOD
+
+    def push(self, label: str) -> None:
+        code = self.names.setdefault(label, len(self.names) + 1)
+        self.codes.append(code)
+        self.sums.append((self.sums[-1] * self.BASE + code) % self.MOD)
+        n = len(self.codes)
+        if n == len(self.powers):
+            self.powers.append(self.powers[-1] * self.BASE % self.MOD)
+        for k, length in self._lengths(n):
+            if k == len(self.ends):
+                self.ends.append({})
+            self.ends[k].setdefault(self._run(n - length, n), []).append(n)
+
+    def _lengths(self, n: int):
+        k, length = 0, 2
+        while length <= n:
+            yield k, length
+            k, length = k + 1, 2 * length
+
+    def pop(self, count: int) -> None:
+        for _ in range(count):
+            n = len(self.codes)
+            for k, length in self._lengths(n):
+                self.ends[k][self._run(n - length, n)].pop()
+            self.codes.pop()
+            self.sums.pop()
+
+    def repeat(self) -> int:
+        """The size of the smallest repeat of two labels or more at the end; 0 if there is none."""
+        n = len(self.codes)
+        for k, length in self._lengths(n // 2):
+            for end in reversed(self.ends[k][self._run(n - length, n)][:-1]):
+                size = n - end
+                if size >= 2 * length or 2 * size > n:
+                    break
+                if size >= length and self._run(n - size, n) == self._run(n - 2 * size, end):
+                    return size
+        return 0
+
+
 def folded(kids: list[Part]) -> list[Part]:
     """Neighbouring parts of one label become one repeated part, and neighbouring equal runs one repeated group."""
     out: list[Part] = []
+    seen = _Suffixes()
+    groups: dict[int, list[int]] = {}  # place of each group, by the length of the list at which it may meet its run again
+
+    def push(x: Part) -> None:
+        out.append(x)
+        seen.push(x.label)
+        if x.label[0] == "(":
+            groups.setdefault(len(out) + len(x.kids), []).append(len(out) - 1)
+
+    def pop(count: int) -> None:
+        for at in range(len(out) - 1, len(out) - 1 - count, -1):
+            if out[at].label[0] == "(":
+                groups[at + 1 + len(out[at].kids)].pop()
+        del out[len(out) - count :]
+        seen.pop(count)
+
     for x in kids:
         if out and out[-1].label == x.label:
             optional = out[-1].optional and x.optional
@@ -188,27 +348,25 @@ def folded(kids: list[Part]) -> list[Part]:
             last = out[-1].kids[-1] = merged(out[-1].kids[-1], x)
             last.repeated = True
             continue
-        out.append(x)
+        push(x)
         if len(out) < 3:
             continue
-        for size in range(2, len(out)):
-            before = out[-1 - size]
-            if before.label[0] == "(":
-                if len(before.kids) != size or any(p.label != q.label for p, q in zip(before.kids, out[-size:])):
-                    continue
-                run = out[-size:]
-                del out[-size - 1 :]
-            elif before.label == x.label and len(out) >= 2 * size and all(out[k - 2 * size].label == out[k - size].label for k in range(size)):
-                run = out[-size:]
-                before = Part("(" + " ".join(k.label for k in run) + ")")
-                before.kids, before.optional = out[-2 * size : -size], all(k.optional for k in run)
-                del out[-2 * size :]
-            else:
-                continue
-            group = Part(before.label)
-            group.kids, group.repeated, group.optional = [merged(p, q) for p, q in zip(before.kids, run)], True, before.optional and all(k.optional for k in run)
-            out.append(group)
-            break
+        size = seen.repeat()
+        near = [at for at in groups.get(len(out), ()) if all(p.label == q.label for p, q in zip(out[at].kids, out[at + 1 :]))]
+        if near and (not size or len(out) - 1 - near[-1] < size):
+            size = len(out) - 1 - near[-1]
+            run, before = out[-size:], out[near[-1]]
+            pop(size + 1)
+        elif size:
+            run = out[-size:]
+            before = Part("(" + " ".join(k.label for k in run) + ")")
+            before.kids, before.optional = out[-2 * size : -size], all(k.optional for k in run)
+            pop(2 * size)
+        else:
+            continue
+        group = Part(before.label)
+        group.kids, group.repeated, group.optional = [merged(p, q) for p, q in zip(before.kids, run)], True, before.optional and all(k.optional for k in run)
+        push(group)
     return out
 
 
@@ -216,22 +374,28 @@ def parsed(page: str) -> tuple[Part, list[str], list[int]]:
     """The page as a part, its texts, and the block that each is in."""
     root = Part("html")
     stack, names = [root], [""]  # open parts, and all open elements (those that are no part of their own as well)
-    owner = [True]  # whether an open element is a part
+    owner = [1]  # whether an open element is a part (1), none (0), or furniture below DEPTH (-1)
+    opened: Counter = Counter()
     texts: list[str] = []
     blocks: list[int] = []
-    block, links, deep = 0, 0, 0
+    block, links, hidden = 0, 0, 0
 
     def close() -> None:
-        nonlocal links
+        nonlocal links, hidden
         name = names.pop()
+        opened[name] -= 1
         links -= name == "a"
-        if owner.pop():
+        kind = owner.pop()
+        hidden -= kind < 0
+        if kind > 0:
             part = stack.pop()
             part.kids = folded(part.kids)
 
     for m in TOKEN.finditer(page):
         text = m.group(5)
         if text is not None:
+            if hidden:
+                continue
             if not text.isspace():
                 kids = stack[-1].kids
                 if not kids or kids[-1].label != "#":
@@ -255,7 +419,7 @@ def parsed(page: str) -> tuple[Part, list[str], list[int]]:
         name = name.lower()
         is_block = name in BLOCK
         if m.group(2):
-            if name in names:
+            if opened[name]:
                 while True:
                     last = names[-1]
                     close()
@@ -270,11 +434,15 @@ def parsed(page: str) -> tuple[Part, list[str], list[int]]:
         if name in VOID:
             continue
         label, noise = labelled(name, m.group(4))
+        if name == "header" and (opened["article"] or opened["main"]):
+            noise = False
         names.append(name)
+        opened[name] += 1
         links += name == "a"
         # inline elements are part of the text, unless they are furniture
         own = (is_block or noise) and len(stack) < DEPTH and name != "html"
-        owner.append(own)
+        owner.append(int(own) if own or not noise else -1)
+        hidden += noise and not own
         if own:
             part = Part(label, noise)
             stack[-1].kids.append(part)
@@ -453,6 +621,8 @@ def choose(root: Part, pages: int) -> list[Part]:
         content = [here]
         if here is not root:
             content = [*lead_headings(root, here, which, held), here]
+    for c in content:
+        mark_records(c, held)
     inside = sum(held[id(c)][1] for c in content)
     sure = sum(held[id(c)][0] for c in content)
     for c in content:
@@ -460,6 +630,50 @@ def choose(root: Part, pages: int) -> list[Part]:
     return content
 
 
+def is_record(part: Part) -> bool:
+    """Whether a repeated part looks like one reader's comment: a name and a date, or another short text, in blocks of their
+    own and then a longer one, without a heading."""
+    if part.label[0] != "(" and part.label.split(".")[0] not in RECORDS:
+        return False
+    held = []
+    for k in part.kids:
+        inner = [k] if k.label == "#" else slots(k)
+        if any(h.label.split(".")[0] in HEADS for h in elements(k)):
+            return False
+        mass, pages = sum(s.mass for s in inner), max((s.pages for s in inner), default=0)
+        if mass:
+            held.append(mass / max(1, pages))
+    return len(held) >= 3 and max(held[:2]) <= SHORT_TEXT < 2 * max(held[2:])
+
+
+def elements(part: Part) -> list[Part]:
+    return [part, *(e for k in part.kids for e in elements(k))]
+
+
+def mark_records(content: Part, held: dict[int, tuple[int, int]]) -> None:
+    """Records that repeat after the prose of the content part are readers' comments: furniture. Prose is what stands in no
+    such record; nine tenths of it must come before them."""
+    found: list[tuple[int, Part]] = []
+    prose = 0
+
+    def look(part: Part) -> None:
+        nonlocal prose
+        for k in part.kids:
+            if k.label == "#":
+                prose += k.mass - k.link
+            elif not k.noise:
+                if k.repeated and is_record(k):
+                    found.append((prose, k))
+                else:
+                    look(k)
+
+    look(content)
+    for before, record in found:
+        if prose and before >= MOST * prose:
+            record.noise = True
+            held[id(record)] = (0, 0)
+
+
 def lead_headings(root: Part, content: Part, which: int, held: dict) -> list[Part]:
     """First-level headings that stand before the content part and outside of furniture."""
     out: list[Part] = []

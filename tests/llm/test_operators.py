@@ -539,6 +539,80 @@ def test_html_very_deep_and_very_long(spark):
     assert got[0] == "deep text" and got[1] == " ".join(["some words"] * 20_000) and got[2] == "a b c" and got[4] == "a<b"
 
 
+def test_html_furniture_at_any_depth_and_of_whole_blocks_only(spark):
+    deep = lambda n, inside: "<article><p>Body text here.</p>" + "<div>" * n + inside + "</div>" * n + "</article>"
+    menu = "<nav><ul><li>MENU</li></ul></nav>"
+    pages = [deep(n, menu) for n in (20, 199, 220, 2000)] + [deep(300, menu + "after")]
+    assert texts_on(spark, pages) == ["Body text here."] * 4 + ["Body text here. after"]
+    marked = "<article><header><h1>Title</h1></header><p class=notice>one</p><p class=share>two <span class=search>three</span></p><table class=search><tr><td class=ad>four</td></tr></table><noscript>five</noscript><div class=ad>AD</div></article><header>SITE</header>"
+    assert texts_on(spark, [marked]) == ["Title one two three four five"]
+
+
+def test_html_comments_are_known_by_their_records(spark):
+    def page(k, marks):
+        body = "".join(f"<p>{prose(k * 7 + j, 40)}</p>" for j in range(2 + k % 2))
+        said = "".join(f"<div class={marks}><div class=u>{prose(k * 50 + j, 1)}</div><div class=v>{1 + j} May</div><p>{prose(k * 90 + j, 20)}</p></div>" for j in range(1 + k % 4))
+        return f"<body><main>{body}<div class=zz>{said}</div></main></body>", " ".join(prose(k * 7 + j, 40) for j in range(2 + k % 2))
+
+    made = [page(k, "q7x") for k in range(12)]
+    assert texts_on(spark, [h for h, _ in made]) == [t for _, t in made]
+    steps = "<main><p>intro</p>" + "".join(f"<div class=s><h3>Step {k}</h3><p>do {k}</p><p>{prose(k, 30)}</p></div>" for k in range(4)) + "</main>"
+    assert all(prose(k, 30) in texts_on(spark, [steps])[0] for k in range(4))  # records with headings are sections
+
+
+def test_html_many_siblings_in_little_time():
+    import time
+
+    rng = np.random.default_rng(1)
+    kinds = ["<p>a</p>", "<hr>x", "<div>b</div>", "<h2>c</h2>", "<table><tr><td>d</table>"]
+    for n_kinds in (1, 2, 3, 5):
+        page = "<article>" + "".join(kinds[k] for k in rng.integers(0, n_kinds, 20_000)) + "</article>"
+        began = time.process_time()
+        html_extract.parsed(page)
+        assert time.process_time() - began < 5  # about 1 s; the square of the siblings took minutes
+    html_extract.parsed("<p>" + "<b>x" * 20_000)
+
+
+def brute_folds(labels):
+    """The smallest repeat at the end is folded at once, found by trying every size."""
+    out = []
+    for x in labels:
+        if out and out[-1] == x or out and out[-1][0] == "(" and out[-1][1:-1].split(" ")[-1] == x:
+            continue
+        out.append(x)
+        for size in range(2, len(out)):
+            unit = out[-size:]
+            if out[-1 - size] == "(" + " ".join(unit) + ")":
+                del out[-size:]
+            elif len(out) >= 2 * size and unit == out[-2 * size : -size]:
+                out[-2 * size :] = ["(" + " ".join(unit) + ")"]
+            else:
+                continue
+            break
+    return out
+
+
+def test_folds_equal_trying_every_size():
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        labels = ["p", "hr", "div", "ul", "h2"]
+        labels = [labels[k] for k in rng.integers(0, 2 + seed % 4, rng.integers(1, 200))]
+        if seed % 3 == 0:
+            labels = labels[:9] * 5 + labels[3:12] * 4
+        assert [k.label for k in html_extract.folded([html_extract.Part(x) for x in labels])] == brute_folds(labels)
+
+
+def test_alignments_rise_in_both_lists(monkeypatch):
+    monkeypatch.setattr(html_extract, "SMALL", 16)
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        a = [str(x) for x in rng.integers(0, 2 + seed % 9, 120)]
+        b = [x for x in a if rng.random() < 0.8] if seed % 2 else [str(x) for x in rng.integers(0, 2 + seed % 9, 90)]
+        pairs = html_extract._pairs(a, b)
+        assert all(a[x] == b[y] for x, y in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert len(pairs) >= 20 or not seed % 2
+
+
 def brute_revisits(records):
     """record_id: (response_id, state, headers, digest), by looking through all records for each revisit."""
     updates = {"cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"}
