@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: White space that trimming removes.
 BLANK = " \t\n\x0b\x0c\r"
+#: The same with the blanks of other scripts, and as the inside of a character class.
+WIDE_BLANK = BLANK + "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+WIDE_CLASS = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 #: Superscript digits and the digits they stand for.
 SUPERSCRIPTS, DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789"
 #: Signs that end a sentence.
@@ -19,6 +22,10 @@ def trim_all(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANK))
 
 
+def trim_wide(c: Column) -> Column:
+    return F.btrim(c, F.lit(WIDE_BLANK))
+
+
 def strip_bom(c: Column) -> Column:
     """One leading byte-order mark at most."""
     return F.regexp_replace(c, "\\A\\x{FEFF}", "")
@@ -125,6 +132,12 @@ def unfenced(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\A[ \t\n\x0B\f\r]*```[^\n]*\n(.*?)\n?```[ \t\n\x0B\f\r]*\z", "$1")
 
 
+def unfenced_json(c: Column) -> Column:
+    """Without an opening code fence (named json or not) and without a closing one, each on its own, and trimmed."""
+    opened = F.regexp_replace(c, rf"(?i)\A[{WIDE_CLASS}]*```(?:json)?[{WIDE_CLASS}]*", "")
+    return trim_wide(F.regexp_replace(opened, rf"```[{WIDE_CLASS}]*\z", ""))
+
+
 def strip_markers(c: Column) -> Column:
     return trim_all(F.regexp_replace(F.regexp_replace(c, "⟦[^⟧]*⟧", ""), r"[ \t\n\x0B\f\r]+", " "))
 

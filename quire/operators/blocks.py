@@ -18,7 +18,6 @@ from .scratch import cut
 CATEGORIES = ("Caption", "Footnote", "Formula", "List-item", "Page-footer", "Page-header", "Picture", "Section-header", "Table", "Text", "Title")
 FURNITURE = ("Page-header", "Page-footer")
 HEADINGS = ("Title", "Section-header")
-ANSWER = "array<struct<bbox:array<double>,category:string,text:string>>"
 #: Shares of the page that count as its head and foot, pages a key must be on, and its longest text.
 BAND, LEAST_PAGES, SHORT = 0.15, 3, 80
 #: A copy set larger than this multiple of the body size keeps its key everywhere.
@@ -30,35 +29,87 @@ def upper_median(name: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {name} DESC)")
 
 
-def parse_answers(answers: DataFrame) -> DataFrame:
-    """answers (book, page, answer) -> blocks with ``bad`` set on every element of a page that has one bad element.
+#: Why a page is refused: its answer is no array of elements, or its first bad element is of this kind.
+REFUSALS = ("empty", "no array", "no element", "category", "box")
 
-    An answer must be a JSON array (a code fence around it is taken off); each element needs a known category, a box of
-    four finite numbers. A missing text is empty; elements without text are dropped after the check, Pictures aside;
-    ``ord`` counts them all.
-    """
-    parsed = answers.withColumn("items", F.from_json(X.unfenced(F.col("answer")), ANSWER))
-    each = parsed.select("book", "page", F.posexplode_outer("items").alias("ord", "item"), F.col("items").isNull().alias("unread"))
-    box = F.col("item.bbox")
-    good = ~F.col("unread") & (F.col("item").isNull() | (F.col("item.category").isin(*CATEGORIES) & (F.size(box) == 4) & F.forall(box, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))))
-    bad = F.max((~F.coalesce(good, F.lit(False))).cast("int")).over(Window.partitionBy("book", "page")) == 1
-    out = each.select("book", "page", "ord", F.lit(0).alias("part"), F.col("item.category").alias("category"), *[F.get("item.bbox", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))], X.trim_all(F.coalesce(F.col("item.text"), F.lit(""))).alias("text"), bad.alias("bad"))
-    return out.where(F.col("bad") | (F.col("category") == "Picture") | (F.col("text") != ""))
+
+def parse_answers(answers: DataFrame) -> DataFrame:
+    """all_elements without the elements that have no text, Pictures aside; a refused page keeps all of its rows."""
+    return all_elements(answers).where(F.col("bad") | (F.col("category") == "Picture") | (F.col("text") != ""))
+
+
+def all_elements(answers: DataFrame) -> DataFrame:
+    """answers (book, page, answer) -> one row for each element, with ``bad`` and ``why`` on all of a page that is refused.
+
+    Types are the answer's own (VARIANT): an answer must be a JSON array (code fences are taken off), each element an object
+    with a known category as a string and a box of four finite numbers; numbers written as strings are none. A text that is
+    no string is empty. A page whose answer is no array, or an empty one, is one row without an element."""
+    bare = X.unfenced_json(F.coalesce("answer", F.lit("")))
+    # as a member of an object, so that nothing can stand behind the answer
+    whole = F.concat(F.lit('{"a":'), bare, F.lit(',"z":1}'))
+    parsed = answers.select("book", "page", bare.alias("__bare"), F.try_parse_json(whole).alias("__whole"))
+    named = F.expr("map_keys(try_variant_get(__whole, '$', 'map<string,variant>'))")
+    items = F.when(F.array_sort(named) == F.array(F.lit("a"), F.lit("z")), F.expr("try_variant_get(__whole, '$.a', 'array<variant>')"))
+    each = parsed.withColumn("__items", items).select("book", "page", "__bare", F.col("__items").isNull().alias("__unread"), F.posexplode_outer("__items").alias("ord", "el"))
+    typed = each.select(
+        "book", "page", "ord", F.when(F.col("__unread"), F.when(F.col("__bare") == "", "empty").otherwise("no array")).alias("__unread"), F.expr("try_variant_get(el, '$', 'map<string,variant>') is not null").alias("__object"),
+        F.expr("schema_of_variant(try_variant_get(el, '$.category', 'variant')) = 'STRING'").alias("__named"), F.expr("try_variant_get(el, '$.category', 'string')").alias("category"),
+        F.expr("transform(try_variant_get(el, '$.bbox', 'array<variant>'), v -> if(schema_of_variant(v) rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT)', try_variant_get(v, '$', 'double'), null))").alias("__box"),
+        F.expr("if(schema_of_variant(try_variant_get(el, '$.text', 'variant')) = 'STRING', try_variant_get(el, '$.text', 'string'), '')").alias("text"),
+    )
+    box = F.col("__box")
+    finite = (F.size(box) == 4) & F.forall(box, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    kind = F.coalesce(F.col("__named") & F.col("category").isin(*CATEGORIES), F.lit(False))
+    why = F.coalesce("__unread", F.when(F.col("ord").isNull(), None).when(~F.col("__object"), "no element").when(~kind, "category").when(~F.coalesce(finite, F.lit(False)), "box"))
+    first = F.min(F.when(F.col("__why").isNotNull(), F.struct(F.coalesce("ord", F.lit(-1)).alias("ord"), F.col("__why").alias("why")))).over(Window.partitionBy("book", "page"))
+    rows = typed.withColumn("__why", why).withColumn("why", first["why"])
+    out = rows.select("book", "page", "ord", F.lit(0).alias("part"), "category", *[F.get(box, F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))], X.trim_wide(F.coalesce("text", F.lit(""))).alias("text"), F.col("why").isNotNull().alias("bad"), "why")
+    return out
 
 
 def markdown_runs(blocks: DataFrame) -> DataFrame:
-    """Split texts by line class: # headings (one # is a Title), > quotes, the rest; part counts the runs in order."""
-    lines = blocks.select("book", "page", "ord", "category", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    kind = F.when(F.col("line").rlike(r"\A#{1,4}[ \t]+"), "h").when(F.col("line").rlike(r"\A>"), "q").otherwise("t")
+    """Blocks by their lines: # headings (one # is a Title), quotes, and what lies between; part counts the runs in order.
+
+    A line is looked at without the blanks around it. A heading is a run of its own; quoted lines lose their sign; other
+    lines are as they were, blank ones included. All other columns are kept."""
     key = ["book", "page", "ord"]
+    rest = [c for c in blocks.columns if c not in (*key, "part", "category", "text")]
+    lines = blocks.select(*key, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("bare", X.trim_wide(F.col("line")))
+    heading, quote = rf"\A(#{{1,4}})[{X.WIDE_CLASS}]+(.*)\z", rf"\A>[{X.WIDE_CLASS}]?"
+    kind = F.when(F.col("bare").rlike(heading), "h").when(F.col("bare").rlike(r"\A>"), "q").otherwise("t")
     w = Window.partitionBy(*key).orderBy("pos")
     marked = lines.withColumn("kind", kind).withColumn("new", (F.coalesce(F.lag("kind").over(w) != F.col("kind"), F.lit(True)) | (F.col("kind") == "h")).cast("int"))
     runs = marked.withColumn("run", F.sum("new").over(w))
-    bare = F.when(F.col("kind") == "h", F.regexp_replace("line", r"\A#{1,4}[ \t]+", "")).when(F.col("kind") == "q", F.regexp_replace("line", r"\A>[ \t]?", "")).otherwise(F.col("line"))
-    name = F.when(F.col("kind") == "q", "Quote").when((F.col("kind") == "h") & F.col("line").rlike(r"\A#[ \t]"), "Title").when(F.col("kind") == "h", "Section-header").otherwise(F.col("category"))
-    joined = runs.groupBy(*key, "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", bare.alias("line")))), lambda s: s["line"]), "\n").alias("text"), F.min_by(name, "pos").alias("category"))
-    kept = joined.withColumn("text", X.trim_all(F.col("text"))).where("text <> ''")
-    return kept.select(*key, (F.row_number().over(Window.partitionBy(*key).orderBy("run")) - 1).alias("part"), "category", "text")
+    said = F.when(F.col("kind") == "h", X.trim_wide(F.regexp_extract("bare", heading, 2))).when(F.col("kind") == "q", F.regexp_replace("bare", quote, "")).otherwise(F.col("line"))
+    joined = runs.groupBy(*key, "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("line")))), lambda s: s["line"]), "\n").alias("text"), F.first("kind").alias("kind"), F.max(F.length(F.regexp_extract("bare", heading, 1))).alias("signs"))
+    both = joined.join(blocks.select(*key, F.col("category").alias("__own"), *rest), key)
+    category = F.when(F.col("kind") == "q", "Quote").when((F.col("kind") == "h") & (F.col("signs") == 1), "Title").when(F.col("kind") == "h", "Section-header").otherwise(F.col("__own"))
+    return both.select(*key, (F.col("run") - 1).cast("int").alias("part"), category.alias("category"), "text", *rest)
+
+
+def read_pages(answers: DataFrame, max_pixels: int = G.MOST_PIXELS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks, furniture and pages of answers (book, page, answer, width, height: the page's picture).
+
+    Boxes are scaled back to the picture. Page headers and footers are furniture. Text, Title and Section-header that hold a
+    # or a line that opens with > are cut by their markdown. pages: book, page, why (null where the page was read), and the
+    greatest x and y of the answer's own boxes, those of dropped elements included, which tell whether it was read in the
+    frame that the scale supposes."""
+    whole = answers.select("book", "page", F.col("width").cast("double").alias("page_width"), F.col("height").cast("double").alias("page_height"))
+    parsed = parse_answers(answers)
+    ok = parsed.where("not bad").drop("bad", "why").join(whole, ["book", "page"])
+    scale = G.render_scale(F.col("page_height"), F.col("page_width"), max_pixels)
+    scaled = ok.withColumns({n: F.col(n) * scale for n in ("x1", "y1", "x2", "y2")})
+    furniture = scaled.where(F.col("category").isin(*FURNITURE))
+    body = scaled.where(~F.col("category").isin(*FURNITURE))
+    marked = F.col("category").isin("Text", *HEADINGS) & (F.col("text").contains("#") | F.col("text").rlike(r"(?m)^>"))
+    blocks = body.where(~marked).unionByName(markdown_runs(body.where(marked)))
+    return blocks, furniture, page_report(answers)
+
+
+def page_report(answers: DataFrame) -> DataFrame:
+    """book, page, why, raw_x, raw_y of each answer."""
+    seen = all_elements(answers)
+    return seen.groupBy("book", "page").agg(F.max("why").alias("why"), F.when(F.max("why").isNull(), F.coalesce(F.greatest(F.max("x2"), F.lit(0.0)), F.lit(0.0))).alias("raw_x"), F.when(F.max("why").isNull(), F.coalesce(F.greatest(F.max("y2"), F.lit(0.0)), F.lit(0.0))).alias("raw_y"))
 
 
 def body_size(blocks: DataFrame) -> DataFrame:

@@ -47,9 +47,10 @@ def nearest_upward(steps: DataFrame, closure: DataFrame, action: str, boundary:
 
 
 def current_standard(steps: DataFrame, closure: DataFrame, at: DataFrame) -> DataFrame:
-    """project, action, id: the newest step of each action on the way from the position up."""
+    """project, action, id: the nearest step of each action on the way from the position up that is not ``stale``."""
     path = closure.join(at.select("project", F.col("at").alias("id")), ["project", "id"], "left_semi").select("project", F.col("ancestor").alias("id"), "depth")
-    return path.join(steps, ["project", "id"]).groupBy("project", "action").agg(F.min_by("id", "depth").alias("id"))
+    fresh = steps.where(~F.coalesce("stale", F.lit(False))).select("project", "id", "action")
+    return path.join(fresh, ["project", "id"]).groupBy("project", "action").agg(F.min_by("id", "depth").alias("id"))
 
 
 def stale_after(closure: DataFrame, landed: DataFrame) -> DataFrame:

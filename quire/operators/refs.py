@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .running import following
+from .running import following, previous, running
 from .scratch import cut
 
 
@@ -41,11 +41,16 @@ def anchored(refs: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def imported_refs(refs: DataFrame, rows: DataFrame) -> DataFrame:
-    """refs (book, row, printed) with ``state``: a target that is a note is one; another row becomes one where its text opens
-    with the number that was printed; else the reference is unresolved."""
-    both = refs.join(rows.select("book", F.col("id").alias("row"), "category", "text"), ["book", "row"], "left")
-    opens = X.note_lead(F.col("text")) == F.col("printed")
-    return both.select(*refs.columns, F.when(F.col("category") == "Footnote", "note").when(opens, "promoted").otherwise("unresolved").alias("state"))
+    """refs (book, seq, row, printed) with ``state``. A target that is a note is one. Another row becomes one with the first
+    reference, in the order of seq, whose printed number is the one that the row opens with (behind emphasis signs; as it is
+    printed, so 01 is not 1; no superscripts): that is "promoted", and later references to the row meet a note. All else is
+    "unresolved"."""
+    opens = F.regexp_extract("text", rf"\A[{X.WIDE_CLASS}*]*([0-9]+)", 1)
+    both = refs.join(rows.select("book", F.col("id").alias("row"), "category", opens.alias("__opens")), ["book", "row"], "left")
+    both = both.withColumn("__fits", F.coalesce((F.col("category") != "Footnote") & (F.col("__opens") == F.col("printed").cast("string")), F.lit(False)))
+    first = both.where("__fits").groupBy("book", "row").agg(F.min("seq").alias("__first"))
+    state = F.when((F.col("category") == "Footnote") | (F.col("seq") > F.col("__first")), "note").when(F.col("seq") == F.col("__first"), "promoted").otherwise("unresolved")
+    return both.join(first, ["book", "row"], "left").select(*refs.columns, state.alias("state"))
 
 
 def nearest_stamped(elements: DataFrame) -> DataFrame:
@@ -83,17 +88,32 @@ def orphaned(before: DataFrame, after: DataFrame, exempt: DataFrame | None = Non
 
 
 def promoted_labels(rows: DataFrame, divisions: DataFrame, most: int = 4) -> DataFrame:
-    """book, pos of the rows that are their division's title: from its row on, up to ``most`` rows that follow each other, are
-    text or headings, and whose folded text is part of the folded title or holds it; the first that is not ends it."""
-    fold = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    starts = divisions.select("book", "pos", "title").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    asked = starts.select("book", F.col("pos").alias("start"), "title", "k", (F.col("pos") + F.col("k")).alias("pos"))
-    both = asked.join(rows, ["book", "pos"])
-    a, b = fold(F.col("text")), fold(F.col("title"))
-    fits = F.col("category").isin("Text", "Section-header", "Title") & (a != "") & (F.contains(b, a) | F.contains(a, b))
-    run = F.min(fits.cast("int")).over(Window.partitionBy("book", "start").orderBy("k"))
-    length = F.row_number().over(Window.partitionBy("book", "start").orderBy("k")) == F.col("k") + 1
-    return both.withColumn("run", run).withColumn("whole", length).where("run = 1 and whole").select("book", "pos").distinct()
+    """book, pos of the rows that print their division's title. divisions: book, nth, pos, title; rows: book, pos,
+    category, text.
+
+    From a division's row on, up to ``most`` rows are titles while they are text or headings and, without emphasis signs, with
+    white space collapsed and in lower case, are part of the title or hold it. The first that is not ends the walk, and so
+    does a row that a division before (by nth) has made a title. Divisions whose walks may meet are folded in that order
+    within their run of neighbours; all others stand alone."""
+    name = lambda c: F.lower(X.trim_wide(F.regexp_replace(F.replace(c, F.lit("*")), rf"[{X.WIDE_CLASS}]+", " ")))
+    starts = divisions.select("book", "nth", F.col("pos").alias("start"), name(F.col("title")).alias("label")).where("label <> ''")
+    asked = starts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("pos", F.col("start") + F.col("k"))
+    both = asked.join(rows.select("book", "pos", "category", name(F.col("text")).alias("printed")), ["book", "pos"], "left")
+    fits = F.coalesce(F.col("category").isin("Text", "Section-header") & (F.col("printed") != "") & (F.contains(F.col("label"), F.col("printed")) | F.contains(F.col("printed"), F.col("label"))), F.lit(False))
+    # how many rows from the start on fit, had no other division been there
+    ends = both.groupBy("book", "nth", "start").agg(F.min(F.when(~fits, F.col("k"))).alias("stop"))
+    walks = ends.select("book", "nth", "start", F.coalesce("stop", F.lit(most)).alias("length")).where("length > 0")
+    apart = previous(walks, ["book"], ["start", "nth"], "start", "before")
+    apart = apart.withColumn("fresh", F.coalesce(F.col("start") - F.col("before") >= most, F.lit(True)).cast("int"))
+    runs = running(apart, ["book"], "start", "fresh", F.sum, "run").groupBy("book", "run").agg(F.array_sort(F.collect_list(F.struct("nth", "start", "length"))).alias("walks"))
+
+    def walk(taken, w):
+        places = F.sequence(w["start"], w["start"] + w["length"] - 1)
+        met = F.array_min(F.array_intersect(places, taken))
+        return F.concat(taken, F.filter(places, lambda p: met.isNull() | (p < met)))
+
+    taken = F.aggregate("walks", F.lit([]).cast("array<long>"), lambda acc, w: walk(acc, F.struct(w["start"].cast("long").alias("start"), w["length"].cast("long").alias("length"))))
+    return runs.select("book", F.explode(taken).alias("pos"))
 
 
 def stamp_report(elements: DataFrame) -> DataFrame:

@@ -390,12 +390,18 @@ def anchored_refs(spark, d):
 
 
 @query("imported_note_refs", f"""
-WITH {ROWS}, x AS (SELECT *, CASE WHEN k % 4 = 0 THEN (k % 9) || ' note' ELSE 'text' END AS text FROM r), f AS (SELECT book, (k + 50)::VARCHAR AS row, (k % 9)::INT AS printed FROM r)
-SELECT f.*, CASE WHEN x.category = 'Footnote' THEN 'note' WHEN x.k % 4 = 0 AND x.k % 9 = f.printed THEN 'promoted' ELSE 'unresolved' END AS state FROM f LEFT JOIN x ON x.book = f.book AND x.id = f.row""")
+WITH {ROWS}, x AS (SELECT *, CASE k % 5 WHEN 0 THEN (k % 9) || ' note' WHEN 1 THEN '**' || (k % 9) || '.** note' WHEN 2 THEN ' 0' || (k % 9) || ' note' WHEN 3 THEN '⁵ note' ELSE 'text' END AS text FROM r),
+f AS (SELECT book, k * 2 AS seq, (k + 50)::VARCHAR AS row, (k % 9)::INT AS printed FROM r UNION ALL SELECT book, k * 2 + 1, (k % 50 + 50 * (k % 70))::VARCHAR, CASE WHEN k % 4 > 0 THEN (k % 7)::INT END FROM r),
+j AS (SELECT f.*, x.category, x.k % 5 < 2 AND x.k % 9 = f.printed AND x.category <> 'Footnote' AS fits FROM f LEFT JOIN x ON x.book = f.book AND x.id = f.row),
+m AS (SELECT *, min(CASE WHEN fits THEN seq END) OVER (PARTITION BY book, row) AS first FROM j)
+SELECT book, seq, row, printed, CASE WHEN category = 'Footnote' OR seq > first THEN 'note' WHEN seq = first THEN 'promoted' ELSE 'unresolved' END AS state FROM m""")
 def imported_note_refs(spark, d):
     r, k = _rows(spark, d), F.col("k")
-    found = r.select("book", (k + 50).cast("string").alias("row"), (k % 9).cast("int").alias("printed"))
-    return refs.imported_refs(found, r.withColumn("text", F.when(k % 4 == 0, F.concat((k % 9).cast("string"), F.lit(" note"))).otherwise("text")))
+    found = r.select("book", (k * 2).alias("seq"), (k + 50).cast("string").alias("row"), (k % 9).cast("int").alias("printed"))
+    more = r.select("book", (k * 2 + 1).alias("seq"), (k % 50 + 50 * (k % 70)).cast("string").alias("row"), F.when(k % 4 > 0, (k % 7).cast("int")).alias("printed"))
+    number = (k % 9).cast("string")
+    text = F.when(k % 5 == 0, F.concat(number, F.lit(" note"))).when(k % 5 == 1, F.concat(F.lit("**"), number, F.lit(".** note"))).when(k % 5 == 2, F.concat(F.lit(" 0"), number, F.lit(" note"))).when(k % 5 == 3, "⁵ note").otherwise("text")
+    return refs.imported_refs(found.unionByName(more), r.withColumn("text", text))
 
 
 @query("nearest_stamped", f"""
@@ -428,12 +434,17 @@ def orphaned_images(spark, d):
 
 
 @query("promoted_labels", f"""
-WITH {ROWS}, x AS (SELECT book, pos, CASE WHEN pos % 10 IN (1, 2) THEN 'Part' WHEN pos % 10 = 3 AND k % 2 = 0 THEN 'The part!' ELSE 'other' END AS text FROM r)
-SELECT book, pos FROM x WHERE pos % 10 = 1 OR (pos % 10 = 2 AND (book, pos - 1) IN (SELECT (book, pos) FROM x)) OR (pos % 10 = 3 AND text = 'The part!' AND (book, pos - 1) IN (SELECT (book, pos) FROM x) AND (book, pos - 2) IN (SELECT (book, pos) FROM x))""")
+WITH {ROWS}, x AS (SELECT book, pos, CASE WHEN k % 11 = 0 THEN 'Title' WHEN k % 2 = 0 THEN 'Text' ELSE 'Section-header' END AS category,
+  CASE k % 9 WHEN 0 THEN '*Part*  one' WHEN 1 THEN 'PART' WHEN 2 THEN 'the part one of it' WHEN 3 THEN 'the part one!' WHEN 4 THEN 'one' WHEN 5 THEN '' ELSE 'The' END AS text FROM r),
+a AS (SELECT s.book, s.pos AS start, j, x.category IN ('Text', 'Section-header') AND x.text <> '' AND (contains('the part one', n) OR contains(n, 'the part one')) AS fits
+  FROM (SELECT book, pos, unnest([0, 1, 2, 3]) AS j FROM x WHERE pos % 6 = 1) s LEFT JOIN (SELECT *, CASE WHEN text = '*Part*  one' THEN 'part one' ELSE lower(text) END AS n FROM x) x ON x.book = s.book AND x.pos = s.pos + s.j),
+e AS (SELECT book, start, coalesce(min(CASE WHEN NOT coalesce(fits, false) THEN j END), 4) AS stop FROM a GROUP BY book, start)
+SELECT book, start + j AS pos FROM (SELECT book, start, unnest(range(0, stop)) AS j FROM e)""")
 def promoted_labels(spark, d):
-    r, p = _rows(spark, d), F.col("pos") % 10
-    x = r.select("book", "pos", F.lit("Text").alias("category"), F.when(p.isin(1, 2), "Part").when((p == 3) & (F.col("k") % 2 == 0), "The part!").otherwise("other").alias("text"))
-    return refs.promoted_labels(x, x.where("pos % 10 = 1").select("book", "pos", F.lit("The Part").alias("title")))
+    r, k = _rows(spark, d), F.col("k")
+    text = F.when(k % 9 == 0, "*Part*  one").when(k % 9 == 1, "PART").when(k % 9 == 2, "the part one of it").when(k % 9 == 3, "the part one!").when(k % 9 == 4, "one").when(k % 9 == 5, "").otherwise("The")
+    x = r.select("book", "pos", F.when(k % 11 == 0, "Title").when(k % 2 == 0, "Text").otherwise("Section-header").alias("category"), text.alias("text"))
+    return refs.promoted_labels(x, x.where("pos % 6 = 1").select("book", "pos", F.col("pos").alias("nth"), F.lit("The *Part*\tOne ").alias("title")))
 
 
 @query("stamp_report", f"WITH {ROWS} SELECT book, category, 'l' || k % 3 AS layer, count(*) AS n FROM r GROUP BY ALL")

@@ -219,16 +219,37 @@ def section_marks_all(spark, d):
     return B.section_marks(docs.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), F.lit("Title").alias("category"), (F.col("doc_id") * 7 % 30).cast("string").alias("text")))
 
 
-@query("parsed_answers", r"""
-WITH a AS (SELECT source AS book, doc_id AS page, len(string_split(text, chr(10))) AS n, doc_id % 13 = 3 AS bad, unnest(string_split(text, chr(10))) AS line,
-  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents)
-SELECT book, page, ord::INT AS ord, CASE WHEN bad THEN 'Nonsense' ELSE 'Text' END AS category, length(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))::BIGINT AS n, bad
-FROM a WHERE bad OR trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''""")
+#: White space that JSON texts are trimmed of, as SQL.
+WIDE = " || ".join(f"chr({ord(c)})" for c in X.WIDE_BLANK)
+
+
+@query("parsed_answers", rf"""
+WITH a AS (SELECT source AS book, doc_id AS page, doc_id % 13 AS odd, len(string_split(text, chr(10))) AS size, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents),
+e AS (
+  SELECT book, page, odd, size, ord, CASE WHEN odd = 3 THEN 'Nonsense' ELSE 'Text' END AS category, CASE WHEN odd = 5 AND ord % 3 = 0 THEN '' ELSE trim(line, {WIDE}) END AS text, CASE WHEN odd = 6 AND ord % 5 = 2 THEN 0.0 ELSE ord END AS y1 FROM a
+  WHERE odd NOT IN (4, 10)
+  UNION ALL SELECT DISTINCT book, page, odd, size, CASE WHEN odd = 9 THEN size END, NULL, '', NULL FROM a WHERE odd IN (4, 9, 10))
+SELECT book, page, ord::INT AS ord, category, y1::DOUBLE AS y1, length(text)::BIGINT AS n, odd IN (3, 4, 9, 10) OR (odd = 6 AND size > 2) AS bad,
+  CASE WHEN odd = 3 THEN 'category' WHEN odd IN (4, 10) THEN 'no array' WHEN odd = 9 THEN 'no element' WHEN odd = 6 AND size > 2 THEN 'box' END AS why
+FROM e WHERE odd IN (3, 4, 9, 10) OR (odd = 6 AND size > 2) OR text <> ''""")
 def parsed_answers(spark, d):
-    ls = S.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.split("text", "\n", -1).alias("ls"), (F.col("doc_id") % 13 == 3).alias("odd"))
-    item = lambda s, i: F.struct(F.array(F.lit(1.0), i.cast("double"), F.lit(9.0), i + 1.0).alias("bbox"), F.when(F.col("odd"), "Nonsense").otherwise("Text").alias("category"), s.alias("text"))
-    answers = ls.select("book", "page", F.to_json(F.transform("ls", item)).alias("answer"))
-    return B.parse_answers(answers).select("book", "page", "ord", "category", F.char_length("text").cast("long").alias("n"), "bad")
+    """Every document as a page's answer, one element a line; some are no array, or hold numbers for texts, strings for numbers,
+    a fence, an unknown category or a null."""
+    odd = F.col("doc_id") % 13
+    ls = S.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.split("text", "\n", -1).alias("ls"), odd.alias("odd"))
+
+    def element(s, i):
+        quoted = F.to_json(F.array(s))
+        number = i.cast("string")
+        box = F.when((F.col("odd") == 6) & (i % 5 == 2), '["1",0,9,1]').otherwise(F.concat(F.lit("[1,"), number, F.lit(",9.5,"), (i + 1).cast("string"), F.lit("]")))
+        text = F.when((F.col("odd") == 5) & (i % 3 == 0), number).otherwise(F.substring(quoted, F.lit(2), F.char_length(quoted) - 2))
+        return F.concat(F.lit('{"bbox":'), box, F.lit(',"category":"'), F.when(F.col("odd") == 3, "Nonsense").otherwise("Text"), F.lit('","text":'), text, F.lit("}"))
+
+    items = F.transform("ls", element)
+    whole = F.concat(F.lit("["), F.array_join(items, ","), F.when(F.col("odd") == 9, ",null]").otherwise("]"))
+    answer = F.when(F.col("odd") == 4, items[0]).when(F.col("odd") == 8, F.concat(F.lit("```json\n"), whole, F.lit("\n```\n"))).when(F.col("odd") == 10, F.concat(whole, F.lit(" and more"))).otherwise(whole)
+    return B.parse_answers(ls.select("book", "page", answer.alias("answer"))).select("book", "page", "ord", "category", "y1", F.char_length("text").cast("long").alias("n"), "bad", "why")
 
 
 @query("reflow_wrapped", r"""
@@ -420,11 +441,11 @@ def ledger_nearest(spark, d):
 
 @query("ledger_standard", f"""
 WITH {TREE}, p AS (SELECT project, max(id) AS at FROM steps GROUP BY project)
-SELECT u.project, s.action, arg_min(u.ancestor, u.depth) AS id FROM up u JOIN p ON u.project = p.project AND u.id = p.at JOIN steps s ON s.project = u.project AND s.id = u.ancestor GROUP BY u.project, s.action""")
+SELECT u.project, s.action, arg_min(u.ancestor, u.depth) AS id FROM up u JOIN p ON u.project = p.project AND u.id = p.at JOIN steps s ON s.project = u.project AND s.id = u.ancestor WHERE s.id % 5 <> 2 GROUP BY u.project, s.action""")
 def ledger_standard(spark, d):
     s = S.steps(spark, d)
     at = ledger.position(s, spark.createDataFrame([], "project long, pointer long"))
-    return ledger.current_standard(s, ledger.ancestry(s), at)
+    return ledger.current_standard(s.withColumn("stale", F.when(F.col("id") % 3 > 0, F.col("id") % 5 == 2).when(F.col("id") % 5 == 2, True)), ledger.ancestry(s), at)
 
 
 @query("ledger_stale", f"WITH {TREE} SELECT DISTINCT project, id FROM up WHERE depth > 0 AND ancestor % 4 = 1")
@@ -531,10 +552,34 @@ def sweep_spans(spark, d):
     return sweep.spans(S.table(spark, d, "documents"), SWEEP, "doc_id")
 
 
-@query("sweep_cut", r"""
-SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '\([^()\n]*\)|\[[^\[\]\n]*\]', '', 'g'), '[ ]{2,}', ' ', 'g'))) AS h FROM documents""")
+@query("sweep_cut", rf"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(text, '\([^()\n]*\)|\[[^\[\]\n]*\]') AS h, regexp_split_to_array(text, '\([^()\n]*\)|\[[^\[\]\n]*\]') AS r FROM documents),
+w AS (
+  SELECT doc_id, len(h) AS i, r[len(h) + 1] AS tail FROM d WHERE len(h) > 0
+  UNION ALL SELECT doc_id, i - 1, CASE WHEN regexp_matches(p, '[ \t\n\r]$') AND regexp_matches(tail, '^[ \t\n\r]') THEN
+    CASE WHEN tail[1] = chr(10) AND p[-1] <> chr(10) THEN p[:-2] || tail ELSE p || tail[2:] END
+    WHEN regexp_matches(p, '[ \t\n\r]$') AND regexp_matches(tail, '^[.,;:!?)]') THEN p[:-2] || tail ELSE p || tail END
+  FROM (SELECT w.doc_id, i, tail, r[i] AS p FROM w JOIN d USING (doc_id) WHERE i > 0))
+SELECT d.doc_id, sha256(CASE WHEN w.tail IS NULL THEN text ELSE trim(tail, {WIDE}) END) AS h, coalesce(trim(tail, {WIDE}) = '', false) AS struck FROM d LEFT JOIN w ON w.doc_id = d.doc_id AND w.i = 0""")
 def sweep_cut(spark, d):
-    return sweep.cut(S.table(spark, d, "documents"), SWEEP).select("doc_id", F.sha2("swept", 256).alias("h"))
+    return sweep.cut(S.table(spark, d, "documents"), SWEEP).select("doc_id", F.sha2("swept", 256).alias("h"), "struck")
+
+
+@query("sweep_cut_chosen", rf"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][a-z]+') AS h, regexp_split_to_array(text, '[A-Z][a-z]+') AS r FROM documents),
+o AS (SELECT *, list_transform(range(1, len(h) + 1), lambda i: (list_sum(list_transform(r[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)) % 3 = 0) AS chosen FROM d),
+w AS (
+  SELECT doc_id, len(h) AS i, r[len(h) + 1] AS tail FROM o
+  UNION ALL SELECT doc_id, i - 1, CASE WHEN NOT c THEN p || hit || tail WHEN regexp_matches(p, '[ \t\n\r]$') AND regexp_matches(tail, '^[ \t\n\r]') THEN
+    CASE WHEN tail[1] = chr(10) AND p[-1] <> chr(10) THEN p[:-2] || tail ELSE p || tail[2:] END
+    WHEN regexp_matches(p, '[ \t\n\r]$') AND regexp_matches(tail, '^[.,;:!?)]') THEN p[:-2] || tail ELSE p || tail END
+  FROM (SELECT w.doc_id, i, tail, r[i] AS p, h[i] AS hit, chosen[i] AS c FROM w JOIN o USING (doc_id) WHERE i > 0))
+SELECT d.doc_id, sha256(CASE WHEN list_bool_or(chosen) THEN trim(tail, {WIDE}) ELSE text END) AS h FROM o d JOIN w ON w.doc_id = d.doc_id AND w.i = 0""")
+def sweep_cut_chosen(spark, d):
+    """Of all words with a capital, those are cut that begin at a multiple of three."""
+    docs = S.table(spark, d, "documents").select("doc_id", "text")
+    chosen = sweep.spans(docs, "[A-Z][a-z]+", "doc_id").where("start % 3 = 0")
+    return sweep.cut_spans(docs, chosen, "doc_id").select("doc_id", F.sha2("swept", 256).alias("h"))
 
 
 @query("skip_pages", r"""
@@ -647,19 +692,43 @@ def plain_text_book_rows(spark, d):
     return plain_text_rows(t).select("book", "pos", F.sha2("text", 256).alias("h"))
 
 
-@query("markdown_runs", r"""
-WITH l AS (SELECT source AS book, doc_id AS page, unnest(string_split(regexp_replace(text, '(?m)^(Th|De|Es)', '# \1', 'g'), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-k AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,4}[ \t]+') THEN 'h' WHEN regexp_matches(line, '^>') THEN 'q' ELSE 't' END AS kind FROM l),
+@query("markdown_runs", rf"""
+WITH l AS (SELECT source AS book, doc_id AS page, unnest(string_split(m, chr(10))) AS line, generate_subscripts(string_split(m, chr(10)), 1) AS pos FROM (SELECT source, doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?m)^(Th|De|Es)', ' # \1', 'g'), '(?m)^(A|I)', '### \1', 'g'), '(?m)^(L|E)', '>\1', 'g') AS m FROM documents)),
+k AS (SELECT *, CASE WHEN regexp_matches(b, '^#{{1,4}}[ \t]+') THEN 'h' WHEN regexp_matches(b, '^>') THEN 'q' ELSE 't' END AS kind FROM (SELECT *, trim(line, {WIDE}) AS b FROM l)),
 m AS (SELECT *, CASE WHEN kind = 'h' OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY book, page ORDER BY pos) THEN 1 ELSE 0 END AS new FROM k),
-r AS (SELECT *, sum(new) OVER (PARTITION BY book, page ORDER BY pos) AS run FROM m),
-g AS (SELECT book, page, run, arg_min(CASE WHEN kind = 'q' THEN 'Quote' WHEN kind = 'h' AND regexp_matches(line, '^#[ \t]') THEN 'Title' WHEN kind = 'h' THEN 'Section-header' ELSE 'Text' END, pos) AS category,
-  trim(string_agg(CASE kind WHEN 'h' THEN regexp_replace(line, '^#{1,4}[ \t]+', '') WHEN 'q' THEN regexp_replace(line, '^>[ \t]?', '') ELSE line END, chr(10) ORDER BY pos), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM r GROUP BY book, page, run)
-SELECT book, page, 0 AS ord, (row_number() OVER (PARTITION BY book, page ORDER BY run) - 1)::INT AS part, category, text FROM g WHERE text <> ''""")
+r AS (SELECT *, sum(new) OVER (PARTITION BY book, page ORDER BY pos) AS run FROM m)
+SELECT book, page, 0 AS ord, (run - 1)::INT AS part, arg_min(CASE WHEN kind = 'q' THEN 'Quote' WHEN kind = 'h' AND regexp_matches(b, '^#[ \t]') THEN 'Title' WHEN kind = 'h' THEN 'Section-header' ELSE 'Text' END, pos) AS category,
+  string_agg(CASE kind WHEN 'h' THEN trim(regexp_replace(b, '^#{{1,4}}[ \t]+', ''), {WIDE}) WHEN 'q' THEN regexp_replace(b, '^>[ \t]?', '') ELSE line END, chr(10) ORDER BY pos) AS text FROM r GROUP BY book, page, run""")
 def markdown_runs(spark, d):
-    t = S.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), F.lit("Text").alias("category"), F.regexp_replace("text", r"(?md)^(Th|De|Es)", "# $1").alias("text"))
+    text = F.col("text")
+    for pattern, mark in (("(Th|De|Es)", " # "), ("(A|I)", "### "), ("(L|E)", ">")):
+        text = F.regexp_replace(text, f"(?md)^{pattern}", mark + "$1")
+    t = S.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.lit(0).alias("ord"), F.lit("Text").alias("category"), text.alias("text"))
     return B.markdown_runs(t)
 
 
+#: The box of line ``ord`` of a page's answer, and the picture that the page was read from.
+PICTURE = (2000, 3000)
+
+
+@query("read_pages_blocks", rf"""
+WITH l AS (SELECT source AS book, doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents WHERE doc_id % 10 <> 7),
+e AS (SELECT *, trim(CASE WHEN ord % 7 = 3 THEN '# ' || line WHEN ord % 7 = 4 THEN '> ' || line ELSE line END, {WIDE}) AS t, CASE WHEN ord % 11 = 5 THEN 'Page-footer' WHEN ord % 11 = 6 THEN 'List-item' ELSE 'Text' END AS own FROM l),
+k AS (SELECT *, own = 'Text' AND regexp_matches(t, '^#[ \t]') AS h, own = 'Text' AND regexp_matches(t, '^>') AS q FROM e WHERE t <> '')
+SELECT book, page, ord::INT AS ord, CASE WHEN h THEN 'Title' WHEN q THEN 'Quote' ELSE own END AS category, sha256(CASE WHEN h THEN trim(t[2:], {WIDE}) WHEN q THEN regexp_replace(t, '^>[ \t]?', '') ELSE t END) AS h,
+  round(ord * 2000 / 1204.0, 6) AS y1, CASE WHEN own = 'Page-footer' THEN 'furniture' ELSE 'block' END AS shelf FROM k""")
+def read_pages_blocks(spark, d):
+    """Answers with markdown and furniture, scaled from the model's frame; pages whose answer is no array give nothing."""
+    ls = S.table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.split("text", "\n", -1).alias("ls"))
+    mark = lambda s, i: F.when(i % 7 == 3, F.concat(F.lit("# "), s)).when(i % 7 == 4, F.concat(F.lit("> "), s)).otherwise(s)
+    own = lambda i: F.when(i % 11 == 5, "Page-footer").when(i % 11 == 6, "List-item").otherwise("Text")
+    item = lambda s, i: F.struct(F.array(F.lit(0), i, F.lit(9), i + 1).alias("bbox"), own(i).alias("category"), mark(s, i).alias("text"))
+    answer = F.concat(F.to_json(F.transform("ls", item)), F.when(F.col("page") % 10 == 7, " cut off").otherwise(""))
+    blocks, furniture, _ = B.read_pages(ls.select("book", "page", answer.alias("answer"), F.lit(PICTURE[0]).alias("width"), F.lit(PICTURE[1]).alias("height")), 2_200_000)
+    both = blocks.withColumn("shelf", F.lit("block")).unionByName(furniture.withColumn("shelf", F.lit("furniture")))
+    return both.select("book", "page", "ord", "category", F.sha2("text", 256).alias("h"), F.round("y1", 6).alias("y1"), "shelf")
+
+
 def queries() -> dict:
     from . import book_catalog  # noqa: F401 - registers its queries
 

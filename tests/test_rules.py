@@ -28,17 +28,122 @@ def values(spark, columns):
 
 
 def parsed(spark, answer):
-    made = spark.createDataFrame([("b", 3, answer if isinstance(answer, str) else json.dumps(answer))], "book string, page int, answer string")
+    made = spark.createDataFrame([("b", 3, answer if isinstance(answer, str) or answer is None else json.dumps(answer))], "book string, page int, answer string")
     return [(r.category, r.text, r.bad) for r in B.parse_answers(made).collect()]
 
 
+def refusal(spark, answer):
+    made = spark.createDataFrame([("b", 3, answer if isinstance(answer, str) or answer is None else json.dumps(answer))], "book string, page int, answer string")
+    (why,) = {r.why for r in B.all_elements(made).collect()}
+    return why
+
+
 def test_answers(spark):
     text = {"bbox": [1, 2, 3, 4], "category": "Text", "text": " Fine. "}
-    assert parsed(spark, [{"bbox": [1, 2, 3, 4], "category": "Picture"}, {"bbox": [1, 2, 3, 4], "category": "Text", "text": "  "}, text]) == [("Picture", "", False), ("Text", "Fine.", False)]
-    assert parsed(spark, "```json\n" + json.dumps([text]) + "\n```") == [("Text", "Fine.", False)]
-    assert all(bad for _, _, bad in parsed(spark, [text, {"bbox": [0, 0, 1, 1], "category": "Marginalia", "text": "x"}]))
-    assert all(bad for _, _, bad in parsed(spark, [text, {"bbox": [0, 0, 1], "category": "Text", "text": "x"}]))
-    assert [bad for _, _, bad in parsed(spark, "no JSON at all")] == [True]
+    fine = [("Text", "Fine.", False)]
+    assert parsed(spark, [{"bbox": [1, 2, 3, 4], "category": "Picture"}, {"bbox": [1, 2, 3, 4], "category": "Text", "text": "  "}, text]) == [("Picture", "", False), *fine]
+    for fence in ("```json\n%s\n```", "``` %s", "%s\n```\n", "\u00a0```JSON%s", "\n%s\t"):
+        assert parsed(spark, fence % json.dumps([text])) == fine
+    for other in (12, True, None, ["x"], {"x": "y"}):  # a text of another type is none
+        assert parsed(spark, [{**text, "text": other}, text]) == fine
+    assert parsed(spark, []) == [] and refusal(spark, []) is None
+    assert parsed(spark, [{**text, "bbox": [1.5, -2, 3e2, 0]}]) == fine
+
+
+def test_answers_are_refused_as_a_whole(spark):
+    text = {"bbox": [1, 2, 3, 4], "category": "Text", "text": "x"}
+    for answer in (text, "12", '"words"', "null", "no JSON at all", "[1", json.dumps([text]) + " and more", "[],[]", "[]}", '[],"z":2', "[NaN]"):
+        assert refusal(spark, answer) == "no array", answer
+    assert [refusal(spark, x) for x in ("", None, "```json\n```", " \n")] == ["empty"] * 4
+    for element in (None, 7, "x", [1, 2, 3, 4]):
+        assert refusal(spark, [text, element]) == "no element"
+    for category in ("Marginalia", "text", None, 5, ["Text"], ""):
+        assert refusal(spark, [text, {**text, "category": category}]) == "category"
+    for box in ([0, 0, 1], [0, 0, 1, 1, 1], ["1", 0, 1, 1], [None, 0, 1, 1], None, "1,2,3,4", {"x": 1}, [True, 0, 1, 1]):
+        assert refusal(spark, [text, {**text, "bbox": box}]) == "box"
+    assert refusal(spark, '[{"bbox":[1,2,3,1e999],"category":"Text","text":"x"}]') == "box"
+    assert refusal(spark, [{**text, "bbox": []}, {**text, "category": "?"}]) == "box"  # the first bad element tells
+    assert all(bad for _, _, bad in parsed(spark, [text, {**text, "category": "Marginalia"}])) and len(parsed(spark, [text, {**text, "bbox": 1}])) == 2
+
+
+def test_pages_are_read_whole(spark):
+    element = lambda category, text, y: {"bbox": [10, y, 50, y + 10], "category": category, "text": text}
+    page = [element("Page-header", "# 7", 0), element("Text", "before\n\n## Head \n> one\n>two\n\nafter", 20), element("List-item", "# kept", 40), element("Text", "", 900), element("Picture", "", 60), element("Title", "plain", 80)]
+    rows = [("b", 1, json.dumps(page), 1000, 2000), ("b", 2, json.dumps(page) + "x", 1000, 2000), ("b", 3, "[]", 1000, 2000)]
+    blocks, furniture, pages = B.read_pages(spark.createDataFrame(rows, "book string, page int, answer string, width int, height int"), 500_000)
+    got = [(r.ord, r.part, r.category, r.text) for r in blocks.orderBy("ord", "part").collect()]
+    assert got == [(1, 0, "Text", "before\n"), (1, 1, "Section-header", "Head"), (1, 2, "Quote", "one\ntwo"), (1, 3, "Text", "\nafter"), (2, 0, "List-item", "# kept"), (4, 0, "Picture", ""), (5, 0, "Title", "plain")]
+    assert [(r.category, r.text) for r in furniture.collect()] == [("Page-header", "# 7")]
+    assert [(r.page, r.why, r.raw_x, r.raw_y) for r in pages.orderBy("page").collect()] == [(1, None, 50.0, 910.0), (2, "no array", None, None), (3, None, 0.0, 0.0)]
+    scale = values(spark, [G.render_scale(F.lit(2000.0), F.lit(1000.0), 500_000)])[0]
+    assert scale > 1.9 and {round(r.x1 / scale, 6) for r in blocks.collect()} == {10.0}
+
+
+def test_seams_are_sewn_where_they_are(spark):
+    from quire.operators import sweep
+
+    cut = lambda text, pattern=r"\([^()]*\)": sweep.cut(spark.createDataFrame([(text,)], "text string"), pattern).first()
+    for text, want in (
+        ("two  blanks kept", "two  blanks kept"), (" no match stays ", " no match stays "), ("word (cut), next", "word, next"), ("word (cut) next  far", "word next  far"), ("word (cut)\nnext", "word\nnext"), ("word\n(cut) next", "word\nnext"),
+        ("a (x)(y) b", "a b"), ("a (x) (y). b", "a. b"), ("a(x)(y) b", "a b"), ("(x) a", "a"), ("a (x)", "a"), ("(x)", ""), ("a \t(x)\t b", "a \t b"), ("(x)\u00a0", ""), ("a ((x)) b", "a () b"), ("a (x) ) b", "a ) b"), ("a (x) - b", "a - b"),
+    ):
+        assert cut(text).swept == want, text
+    assert cut("(x)").struck and not cut(" ").struck and cut(None).swept is None
+    chosen = spark.createDataFrame([(1, 2, 5), (1, 8, 11)], "id long, start long, end long")
+    rows = spark.createDataFrame([(1, "a (x) b (y) c"), (2, "a (x) b"), (3, "")], "id long, text string")
+    assert [(r.swept, r.struck) for r in sweep.cut_spans(rows, chosen.where("start = 8")).orderBy("id").collect()] == [("a (x) b c", False), ("a (x) b", False), ("", False)]
+    long = "word (cut) " * 50_000
+    assert cut(long).swept == "word " * 49_999 + "word"
+
+
+def test_imported_references(spark):
+    texts = {"1. Thomas": 1, "**2.** Bold": 2, " *3 x": 3, "04 old": 4, "⁵ raised": 5, "1234 long": 1234, "none": 6, "x 7": 7, "\u00a08": 8}
+    rows = spark.createDataFrame([("b", f"r{n}", "Text", t) for t, n in texts.items()] + [("b", "note", "Footnote", "9 x")], "book string, id string, category string, text string")
+    asked = [("b", k, f"r{n}", n) for k, n in enumerate(texts.values())] + [("b", 50, "note", None), ("b", 51, "gone", 1), ("b", 52, "r1", 99), ("b", -1, "r1", 98), ("b", 53, "r2", None)]
+    refs_made = spark.createDataFrame(asked, "book string, seq int, row string, printed int")
+    got = {(r.seq, r.row): r.state for r in refs.imported_refs(refs_made, rows).collect()}
+    promoted = {"r1", "r2", "r3", "r1234", "r8"}
+    assert {row: s for (k, row), s in got.items() if 0 <= k < 50} == {f"r{n}": "promoted" if f"r{n}" in promoted else "unresolved" for n in texts.values()}
+    assert [got[x] for x in ((50, "note"), (51, "gone"), (52, "r1"), (-1, "r1"), (53, "r2"))] == ["note", "unresolved", "note", "unresolved", "note"]
+
+
+def test_labels_are_promoted_in_the_order_of_divisions(spark):
+    def fold(rows, divisions):
+        rows, out = {p: [c, t] for p, c, t in rows}, set()
+        name = lambda t: " ".join(t.replace("*", "").split()).lower()
+        for _, start, title in sorted(divisions):
+            for p in range(start, start + 4):
+                if not name(title) or p not in rows or rows[p][0] not in ("Text", "Section-header"):
+                    break
+                printed = name(rows[p][1])
+                if not printed or printed not in name(title) and name(title) not in printed:
+                    break
+                rows[p][0] = "Title"
+                out.add(p)
+        return out
+
+    def run(rows, divisions):
+        made = spark.createDataFrame([("b", *r) for r in rows], "book string, pos long, category string, text string")
+        asked = spark.createDataFrame([("b", *r) for r in divisions], "book string, nth long, pos long, title string")
+        return {r.pos for r in refs.promoted_labels(made, asked).collect()}
+
+    rows = [(0, "Text", "Kill-ing: America!"), (1, "Title", "Killing America"), (2, "Text", "america"), (5, "Text", "1"), (6, "Section-header", "KILLING  *America*"), (7, "Text", "prose"), (8, "Text", "")]
+    assert run(rows, [(0, 0, "Killing America"), (1, 1, "Killing America"), (2, 5, "Chapter 1: Killing America"), (3, 8, "x")]) == {5, 6}
+    import random
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        some = ["a", "A b", "*a*  b c", "c", "d", ""]
+        made = [(p, rng.choice(["Text", "Text", "Section-header", "Title", "Picture"]) if rng.random() < 0.3 else "Text", rng.choice(some[: 2 + seed])) for p in range(120) if p % 17 != 5]
+        asked = [(n, p, rng.choice(["a b c", "b", " "])) for n, p in enumerate(rng.sample([p for p, *_ in made], 60))]
+        assert run(made, asked) == fold(made, asked)
+
+
+def test_stale_steps_are_no_standard(spark):
+    steps = spark.createDataFrame([("p", 1, None, "import", 1, None), ("p", 2, 1, "read", 2, False), ("p", 3, 2, "read", 3, True), ("p", 4, 3, "translate", 4, True), ("p", 5, 1, "read", 9, None)], "project string, id long, parent long, action string, created long, stale boolean")
+    at = spark.createDataFrame([("p", 4)], "project string, at long")
+    got = ledger.current_standard(steps, ledger.ancestry(steps), at).collect()
+    assert {(r.action, r.id) for r in got} == {("import", 1), ("read", 2)}
 
 
 def test_sentences_go_on(spark):
@@ -48,10 +153,10 @@ def test_sentences_go_on(spark):
 
 
 def test_broken_words(spark):
-    words = spark.createDataFrame([("b", w) for w in ("koreans", "self-determination")], "book string, word string")
-    made = spark.createDataFrame([("b", 1, k, t) for k, t in enumerate(("the Ko-\nreans of self-\ndetermination", "gov-\nernment", "Anglo-\nGerman x", "none here"))], "book string, page int, ord int, text string")
+    words = spark.createDataFrame([("b", w) for w in ("lanterns", "well-tempered")], "book string, word string")
+    made = spark.createDataFrame([("b", 1, k, t) for k, t in enumerate(("two Lan-\nterns and well-\ntempered", "orch-\nard", "Franco-\nDutch y", "nothing broken"))], "book string, page int, ord int, text string")
     got = {r.ord: r.text for r in flow.dehyphenated(made, words).collect()}
-    assert got == {0: "the Koreans of self-determination", 1: "government", 2: "Anglo-German x", 3: "none here"}
+    assert got == {0: "two Lanterns and well-tempered", 1: "orchard", 2: "Franco-Dutch y", 3: "nothing broken"}
 
 
 def starts(spark, made, extra=""):
