@@ -138,6 +138,27 @@ def unfenced_json(c: Column) -> Column:
     return trim_wide(F.regexp_replace(opened, rf"```[{WIDE_CLASS}]*\z", ""))
 
 
+def json_value(c: Column) -> Column:
+    """The VARIANT of a JSON text, or null where it is none. The text is parsed as the member of an object, so that nothing
+    can stand behind it."""
+    whole = F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit(',"z":1}')))
+    names = F.array_sort(F.map_keys(F.try_variant_get(whole, "$", "map<string,variant>")))
+    return F.when(names == F.array(F.lit("a"), F.lit("z")), F.try_variant_get(whole, "$.a", "variant"))
+
+
+#: Characters of two UTF-16 units.
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+
+
+def utf16_length(c: Column) -> Column:
+    return F.char_length(c) + F.char_length(F.regexp_replace(c, ASTRAL.replace("[", "[^"), ""))
+
+
+def point_of_unit(c: Column, unit: Column) -> Column:
+    """The code points before a UTF-16 offset of the text: each character of two units before it counts once."""
+    return F.when(c.rlike(ASTRAL), unit - F.size(F.filter(match_spans(c, ASTRAL), lambda s, k: s["at"] + k < unit))).otherwise(unit)
+
+
 def strip_markers(c: Column) -> Column:
     return trim_all(F.regexp_replace(F.regexp_replace(c, "⟦[^⟧]*⟧", ""), r"[ \t\n\x0B\f\r]+", " "))
 

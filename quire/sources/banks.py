@@ -24,11 +24,26 @@ def skip_list(spark: SparkSession, text: str, widest: int = 100_000) -> DataFram
     return spark.createDataFrame(spans, "a long, b long").select(F.explode(F.sequence("a", "b")).alias("page")).distinct()
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """book (file), seq (line number from 0), value: lines of text files, which are read in splits.
+
+    A split is read by one task from its beginning to its end, so its lines are numbered within it, and a file's splits by
+    what those before hold: no file is one value and no task holds more than a split."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("book"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"), "value")
+    sizes = raw.groupBy("book", "split").agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("book").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sizes.select("book", "split", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("book", "split").orderBy("n")) - 1
+    lines = raw.withColumn("within", within).join(placed, ["book", "split"])
+    seq = F.col("before") + F.col("within")
+    return lines.select("book", seq.alias("seq"), F.when(seq == 0, X.strip_bom(F.col("value"))).otherwise(F.col("value")).alias("value"))
+
+
 def bank_lines(spark: SparkSession, path: str) -> DataFrame:
-    """book (file), seq (line order), value, last: lines of JSON-lines files. Files are not split, so order is the file's."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("book"), F.split(X.strip_bom(F.col("value")), "\n").alias("ls"))
-    lines = raw.select("book", F.posexplode("ls").alias("seq", "value")).where(F.btrim("value") != "")
-    return lines.withColumn("last", F.col("seq") == F.max("seq").over(Window.partitionBy("book")))
+    """book (file), seq (line number), value, last: lines of JSON-lines files that are not blank."""
+    lines = ordered_lines(spark, path).where(F.btrim("value") != "")
+    ends = lines.groupBy("book").agg(F.max("seq").alias("__end"))
+    return lines.join(ends, "book").select("book", "seq", "value", (F.col("seq") == F.col("__end")).alias("last"))
 
 
 def accepted(good: Column, torn: Column) -> Column:
@@ -117,11 +132,17 @@ SAYS = {"strike": ["id"], "restore": ["id"], "text": ["id", "text"], "category":
 
 
 def edit_log(spark: SparkSession, path: str) -> DataFrame:
-    """book, seq and the fields of an edit log; an unknown verb or one that lacks a field refuses the file."""
-    rows = checked_lines(spark, path, OP, ["op"], torn=False)
+    """book, seq and the fields of an edit log. A file is refused for an unknown verb, or one that lacks a field, has an empty
+    name, joins or moves a row to itself, cuts before its first character, or links a span that begins before the text or is
+    empty. Where a row moves to may be called before or into."""
+    rows = checked_lines(spark, path, OP + ", before string", ["op"], torn=False)
+    rows = rows.withColumn("into", F.coalesce(F.when(F.col("op") == "move", F.col("before")), "into")).drop("before")
     says = F.create_map(*[x for verb, fields in SAYS.items() for x in (F.lit(verb), F.lit(",".join(fields)))])
     missing = F.filter(F.split(F.coalesce(says[F.col("op")], F.lit("?")), ","), lambda f: (f != "") & ~F.array_contains(F.map_keys(said_fields()), f))
-    good = F.size(missing) == 0
+    named = F.forall(F.array("id", "into", "block", "note", "category"), lambda n: F.coalesce(n != "", F.lit(True)))
+    apart = F.coalesce((F.col("op").isin("merge", "move") & (F.col("id") == F.col("into"))), F.lit(False))
+    least = F.when(F.col("op") == "split", F.col("at") >= 1).when(F.col("op") == "link", (F.col("at") >= 0) & (F.col("len") >= 1)).otherwise(True)
+    good = (F.size(missing) == 0) & named & ~apart & F.coalesce(least, F.lit(False))
     return rows.where(F.assert_true(good, F.concat(F.lit("bad op in "), "book")).isNull())
 
 
