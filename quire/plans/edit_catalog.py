@@ -158,3 +158,56 @@ UNION SELECT DISTINCT book, note FROM refs f WHERE NOT EXISTS (SELECT 1 FROM fou
   AND NOT EXISTS (SELECT 1 FROM refs g WHERE g.book = f.book AND g.note = f.note AND NOT EXISTS (SELECT 1 FROM claims c WHERE c.book = g.book AND c.src = g.block))""")
 def rebound_orphans(spark, d):
     return _bound(spark, d)["orphans"]
+
+
+# --- stamps and final cleaning ----------------------------------------------------------------------------------------
+
+#: Pages as documents of their host's book; the line break of a paragraph is a page marker.
+MARKED = r"""
+pg AS (
+  SELECT page_id AS doc, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)', 1)) AS book, regexp_replace(html, '<br>', '<span epub:type="pagebreak" title="Page ' || (page_id % 5 + 1) || '"/>', 'g') AS m FROM pages),
+cutp AS (SELECT doc, book, m, split_part(m, '<body>', 1) || '<body>' AS head, m[length(split_part(m, '<body>', 1)) + 7:] AS rest FROM pg),
+pieces AS (SELECT doc, book, head, regexp_extract_all(rest, '<div class="ad"|<h1|<p') AS h, regexp_split_to_array(rest, '<div class="ad"|<h1|<p') AS r FROM cutp),
+each AS (SELECT doc, book, head, r, h, unnest(range(1, len(r) + 1)) AS i FROM pieces),
+typed AS (SELECT doc, book, head, i, coalesce(h[i - 1], '') AS tag, r[i] AS after, CASE h[i - 1] WHEN '<h1' THEN 'chapter' ELSE 'text' END AS category, doc % 5 + 1 AS page,
+  i > 1 AND NOT (h[i - 1] = '<p' AND contains(r[i], '<b>') AND i < len(r)) AS named, i > list_position(list_transform(r, lambda x: contains(x, 'epub:type="pagebreak"')), true) AS paged FROM each),
+counted AS (SELECT *, row_number() OVER (PARTITION BY book, named, paged, CASE WHEN paged THEN page ELSE doc * 10 END ORDER BY doc, i) AS k FROM typed)
+"""
+
+
+def _marked(spark, d):
+    mark = F.concat(F.lit('<span epub:type="pagebreak" title="Page '), (F.col("page_id") % 5 + 1).cast("string"), F.lit('"/>'))
+    book = F.lower(F.regexp_extract("url", r"\A[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)", 1))
+    return S.table(spark, d, "pages").select(book.alias("book"), F.col("page_id").alias("doc"), F.col("page_id").cast("string").alias("token"), F.replace("html", F.lit("<br>"), mark).alias("markup"))
+
+
+@query("stamped_pages", rf"""
+WITH {MARKED}
+SELECT doc, sha256(any_value(head) || string_agg(tag || CASE WHEN named THEN CASE WHEN paged THEN ' data-bf-page="' || page || '"' ELSE '' END || ' data-bf-cat="' || category || '" data-bf-id="' || CASE WHEN paged THEN 'p' || page ELSE 'c' || doc END || '-' || k || '"' ELSE '' END || after, '' ORDER BY i)) AS h
+FROM counted GROUP BY doc""")
+def stamped_pages(spark, d):
+    """Every page with its blocks stamped: category, printed page and a name that counts through the book; all else as it was."""
+    from ..operators import splice
+
+    return splice.stamp(_marked(spark, d)).select("doc", F.sha2("written", 256).alias("h"))
+
+
+@query("cleaned_pages", rf"""
+WITH c AS (SELECT page_id AS doc, page_id % 3 AS k, html FROM pages),
+a AS (SELECT doc, k, CASE WHEN k = 0 THEN html ELSE regexp_replace(html, '<div class="ad">[^<]*</div>', '') END AS m FROM c),
+h AS (SELECT doc, k, CASE WHEN k > 0 THEN replace(m, '<h1>', '<h1 data-bf-page="7"><span epub:type="pagebreak" id="pb-7"></span>') ELSE m END AS m FROM a),
+f AS (SELECT doc, CASE WHEN k = 1 THEN regexp_replace(m, '(?s)<footer>.*?</footer>', '') ELSE replace(m, '<article>', '<article data-bf-cat="text">') END AS m FROM h)
+SELECT doc, sha256(m) AS h FROM f""")
+def cleaned_pages(spark, d):
+    """Pages of which some parts are marked as cut (the advert, with a page marker in it, and the footer), cleaned."""
+    from ..operators import splice
+
+    pages = _marked(spark, d).join(S.table(spark, d, "pages").select(F.col("page_id").alias("doc"), "html"), "doc")
+    k, html = F.col("doc") % 3, F.col("html")
+    marker = '<span data-bf-cut="" epub:type="pagebreak" data-bf-id="m" id="pb-7"></span>'
+    html = F.when(k == 0, html).otherwise(F.regexp_replace(html, '<div class="ad">([^<]*)</div>', f'<div class="ad" data-bf-cut="">$1{marker}</div>'))
+    html = F.when(k > 0, F.replace(html, F.lit("<h1>"), F.lit('<h1 data-bf-page="7" data-bf-id="h">'))).otherwise(html)
+    html = F.when(k == 1, F.replace(html, F.lit("<footer>"), F.lit("<footer data-bf-cut>"))).otherwise(F.replace(html, F.lit("<article>"), F.lit('<article data-bf-id="x" data-bf-cat="text">')))
+    docs = pages.select("book", "doc", F.concat("token", F.lit(".xhtml")).alias("path"), html.alias("markup"))
+    written, _ = splice.final(docs)
+    return written.select("doc", F.sha2("written", 256).alias("h"))
