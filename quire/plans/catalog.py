@@ -730,12 +730,12 @@ def read_pages_blocks(spark, d):
 
 
 def queries() -> dict:
-    from . import book_catalog, edit_catalog, translate_catalog  # noqa: F401 - register their queries
+    from . import book_catalog, edit_catalog, shelf_catalog, translate_catalog  # noqa: F401 - register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import book_catalog, edit_catalog, translate_catalog  # noqa: F401
+    from . import book_catalog, edit_catalog, shelf_catalog, translate_catalog  # noqa: F401
 
     return dict(SQL)
