@@ -181,11 +181,14 @@ def complaint(ids: Column, singles: Column, answer: Column) -> Column:
     )
 
 
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def restored(ids: Column, opens: Column, shuts: Column, answer: Column) -> Column:
     """An answer as markup: signs as what they stand for, invented ones left out, all other text escaped."""
     answer = F.coalesce(answer, F.lit(""))
     signs = F.regexp_extract_all(answer, F.lit(SIGN), F.lit(0))
     sources = F.map_from_arrays(F.concat(ids, F.transform(ids, lambda i: F.concat(F.lit("/"), i))), F.concat(opens, F.zip_with(shuts, opens, lambda s, o: F.coalesce(s, o))))
     body = F.transform(signs, lambda s: F.coalesce(sources[F.regexp_replace(s, "[⟦⟧]", "")], F.lit("")))
-    escaped = F.replace(F.replace(F.replace(answer, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return F.array_join(F.zip_with(F.split(escaped, SIGN, -1), body, lambda t, s: F.concat(t, F.coalesce(s, F.lit("")))), "")
+    return F.array_join(F.zip_with(F.split(escaped(answer), SIGN, -1), body, lambda t, s: F.concat(t, F.coalesce(s, F.lit("")))), "")

@@ -225,6 +225,15 @@ def test_documents_rewritten_with_their_answers(spark):
     assert [(r.doc, r.reason, r.names) for r in complaints.collect()] == [(1, "missing", ["e1"])]
 
 
+def test_text_that_an_answer_keeps_is_spelt_as_it_was(spark):
+    p = lambda t: stamp("p", "text", t)
+    docs = spark.createDataFrame([(1, page(p("and&amp") + p("a&am") + p("x &quot;y&quot; &am") + p("z&amp")))], "doc long, markup string")
+    masked = sites.masked_sites(docs, sites.find_blocks(docs)[0])
+    said = F.when(F.col("text").startswith("x"), F.concat("text", F.lit(" <b>"))).when(F.col("text").startswith("z"), F.concat("text", F.lit(";"))).otherwise(F.concat(F.lit("~& "), "text"))
+    written, _ = sites.rewritten(docs, masked, masked.select("doc", "id", said.alias("answer")))
+    assert written.first().written == page(p("~&amp; and&amp") + p("~&amp; a&am") + p("x &quot;y&quot; &am &lt;b&gt;") + p("z&amp;;"))
+
+
 def test_languages_of_start_tags(spark):
     cases = [
         ('<html lang="de" xml:lang=\'de\'>', "en", '<html lang="en" xml:lang="en">'),
