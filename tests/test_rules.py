@@ -290,6 +290,15 @@ def test_running_values_do_not_depend_on_the_step(spark):
             assert last[g, o] == (before[-1][1] if before else None) and then[g, o] == (after[0] if after else None)
 
 
+def test_following_values_lie_behind_equal_orders(spark):
+    made = [("x", 5, None, 1), ("x", 5, 7, 2), ("x", 5, 6, 3), ("x", 9, 4, 4), ("x", 9, 3, 5), ("y", 5, 1, 6), ("y", 5, None, 7)]
+    for step in (1, 7, 100):
+        for rows in (made, made[::-1]):
+            df = spark.createDataFrame(rows, "g string, o long, v int, k int").coalesce(1)
+            got = {r.k: r.s for r in running.following(df, ["g"], "o", "v", "s", step=step).collect()}
+            assert got == {1: 3, 2: 3, 3: 3, 4: None, 5: None, 6: None, 7: None}
+
+
 def test_a_circle_of_steps_is_refused(spark):
     steps = lambda made: spark.createDataFrame(made, "project int, id int, parent int")
     with pytest.raises(ValueError, match="own ancestor"):
