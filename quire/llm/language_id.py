@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from .common import col, slices, texts_of
 
 ORDERS, BUCKETS, SMOOTHING = (1, 2, 3, 4), 1 << 15, 0.5
-#: A fitted model sees about so many labelled rows at most; the sample is drawn by language and a hash of the id.
-FIT_ROWS = 20_000
 #: Rows that length classes are pooled to before a floor of evidence is taken from them.
 POOL_ROWS = 500
 #: More languages than this are refused: the matrix grows with them.
@@ -114,8 +112,9 @@ class LanguageModel:
         return (p / p.sum(1, keepdims=True) if p.size else p), some & bool(self.langs), each, size
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Counts are summed in each task and then over tasks; the driver gets one row for each bin and language at most."""
+def fit(labelled: DataFrame, fit_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Counts are summed in each task and then over tasks; the driver gets one row for each bin and language at most. All
+    labelled rows are counted; with fit_rows, about so many, drawn by language and a hash of the id."""
     rows = labelled.select(col(labelled, id_col).alias("doc_id"), col(labelled, text_col).cast("string").alias("text"), col(labelled, lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
     langs, total = sorted(sizes), sum(sizes.values())
@@ -123,7 +122,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", t
         raise ValueError(f"{len(langs)} values of {lang_col}; a model learns {MAX_LANGS} languages at most")
     if not langs:
         return LanguageModel([], np.zeros((0, BUCKETS * len(ORDERS))), [])
-    if fit_rows < total:
+    if fit_rows is not None and fit_rows < total:
         # the sample is shared out evenly; a language with fewer rows than its part gives them all
         left, cut = fit_rows, {}
         for k, x in enumerate(sorted(langs, key=sizes.get)):
@@ -173,21 +172,19 @@ def _evidence(batches, model):
             yield pa.RecordBatch.from_arrays([pa.array(length_class(size)[some]), pa.array(each[some])], names=["class", "each"])
 
 
-def evidence_floors(labelled: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
+def evidence_floors(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
     """For each length class (log2 of bytes), the least log-likelihood for each byte of a text in a learned language.
 
-    A model of one half of the labelled rows scores rows of the other half, so no text is judged by its own counts. A
+    A model of each half of the labelled rows scores all rows of the other half, so no text is judged by its own counts. A
     floor is as far below the least of a pool of classes as that is below their mean; it never falls with length. Texts
     shorter than all of these have no floor, longer ones the last."""
     rows = labelled.where(col(labelled, text_col).isNotNull() & col(labelled, lang_col).isNotNull())
-    half = F.pmod(F.xxhash64(col(labelled, id_col), F.lit(11)), F.lit(2))
-    model = fit(rows.where(half == 0), fit_rows, id_col, text_col, lang_col)
-    others = rows.where(half == 1)
-    total = others.count()
-    if fit_rows < total:
-        others = others.where(F.pmod(F.xxhash64(col(labelled, id_col), F.lit(7)), F.lit(1_000_000)) < int(fit_rows / total * 1_000_000))
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
-    scored = others.select(col(labelled, text_col).cast("string").alias("text")).mapInArrow(partial(_evidence, model=shared), "class int, each double")
+    half = F.coalesce(F.pmod(F.xxhash64(col(labelled, id_col), F.lit(11)), F.lit(2)), F.lit(0))
+    scored = None
+    for k in (0, 1):
+        shared = labelled.sparkSession.sparkContext.broadcast(fit(rows.where(half == k), None, id_col, text_col, lang_col))
+        each = rows.where(half != k).select(col(labelled, text_col).cast("string").alias("text")).mapInArrow(partial(_evidence, model=shared), "class int, each double")
+        scored = each if scored is None else scored.unionByName(each)
     found = scored.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("each").alias("low"), F.sum("each").alias("total")).collect()
     floors = np.full(64, -np.inf)
     if not found:

@@ -232,6 +232,15 @@ def test_a_rare_language_is_learned_from_all_its_rows(spark):
     assert (got[1].lang_pred, got[2].lang_pred) == ("de", "en")
 
 
+def test_floors_of_evidence_come_from_all_labelled_rows(spark):
+    plain = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("the quick brown fox").alias("text"), F.lit("en").alias("lang"))
+    odd = lambda k: plain.withColumn("text", F.when(F.col("doc_id") == k, "qzj xvk wjq zzx qqq").otherwise(F.col("text")))
+    least = language_id.length_class(np.array([19]))[0]
+    usual = language_id.evidence_floors(plain)[least]
+    for k in (1, 2, 3):
+        assert language_id.evidence_floors(odd(k))[least] < usual - 1
+
+
 def test_patterns_of_letters_do_not_make_words_meet(spark):
     morse = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
     other = morse.translate({97: 98, 98: 97})
