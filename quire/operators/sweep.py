@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as X
+from .batches import runs
 
 
 def census(rows: DataFrame, pattern: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -58,9 +59,13 @@ def sewn(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(reversed(kept)).strip(X.WIDE_BLANK)
 
 
-@F.pandas_udf(StringType())
-def _sewn(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-    return pd.Series([t if t is None or s is None or not len(s) else sewn(t, list(zip(s.tolist(), e.tolist()))) for t, s, e in zip(texts, starts, ends)], dtype=object)
+@F.arrow_udf(StringType())
+def _sewn(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    out = []
+    for at, n in runs(texts):
+        rows = zip(*(c.slice(at, n).to_pylist() for c in (texts, starts, ends)))
+        out.append(pa.array([t if t is None or not s else sewn(t, list(zip(s, e))) for t, s, e in rows], pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def without_spans(text: Column, spans: Column) -> Column:
