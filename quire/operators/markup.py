@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import sliced
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 TOKEN = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -56,7 +58,7 @@ def elements_of(markup: str):
 
 
 def _elements(batches):
-    for rows in batches:
+    for rows in sliced(batches):
         out = [(doc, *e[:6], "".join(e[6])) for doc, markup in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()) for e in elements_of(markup or "")]
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32(), pa.string())
         cols = [pa.array([list(o[k].items()) if k == 4 else o[k] for o in out], t) for k, t in enumerate(kinds)]
@@ -124,7 +126,7 @@ def unmask(text: str, kept: list[str]) -> str:
 
 
 def _masked(batches):
-    for rows in batches:
+    for rows in sliced(batches):
         got = [mask(t or "") for t in rows.column(1).to_pylist()]
         back = [unmask(a, k) == (t or "") for (a, k), t in zip(got, rows.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string())), pa.array(back, pa.bool_())], names=["id", "masked", "kept", "round_trips"])
@@ -180,7 +182,7 @@ def unsafe_attribute(name: str, value: str) -> bool:
 
 
 def _safe(batches):
-    for rows in batches:
+    for rows in sliced(batches):
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([None if t is None else safe_markup(t) for t in rows.column(1).to_pylist()], pa.string())], names=["id", "markup"])
 
 

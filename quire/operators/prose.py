@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .batches import sliced
 
 #: Page furniture by tag, and raised signs with what they stand for.
 FURNITURE = r"(?s)<(page_number|footer|header|watermark)>.*?</\1>"
@@ -154,7 +155,7 @@ def tidied(text: str) -> str:
 
 
 def _plain(batches):
-    for rows in batches:
+    for rows in sliced(batches):
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([None if t is None else plain_chapter(t) for t in rows.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
 
