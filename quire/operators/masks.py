@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import sliced
 from .splice import TOKEN, VOID
 
 #: Elements whose words belong to the sentence, and those that are kept whole.
@@ -109,7 +110,7 @@ def _edges(text: str, sources: dict[str, str]) -> tuple[str, str, str, set[str]]
 
 
 def _masked(batches):
-    for rows in batches:
+    for rows in sliced(batches, "parts"):
         out = []
         for parts in rows.column("parts").to_pylist():
             paired = single = 0

@@ -5,13 +5,14 @@ import html.parser
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as X
 from quire.operators import blocks as B
-from quire.operators import chapters, explode, flow, ledger, markup, prose, refs, replay, rows, running, translate
+from quire.operators import batches, chapters, explode, flow, ledger, markup, prose, refs, replay, rows, running, splice, translate
 from quire.sources import banks, books
 from quire.streaming import intake
 
@@ -299,6 +300,19 @@ def test_following_values_lie_behind_equal_orders(spark):
             assert got == {1: 3, 2: 3, 3: 3, 4: None, 5: None, 6: None, 7: None}
 
 
+def test_batches_are_taken_in_short_runs():
+    texts = ["x" * 90, None, "", "y" * 2000, "z"] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts), pa.array([None if t is None else [t, None] for t in texts])], names=["id", "text", "parts"])
+    for by in (1, "parts"):
+        got = list(batches.sliced([batch, batch.slice(0, 0), batch.slice(3, 5)], by, most=1000))
+        assert [i for b in got for i in b.column(0).to_pylist()] == [*range(200), *range(3, 8)]
+        assert max(sum(len(t or "") for t in b.column(1).to_pylist()) for b in got) <= 3000
+    wide = pa.array([f"<b>{'<i>x</i>' * 30_000}</b>"] * 9)
+    docs = pa.RecordBatch.from_arrays([pa.array(range(9)), wide], names=["doc", "markup"])
+    for read in (markup._elements, splice._spans):
+        assert max(b.num_rows for b in read([docs])) <= 5 * 30_001 and sum(b.num_rows for b in read([docs])) == 9 * 30_001
+
+
 def test_a_circle_of_steps_is_refused(spark):
     steps = lambda made: spark.createDataFrame(made, "project int, id int, parent int")
     with pytest.raises(ValueError, match="own ancestor"):
