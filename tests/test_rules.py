@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import text as X
 from quire.operators import blocks as B
-from quire.operators import batches, chapters, explode, flow, ledger, markup, prose, refs, replay, rows, running, splice, translate
+from quire.operators import batches, chapters, explode, flow, ledger, markup, notes, prose, refs, replay, rows, running, splice, translate
 from quire.sources import banks, books
 from quire.streaming import intake
 
@@ -586,3 +586,11 @@ def test_a_book_as_it_reads(spark):
     texts = [r.text for r in got["paragraphs"].orderBy("para").collect()]
     assert texts == ["II\nThe Price", "It was a government of the Anglosaxon kind " + ("word " * 30), "Another begins"]
     assert [r.page for r in got["sections"].collect()] == [1] and got["shelf"].count() == 1 and got["notes"].count() == 8
+
+
+def test_notes_read_each_line_once(spark):
+    lines = ["head", "2 two", "x", "3 three", "9 tail", "⁷ seven", "8 eight", "⁹⁹⁹⁹⁹⁹⁹⁹⁹⁹⁹ far", "1 one", ""]
+    got = notes.split_notes(spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "")], "k int, text string"), ["k"])
+    assert [tuple(r) for r in got.orderBy("k", "note").collect()] == [(1, 0, None, "head\n2 two\nx\n3 three\n9 tail"), (1, 1, 7, "⁷ seven"), (1, 2, 8, "8 eight"), (1, 3, None, "⁹⁹⁹⁹⁹⁹⁹⁹⁹⁹⁹ far\n1 one\n"), (3, 0, None, "")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\A([⁰¹²³⁴⁵⁶⁷⁸⁹]+)") == 1
