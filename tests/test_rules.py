@@ -594,3 +594,26 @@ def test_notes_read_each_line_once(spark):
     assert [tuple(r) for r in got.orderBy("k", "note").collect()] == [(1, 0, None, "head\n2 two\nx\n3 three\n9 tail"), (1, 1, 7, "⁷ seven"), (1, 2, 8, "8 eight"), (1, 3, None, "⁹⁹⁹⁹⁹⁹⁹⁹⁹⁹⁹ far\n1 one\n"), (3, 0, None, "")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("\\A([⁰¹²³⁴⁵⁶⁷⁸⁹]+)") == 1
+
+
+def _shuffled(spark, df):
+    """Bytes that the jobs of a write of df shuffle."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    every = lambda: store.stageList(jvm.java.util.ArrayList(), False, False, spark._sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    total = lambda: sum(every().apply(i).shuffleWriteBytes() for i in range(every().size()))
+    before = total()
+    df().write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def test_paragraphs_look_up_broken_words_without_their_texts(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(20000)]
+    lines = [(str(b), p, o, "Text", " ".join(r.choice(words) for _ in range(8)), "") for b in range(100) for p in range(4) for o in range(20)]
+    made = lines + [("x", 0, 0, "Text", "the re-entry and re-", ""), ("x", 0, 1, "Text", "entry of cooper-", ""), ("x", 0, 2, "Text", "ation", "")]
+    blocks = spark.createDataFrame(made, "book string, page int, ord int, category string, text string, align string").cache()
+    blocks.count()
+    got = flow.flow_paragraphs(blocks).where("book = 'x'").collect()
+    assert [(r["n_blocks"], r["text"]) for r in got] == [(3, "the re-entry and re-entry of cooperation")]
+    once = _shuffled(spark, lambda: blocks.repartition("book"))
+    assert _shuffled(spark, lambda: flow.flow_paragraphs(blocks)) < 3 * once
