@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.scratch import cut
 from .banks import ordered_lines
 
 #: Fixed value: the version of the format.
@@ -117,8 +118,9 @@ def book_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     refs, shelf, why, image, align, row (VARIANT: all that was said). heads: book, head (VARIANT). refused: book, seq, id,
     why. Files without a line that is not blank are not in any table: they have no rows to refuse (see empty_files)."""
     lines = judged(file_lines(spark, path))
-    own = lines.where("fault is not null").select("book", "seq", "id", "fault.step", "fault.why")
-    twice = repeated_ids(lines.select("book", "seq", "id")).select("book", "seq", "id", F.lit(1).alias("step"), F.lit("repeated id").alias("why"))
+    named = cut(lines.select("book", "seq", "id", "fault"))  # read three times; each line is parsed and judged once for it
+    own = named.where("fault is not null").select("book", "seq", "id", "fault.step", "fault.why")
+    twice = repeated_ids(named.select("book", "seq", "id")).select("book", "seq", "id", F.lit(1).alias("step"), F.lit("repeated id").alias("why"))
     refused = own.unionByName(twice).groupBy("book").agg(F.min(F.struct("seq", "step", "id", "why")).alias("f")).select("book", "f.seq", "f.id", "f.why")
     sound = lines.join(refused.select("book"), "book", "left_anti")
     point = lambda u: X.point_of_unit(F.col("text"), u.cast("int"))

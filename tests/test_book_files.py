@@ -227,3 +227,14 @@ def test_rebinding_equals_a_fold(spark):
         want_refs, want_loose, want_orphans = folded_rebind(*case)
         assert {n: refs.get((b, n), []) for n in case[1]} == want_refs
         assert sorted(loose.get(b, [])) == want_loose and orphans.get(b, set()) == want_orphans
+
+
+def test_lines_are_judged_once(spark, tmp_path):
+    head = '{"book":3,"engine":"e","language":"en","source":{"pages":1,"unreadable":[],"bankSha":"s"},"chapters":[],"typography":null,"seams":[],"loose":{"markers":[],"notes":[]}}'
+    row = '{"id":"b1-%s","category":"Text","text":"a😀é","page":1,"pages":[1],"box":null,"parts":[{"src":"1:0","page":1,"chars":[0,%s]}]}'
+    (tmp_path / "good").write_text("\n".join([head, row % (1, 4), row % (2, 4)]))
+    (tmp_path / "bad").write_text("\n".join([head, row % (1, 4), row % (1, 4), row % (2, 3)]))
+    rows, _, refused = book_files.book_files(spark, str(tmp_path))
+    assert [(r["id"], r["parts"][0]["end"]) for r in rows.orderBy("seq").collect()] == [("b1-1", 3), ("b1-2", 3)]
+    assert [(r["seq"], r["why"]) for r in refused.collect()] == [(2, "repeated id")]
+    assert "FileScan text" not in refused._jdf.queryExecution().sparkPlan().toString()
