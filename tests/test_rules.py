@@ -4,6 +4,7 @@ import collections
 import html.parser
 import json
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -617,3 +618,39 @@ def test_paragraphs_look_up_broken_words_without_their_texts(spark):
     assert [(r["n_blocks"], r["text"]) for r in got] == [(3, "the re-entry and re-entry of cooperation")]
     once = _shuffled(spark, lambda: blocks.repartition("book"))
     assert _shuffled(spark, lambda: flow.flow_paragraphs(blocks)) < 3 * once
+
+
+def test_broken_words_are_healed_where_they_stand(spark):
+    r = random.Random(7)
+    halves = ["ab", "cd", "Ef", "éa", "Éb", "ñ", "×o", "g"]
+    pairs = [(a, b) for a in halves for b in halves]
+    known = {r.choice(pairs) for _ in range(30)}
+    words = {("b", (a + ("-" if r.random() < 0.6 else "") + b).lower()) for a, b in known}
+    made = []
+    for k in range(300):
+        text = "".join(r.choice(halves) + r.choice(["-\n", "-\n", " ", "-", "\n", ", "]) for _ in range(r.randint(1, 9)))
+        made.append((r.choice("bc"), k % 7, k, text))
+
+    def healed(book, text):
+        def one(m):
+            stem, word = m.group(1), m.group(2)
+            fuse = (book, (stem + word).lower()) in words or ((book, f"{stem}-{word}".lower()) not in words and word[0] == word[0].lower())
+            return stem + word if fuse else f"{stem}-{word}"
+
+        return re.sub(flow.BROKEN, one, text)
+
+    blocks = spark.createDataFrame([*made, ("b", 9, 999, None)], "book string, page int, ord int, text string")
+    got = {x.ord: x.text for x in flow.dehyphenated(blocks, spark.createDataFrame(sorted(words), "book string, word string")).collect()}
+    assert got == {k: healed(b, t) for b, _, k, t in made} | {999: None}
+
+
+def test_broken_words_move_no_texts(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(6, 9))) for _ in range(20000)]
+    lines = [(str(k % 50), k, 0, " ".join(w[:3] + "-\n" + w[3:] for w in (r.choice(words) for _ in range(8)))) for k in range(8000)]
+    blocks = spark.createDataFrame([*lines, ("x", 0, 0, "coop-\neration co-\nop"), ("x", 0, 1, "cooperation co-op")], "book string, page int, ord int, text string").cache()
+    blocks.count()
+    lexicon = lambda: spark.createDataFrame([("x", "cooperation"), ("x", "co-op")], "book string, word string")
+    got = flow.dehyphenated(blocks, lexicon()).where("book = 'x'").collect()
+    assert sorted(x.text for x in got) == ["cooperation co-op", "cooperation co-op"]
+    assert _shuffled(spark, lambda: flow.dehyphenated(blocks, lexicon())) < _shuffled(spark, lambda: blocks.repartition("book")) / 10
