@@ -654,3 +654,19 @@ def test_broken_words_move_no_texts(spark):
     got = flow.dehyphenated(blocks, lexicon()).where("book = 'x'").collect()
     assert sorted(x.text for x in got) == ["cooperation co-op", "cooperation co-op"]
     assert _shuffled(spark, lambda: flow.dehyphenated(blocks, lexicon())) < _shuffled(spark, lambda: blocks.repartition("book")) / 10
+
+
+def test_facts_of_pages_are_made_once(spark):
+    signs = ["\u00a9 2001", "COPYRIGHT by", "copyrights", "isbn 1", "All Rights Reserved", "LIBRARY of congress", "1 2 3 4 5", " 10 9 8 7", "12 a 345"]
+    made = [block(k, 0, "Text", a + "\n" + b) for k, (a, b) in enumerate((a, b) for a in signs for b in signs)]
+    kinds = B.page_kinds(spark.createDataFrame([(f"b{x[1] // 6}", *x[1:]) for x in made], BLOCK))
+    assert "ISBN" not in kinds._jdf.queryExecution().executedPlan().toString()
+    marks = lambda t: sum(bool(re.search(p, t, re.I | re.A)) for p in (r"©|\bcopyright\b", r"\bISBN\b", "all rights reserved", "library of congress")) + any(re.fullmatch("[0-9 ]+", s.strip()) and len(re.sub("[^0-9]", "", s)) >= 5 for s in t.split("\n"))
+    assert {x.page: x.kind for x in kinds.collect()} == {x[1]: "copyright" if marks(x[4]) >= 2 else None for x in made}
+
+
+def test_words_are_counted_between_blanks(spark):
+    texts = ["", " ", "x", " x ", "*a* _b_", "__", "a\u00a0b c", "\n\x0ba\r\fb\t", "a*b_c", None]
+    split = lambda t: len([w for w in re.split("[ \t\n\x0b\f\r]+", t) if w]) if t is not None else None
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", X.word_count(F.col("t")), X.plain_word_count(F.col("t"))).collect()
+    assert [tuple(g) for g in sorted(got)] == [(k, split(t and t.replace("*", " ").replace("_", " ")), split(t)) for k, t in enumerate(texts)]
