@@ -3,6 +3,7 @@
 import collections
 import html.parser
 import json
+import os
 import random
 import re
 
@@ -670,3 +671,64 @@ def test_words_are_counted_between_blanks(spark):
     split = lambda t: len([w for w in re.split("[ \t\n\x0b\f\r]+", t) if w]) if t is not None else None
     got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", X.word_count(F.col("t")), X.plain_word_count(F.col("t"))).collect()
     assert [tuple(g) for g in sorted(got)] == [(k, split(t and t.replace("*", " ").replace("_", " ")), split(t)) for k, t in enumerate(texts)]
+
+
+def test_a_book_is_written_once_and_dealt_out_once(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(20000)]
+    made = [(f"b{k % 2}", k // 2, o, "Text", " ".join(r.choice(words) for _ in range(12)).capitalize() + ".", 100.0, 100.0 + 30 * o, 900.0, 112.0 + 30 * o, 1000.0, 1000.0) for k in range(1500) for o in range(20)]
+    blocks = spark.createDataFrame(made, BLOCK).cache()
+    blocks.count()
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    held = lambda: sum(os.path.getsize(f"{at}/{f}") for at, _, names in os.walk(shared) for f in names)
+    once, before = _shuffled(spark, lambda: blocks.repartition("book", "page")), held()
+    assert _shuffled(spark, lambda: flow.reflowed_book(blocks)["paragraphs"]) < 1.5 * once
+    assert held() - before < 1.5 * once
+
+
+def test_paragraphs_equal_a_plain_fold(spark):
+    r = random.Random(3)
+    fields = "book string, page int, ord int, category string, text string, align string, decision boolean, starts boolean"
+    some = ["goes on", "low re-", "Entry and", "entry.", "co-", "op", "Ends!", "", None, "é-", "éa x-"]
+    made = []
+    for b in ("a", "b", None):
+        for page in sorted(r.sample([*range(40), *range(65_530, 65_545)], 40)):
+            made += [(b, page, o, r.choice(["Text"] * 8 + ["Footnote", "Table", "Page-header"]), r.choice(some), r.choice(["", "", "", "right"]), r.choice([None] * 6 + [True, False]), r.choice([None] * 8 + [True])) for o in range(r.choice([1, 1, 2, 4]))]
+
+    def joins(x, y):
+        ok = lambda z: z[3] in flow.JOINABLE
+        rule = y[5] == "" and y[1] - x[1] < 2 and bool(x[4]) and bool(y[4]) and not x[4].endswith(X.SENTENCE_ENDS) and y[4][0].upper() != y[4][0]
+        return ok(x) and ok(y) and not y[7] and (rule if y[6] is None else y[6])
+
+    def text(rows, known):
+        out = rows[0][4]
+        for x, y in zip(rows, rows[1:]):
+            stem, word = re.search("([A-Za-zÀ-ÿ]+)-$", x[4] or ""), re.match("[A-Za-zÀ-ÿ]+", y[4] or "")
+            if x[4] is None or out is None or y[4] is None:
+                out = y[4] if x[4] is None else None
+            elif stem and word:
+                s, v = stem[1], word[0]
+                fuse = (s + v).lower() in known or (f"{s}-{v}".lower() not in known and v[0] == v[0].lower())
+                out = (out[:-1] if fuse else out) + y[4]
+            else:
+                out += " " + y[4]
+        return out
+
+    starts, paragraphs = {}, {}
+    for b in ("a", "b", None):
+        rows, paras = [x for x in made if x[0] == b and x[3] != "Footnote"], []
+        for k, y in enumerate(rows):
+            if k and joins(rows[k - 1], y):
+                paras[-1].append(y)
+            else:
+                paras.append([y])
+        starts |= {(b, y[1], y[2]): n for n, p in enumerate(paras, 1) for y in p}
+        known = {w for x in made if x[0] == b for w in re.findall("[a-zà-ÿ]+(?:-[a-zà-ÿ]+)*", (x[4] or "").lower())}
+        paragraphs |= {(b, n): (p[0][1], len(p), text(p, known)) for n, p in enumerate(paras, 1) if b}
+    blocks = spark.createDataFrame(made, fields)
+    assert max(n for _, n, _ in paragraphs.values()) > 3
+    assert {(x.book, x.page, x.ord): x.para for x in flow.paragraph_starts(blocks).collect()} == starts
+    assert {(x.book, x.para): (x.page, x.n_blocks, x.text) for x in flow.flow_paragraphs(blocks).collect() if x.book} == paragraphs
+    opened = blocks.where("starts").select("book", "page", "ord").where("ord = 0")
+    apart = blocks.withColumn("starts", F.when(F.col("ord") > 0, F.col("starts")))
+    assert sorted(map(tuple, flow.flow_paragraphs(apart, opened).where("book is not null").drop("text").collect())) == sorted((b, n, p, k) for (b, n), (p, k, _) in paragraphs.items())
